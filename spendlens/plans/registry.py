@@ -164,7 +164,7 @@ def q_report_lines_parse(spark, sf):
 
 def q_digest_match(spark, sf):
     t = _t(spark, sf)
-    return digest_match(t.marketing_user, digest_candidates(spark, sf)).orderBy("CustomerID")
+    return digest_match(t.marketing_user, digest_candidates(spark, sf), keep=["CustomerID"]).orderBy("CustomerID")
 
 
 def q_stream_admit_ads(spark, sf, chunks: int = 3):
