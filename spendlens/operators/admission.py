@@ -55,7 +55,9 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, out: str,
     with one row per (key, slice) — at most #keys + #partitions rows.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, key, order).withColumn("_slice", F.spark_partition_id())
+    # Materialize the slice labels once: two evaluations of a range exchange
+    # may sample different bounds, and both branches below must agree.
+    ranged = _checkpoint(df.repartitionByRange(n, key, order).withColumn("_slice", F.spark_partition_id()))
     local_w = Window.partitionBy(key, "_slice").orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_local", F.sum(value).over(local_w))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import shared_dir
+
 
 def dense_index(df: DataFrame, order_cols: list[str], out: str = "index",
                 partitions: int | None = None) -> DataFrame:
@@ -19,7 +21,11 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str = "index",
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    # Materialized once (to the shared checkpoint folder): two evaluations of
+    # a range exchange may sample different bounds, and both uses must agree.
+    shared_dir(spark)
+    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()) \
+        .checkpoint(eager=True)
     local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
