@@ -20,7 +20,7 @@ from ..operators.ids import assign_ids
 from ..operators.text import REPORT_FORMATS, formatted_lines, parse_report_lines, report_lines
 from ..schema import CAMPAIGN_PRODUCT
 from ..session import scratch_path
-from ..sources.driver import AS_OF, ad_requests, model_from_driver, read_driver
+from ..sources.driver import AS_OF, ad_requests, model_from_driver, read_driver_table
 from ..streaming import admission as T1
 from ..streaming import metrics_feed as T2
 
@@ -69,7 +69,7 @@ def discount_requests(t) -> DataFrame:
 
 
 def digest_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    c = read_driver(spark, sf)["customer"]
+    c = read_driver_table(spark, sf, "customer")
     return c.select(F.col("c_custkey").alias("CustomerID"), F.col("c_name").alias("Username"),
                     F.col("c_name").alias("Password"))
 
@@ -179,7 +179,7 @@ def q_stream_admit_ads(spark, sf, chunks: int = 3):
 
 def q_stream_ad_metrics(spark, sf, chunks: int = 4):
     t = _t(spark, sf)
-    feed = T2.daily_counters(read_driver(spark, sf)["events"])
+    feed = T2.daily_counters(read_driver_table(spark, sf, "events"))
     root = scratch_path(spark, "stream-metrics")
     for _ in _arrive_in_order(feed, f"{root}/in", chunks):
         T2.run_feed(spark, f"{root}/in", f"{root}/delta", f"{root}/chk")

@@ -5,7 +5,7 @@ DataFrame API; the DuckDB oracle writes the same mapping independently in
 SQL. Every model table is a lazy plan over the driver tables, so its work
 grows with them and Catalyst prunes columns / pushes filters to the scans.
 
-``k`` is the supplier count, one cheap metadata count (parquet footers).
+``k`` is the supplier count, a scalar subquery evaluated inside each plan.
 """
 
 from __future__ import annotations
@@ -23,6 +23,22 @@ from ..tables import Tables
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+# Column types of the driver's parquet files; reading with an explicit schema
+# skips footer-based inference (and pins the types we map from).
+DRIVER_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 # Fixed values of the fixture mapping (our decisions, FIXTURES.md §3).
 OBJECTIVES = ["Awareness", "Conversion", "Retention", "Leads"]
 SEGMENT_PROFILE = {
@@ -38,8 +54,12 @@ END_BASE = dt.date(2001, 7, 1)
 AS_OF = dt.date(2001, 7, 20)
 
 
+def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def read_driver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DRIVER_TABLES}
+    return {t: read_driver_table(spark, sf_dir, t) for t in DRIVER_TABLES}
 
 
 def _profile(name: F.Column, idx: int) -> F.Column:
@@ -51,111 +71,156 @@ def _profile(name: F.Column, idx: int) -> F.Column:
 
 def model_from_driver(spark: SparkSession, sf_dir: str, ledger: str = "spent",
                       recalc: bool = True) -> Tables:
-    """Build the model.
+    """Build the model (lazily: each table's plan is built on first use).
 
     ledger: ``"spent"`` sets CurrentBudget to the ads' total cost (the state
     the reports read); ``"empty"`` sets it to 0 (start of an admission run).
     recalc: fill ConversionRate / AttributedRevenue with the recalculation
     (W5) over all ads, the state after a full metrics sync.
     """
-    d = read_driver(spark, sf_dir)
-    k = d["supplier"].count()
-
-    platform = conform(d["nation"].select(
-        F.col("n_nationkey").alias("PlatformID"), F.col("n_name").alias("PlatformName")), PLATFORM)
-    region = conform(d["region"].select(
-        F.col("r_regionkey").alias("RegionID"), F.col("r_name").alias("RegionName")), REGION)
-
-    # Segment ids rank the distinct names; the window runs over the distinct
-    # names only (a handful of rows), never over customers.
-    seg_names = d["customer"].select(F.col("c_mktsegment").alias("SegmentName")).distinct()
-    customer_segment = conform(seg_names.select(
-        F.dense_rank().over(_name_order()).alias("SegmentID"),
-        "SegmentName",
-        _profile(F.col("SegmentName"), 0).alias("AgeGroup"),
-        _profile(F.col("SegmentName"), 1).alias("IncomeCategory"),
-    ), CUSTOMER_SEGMENT)
-
-    cust = d["customer"].join(
-        d["nation"].select("n_nationkey", "n_regionkey"),
-        F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    cust = cust.join(customer_segment.select("SegmentID", "SegmentName"),
-                     F.col("c_mktsegment") == F.col("SegmentName"), "left")
-    customer = conform(cust.select(
-        F.col("c_custkey").alias("CustomerID"), "SegmentID",
-        F.col("n_regionkey").alias("RegionID")), CUSTOMER)
-
-    product = conform(d["part"].select(
-        F.col("p_partkey").alias("ProductID"), F.col("p_name").alias("ProductName"),
-        F.col("p_retailprice").cast("decimal(12,2)").alias("MRP")), PRODUCT)
-
-    li = d["lineitem"]
-    by_part = li.groupBy(F.col("l_partkey")).agg(
-        F.sum("l_quantity").alias("_qty"),
-        F.count_if(F.col("l_returnflag") == "R").alias("_returns"))
-    part = d["part"]
-    pk = F.col("p_partkey")
-    dead = (pk % 101) == 0
-    cost_cents = F.when((pk % 97) == 0, F.lit(0).cast("bigint")).otherwise(
-        intdiv(to_cents("p_retailprice") * F.col("p_size"), 10))
-    ad_raw = part.join(by_part, pk == F.col("l_partkey"), "left").select(
-        pk.alias("AdID"),
-        (pk % F.lit(k)).alias("CampaignID"),
-        F.col("p_name").alias("AdName"),
-        F.when(dead, 0).otherwise(F.coalesce(F.col("_qty"), F.lit(0.0))).cast("bigint").alias("Impressions"),
-        F.when(dead, 0).otherwise(F.coalesce(F.col("_returns"), F.lit(0))).cast("bigint").alias("Clicks"),
-        F.lit(0.0).alias("ConversionRate"),
-        from_cents(cost_cents).alias("CostPerAd"),
-        F.lit(0).alias("AttributedRevenue"),
-    )
-    ad = conform(ad_raw, AD)
-
-    cost_by_campaign = ad.groupBy("CampaignID").agg(
-        F.sum(to_cents("CostPerAd")).alias("_cost_cents"),
-        F.sum("CostPerAd").alias("_spent"))
-    cid = F.col("s_suppkey")
-    budget_cents = F.when((cid % 50) == 9, F.lit(0).cast("bigint")).otherwise(
-        intdiv(F.coalesce(F.col("_cost_cents"), F.lit(0)) * ((cid % 80) + 60), 100))
-    current = (F.coalesce(F.col("_spent"), F.lit(0)) if ledger == "spent" else F.lit(0))
-    campaign = conform(d["supplier"].join(
-        cost_by_campaign, cid == F.col("CampaignID"), "left").select(
-        cid.alias("CampaignID"),
-        F.col("s_nationkey").alias("PlatformID"),
-        F.date_add(F.lit(START_BASE), (cid % 60).cast("int")).alias("StartDate"),
-        F.date_add(F.lit(END_BASE), ((cid * 11) % 60).cast("int")).alias("EndDate"),
-        from_cents(budget_cents, 14).alias("Budget"),
-        current.alias("CurrentBudget"),
-        F.element_at(F.array(*[F.lit(o) for o in OBJECTIVES]), (cid % 4 + 1).cast("int")).alias("Objective"),
-    ), CAMPAIGN)
-
-    ok = F.col("o_orderkey")
-    camp = (ok * 7 + F.col("o_custkey")) % F.lit(k)
-    orders = conform(d["orders"].select(
-        ok.alias("OrderID"), F.col("o_custkey").alias("CustomerID"),
-        F.when(((ok % 11) == 0) | ((camp % 10) == 3), F.lit(None)).otherwise(camp).alias("CampaignID"),
-        F.col("o_totalprice").cast("decimal(12,2)").alias("TotalAmount")), ORDERS)
-
-    campaign_product = conform(li.groupBy(
-        F.col("l_suppkey").alias("CampaignID"), F.col("l_partkey").alias("ProductID")).agg(
-        (F.max(F.col("l_discount").cast("decimal(4,2)")) * F.lit(100)).alias("Discount")
-    ).withColumn("SellingPrice", F.lit(None)), CAMPAIGN_PRODUCT)
-
-    order_line = conform(li.select(
-        F.col("l_orderkey").alias("OrderID"), F.col("l_partkey").alias("ProductID"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("Price"),
-        F.col("l_discount").cast("decimal(4,2)").alias("Discount")), ORDER_LINE)
-
-    tables = Tables(
-        campaign=campaign, ad=ad, campaign_product=campaign_product, product=product,
-        orders=orders, customer=customer, customer_segment=customer_segment,
-        platform=platform, region=region, order_line=order_line,
-        marketing_user=marketing_users(d["customer"]),
-    )
-    if recalc:
-        from ..operators.writes import price, recalc_ad_metrics
-        tables = tables.with_(ad=recalc_ad_metrics(tables))
-        tables = tables.with_(campaign_product=price(tables.campaign_product, tables.product))
-    return tables
+    m = _DriverModel(spark, sf_dir, ledger, recalc)
+    return Tables(**{name: getattr(m, name) for name in (
+        "campaign", "ad", "campaign_product", "product", "orders", "customer",
+        "customer_segment", "platform", "region", "order_line", "marketing_user")})
+
+
+class _DriverModel:
+    """One builder per model table, each memoized."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, ledger: str, recalc: bool):
+        self.spark, self.sf_dir, self.ledger, self.recalc = spark, sf_dir, ledger, recalc
+        self._memo: dict[str, DataFrame] = {}
+
+    def _raw(self, name: str) -> DataFrame:
+        return self._once("raw:" + name, lambda: read_driver_table(self.spark, self.sf_dir, name))
+
+    def _once(self, name: str, build) -> DataFrame:
+        if name not in self._memo:
+            self._memo[name] = build()
+        return self._memo[name]
+
+    @property
+    def k(self) -> F.Column:
+        """The supplier count as a scalar subquery: evaluated once, inside the plan."""
+        return self._raw("supplier").select(F.count(F.lit(1))).scalar()
+
+    def platform(self) -> DataFrame:
+        return self._once("platform", lambda: conform(self._raw("nation").select(
+            F.col("n_nationkey").alias("PlatformID"), F.col("n_name").alias("PlatformName")), PLATFORM))
+
+    def region(self) -> DataFrame:
+        return self._once("region", lambda: conform(self._raw("region").select(
+            F.col("r_regionkey").alias("RegionID"), F.col("r_name").alias("RegionName")), REGION))
+
+    def customer_segment(self) -> DataFrame:
+        # Segment ids rank the distinct names; the window runs over the
+        # distinct names only (a handful of rows), never over customers.
+        def build():
+            names = self._raw("customer").select(F.col("c_mktsegment").alias("SegmentName")).distinct()
+            return conform(names.select(
+                F.dense_rank().over(_name_order()).alias("SegmentID"),
+                "SegmentName",
+                _profile(F.col("SegmentName"), 0).alias("AgeGroup"),
+                _profile(F.col("SegmentName"), 1).alias("IncomeCategory"),
+            ), CUSTOMER_SEGMENT)
+        return self._once("customer_segment", build)
+
+    def customer(self) -> DataFrame:
+        def build():
+            c = self._raw("customer").join(
+                self._raw("nation").select("n_nationkey", "n_regionkey"),
+                F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            c = c.join(self.customer_segment().select("SegmentID", "SegmentName"),
+                       F.col("c_mktsegment") == F.col("SegmentName"), "left")
+            return conform(c.select(
+                F.col("c_custkey").alias("CustomerID"), "SegmentID",
+                F.col("n_regionkey").alias("RegionID")), CUSTOMER)
+        return self._once("customer", build)
+
+    def product(self) -> DataFrame:
+        return self._once("product", lambda: conform(self._raw("part").select(
+            F.col("p_partkey").alias("ProductID"), F.col("p_name").alias("ProductName"),
+            F.col("p_retailprice").cast("decimal(12,2)").alias("MRP")), PRODUCT))
+
+    def ad_base(self) -> DataFrame:
+        def build():
+            by_part = self._raw("lineitem").groupBy(F.col("l_partkey")).agg(
+                F.sum("l_quantity").alias("_qty"),
+                F.count_if(F.col("l_returnflag") == "R").alias("_returns"))
+            pk = F.col("p_partkey")
+            dead = (pk % 101) == 0
+            cost_cents = F.when((pk % 97) == 0, F.lit(0).cast("bigint")).otherwise(
+                intdiv(to_cents("p_retailprice") * F.col("p_size"), 10))
+            return conform(self._raw("part").join(by_part, pk == F.col("l_partkey"), "left").select(
+                pk.alias("AdID"),
+                (pk % self.k).alias("CampaignID"),
+                F.col("p_name").alias("AdName"),
+                F.when(dead, 0).otherwise(F.coalesce(F.col("_qty"), F.lit(0.0))).cast("bigint").alias("Impressions"),
+                F.when(dead, 0).otherwise(F.coalesce(F.col("_returns"), F.lit(0))).cast("bigint").alias("Clicks"),
+                F.lit(0.0).alias("ConversionRate"),
+                from_cents(cost_cents).alias("CostPerAd"),
+                F.lit(0).alias("AttributedRevenue"),
+            ), AD)
+        return self._once("ad_base", build)
+
+    def campaign(self) -> DataFrame:
+        def build():
+            cost = self.ad_base().groupBy("CampaignID").agg(
+                F.sum(to_cents("CostPerAd")).alias("_cost_cents"),
+                F.sum("CostPerAd").alias("_spent"))
+            cid = F.col("s_suppkey")
+            budget_cents = F.when((cid % 50) == 9, F.lit(0).cast("bigint")).otherwise(
+                intdiv(F.coalesce(F.col("_cost_cents"), F.lit(0)) * ((cid % 80) + 60), 100))
+            current = F.coalesce(F.col("_spent"), F.lit(0)) if self.ledger == "spent" else F.lit(0)
+            return conform(self._raw("supplier").join(cost, cid == F.col("CampaignID"), "left").select(
+                cid.alias("CampaignID"),
+                F.col("s_nationkey").alias("PlatformID"),
+                F.date_add(F.lit(START_BASE), (cid % 60).cast("int")).alias("StartDate"),
+                F.date_add(F.lit(END_BASE), ((cid * 11) % 60).cast("int")).alias("EndDate"),
+                from_cents(budget_cents, 14).alias("Budget"),
+                current.alias("CurrentBudget"),
+                F.element_at(F.array(*[F.lit(o) for o in OBJECTIVES]), (cid % 4 + 1).cast("int")).alias("Objective"),
+            ), CAMPAIGN)
+        return self._once("campaign", build)
+
+    def orders(self) -> DataFrame:
+        def build():
+            ok = F.col("o_orderkey")
+            camp = (ok * 7 + F.col("o_custkey")) % self.k
+            return conform(self._raw("orders").select(
+                ok.alias("OrderID"), F.col("o_custkey").alias("CustomerID"),
+                F.when(((ok % 11) == 0) | ((camp % 10) == 3), F.lit(None)).otherwise(camp).alias("CampaignID"),
+                F.col("o_totalprice").cast("decimal(12,2)").alias("TotalAmount")), ORDERS)
+        return self._once("orders", build)
+
+    def campaign_product(self) -> DataFrame:
+        def build():
+            pairs = conform(self._raw("lineitem").groupBy(
+                F.col("l_suppkey").alias("CampaignID"), F.col("l_partkey").alias("ProductID")).agg(
+                (F.max(F.col("l_discount").cast("decimal(4,2)")) * F.lit(100)).alias("Discount")
+            ).withColumn("SellingPrice", F.lit(None)), CAMPAIGN_PRODUCT)
+            if not self.recalc:
+                return pairs
+            from ..operators.writes import price
+            return price(pairs, self.product())
+        return self._once("campaign_product", build)
+
+    def order_line(self) -> DataFrame:
+        return self._once("order_line", lambda: conform(self._raw("lineitem").select(
+            F.col("l_orderkey").alias("OrderID"), F.col("l_partkey").alias("ProductID"),
+            F.col("l_extendedprice").cast("decimal(12,2)").alias("Price"),
+            F.col("l_discount").cast("decimal(4,2)").alias("Discount")), ORDER_LINE))
+
+    def ad(self) -> DataFrame:
+        def build():
+            if not self.recalc:
+                return self.ad_base()
+            from ..operators.writes import recalc_ad_metrics
+            return recalc_ad_metrics(Tables(ad=self.ad_base, orders=self.orders))
+        return self._once("ad", build)
+
+    def marketing_user(self) -> DataFrame:
+        return self._once("marketing_user", lambda: marketing_users(self._raw("customer")))
 
 
 def _name_order():
