@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import fixed, java_trim, key_value_line, template_line, as_text
@@ -12,40 +14,72 @@ def report_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(key_value_line(df, columns).alias("line"))
 
 
-# Fixed report formats (the reference's per-report row formatters).
-# Each piece: literal text, or (column, kind) with kind "s" (text), "d"
-# (integer) or an int N (fixed N decimals, "%.Nf").
+# The reference's per-report row formats (Java format strings)
+# and the columns they print, in order. These must stay exactly as written.
 REPORT_FORMATS = {
-    "segment_platform_affinity": [
-        "Segment=", ("SegmentName", "s"), " | Platform=", ("PlatformName", "s"),
-        " | Orders=", ("Orders", "d"), " | Revenue=", ("Revenue", 2)],
-    "campaign_performance": [
-        "CampaignID=", ("CampaignID", "d"), " | ", ("Objective", "s"), " | Platform=", ("PlatformName", "s"),
-        " | Budget=", ("Budget", 2), " | Spend=", ("TotalSpend", 2), " (", ("BudgetUtilizationPct", 1),
-        "%) | Revenue=", ("ActualOrderRevenue", 2), " | ROI=", ("ROIPercent", "s"), "% | Ads=", ("NumAds", "d")],
-    "list_campaigns": [
-        "CampaignID=", ("CampaignID", "d"), " | PlatformID=", ("PlatformID", "d"), " | ", ("StartDate", "s"),
-        " to ", ("EndDate", "s"), " | Budget=", ("Budget", 2), " | Spent=", ("CurrentBudget", 2),
-        " | Objective=", ("Objective", "s")],
-    "underperforming_ads": [
-        "AdID=", ("AdID", "d"), " | ", ("AdName", "s"), " | CampaignID=", ("CampaignID", "d"),
-        " | CTR=", ("CTR", "s"), "% (campaign avg ", ("avg_ctr", 4), "%)"],
-    "campaign_by_segment": [
-        "Segment=", ("SegmentName", "s"), " (", ("AgeGroup", "s"), ", ", ("IncomeCategory", "s"),
-        ") | Orders=", ("Orders", "d"), " | Revenue=", ("Revenue", 2)],
+    "list_campaigns": (
+        "CampaignID=%d | PlatformID=%d | %s to %s | Budget=%.2f | Spent=%.2f | Objective=%s",
+        ["CampaignID", "PlatformID", "StartDate", "EndDate", "Budget", "CurrentBudget", "Objective"]),
+    "campaign_performance": (
+        "CampaignID=%d | %s | Platform=%s | Budget=%.2f | Spend=%.2f (%.1f%%) | Revenue=%.2f | ROI=%s%% | Ads=%d",
+        ["CampaignID", "Objective", "PlatformName", "Budget", "TotalSpend", "BudgetUtilizationPct",
+         "ActualOrderRevenue", "ROIPercent", "NumAds"]),
+    "ad_performance": (
+        "AdID=%d | %s | CampaignID=%d | CTR=%s%% | ConvRate=%s | CPC=%s | ROAS=%s | Revenue=%.2f",
+        ["AdID", "AdName", "CampaignID", "CTR", "ConversionRate", "CostPerClick", "ROAS", "AttributedRevenue"]),
+    "campaign_products": (
+        "ProductID=%d | %s | MRP=%.2f | Discount=%s%% | SellingPrice=%.2f",
+        ["ProductID", "ProductName", "MRP", "Discount", "SellingPrice"]),
+    "campaign_by_segment": (
+        "Segment=%s (%s, %s) | Orders=%d | Revenue=%.2f",
+        ["SegmentName", "AgeGroup", "IncomeCategory", "Orders", "Revenue"]),
+    "budget_alerts": (
+        "CampaignID=%d | %s | Budget=%.2f | Spent=%.2f | Utilization=%s%%",
+        ["CampaignID", "Objective", "Budget", "TotalSpend", "BudgetUtilizationPct"]),
+    "campaigns_ending_soon": (
+        "CampaignID=%d | %s | Ends=%s | DaysLeft=%d",
+        ["CampaignID", "Objective", "EndDate", "DaysLeft"]),
+    "top_ads_by_roas": (
+        "AdID=%d | %s | CampaignID=%d | ROAS=%s | Spend=%.2f | Revenue=%.2f",
+        ["AdID", "AdName", "CampaignID", "ROAS", "CostPerAd", "AttributedRevenue"]),
+    "underperforming_ads": (
+        "AdID=%d | %s | CampaignID=%d | CTR=%s%% (campaign avg %.4f%%)",
+        ["AdID", "AdName", "CampaignID", "CTR", "avg_ctr"]),
+    "segment_platform_affinity": (
+        "Segment=%s | Platform=%s | Orders=%d | Revenue=%.2f",
+        ["SegmentName", "PlatformName", "Orders", "Revenue"]),
 }
 
+_SPEC = re.compile(r"%(%|s|d|\.(\d+)f)")
+
 
-def formatted_lines(df: DataFrame, fmt: list) -> DataFrame:
-    """A per-report formatter, fixed-scale numbers by decimal cast."""
-    pieces = []
-    for p in fmt:
-        if isinstance(p, str):
-            pieces.append(p)
-        else:
-            col, kind = p
-            pieces.append(fixed(col, kind) if isinstance(kind, int) else as_text(col))
-    return df.select(template_line(*pieces).alias("line"))
+def format_line(fmt: str, columns: list[str]) -> F.Column:
+    """A Java-style format string over columns, as one Column expression.
+
+    ``%s`` and ``%d`` print the value as text (NULL → ``null``), ``%.Nf``
+    prints N fixed decimals (half-up, via a decimal cast), ``%%`` is ``%``.
+    """
+    pieces: list = []
+    pos, i = 0, 0
+    for m in _SPEC.finditer(fmt):
+        pieces.append(fmt[pos:m.start()])
+        pos = m.end()
+        if m.group(1) == "%":
+            pieces.append("%")
+            continue
+        col = columns[i]
+        i += 1
+        pieces.append(fixed(col, int(m.group(2))) if m.group(2) else as_text(col))
+    pieces.append(fmt[pos:])
+    if i != len(columns):
+        raise ValueError(f"format takes {i} values, got {len(columns)} columns")
+    return template_line(*[p for p in pieces if not (isinstance(p, str) and p == "")])
+
+
+def formatted_lines(df: DataFrame, report: str) -> DataFrame:
+    """One report's rows in its fixed format."""
+    fmt, cols = REPORT_FORMATS[report]
+    return df.select(format_line(fmt, cols).alias("line"))
 
 
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:

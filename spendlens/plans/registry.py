@@ -17,7 +17,7 @@ from ..operators import writes as W
 from ..operators.admission import admit_ads
 from ..operators.digest import digest_match
 from ..operators.ids import assign_ids
-from ..operators.text import REPORT_FORMATS, formatted_lines, parse_report_lines, report_lines
+from ..operators.text import formatted_lines, parse_report_lines, report_lines
 from ..schema import CAMPAIGN_PRODUCT
 from ..session import scratch_path
 from ..sources.driver import AS_OF, ad_requests, model_from_driver, read_driver_table
@@ -154,8 +154,7 @@ def q_report_lines(spark, sf):
 
 
 def q_report_lines_fmt(spark, sf):
-    return formatted_lines(R.segment_platform_affinity(_t(spark, sf)),
-                           REPORT_FORMATS["segment_platform_affinity"])
+    return formatted_lines(R.segment_platform_affinity(_t(spark, sf)), "segment_platform_affinity")
 
 
 def q_report_lines_parse(spark, sf):
