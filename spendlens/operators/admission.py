@@ -9,18 +9,20 @@ fold. Money is integer cents.
 A fold is sequential per campaign, and one campaign may hold a third of all
 requests, so the work is split before anything goes sequential:
 
-1. *Rounds* (parallel). With ``room`` = budget left, a request costing more
-   than ``room`` can never be admitted later (room only shrinks): reject it
-   outright. Among the rest, take the running sum in ``seq`` order; every
-   request whose running sum fits is admitted, the first that does not is
-   rejected, and ``room`` drops by what was admitted. The running sum is a
-   two-level prefix sum over range partitions of (campaign, seq), so a hot
-   campaign is spread over many tasks. Each round is checkpointed to the
-   shared folder (lineage cut, survives executor loss).
-2. *Tail* (exact). Whatever is still undecided after the rounds is hash
-   partitioned by campaign, sorted by seq and streamed through a small
-   fold in ``mapInPandas`` with O(1) state — memory is one Arrow batch, not
-   one group.
+1. *Rounds* (parallel), run while the largest undecided campaign holds more
+   than ``tail_group_limit`` requests. With ``room`` = budget left, a
+   request costing more than ``room`` can never be admitted later (room only
+   shrinks): reject it outright. Among the rest, take the running sum in
+   ``seq`` order; every request whose running sum fits is admitted, the
+   first that does not is rejected, and ``room`` drops by what was admitted.
+   The running sum is a two-level prefix sum over range partitions of
+   (campaign, seq), so a hot campaign is spread over many tasks. Each round
+   is checkpointed to the shared folder (lineage cut, survives executor
+   loss). Checking the largest group is one partial aggregate.
+2. *Tail* (exact). Whatever is still undecided is hash partitioned by
+   campaign, sorted by seq and streamed through a small fold in
+   ``mapInPandas`` with O(1) state — memory is one Arrow batch, not one
+   group. Small campaigns (the common case) go straight here.
 """
 
 from __future__ import annotations
@@ -80,28 +82,30 @@ def _fold_tail(columns: list[str]):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current_key, room = None, 0
         for pdf in batches:
-            keys = pdf.iloc[:, key_i].to_numpy()
-            costs = pdf.iloc[:, cost_i].to_numpy(dtype=np.int64)
-            rooms = pdf.iloc[:, room_i].to_numpy(dtype=np.int64)
-            ok = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if keys[i] != current_key:
-                    current_key, room = keys[i], int(rooms[i])
-                c = int(costs[i])
+            keys = pdf.iloc[:, key_i].tolist()
+            costs = pdf.iloc[:, cost_i].tolist()
+            rooms = pdf.iloc[:, room_i].tolist()
+            ok = [False] * len(keys)
+            for i, (k, c) in enumerate(zip(keys, costs)):
+                if k != current_key:
+                    current_key, room = k, rooms[i]
                 if c <= room:
                     ok[i] = True
                     room -= c
-            out = pdf.copy()
-            out["admitted"] = ok
-            yield out
+            pdf["admitted"] = np.array(ok, dtype=bool)
+            yield pdf
     return fold
 
 
-def admission_decisions(requests: DataFrame, campaign: DataFrame, rounds: int = 2) -> DataFrame:
+def admission_decisions(requests: DataFrame, campaign: DataFrame, max_rounds: int = 4,
+                        tail_group_limit: int = 1_000_000) -> DataFrame:
     """Decide every request. Output: request columns + ``admitted`` + ``Reason``.
 
     requests: ``seq`` (unique, arrival order), ``CampaignID``, ``CostPerAd``, …
     campaign: ``CampaignID``, ``Budget``, ``CurrentBudget`` (spend so far).
+    max_rounds / tail_group_limit: parallel rounds run (at most
+    ``max_rounds``) while some campaign has more undecided requests than
+    ``tail_group_limit``; the exact tail decides the rest.
     """
     req_cols = requests.columns
     ledger = campaign.select(
@@ -110,7 +114,10 @@ def admission_decisions(requests: DataFrame, campaign: DataFrame, rounds: int =
     parts = [_decided(j.where(F.col(_ROOM).isNull()), False, UNKNOWN_CAMPAIGN)]
     cand = _checkpoint(j.where(F.col(_ROOM).isNotNull()))
 
-    for _ in range(rounds):
+    for _ in range(max_rounds):
+        biggest = cand.groupBy(_KEY).count().agg(F.max("count")).first()[0]
+        if not biggest or biggest <= tail_group_limit:
+            break
         parts.append(_decided(cand.where(F.col(_COST) > F.col(_ROOM)), False, OVER_BUDGET))
         fits = cand.where(F.col(_COST) <= F.col(_ROOM))
         summed = _checkpoint(running_sum(fits, _KEY, _SEQ, _COST, "_cum"))
@@ -136,8 +143,8 @@ def admission_decisions(requests: DataFrame, campaign: DataFrame, rounds: int =
     return out.select(*req_cols, "admitted", "Reason")
 
 
-def admit_ads(requests: DataFrame, campaign: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def admit_ads(requests: DataFrame, campaign: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     """(admitted, rejected). Admitted ads start with ConversionRate and
     AttributedRevenue at 0 (set them with ``recalc_ad_metrics``)."""
-    d = _checkpoint(admission_decisions(requests, campaign, rounds))
+    d = _checkpoint(admission_decisions(requests, campaign, **kw))
     return d.where("admitted").drop("admitted", "Reason"), d.where(~F.col("admitted")).drop("admitted")

@@ -37,6 +37,7 @@ def _brute_force(requests, rooms):
 
 @pytest.mark.parametrize("rounds", [0, 1, 3])
 def test_admission_matches_brute_force_with_a_hot_campaign(spark, rounds):
+    # tail_group_limit=0 forces the parallel rounds even on small groups
     rng = random.Random(7)
     campaigns = [campaign_row(c, b) for c, b in [(1, 5000), (2, 300), (3, 0), (4, 100000)]]
     reqs = []
@@ -46,7 +47,7 @@ def test_admission_matches_brute_force_with_a_hot_campaign(spark, rounds):
     t = make_tables(spark, campaign=campaigns)
     df = spark.createDataFrame([(s, a, c, D(cents) / 100) for s, a, c, cents in reqs],
                                "seq long, AdID long, CampaignID long, CostPerAd decimal(12,2)")
-    got = {r.seq: r.admitted for r in admission_decisions(df, t.campaign, rounds=rounds).collect()}
+    got = {r.seq: r.admitted for r in admission_decisions(df, t.campaign, max_rounds=rounds, tail_group_limit=0).collect()}
     rooms = {int(c[0]): int(c[4] * 100) for c in campaigns}
     assert got == _brute_force([(s, c, cents) for s, _, c, cents in reqs], rooms)
 
