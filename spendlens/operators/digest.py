@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def digest_match(users: DataFrame, candidates: DataFrame, value_col: str = "Password",
-                 role: str = "MARKETING", keep: list[str] | None = None) -> DataFrame:
-    allowed = users.where(F.col("Role") == F.lit(role)).select("Username", "PasswordHash")
+                 role: str = "MARKETING", keep: list[str] | None = None,
+                 collation: str | None = None) -> DataFrame:
+    """``collation`` (e.g. ``"UTF8_LCASE"``) compares the role case-insensitively."""
+    role_col = F.collate("Role", collation) if collation else F.col("Role")
+    allowed = users.where(role_col == F.lit(role)).select("Username", "PasswordHash")
     hashed = candidates.withColumn("_digest", F.sha2(F.col(value_col).cast("string"), 256)).drop(value_col)
     j = hashed.join(allowed, "Username", "left")
     matched = F.coalesce(F.col("PasswordHash") == F.col("_digest"), F.lit(False)).alias("matched")

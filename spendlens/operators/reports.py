@@ -122,18 +122,22 @@ def underperforming_ads(t: Tables, factor: float = 0.5) -> DataFrame:
     ).orderBy("CTR", "AdID")
 
 
-def segment_platform_affinity(t: Tables) -> DataFrame:
+def segment_platform_affinity(t: Tables, collation: str | None = None) -> DataFrame:
     """Orders ⋈ Customer ⋈ Segment ⋈ Campaign ⋈ Platform, grouped by names.
 
     Orders meet the campaign side first (small, broadcastable when its size
     allows), so the single big join — orders ⋈ customer — carries only four
-    narrow columns.
+    narrow columns. ``collation`` (e.g. ``"UTF8_LCASE"``) groups names the
+    way a case-insensitive database collation would; default is binary.
     """
     o = t.orders.select("OrderID", "CustomerID", "CampaignID", "TotalAmount")
     o = o.join(t.campaign.select("CampaignID", "PlatformID"), "CampaignID")
     o = o.join(t.platform, "PlatformID")
     o = o.join(t.customer.select("CustomerID", "SegmentID"), "CustomerID")
     o = o.join(t.customer_segment.select("SegmentID", "SegmentName"), "SegmentID")
+    if collation:
+        o = o.withColumn("SegmentName", F.collate("SegmentName", collation)) \
+            .withColumn("PlatformName", F.collate("PlatformName", collation))
     return o.groupBy("SegmentName", "PlatformName").agg(
         F.count_distinct("OrderID").alias("Orders"),
         money_sum("TotalAmount").alias("Revenue"),

@@ -67,11 +67,18 @@ def admission_stream(stream: DataFrame, campaign: DataFrame) -> DataFrame:
 
 
 def run_admission(spark: SparkSession, source: str, schema: StructType, campaign: DataFrame,
-                  sink: str, checkpoint: str) -> DataFrame:
+                  sink: str, checkpoint: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Process whatever arrived in ``source`` since the last run (availableNow)
     into a parquet sink — exactly-once through the checkpoint, which also
-    carries the per-campaign state between runs — and read the sink back."""
-    stream = spark.readStream.schema(schema).parquet(source)
+    carries the per-campaign state between runs — and read the sink back.
+
+    ``max_files_per_trigger`` bounds a micro-batch (and so the rows of one
+    campaign handed to the state function at once) on a large backlog.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source)
     q = (admission_stream(stream, campaign).writeStream.format("parquet")
          .option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())

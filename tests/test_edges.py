@@ -189,3 +189,20 @@ def test_digest_known_value_and_rules(spark):
                                   (4, "carol", "password")], "id long, Username string, Password string")
     got = {r.id: r.matched for r in digest_match(users, cand, keep=["id"]).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_case_insensitive_collation_options(spark):
+    t = make_tables(
+        spark, campaign=[campaign_row(1, 1), campaign_row(2, 1, platform=2)],
+        platform=[(1, "Web"), (2, "WEB")],
+        customer=[(1, 1, 0)], customer_segment=[(1, "Retail", "a", "b")],
+        orders=[(1, 1, 1, D(10)), (2, 1, 2, D(5))])
+    assert R.segment_platform_affinity(t).count() == 2
+    rows = R.segment_platform_affinity(t, collation="UTF8_LCASE").collect()
+    assert len(rows) == 1 and rows[0].Orders == 2 and rows[0].Revenue == D("15.00")
+    import hashlib
+    h = hashlib.sha256(b"pw").hexdigest()
+    users = spark.createDataFrame([("u", h, "marketing")], "Username string, PasswordHash string, Role string")
+    cand = spark.createDataFrame([(1, "u", "pw")], "id long, Username string, Password string")
+    assert digest_match(users, cand, keep=["id"]).first().matched is False
+    assert digest_match(users, cand, keep=["id"], collation="UTF8_LCASE").first().matched is True

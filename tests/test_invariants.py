@@ -97,3 +97,12 @@ def test_updates_are_idempotent(spark, model):
         once = fn(model, req)
         twice = fn(model.with_(**{("campaign" if fn is W.update_budgets else "campaign_product"): once}), req)
         assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
+
+
+def test_stream_metrics_feed_equals_batch_update(spark, model):
+    from spendlens.sources.driver import read_driver_table
+    from spendlens.streaming.metrics_feed import daily_counters
+    feed = daily_counters(read_driver_table(spark, SF_SMALL, "events"))
+    batch = W.update_ad_metrics(model, feed)
+    stream = REG.q_stream_ad_metrics(spark, SF_SMALL)
+    assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
