@@ -11,7 +11,7 @@ Shape rules that matter at scale:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.metrics import ctr, cost_per_click, money_sum, roas, roi_pct, utilization_pct
 from ..functions.money import from_cents, share_of, to_cents
@@ -99,15 +99,18 @@ def _allocated_performance(t: Tables, key: str, names: DataFrame, name_col: str)
 
     The one big join is orders ⋈ customer on CustomerID (sort-merge, both
     sides shuffled once); it is reduced straight away to campaign × group
-    grain, so the allocation joins work on small tables.
+    grain, so the allocation works on small tables.
     """
     o = t.orders.where(F.col("CampaignID").isNotNull()).select("CampaignID", "CustomerID", "TotalAmount")
     o = o.join(t.customer.select("CustomerID", key), "CustomerID")
     by_group = o.groupBy("CampaignID", key).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("TotalAmount").alias("_rev"))
-    rev_c = by_group.groupBy("CampaignID").agg(F.sum("_rev").alias("_rev_c"))
+    # A campaign's total revenue over its groups: the window runs over the
+    # rolled-up rows (at most one per group value per campaign) and shares
+    # the CampaignID exchange with the spend join below.
+    by_group = by_group.withColumn("_rev_c", F.sum("_rev").over(Window.partitionBy("CampaignID")))
     spend_c = t.ad.groupBy("CampaignID").agg(F.sum(to_cents("CostPerAd")).alias("_spend_cents"))
-    g = by_group.join(rev_c, "CampaignID").join(spend_c, "CampaignID", "left")
+    g = by_group.join(spend_c, "CampaignID", "left")
     rev_cents = (F.col("_rev") * F.lit(100)).cast("decimal(38,0)")
     rev_c_cents = (F.col("_rev_c") * F.lit(100)).cast("decimal(38,0)")
     alloc = F.when(rev_c_cents > 0,

@@ -61,13 +61,15 @@ def update_budgets(t: Tables, requests: DataFrame) -> DataFrame:
 
 # --- W5 / W4: ad metrics -----------------------------------------------------
 
-def recalc_ad_metrics(t: Tables, ad: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def recalc_ad_metrics(t: Tables, ad: DataFrame | None = None, only: DataFrame | None = None,
+                      flag: str | None = None) -> DataFrame:
     """Recompute ConversionRate and AttributedRevenue from current counters.
 
     AttributedRevenue = campaign order revenue × the ad's share of campaign
     clicks (floor cents); ConversionRate = campaign orders × click share /
     ad clicks = campaign orders / campaign clicks. 0 when there are no clicks.
-    ``only``: a DataFrame of AdIDs to recalculate (others keep their values).
+    Restrict the recalculation (others keep their values) with ``only``, a
+    DataFrame of AdIDs, or ``flag``, a boolean column of ``ad``.
     """
     ad = ad if ad is not None else t.ad
     clicks = ad.groupBy("CampaignID").agg(F.sum("Clicks").alias("_camp_clicks"))
@@ -80,10 +82,14 @@ def recalc_ad_metrics(t: Tables, ad: DataFrame | None = None, only: DataFrame |
         share_of(F.coalesce("_rev_cents", F.lit(0)), "Clicks", "_camp_clicks"), 18)).otherwise(F.lit(0))
     conv = F.when(has_clicks & (F.col("Clicks") > 0),
                   ratio(F.coalesce("_camp_orders", F.lit(0)), "_camp_clicks")).otherwise(F.lit(0.0))
+    hit = None
     if only is not None:
         touch = only.select("AdID").distinct().withColumn("_touch", F.lit(True))
         j = j.join(touch, "AdID", "left")
         hit = F.coalesce(F.col("_touch"), F.lit(False))
+    elif flag is not None:
+        hit = F.coalesce(F.col(flag), F.lit(False))
+    if hit is not None:
         revenue = F.when(hit, revenue).otherwise(F.col("AttributedRevenue"))
         conv = F.when(hit, conv).otherwise(F.col("ConversionRate"))
     out = j.withColumn("AttributedRevenue", revenue).withColumn("ConversionRate", conv)
@@ -98,8 +104,7 @@ def update_ad_metrics(t: Tables, requests: DataFrame) -> DataFrame:
     """
     upd = latest_per_key(requests, ["AdID"], ["Impressions", "Clicks"])
     applied = _apply_updates(t.ad, upd, ["AdID"], ["Impressions", "Clicks"])
-    touched = applied.where("_touched").select("AdID")
-    return recalc_ad_metrics(t, ad=conform(applied, AD), only=touched)
+    return recalc_ad_metrics(t, ad=applied, flag="_touched")
 
 
 # --- W6 / W7 / W7a: pricing --------------------------------------------------

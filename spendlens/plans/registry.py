@@ -32,10 +32,6 @@ FACTOR = 0.5
 UNKNOWN_OFFSET = 10**12
 
 
-def _t(spark: SparkSession, sf: str, **kw):
-    return model_from_driver(spark, sf, **kw)
-
-
 # --- request sets derived from the tables (all rows of the table flow through) ---
 
 def campaign_requests(t) -> DataFrame:
@@ -74,91 +70,127 @@ def digest_candidates(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("c_name").alias("Password"))
 
 
-# --- queries --------------------------------------------------------------------
+# --- operators over a model bundle ---------------------------------------------
+# Each takes (spark, tables); the registered queries below feed them the model
+# mapped from the driver's tables, and PLANS.md feeds them a stored model.
 
-def q_load_campaigns(spark, sf):
-    return R.list_campaigns(_t(spark, sf))
+def fresh_ledger(t):
+    """The bundle at the start of an admission run: nothing spent yet."""
+    return t.with_(campaign=t.campaign.withColumn("CurrentBudget", F.lit(0).cast("decimal(14,2)")))
 
 
-def q_view_catalog(spark, sf):
-    V.register_views(spark, _t(spark, sf))
-    return V.read_view(spark, "vw_CampaignPerformance").orderBy("CampaignID")
+def _requests(t) -> DataFrame:
+    return ad_requests(t).select("seq", "AdID", "CampaignID", "CostPerAd")
 
 
-def q_admit(spark, sf):
-    t = _t(spark, sf, ledger="empty")
-    admitted, _ = admit_ads(ad_requests(t).select("seq", "AdID", "CampaignID", "CostPerAd"), t.campaign)
-    return admitted.orderBy("seq")
+def op_view_catalog(spark, t):
+    V.register_views(spark, t)
+    return V.read_view(spark, "vw_CampaignPerformance").orderBy("CampaignID")
 
 
-def q_reject(spark, sf):
-    t = _t(spark, sf, ledger="empty")
-    _, rejected = admit_ads(ad_requests(t).select("seq", "AdID", "CampaignID", "CostPerAd"), t.campaign)
-    return rejected.orderBy("seq")
+def op_admit(spark, t):
+    t = fresh_ledger(t)
+    return admit_ads(_requests(t), t.campaign)[0].orderBy("seq")
 
 
-def q_ledger(spark, sf):
-    t = _t(spark, sf, ledger="empty")
-    admitted, _ = admit_ads(ad_requests(t).select("seq", "AdID", "CampaignID", "CostPerAd"), t.campaign)
-    return W.campaign_spend_ledger(t, admitted).orderBy("CampaignID")
+def op_reject(spark, t):
+    t = fresh_ledger(t)
+    return admit_ads(_requests(t), t.campaign)[1].orderBy("seq")
 
 
-def q_create_campaigns(spark, sf):
-    t = _t(spark, sf)
-    return W.create_campaigns(t, campaign_requests(t)).orderBy("CampaignID")
+def op_ledger(spark, t):
+    t = fresh_ledger(t)
+    return W.campaign_spend_ledger(t, admit_ads(_requests(t), t.campaign)[0]).orderBy("CampaignID")
 
 
-def q_assign_ids(spark, sf):
-    t = _t(spark, sf)
+def op_assign_ids(spark, t):
     return assign_ids(t.campaign.select("CampaignID"), campaign_requests(t), "CampaignID") \
         .select("seq", "CampaignID").orderBy("seq")
 
 
-def q_update_budgets(spark, sf):
-    t = _t(spark, sf)
-    return W.update_budgets(t, budget_requests(t)).orderBy("CampaignID")
-
-
-def q_update_ad_metrics(spark, sf):
-    t = _t(spark, sf)
-    return W.update_ad_metrics(t, ad_metric_requests(t)).orderBy("AdID")
-
-
-def q_recalc_ad_metrics(spark, sf):
-    t = _t(spark, sf)
-    updated = W.update_ad_metrics(t, ad_metric_requests(t))
-    return W.recalc_ad_metrics(t, ad=updated).orderBy("AdID")
+def op_recalc_ad_metrics(spark, t):
+    return W.recalc_ad_metrics(t, ad=W.update_ad_metrics(t, ad_metric_requests(t))).orderBy("AdID")
 
 
-def q_price_campaign_products(spark, sf):
-    t = _t(spark, sf)
+def op_price_campaign_products(spark, t):
     empty = spark.createDataFrame([], CAMPAIGN_PRODUCT)
     requests = t.campaign_product.select("CampaignID", "ProductID", "Discount")
     snapshot, _ = W.price_campaign_products(t.with_(campaign_product=empty), requests)
     return snapshot.orderBy("CampaignID", "ProductID")
 
 
-def q_update_discounts(spark, sf):
-    t = _t(spark, sf)
-    return W.update_discounts(t, discount_requests(t)).orderBy("CampaignID", "ProductID")
-
-
-def q_stale_prices(spark, sf):
-    t = _t(spark, sf)
+def op_stale_prices(spark, t):
     t2 = t.with_(campaign_product=W.update_discounts(t, discount_requests(t)))
     return W.stale_prices(t2).orderBy("CampaignID", "ProductID")
 
 
-def q_report_lines(spark, sf):
-    return report_lines(R.segment_platform_affinity(_t(spark, sf)))
+def op_report_lines(spark, t):
+    return report_lines(R.segment_platform_affinity(t))
+
+
+def op_stream_admit_ads(spark, t, chunks: int = 3):
+    t = fresh_ledger(t)
+    req = _requests(t)
+    root = scratch_path(spark, "stream-admit")
+    for _ in _arrive_in_order(req, f"{root}/in", chunks):
+        T1.run_admission(spark, f"{root}/in", req.schema, t.campaign, f"{root}/out", f"{root}/chk")
+    decisions = spark.read.schema(T1.DECISION).parquet(f"{root}/out")
+    return decisions.where("admitted").select("seq", "AdID", "CampaignID", "CostPerAd").orderBy("seq")
+
 
+OPERATORS: dict[str, Callable] = {
+    # S1–S6
+    "load_campaigns": lambda s, t: R.list_campaigns(t),
+    "view_catalog": op_view_catalog,
+    "ad_performance_bound": lambda s, t: R.ad_performance_bound(s, t, CAMPAIGN),
+    "report_lines": op_report_lines,
+    "report_lines_parse": lambda s, t: parse_report_lines(op_report_lines(s, t)),
+    "report_lines_fmt": lambda s, t: formatted_lines(R.segment_platform_affinity(t), "segment_platform_affinity"),
+    # V1–V7
+    "vw_ad_performance": lambda s, t: V.ad_performance_view(t),
+    "vw_campaign_performance": lambda s, t: V.campaign_performance_view(t),
+    "vw_region_performance": lambda s, t: V.region_performance_view(t),
+    "vw_segment_performance": lambda s, t: V.segment_performance_view(t),
+    "vw_platform_performance": lambda s, t: V.platform_performance_view(t),
+    "vw_product_performance": lambda s, t: V.product_performance_view(t),
+    "vw_campaign_by_segment": lambda s, t: V.campaign_by_segment_view(t),
+    # L1–L4
+    "list_campaigns": lambda s, t: R.list_campaigns(t),
+    "campaign_performance": lambda s, t: R.campaign_performance(t),
+    "ad_performance": lambda s, t: R.ad_performance(t),
+    "campaign_products": lambda s, t: R.campaign_products(t, CAMPAIGN),
+    # R1–R10
+    "region_performance": lambda s, t: R.region_performance(t),
+    "segment_performance": lambda s, t: R.segment_performance(t),
+    "platform_performance": lambda s, t: R.platform_performance(t),
+    "product_performance": lambda s, t: R.product_performance(t),
+    "campaign_by_segment": lambda s, t: R.campaign_by_segment(t, CAMPAIGN),
+    "budget_alerts": lambda s, t: R.budget_alerts(t, THRESHOLD_PCT),
+    "campaigns_ending_soon": lambda s, t: R.campaigns_ending_soon(t, WITHIN_DAYS, AS_OF),
+    "top_ads_by_roas": lambda s, t: R.top_ads_by_roas(t, TOP_N),
+    "underperforming_ads": lambda s, t: R.underperforming_ads(t, FACTOR),
+    "segment_platform_affinity": lambda s, t: R.segment_platform_affinity(t),
+    # W1–W9
+    "create_campaigns": lambda s, t: W.create_campaigns(t, campaign_requests(t)).orderBy("CampaignID"),
+    "assign_ids": op_assign_ids,
+    "update_budgets": lambda s, t: W.update_budgets(t, budget_requests(t)).orderBy("CampaignID"),
+    "admit_ads": op_admit,
+    "rejected_ads": op_reject,
+    "update_ad_metrics": lambda s, t: W.update_ad_metrics(t, ad_metric_requests(t)).orderBy("AdID"),
+    "recalc_ad_metrics": op_recalc_ad_metrics,
+    "price_campaign_products": op_price_campaign_products,
+    "update_discounts": lambda s, t: W.update_discounts(t, discount_requests(t)).orderBy("CampaignID", "ProductID"),
+    "stale_prices": op_stale_prices,
+    "campaign_spend_ledger": op_ledger,
+    # T1
+    "stream_admit_ads": op_stream_admit_ads,
+}
 
-def q_report_lines_fmt(spark, sf):
-    return formatted_lines(R.segment_platform_affinity(_t(spark, sf)), "segment_platform_affinity")
 
+# --- queries over the driver's tables ------------------------------------------
 
-def q_report_lines_parse(spark, sf):
-    return parse_report_lines(q_report_lines(spark, sf))
+def _t(spark: SparkSession, sf: str, **kw):
+    return model_from_driver(spark, sf, **kw)
 
 
 def q_digest_match(spark, sf):
@@ -166,16 +198,6 @@ def q_digest_match(spark, sf):
     return digest_match(t.marketing_user, digest_candidates(spark, sf), keep=["CustomerID"]).orderBy("CustomerID")
 
 
-def q_stream_admit_ads(spark, sf, chunks: int = 3):
-    t = _t(spark, sf, ledger="empty")
-    req = ad_requests(t).select("seq", "AdID", "CampaignID", "CostPerAd")
-    root = scratch_path(spark, "stream-admit")
-    for _ in _arrive_in_order(req, f"{root}/in", chunks):
-        T1.run_admission(spark, f"{root}/in", req.schema, t.campaign, f"{root}/out", f"{root}/chk")
-    decisions = spark.read.schema(T1.DECISION).parquet(f"{root}/out")
-    return decisions.where("admitted").select("seq", "AdID", "CampaignID", "CostPerAd").orderBy("seq")
-
-
 def q_stream_ad_metrics(spark, sf, chunks: int = 4):
     t = _t(spark, sf)
     feed = T2.daily_counters(read_driver_table(spark, sf, "events"))
@@ -185,6 +207,14 @@ def q_stream_ad_metrics(spark, sf, chunks: int = 4):
     return T2.merged_ads(spark, t, f"{root}/delta").orderBy("AdID")
 
 
+def q_admit(spark, sf):
+    return op_admit(spark, _t(spark, sf))
+
+
+def q_stream_admit_ads(spark, sf):
+    return op_stream_admit_ads(spark, _t(spark, sf))
+
+
 def _arrive_in_order(df: DataFrame, path: str, chunks: int):
     """Land ``df`` in ``path`` as ``chunks`` appends in ``seq`` order,
     yielding after each so the stream can catch up (arrival = seq order)."""
@@ -200,53 +230,12 @@ def _arrive_in_order(df: DataFrame, path: str, chunks: int):
         yield
 
 
+def _over_driver(op: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: op(spark, _t(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    # S1–S6
-    "load_campaigns": q_load_campaigns,
-    "view_catalog": q_view_catalog,
-    "ad_performance_bound": lambda s, sf: R.ad_performance_bound(s, _t(s, sf), CAMPAIGN),
-    "report_lines": q_report_lines,
-    "report_lines_parse": q_report_lines_parse,
-    "report_lines_fmt": q_report_lines_fmt,
-    # V1–V7
-    "vw_ad_performance": lambda s, sf: V.ad_performance_view(_t(s, sf)),
-    "vw_campaign_performance": lambda s, sf: V.campaign_performance_view(_t(s, sf)),
-    "vw_region_performance": lambda s, sf: V.region_performance_view(_t(s, sf)),
-    "vw_segment_performance": lambda s, sf: V.segment_performance_view(_t(s, sf)),
-    "vw_platform_performance": lambda s, sf: V.platform_performance_view(_t(s, sf)),
-    "vw_product_performance": lambda s, sf: V.product_performance_view(_t(s, sf)),
-    "vw_campaign_by_segment": lambda s, sf: V.campaign_by_segment_view(_t(s, sf)),
-    # L1–L4
-    "list_campaigns": lambda s, sf: R.list_campaigns(_t(s, sf)),
-    "campaign_performance": lambda s, sf: R.campaign_performance(_t(s, sf)),
-    "ad_performance": lambda s, sf: R.ad_performance(_t(s, sf)),
-    "campaign_products": lambda s, sf: R.campaign_products(_t(s, sf), CAMPAIGN),
-    # R1–R10
-    "region_performance": lambda s, sf: R.region_performance(_t(s, sf)),
-    "segment_performance": lambda s, sf: R.segment_performance(_t(s, sf)),
-    "platform_performance": lambda s, sf: R.platform_performance(_t(s, sf)),
-    "product_performance": lambda s, sf: R.product_performance(_t(s, sf)),
-    "campaign_by_segment": lambda s, sf: R.campaign_by_segment(_t(s, sf), CAMPAIGN),
-    "budget_alerts": lambda s, sf: R.budget_alerts(_t(s, sf), THRESHOLD_PCT),
-    "campaigns_ending_soon": lambda s, sf: R.campaigns_ending_soon(_t(s, sf), WITHIN_DAYS, AS_OF),
-    "top_ads_by_roas": lambda s, sf: R.top_ads_by_roas(_t(s, sf), TOP_N),
-    "underperforming_ads": lambda s, sf: R.underperforming_ads(_t(s, sf), FACTOR),
-    "segment_platform_affinity": lambda s, sf: R.segment_platform_affinity(_t(s, sf)),
-    # W1–W9
-    "create_campaigns": q_create_campaigns,
-    "assign_ids": q_assign_ids,
-    "update_budgets": q_update_budgets,
-    "admit_ads": q_admit,
-    "rejected_ads": q_reject,
-    "update_ad_metrics": q_update_ad_metrics,
-    "recalc_ad_metrics": q_recalc_ad_metrics,
-    "price_campaign_products": q_price_campaign_products,
-    "update_discounts": q_update_discounts,
-    "stale_prices": q_stale_prices,
-    "campaign_spend_ledger": q_ledger,
-    # C1
+    **{key: _over_driver(op) for key, op in OPERATORS.items()},
     "digest_match": q_digest_match,
-    # T1–T2
-    "stream_admit_ads": q_stream_admit_ads,
     "stream_ad_metrics": q_stream_ad_metrics,
 }
