@@ -132,8 +132,10 @@ def op_stream_admit_ads(spark, t, chunks: int = 3):
     t = fresh_ledger(t)
     req = _requests(t)
     root = scratch_path(spark, "stream-admit")
-    for _ in _arrive_in_order(req, f"{root}/in", chunks):
-        T1.run_admission(spark, f"{root}/in", req.schema, t.campaign, f"{root}/out", f"{root}/chk")
+    with T1.rocksdb_state_store(spark):
+        for _ in _arrive_in_order(req, f"{root}/in", chunks):
+            T1.run_admission(spark, f"{root}/in", req.schema, t.campaign, f"{root}/out", f"{root}/chk",
+                             api="transformWithState")
     decisions = spark.read.schema(T1.DECISION).parquet(f"{root}/out")
     return decisions.where("admitted").select("seq", "AdID", "CampaignID", "CostPerAd").orderBy("seq")
 

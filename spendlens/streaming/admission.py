@@ -2,25 +2,32 @@
 
 State per campaign is the budget room left, in cents; it never expires.
 Arrival order decides (within a micro-batch, ``seq`` order), so late data
-needs no watermark. The ledger (budget, spend so far) is a static table
-joined to the stream; a campaign's state is seeded from it on first sight.
-A micro-batch group is bounded by the trigger's file count, not by the
-campaign's total size.
+needs no watermark. A micro-batch group is bounded by the trigger's file
+count, not by the campaign's total size.
+
+Two forms:
+* ``transformWithStateInPandas`` (default, RocksDB state store): the ledger
+  seeds each campaign's state once, through ``initialState``;
+* ``applyInPandasWithState`` (any state store): the ledger is a static
+  table joined to every micro-batch, seeding a campaign on first sight.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (
     BooleanType, DecimalType, LongType, StringType, StructField, StructType,
 )
 
 from ..functions.money import to_cents
+from ..session import shared_dir
 from ..operators.admission import OVER_BUDGET, UNKNOWN_CAMPAIGN
 
 DECISION = StructType([
@@ -34,52 +41,125 @@ DECISION = StructType([
 STATE = StructType([StructField("room", LongType())])
 
 
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    if state.exists:
-        room = int(state.get[0])
-    else:
-        first = pdf["_room"].iloc[0]
-        room = None if pd.isna(first) else int(first)
-    costs = pdf["_cents"].to_numpy(dtype=np.int64)
+def _fold(pdf: pd.DataFrame, room: int | None) -> tuple[pd.DataFrame, int | None]:
+    """Decide one campaign's requests of a micro-batch in seq order.
+
+    (Helper columns carry plain names: the transformWithState input path
+    does not keep names that start with an underscore.)
+    """
+    pdf = pdf.sort_values("seq", kind="stable")
     ok = np.zeros(len(pdf), dtype=bool)
     if room is not None:
-        for i, c in enumerate(costs):
+        for i, c in enumerate(pdf["cost_cents"].tolist()):
             if c <= room:
                 ok[i] = True
-                room -= int(c)
-        state.update((room,))
+                room -= c
     reason = np.where(ok, None, OVER_BUDGET if room is not None else UNKNOWN_CAMPAIGN)
-    yield pd.DataFrame({
+    out = pd.DataFrame({
         "seq": pdf["seq"], "AdID": pdf["AdID"], "CampaignID": pdf["CampaignID"],
         "CostPerAd": pdf["CostPerAd"], "admitted": ok, "Reason": reason,
     })
+    return out, room
+
+
+def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    pdf = pd.concat(list(batches), ignore_index=True)
+    if state.exists:
+        room = int(state.get[0])
+    else:
+        first = pdf["room_cents"].iloc[0]
+        room = None if pd.isna(first) else int(first)
+    out, room = _fold(pdf, room)
+    if room is not None:
+        state.update((room,))
+    yield out
 
 
 def admission_stream(stream: DataFrame, campaign: DataFrame) -> DataFrame:
     """Streaming decisions for a stream of (seq, AdID, CampaignID, CostPerAd)."""
     ledger = campaign.select(
         "CampaignID",
-        (to_cents("Budget") - to_cents(F.coalesce("CurrentBudget", F.lit(0)))).alias("_room"))
-    j = stream.withColumn("_cents", to_cents("CostPerAd")).join(ledger, "CampaignID", "left")
+        (to_cents("Budget") - to_cents(F.coalesce("CurrentBudget", F.lit(0)))).alias("room_cents"))
+    j = stream.withColumn("cost_cents", to_cents("CostPerAd")).join(ledger, "CampaignID", "left")
     return j.groupBy("CampaignID").applyInPandasWithState(
         _decide, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+class BudgetRoom(StatefulProcessor):
+    """transformWithStateInPandas form: the room per campaign is a value
+    state seeded from the ledger (``initialState``) on the first batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.room = handle.getValueState("room", "room long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.room.update((int(initialState["room_cents"].iloc[0]),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        room = int(self.room.get()[0]) if self.room.exists() else None
+        out, room = _fold(pdf, room)
+        if room is not None:
+            self.room.update((room,))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextlib.contextmanager
+def rocksdb_state_store(spark: SparkSession):
+    """Run stateful queries started inside on the RocksDB state store, then
+    restore the session's setting."""
+    old = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, old)
+
+
+def admission_stream_tws(stream: DataFrame, campaign: DataFrame) -> DataFrame:
+    """Streaming decisions with ``transformWithStateInPandas`` (needs the
+    RocksDB state store provider on the session)."""
+    ledger = campaign.select(
+        "CampaignID",
+        (to_cents("Budget") - to_cents(F.coalesce("CurrentBudget", F.lit(0)))).alias("room_cents"))
+    # The initial state is materialized (checkpointed to the shared folder):
+    # a plan over a file scan cannot be shipped inside the stateful operator.
+    shared_dir(stream.sparkSession)
+    ledger = ledger.checkpoint(eager=True)
+    j = stream.withColumn("cost_cents", to_cents("CostPerAd"))
+    return j.groupBy("CampaignID").transformWithStateInPandas(
+        BudgetRoom(), DECISION, "Append", "None", initialState=ledger.groupBy("CampaignID"))
+
+
 def run_admission(spark: SparkSession, source: str, schema: StructType, campaign: DataFrame,
-                  sink: str, checkpoint: str, max_files_per_trigger: int | None = None) -> DataFrame:
+                  sink: str, checkpoint: str, max_files_per_trigger: int | None = None,
+                  api: str = "applyInPandasWithState") -> DataFrame:
     """Process whatever arrived in ``source`` since the last run (availableNow)
     into a parquet sink — exactly-once through the checkpoint, which also
     carries the per-campaign state between runs — and read the sink back.
 
     ``max_files_per_trigger`` bounds a micro-batch (and so the rows of one
     campaign handed to the state function at once) on a large backlog.
+    ``api``: ``"applyInPandasWithState"`` (any state store) or
+    ``"transformWithState"`` (RocksDB state store; the session must set
+    ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB``).
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source)
-    q = (admission_stream(stream, campaign).writeStream.format("parquet")
+    decisions = (admission_stream_tws if api == "transformWithState" else admission_stream)(stream, campaign)
+    q = (decisions.writeStream.format("parquet")
          .option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()

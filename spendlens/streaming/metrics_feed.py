@@ -66,3 +66,13 @@ def merged_ads(spark: SparkSession, t: Tables, delta_root: str) -> DataFrame:
     req = deltas.withColumn("_order", F.struct("epoch", "seq"))
     req = req.select(F.col("_order").alias("seq"), "AdID", "Impressions", "Clicks")
     return update_ad_metrics(t, req)
+
+
+def compact(spark: SparkSession, t: Tables, delta_root: str, snapshot_path: str) -> DataFrame:
+    """Snapshot swap: write base + deltas as a new ad snapshot version.
+
+    Write to a fresh path (never over the input being read); readers switch
+    to it, and the deltas folded in can be retired with the old version.
+    """
+    merged_ads(spark, t, delta_root).write.mode("errorifexists").parquet(snapshot_path)
+    return spark.read.schema(t.ad.schema).parquet(snapshot_path)

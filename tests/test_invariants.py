@@ -106,3 +106,25 @@ def test_stream_metrics_feed_equals_batch_update(spark, model):
     batch = W.update_ad_metrics(model, feed)
     stream = REG.q_stream_ad_metrics(spark, SF_SMALL)
     assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
+
+
+def test_apply_in_pandas_with_state_admission_equals_batch(spark, model):
+    from spendlens.session import scratch_path
+    from spendlens.streaming import admission as T1
+    t = REG.fresh_ledger(model)
+    req = REG._requests(t)
+    root = scratch_path(spark, "apply-state")
+    for _ in REG._arrive_in_order(req, f"{root}/in", 3):
+        T1.run_admission(spark, f"{root}/in", req.schema, t.campaign, f"{root}/out", f"{root}/chk",
+                         api="applyInPandasWithState")
+    got = spark.read.schema(T1.DECISION).parquet(f"{root}/out").where("admitted") \
+        .select("seq", "AdID", "CampaignID", "CostPerAd")
+    want = REG.op_admit(spark, model)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_ad_metric_update_is_idempotent(model):
+    req = REG.ad_metric_requests(model)
+    once = W.update_ad_metrics(model, req)
+    twice = W.update_ad_metrics(model.with_(ad=once), req)
+    assert once.exceptAll(twice).count() == 0
