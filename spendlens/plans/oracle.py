@@ -241,7 +241,7 @@ LEDGER = _with("""SELECT c.CampaignID, c.Budget, CAST(c.CurrentBudget + COALESCE
 
 NEW_CAMPAIGNS = [("newc", """SELECT CampaignID AS seq,
     (SELECT MAX(CampaignID) FROM m_campaign) + ROW_NUMBER() OVER (ORDER BY CampaignID) AS NewID,
-    PlatformID, StartDate, EndDate, Budget, Objective FROM m_campaign WHERE CampaignID % 10 = 0""")]
+    PlatformID, StartDate, EndDate, Budget, Objective FROM m_campaign""")]
 
 CREATE = _with("""SELECT CampaignID, PlatformID, StartDate, EndDate, Budget, CurrentBudget, Objective FROM m_campaign
   UNION ALL
@@ -253,16 +253,16 @@ UPDATE_BUDGETS = _with("""SELECT c.CampaignID, c.PlatformID, c.StartDate, c.EndD
     CASE WHEN l.CampaignID IS NOT NULL THEN l.Budget ELSE c.Budget END AS Budget, c.CurrentBudget, c.Objective
   FROM m_campaign c LEFT JOIN (SELECT CampaignID, arg_max(Budget, seq) AS Budget FROM breq GROUP BY CampaignID) l
   ON l.CampaignID = c.CampaignID""", [("breq", """
-    SELECT CampaignID, CampaignID * 2 AS seq, CAST(ROUND(Budget * 1.1, 2) AS DECIMAL(14,2)) AS Budget
-    FROM m_campaign WHERE CampaignID % 7 = 0
-    UNION ALL SELECT CampaignID, CampaignID * 2 + 1, CAST(ROUND(Budget * 0.9, 2) AS DECIMAL(14,2))
-    FROM m_campaign WHERE CampaignID % 7 = 0
-    UNION ALL SELECT CampaignID + 1000000000000, 0, Budget FROM m_campaign WHERE CampaignID % 7 = 0""")])
+    SELECT CampaignID, CampaignID * 2 AS seq, CAST(CurrentBudget AS DECIMAL(14,2)) AS Budget
+    FROM m_campaign WHERE CurrentBudget > Budget
+    UNION ALL SELECT CampaignID, CampaignID * 2 + 1, CAST(ROUND(CurrentBudget * 1.1, 2) AS DECIMAL(14,2))
+    FROM m_campaign WHERE CurrentBudget > Budget
+    UNION ALL SELECT CampaignID + 1000000000000, 0, Budget FROM m_campaign WHERE CurrentBudget > Budget""")])
 
 AD_UPD = [("m_ad_upd", """SELECT a.AdID, a.CampaignID, a.AdName,
-    CASE WHEN a.AdID % 5 = 0 THEN a.Impressions * 2 ELSE a.Impressions END AS Impressions,
-    CASE WHEN a.AdID % 5 = 0 THEN a.Clicks * 2 ELSE a.Clicks END AS Clicks,
-    a.ConversionRate, a.CostPerAd, a.AttributedRevenue, a.AdID % 5 = 0 AS touched FROM m_ad a""")]
+    CASE WHEN a.Clicks > 0 THEN a.Impressions * 2 ELSE a.Impressions END AS Impressions,
+    CASE WHEN a.Clicks > 0 THEN a.Clicks * 2 ELSE a.Clicks END AS Clicks,
+    a.ConversionRate, a.CostPerAd, a.AttributedRevenue, a.Clicks > 0 AS touched FROM m_ad a""")]
 
 UPDATE_AD_METRICS = _with(_recalc("m_ad_upd", "a.touched"), AD_UPD)
 RECALC_AD_METRICS = _with(_recalc("m_ad_upd"), AD_UPD)
@@ -270,7 +270,7 @@ RECALC_AD_METRICS = _with(_recalc("m_ad_upd"), AD_UPD)
 PRICE = _with("SELECT CampaignID, ProductID, Discount, SellingPrice FROM m_cp")
 
 CP_UPD = [("m_cp_upd", """SELECT CampaignID, ProductID,
-    CASE WHEN ProductID % 9 = 0 THEN CAST(Discount + 1 AS DECIMAL(5,2)) ELSE Discount END AS Discount,
+    CASE WHEN Discount = 0 THEN CAST(5 AS DECIMAL(5,2)) ELSE Discount END AS Discount,
     SellingPrice FROM m_cp""")]
 
 UPDATE_DISCOUNTS = _with("SELECT CampaignID, ProductID, Discount, SellingPrice FROM m_cp_upd", CP_UPD)
@@ -300,8 +300,8 @@ LINES_PARSE = _with(f"""SELECT {_txt('SegmentName')} AS SegmentName, {_txt('Plat
 
 DIGEST = """WITH u AS (
   SELECT c_name AS Username,
-         sha256(CASE WHEN c_custkey % 10 = 0 THEN c_name || '!' ELSE c_name END) AS PasswordHash,
-         CASE WHEN c_custkey % 7 = 0 THEN 'OTHER' ELSE 'MARKETING' END AS Role
+         sha256(CASE WHEN c_acctbal < 0 THEN c_name || '!' ELSE c_name END) AS PasswordHash,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN 'OTHER' ELSE 'MARKETING' END AS Role
   FROM customer)
 SELECT c.c_custkey AS CustomerID, COALESCE(u.PasswordHash = sha256(c.c_name), FALSE) AS matched
 FROM customer c LEFT JOIN (SELECT * FROM u WHERE Role = 'MARKETING') u ON u.Username = c.c_name"""

@@ -32,36 +32,40 @@ FACTOR = 0.5
 UNKNOWN_OFFSET = 10**12
 
 
-# --- request sets derived from the tables (all rows of the table flow through) ---
+# --- request sets: business rules over the tables, so every row flows through ---
 
 def campaign_requests(t) -> DataFrame:
-    """New campaigns: copies of every campaign whose id % 10 = 0."""
-    return t.campaign.where(F.col("CampaignID") % 10 == 0).select(
+    """Bulk clone: every campaign re-issued as a new campaign (seq = its id)."""
+    return t.campaign.select(
         F.col("CampaignID").alias("seq"), "PlatformID", "StartDate", "EndDate", "Budget", "Objective")
 
 
 def budget_requests(t) -> DataFrame:
-    """For id % 7 = 0: ×1.1 then ×0.9 (the later wins), plus an unknown id each."""
-    c = t.campaign.where(F.col("CampaignID") % 7 == 0)
-    up = c.select("CampaignID", (F.col("CampaignID") * 2).alias("seq"),
-                  F.round(F.col("Budget") * F.lit(Decimal("1.1")), 2).cast("decimal(14,2)").alias("Budget"))
-    down = c.select("CampaignID", (F.col("CampaignID") * 2 + 1).alias("seq"),
-                    F.round(F.col("Budget") * F.lit(Decimal("0.9")), 2).cast("decimal(14,2)").alias("Budget"))
+    """Every overspent campaign (spend > budget): budget := spend, then
+    := 110% of spend (the later request wins); plus a request for an unknown
+    id per campaign (a silent no-op)."""
+    c = t.campaign.where(F.col("CurrentBudget") > F.col("Budget"))
+    first = c.select("CampaignID", (F.col("CampaignID") * 2).alias("seq"),
+                     F.col("CurrentBudget").cast("decimal(14,2)").alias("Budget"))
+    second = c.select("CampaignID", (F.col("CampaignID") * 2 + 1).alias("seq"),
+                      F.round(F.col("CurrentBudget") * F.lit(Decimal("1.1")), 2).cast("decimal(14,2)").alias("Budget"))
     unknown = c.select((F.col("CampaignID") + F.lit(UNKNOWN_OFFSET)).alias("CampaignID"),
                        F.lit(0).cast("bigint").alias("seq"), "Budget")
-    return up.unionByName(down).unionByName(unknown)
+    return first.unionByName(second).unionByName(unknown)
 
 
 def ad_metric_requests(t) -> DataFrame:
-    return t.ad.where(F.col("AdID") % 5 == 0).select(
+    """A sync carrying new absolute counters (doubled) for every ad with clicks."""
+    return t.ad.where(F.col("Clicks") > 0).select(
         F.col("AdID").alias("seq"), "AdID",
         (F.col("Impressions") * 2).alias("Impressions"), (F.col("Clicks") * 2).alias("Clicks"))
 
 
 def discount_requests(t) -> DataFrame:
-    return t.campaign_product.where(F.col("ProductID") % 9 == 0).select(
+    """Every campaign product without a discount gets 5%."""
+    return t.campaign_product.where(F.col("Discount") == 0).select(
         F.lit(1).cast("bigint").alias("seq"), "CampaignID", "ProductID",
-        (F.col("Discount") + F.lit(1)).cast("decimal(5,2)").alias("Discount"))
+        F.lit(Decimal("5.00")).cast("decimal(5,2)").alias("Discount"))
 
 
 def digest_candidates(spark: SparkSession, sf: str) -> DataFrame:

@@ -231,15 +231,15 @@ def _name_order():
 def marketing_users(customer: DataFrame) -> DataFrame:
     """Login table for the digest match: c_name as user, its SHA-256 as digest.
 
-    Fixture rules: the stored digest is broken (digest of name + '!') when
-    key % 10 = 0; the role is OTHER when key % 7 = 0.
+    Fixture rules: the stored digest is broken (digest of name + '!') for
+    customers with a negative account balance; the role is OTHER for the
+    BUILDING segment, MARKETING otherwise.
     """
-    key = F.col("c_custkey")
     name = F.col("c_name")
     return conform(customer.select(
         name.alias("Username"),
-        F.sha2(F.when(key % 10 == 0, F.concat(name, F.lit("!"))).otherwise(name), 256).alias("PasswordHash"),
-        F.when(key % 7 == 0, F.lit("OTHER")).otherwise(F.lit("MARKETING")).alias("Role"),
+        F.sha2(F.when(F.col("c_acctbal") < 0, F.concat(name, F.lit("!"))).otherwise(name), 256).alias("PasswordHash"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("OTHER")).otherwise(F.lit("MARKETING")).alias("Role"),
     ), MARKETING_USER)
 
 
