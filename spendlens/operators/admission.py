@@ -143,8 +143,15 @@ def admission_decisions(requests: DataFrame, campaign: DataFrame, max_rounds: in
     return out.select(*req_cols, "admitted", "Reason")
 
 
-def admit_ads(requests: DataFrame, campaign: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+def admit_ads(requests: DataFrame, campaign: DataFrame, materialize: bool = True,
+              **kw) -> tuple[DataFrame, DataFrame]:
     """(admitted, rejected). Admitted ads start with ConversionRate and
-    AttributedRevenue at 0 (set them with ``recalc_ad_metrics``)."""
-    d = _checkpoint(admission_decisions(requests, campaign, **kw))
+    AttributedRevenue at 0 (set them with ``recalc_ad_metrics``).
+
+    ``materialize`` checkpoints the decisions once so that reading both
+    outputs does not decide twice; a caller that reads one can skip it.
+    """
+    d = admission_decisions(requests, campaign, **kw)
+    if materialize:
+        d = _checkpoint(d)
     return d.where("admitted").drop("admitted", "Reason"), d.where(~F.col("admitted")).drop("admitted")

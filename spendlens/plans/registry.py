@@ -94,17 +94,18 @@ def op_view_catalog(spark, t):
 
 def op_admit(spark, t):
     t = fresh_ledger(t)
-    return admit_ads(_requests(t), t.campaign)[0].orderBy("seq")
+    return admit_ads(_requests(t), t.campaign, materialize=False)[0].orderBy("seq")
 
 
 def op_reject(spark, t):
     t = fresh_ledger(t)
-    return admit_ads(_requests(t), t.campaign)[1].orderBy("seq")
+    return admit_ads(_requests(t), t.campaign, materialize=False)[1].orderBy("seq")
 
 
 def op_ledger(spark, t):
     t = fresh_ledger(t)
-    return W.campaign_spend_ledger(t, admit_ads(_requests(t), t.campaign)[0]).orderBy("CampaignID")
+    return W.campaign_spend_ledger(t, admit_ads(_requests(t), t.campaign, materialize=False)[0]) \
+        .orderBy("CampaignID")
 
 
 def op_assign_ids(spark, t):

@@ -42,6 +42,20 @@ def _norm(v):
     return (type(v).__name__, v)
 
 
+def duck_type(spark_type) -> str:
+    """The DuckDB type name a Spark column type corresponds to."""
+    from pyspark.sql import types as T
+    simple = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE",
+              T.StringType: "VARCHAR", T.DateType: "DATE", T.BooleanType: "BOOLEAN",
+              T.ShortType: "SMALLINT", T.FloatType: "FLOAT", T.TimestampNTZType: "TIMESTAMP"}
+    if isinstance(spark_type, T.DecimalType):
+        return f"DECIMAL({spark_type.precision},{spark_type.scale})"
+    for cls, name in simple.items():
+        if isinstance(spark_type, cls):
+            return name
+    return spark_type.simpleString().upper()
+
+
 def rows_key(rows):
     return sorted(tuple(_norm(v) for v in r) for r in rows)
 
@@ -56,6 +70,7 @@ def compare(spark, sf_dir: str, keys: list[str] | None = None, verbose: bool = T
         try:
             sdf = qs[key](spark, sf_dir)
             scols = sdf.columns
+            stypes = {f.name: duck_type(f.dataType) for f in sdf.schema.fields}
             srows = [tuple(r) for r in sdf.collect()]
         except Exception as e:  # noqa: BLE001
             out[key] = f"SPARK ERROR {type(e).__name__}: {str(e)[:300]}"
@@ -71,14 +86,18 @@ def compare(spark, sf_dir: str, keys: list[str] | None = None, verbose: bool = T
         try:
             res = con.execute(oracle[key])
             dcols = [d[0] for d in res.description]
+            dtypes = {d[0]: str(d[1]) for d in res.description}
             drows = res.fetchall()
         except Exception as e:  # noqa: BLE001
             out[key] = f"DUCK ERROR {type(e).__name__}: {str(e)[:300]}"
             if verbose:
                 print(key, out[key], flush=True)
             continue
+        type_diff = {c: (stypes[c], dtypes.get(c)) for c in scols if stypes[c] != dtypes.get(c)}
         if sorted(scols) != sorted(dcols):
             out[key] = f"COLUMNS {scols} vs {dcols}"
+        elif type_diff:
+            out[key] = f"TYPES {type_diff}"
         else:
             order = [dcols.index(c) for c in scols]
             drows = [tuple(r[i] for i in order) for r in drows]
