@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.metrics import ratio
-from ..functions.money import from_cents, share_of, to_cents
+from ..functions.money import from_cents, share_of
 from ..schema import AD, CAMPAIGN, CAMPAIGN_PRODUCT, conform
 from ..tables import Tables
 from .ids import assign_ids
@@ -194,6 +194,3 @@ def with_spend(t: Tables, admitted: DataFrame) -> DataFrame:
     led = campaign_spend_ledger(t, admitted).select("CampaignID", F.col("CurrentBudget").alias("_cb"))
     return conform(t.campaign.join(led, "CampaignID").withColumn("CurrentBudget", F.col("_cb")), CAMPAIGN)
 
-
-def ad_cents(ad: DataFrame) -> DataFrame:
-    return ad.withColumn("_cents", to_cents("CostPerAd"))

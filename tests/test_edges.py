@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from conftest import D, ad_row, campaign_row, make_tables
 from spendlens.operators import reports as R
