@@ -77,6 +77,8 @@ def digest_candidates(spark: SparkSession, sf: str) -> DataFrame:
 # --- operators over a model bundle ---------------------------------------------
 # Each takes (spark, tables); the registered queries below feed them the model
 # mapped from the driver's tables, and PLANS.md feeds them a stored model.
+# Reports and listings keep their ORDER BY; writes return unordered snapshots
+# (sorting a whole table snapshot would be a global sort for nothing).
 
 def fresh_ledger(t):
     """The bundle at the start of an admission run: nothing spent yet."""
@@ -94,39 +96,38 @@ def op_view_catalog(spark, t):
 
 def op_admit(spark, t):
     t = fresh_ledger(t)
-    return admit_ads(_requests(t), t.campaign, materialize=False)[0].orderBy("seq")
+    return admit_ads(_requests(t), t.campaign, materialize=False)[0]
 
 
 def op_reject(spark, t):
     t = fresh_ledger(t)
-    return admit_ads(_requests(t), t.campaign, materialize=False)[1].orderBy("seq")
+    return admit_ads(_requests(t), t.campaign, materialize=False)[1]
 
 
 def op_ledger(spark, t):
     t = fresh_ledger(t)
-    return W.campaign_spend_ledger(t, admit_ads(_requests(t), t.campaign, materialize=False)[0]) \
-        .orderBy("CampaignID")
+    return W.campaign_spend_ledger(t, admit_ads(_requests(t), t.campaign, materialize=False)[0])
 
 
 def op_assign_ids(spark, t):
     return assign_ids(t.campaign.select("CampaignID"), campaign_requests(t), "CampaignID") \
-        .select("seq", "CampaignID").orderBy("seq")
+        .select("seq", "CampaignID")
 
 
 def op_recalc_ad_metrics(spark, t):
-    return W.recalc_ad_metrics(t, ad=W.update_ad_metrics(t, ad_metric_requests(t))).orderBy("AdID")
+    return W.recalc_ad_metrics(t, ad=W.update_ad_metrics(t, ad_metric_requests(t)))
 
 
 def op_price_campaign_products(spark, t):
     empty = spark.createDataFrame([], CAMPAIGN_PRODUCT)
     requests = t.campaign_product.select("CampaignID", "ProductID", "Discount")
     snapshot, _ = W.price_campaign_products(t.with_(campaign_product=empty), requests)
-    return snapshot.orderBy("CampaignID", "ProductID")
+    return snapshot
 
 
 def op_stale_prices(spark, t):
     t2 = t.with_(campaign_product=W.update_discounts(t, discount_requests(t)))
-    return W.stale_prices(t2).orderBy("CampaignID", "ProductID")
+    return W.stale_prices(t2)
 
 
 def op_report_lines(spark, t):
@@ -142,7 +143,7 @@ def op_stream_admit_ads(spark, t, chunks: int = 3):
             T1.run_admission(spark, f"{root}/in", req.schema, t.campaign, f"{root}/out", f"{root}/chk",
                              api="transformWithState")
     decisions = spark.read.schema(T1.DECISION).parquet(f"{root}/out")
-    return decisions.where("admitted").select("seq", "AdID", "CampaignID", "CostPerAd").orderBy("seq")
+    return decisions.where("admitted").select("seq", "AdID", "CampaignID", "CostPerAd")
 
 
 OPERATORS: dict[str, Callable] = {
@@ -178,15 +179,15 @@ OPERATORS: dict[str, Callable] = {
     "underperforming_ads": lambda s, t: R.underperforming_ads(t, FACTOR),
     "segment_platform_affinity": lambda s, t: R.segment_platform_affinity(t),
     # W1–W9
-    "create_campaigns": lambda s, t: W.create_campaigns(t, campaign_requests(t)).orderBy("CampaignID"),
+    "create_campaigns": lambda s, t: W.create_campaigns(t, campaign_requests(t)),
     "assign_ids": op_assign_ids,
-    "update_budgets": lambda s, t: W.update_budgets(t, budget_requests(t)).orderBy("CampaignID"),
+    "update_budgets": lambda s, t: W.update_budgets(t, budget_requests(t)),
     "admit_ads": op_admit,
     "rejected_ads": op_reject,
-    "update_ad_metrics": lambda s, t: W.update_ad_metrics(t, ad_metric_requests(t)).orderBy("AdID"),
+    "update_ad_metrics": lambda s, t: W.update_ad_metrics(t, ad_metric_requests(t)),
     "recalc_ad_metrics": op_recalc_ad_metrics,
     "price_campaign_products": op_price_campaign_products,
-    "update_discounts": lambda s, t: W.update_discounts(t, discount_requests(t)).orderBy("CampaignID", "ProductID"),
+    "update_discounts": lambda s, t: W.update_discounts(t, discount_requests(t)),
     "stale_prices": op_stale_prices,
     "campaign_spend_ledger": op_ledger,
     # T1
@@ -202,7 +203,7 @@ def _t(spark: SparkSession, sf: str, **kw):
 
 def q_digest_match(spark, sf):
     t = _t(spark, sf)
-    return digest_match(t.marketing_user, digest_candidates(spark, sf), keep=["CustomerID"]).orderBy("CustomerID")
+    return digest_match(t.marketing_user, digest_candidates(spark, sf), keep=["CustomerID"])
 
 
 def q_stream_ad_metrics(spark, sf, chunks: int = 4):
@@ -211,7 +212,7 @@ def q_stream_ad_metrics(spark, sf, chunks: int = 4):
     root = scratch_path(spark, "stream-metrics")
     for _ in _arrive_in_order(feed, f"{root}/in", chunks):
         T2.run_feed(spark, f"{root}/in", f"{root}/delta", f"{root}/chk")
-    return T2.merged_ads(spark, t, f"{root}/delta").orderBy("AdID")
+    return T2.merged_ads(spark, t, f"{root}/delta")
 
 
 def q_admit(spark, sf):
