@@ -52,3 +52,20 @@ def test_campaign_view_aggregates_facts_before_joining(stored):
     # ads and orders are each rolled up by CampaignID; no join sees raw rows of both
     assert optimized.count("Aggregate [CampaignID") == 2, optimized
     assert V.campaign_performance_view(stored).count() == stored.campaign.count()
+
+
+def test_bucketed_model_needs_no_shuffle_for_co_located_work(spark):
+    from spendlens.sources.model import read_model_tables, save_model_tables
+    save_model_tables(model_from_driver(spark, SF_SMALL), "spendlens_test", buckets=4)
+    t = read_model_tables(spark, "spendlens_test")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        v6 = _plan(V.product_performance_view(t))
+        r9 = _plan(R.underperforming_ads(t))
+        assert "SortMergeJoin" in v6 and "Exchange" not in v6, v6
+        # the only exchange left is the report's ORDER BY (range partitioning)
+        assert "SortMergeJoin" in r9 and "hashpartitioning" not in r9, r9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert V.product_performance_view(t).count() == model_from_driver(spark, SF_SMALL).product.count()
