@@ -6,6 +6,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, D, campaign_row, make_tables
@@ -128,3 +129,24 @@ def test_ad_metric_update_is_idempotent(model):
     once = W.update_ad_metrics(model, req)
     twice = W.update_ad_metrics(model.with_(ad=once), req)
     assert once.exceptAll(twice).count() == 0
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    budgets=st.lists(st.integers(min_value=0, max_value=500), min_size=1, max_size=3),
+    spent=st.integers(min_value=0, max_value=300),
+    costs=st.lists(st.tuples(st.integers(min_value=0, max_value=3), st.integers(min_value=0, max_value=200)),
+                   min_size=1, max_size=40),
+)
+def test_admission_property(spark, budgets, spent, costs):
+    """Random small batches (zero costs, zero or negative room, exact fits,
+    unknown campaigns) with rounds forced: equal to the plain fold."""
+    campaigns = [campaign_row(i, b, spent=spent if i == 0 else 0) for i, b in enumerate(budgets)]
+    t = make_tables(spark, campaign=campaigns)
+    reqs = [(seq + 1, seq + 1, cid, cents) for seq, (cid, cents) in enumerate(costs)]
+    df = spark.createDataFrame([(s, a, c, D(cents) / 100) for s, a, c, cents in reqs],
+                               "seq long, AdID long, CampaignID long, CostPerAd decimal(12,2)")
+    got = {r.seq: r.admitted for r in
+           admission_decisions(df, t.campaign, max_rounds=2, tail_group_limit=0).collect()}
+    rooms = {i: (b - (spent if i == 0 else 0)) * 100 for i, b in enumerate(budgets)}
+    assert got == _brute_force([(s, c, cents) for s, _, c, cents in reqs], rooms)
