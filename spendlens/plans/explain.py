@@ -55,7 +55,7 @@ def main(sf_dir: str, out_path: str) -> None:
     from spendlens.sources.driver import model_from_driver
     from spendlens.sources.model import read_model, write_model
 
-    spark = get_spark("local[8]", 8)
+    spark = get_spark("local[8]", 8, extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spendlens-wh-")})
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-plans-ckpt-"))
     root = tempfile.mkdtemp(prefix="spendlens-plans-model-")
@@ -79,8 +79,25 @@ def main(sf_dir: str, out_path: str) -> None:
         for key, s in rows:
             f.write(f"| {key} | {s['shuffles']} | {s['sort_merge_joins']} | {s['windows']} | {s['aggregates']} "
                     f"| {s['python']} | {s['top_k']} | {s['scans']} | {s['single_partition']} |\n")
-        f.write("\nStreams: T1 is a stream-static join into `FlatMapGroupsInPandasWithState` keyed by\n"
-                "campaign; T2 is a file stream into `foreachBatch` (per-batch `max_by` aggregate).\n")
+        f.write("\nStreams: T1 is `TransformWithStateInPandas` keyed by campaign with the ledger as initial\n"
+                "state (fallback: a stream-static join into `FlatMapGroupsInPandasWithState`); T2 is a\n"
+                "file stream into `foreachBatch` (per-batch `max_by` aggregate).\n")
+        # One full example: the flagship report over the bucketed layout, with
+        # the session's normal broadcast threshold.
+        from spendlens.operators.reports import segment_platform_affinity
+        from spendlens.sources.model import read_model_tables, save_model_tables
+        # A threshold that keeps customer out of broadcast, as it would be at scale,
+        # while the genuinely small dimensions still broadcast.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(8 * 1024))
+        save_model_tables(t, "spendlens_plans", buckets=8)
+        plan = formatted_plan(segment_platform_affinity(read_model_tables(spark, "spendlens_plans")))
+        tree = plan.split("\n\n\n")[0]
+        f.write("\n## Example: segment_platform_affinity over the bucketed model\n\n"
+                "Broadcast threshold 8 KB, so customer is too big to broadcast (as at scale) while\n"
+                "campaign, platform and segment are not. Orders and customers are bucketed on\n"
+                "CustomerID, so their sort-merge join reads co-located buckets with no exchange on\n"
+                "either side; the remaining exchanges are the distinct-count re-key, the final\n"
+                "aggregate and the ORDER BY.\n\n```\n" + tree.strip() + "\n```\n")
     spark.stop()
 
 
