@@ -39,6 +39,7 @@ from ..session import shared_dir
 
 OVER_BUDGET = "Campaign budget exceeded"
 UNKNOWN_CAMPAIGN = "Unknown campaign"
+INVALID_COST = "Missing or negative cost"
 
 _KEY, _SEQ, _COST, _ROOM = "CampaignID", "seq", "_cents", "_room"
 
@@ -111,8 +112,12 @@ def admission_decisions(requests: DataFrame, campaign: DataFrame, max_rounds: in
     ledger = campaign.select(
         _KEY, (to_cents("Budget") - to_cents(F.coalesce("CurrentBudget", F.lit(0)))).alias(_ROOM))
     j = requests.withColumn(_COST, to_cents("CostPerAd")).join(ledger, _KEY, "left")
-    parts = [_decided(j.where(F.col(_ROOM).isNull()), False, UNKNOWN_CAMPAIGN)]
-    cand = _checkpoint(j.where(F.col(_ROOM).isNotNull()))
+    # Costs must be present and non-negative: the rounds rely on running sums
+    # that only grow. Such requests spend nothing, like any rejection.
+    bad_cost = F.col(_COST).isNull() | (F.col(_COST) < 0)
+    parts = [_decided(j.where(bad_cost), False, INVALID_COST),
+             _decided(j.where(~bad_cost & F.col(_ROOM).isNull()), False, UNKNOWN_CAMPAIGN)]
+    cand = _checkpoint(j.where(~bad_cost & F.col(_ROOM).isNotNull()))
 
     for _ in range(max_rounds):
         biggest = cand.groupBy(_KEY).count().agg(F.max("count")).first()[0]

@@ -28,7 +28,7 @@ from pyspark.sql.types import (
 
 from ..functions.money import to_cents
 from ..session import shared_dir
-from ..operators.admission import OVER_BUDGET, UNKNOWN_CAMPAIGN
+from ..operators.admission import INVALID_COST, OVER_BUDGET, UNKNOWN_CAMPAIGN
 
 DECISION = StructType([
     StructField("seq", LongType()),
@@ -49,12 +49,15 @@ def _fold(pdf: pd.DataFrame, room: int | None) -> tuple[pd.DataFrame, int | None
     """
     pdf = pdf.sort_values("seq", kind="stable")
     ok = np.zeros(len(pdf), dtype=bool)
+    costs = pdf["cost_cents"]
+    bad = (costs.isna() | (costs < 0)).to_numpy()
     if room is not None:
-        for i, c in enumerate(pdf["cost_cents"].tolist()):
-            if c <= room:
+        for i, c in enumerate(costs.tolist()):
+            if not bad[i] and c <= room:
                 ok[i] = True
-                room -= c
-    reason = np.where(ok, None, OVER_BUDGET if room is not None else UNKNOWN_CAMPAIGN)
+                room -= int(c)
+    reason = np.where(ok, None, OVER_BUDGET if room is not None else UNKNOWN_CAMPAIGN).astype(object)
+    reason[bad] = INVALID_COST
     out = pd.DataFrame({
         "seq": pdf["seq"], "AdID": pdf["AdID"], "CampaignID": pdf["CampaignID"],
         "CostPerAd": pdf["CostPerAd"], "admitted": ok, "Reason": reason,

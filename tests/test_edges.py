@@ -40,6 +40,16 @@ def test_admission_exact_fit_and_zero_budget(spark):
     assert d[5] == (False, "Unknown campaign")
 
 
+def test_admission_rejects_missing_or_negative_cost(spark):
+    t = make_tables(spark, campaign=[campaign_row(1, 100)])
+    req = _requests(spark, [(1, 1, 1, None), (2, 2, 1, D(-5)), (3, 3, 1, D(100)), (4, 4, 1, D(1))])
+    for rounds, limit in ((0, 10**6), (2, 0)):
+        d = {r.seq: (r.admitted, r.Reason) for r in
+             admission_decisions(req, t.campaign, max_rounds=rounds, tail_group_limit=limit).collect()}
+        assert d == {1: (False, "Missing or negative cost"), 2: (False, "Missing or negative cost"),
+                     3: (True, None), 4: (False, "Campaign budget exceeded")}
+
+
 def test_assign_ids_on_empty_table(spark):
     t = make_tables(spark)
     req = spark.createDataFrame([(5,), (3,), (9,)], "seq long")
