@@ -94,14 +94,16 @@ def campaign_performance_view(t: Tables) -> DataFrame:
 # --- V3 / V4: revenue by a customer attribute, spend allocated -------------
 
 def _allocated_performance(t: Tables, key: str, names: DataFrame, name_col: str) -> DataFrame:
-    """Orders and revenue by a customer attribute; campaign spend allocated
-    to it pro rata to revenue (floor cents per campaign × group).
+    """Orders and revenue by a customer attribute (all orders, organic ones
+    included); campaign spend allocated to it pro rata to each campaign's
+    revenue there (floor cents per campaign × group; organic orders carry
+    no spend).
 
     The one big join is orders ⋈ customer on CustomerID (sort-merge, both
     sides shuffled once); it is reduced straight away to campaign × group
     grain, so the allocation works on small tables.
     """
-    o = t.orders.where(F.col("CampaignID").isNotNull()).select("CampaignID", "CustomerID", "TotalAmount")
+    o = t.orders.select("CampaignID", "CustomerID", "TotalAmount")
     o = o.join(t.customer.select("CustomerID", key), "CustomerID")
     by_group = o.groupBy("CampaignID", key).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("TotalAmount").alias("_rev"))

@@ -154,18 +154,17 @@ V2_BODY = f"""SELECT CampaignID, Objective, PlatformName, Budget, TotalSpend,
 
 def _allocated(key: str, names: str, name_col: str) -> str:
     extra = [
-        ("m_og", f"""SELECT o.CampaignID, cu.{key} AS g, COUNT(*) AS n, SUM(o.TotalAmount) AS rev
+        ("m_og", f"""SELECT o.CampaignID, cu.{key} AS g, COUNT(*) AS n, SUM(o.TotalAmount) AS rev,
+                            SUM(SUM(o.TotalAmount)) OVER (PARTITION BY o.CampaignID) AS rev_c
                      FROM m_orders o JOIN m_customer cu ON cu.CustomerID = o.CustomerID
-                     WHERE o.CampaignID IS NOT NULL GROUP BY o.CampaignID, cu.{key}"""),
-        ("m_oc", "SELECT CampaignID, SUM(rev) AS rev_c FROM m_og GROUP BY CampaignID"),
+                     GROUP BY o.CampaignID, cu.{key}"""),
         ("m_sc", "SELECT CampaignID, SUM(CAST(CostPerAd * 100 AS BIGINT)) AS spend_cents FROM m_ad GROUP BY CampaignID"),
         ("m_alloc", """SELECT g.g, g.n, g.rev,
-                        CASE WHEN CAST(c.rev_c * 100 AS HUGEINT) > 0
+                        CASE WHEN CAST(g.rev_c * 100 AS HUGEINT) > 0
                              THEN CAST(COALESCE(s.spend_cents, 0) AS HUGEINT) * CAST(g.rev * 100 AS HUGEINT)
-                                  // CAST(c.rev_c * 100 AS HUGEINT)
+                                  // CAST(g.rev_c * 100 AS HUGEINT)
                              ELSE 0 END AS alloc
-                       FROM m_og g JOIN m_oc c ON c.CampaignID = g.CampaignID
-                       LEFT JOIN m_sc s ON s.CampaignID = g.CampaignID"""),
+                       FROM m_og g LEFT JOIN m_sc s ON s.CampaignID = g.CampaignID"""),
         ("m_grp", f"""SELECT n.{name_col}, CAST(SUM(a.n) AS BIGINT) AS TotalOrders,
                         {money_sum('a.rev')} AS TotalRevenue, {cents_to('SUM(a.alloc)', 38)} AS TotalSpend
                       FROM m_alloc a JOIN {names} n ON n.{key} = a.g GROUP BY n.{key}, n.{name_col}"""),
