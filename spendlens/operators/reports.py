@@ -142,3 +142,26 @@ def segment_platform_affinity(t: Tables, collation: str | None = None) -> DataFr
         F.count_distinct("OrderID").alias("Orders"),
         money_sum("TotalAmount").alias("Revenue"),
     ).orderBy(_desc("Revenue"), "SegmentName", "PlatformName")
+
+
+# Every listing and report by name, with its parameters in call order.
+REPORTS = {
+    "list_campaigns": list_campaigns,
+    "campaign_performance": campaign_performance,
+    "ad_performance": ad_performance,                  # (campaign_id=None)
+    "campaign_products": campaign_products,            # (campaign_id)
+    "region_performance": region_performance,
+    "segment_performance": segment_performance,
+    "platform_performance": platform_performance,
+    "product_performance": product_performance,
+    "campaign_by_segment": campaign_by_segment,        # (campaign_id)
+    "budget_alerts": budget_alerts,                    # (threshold_pct)
+    "campaigns_ending_soon": campaigns_ending_soon,    # (within_days, as_of=None)
+    "top_ads_by_roas": top_ads_by_roas,                # (n)
+    "underperforming_ads": underperforming_ads,        # (factor=0.5)
+    "segment_platform_affinity": segment_platform_affinity,
+}
+
+
+def run_report(t: Tables, name: str, *params) -> DataFrame:
+    return REPORTS[name](t, *params)

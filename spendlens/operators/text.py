@@ -127,3 +127,11 @@ def _java_split(s: str) -> list[str]:
     while out and out[-1] == "" and len(out) > 1:
         out.pop()
     return out
+
+
+def report_text(t, name: str, *params) -> DataFrame:
+    """A report as the text lines a dashboard prints: the report's fixed
+    format where it has one, else the generic ``Label=value`` form."""
+    from .reports import run_report
+    df = run_report(t, name, *params)
+    return formatted_lines(df, name) if name in REPORT_FORMATS else report_lines(df)

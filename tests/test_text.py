@@ -57,3 +57,19 @@ def test_generic_lines_round_trip(model):
     assert back.columns == df.columns
     want = sorted(tuple(str(v) for v in r) for r in df.collect())
     assert sorted(tuple(r) for r in back.collect()) == want
+
+
+PARAMS = {"campaign_products": (4,), "campaign_by_segment": (4,), "budget_alerts": (85.0,),
+          "campaigns_ending_soon": (14, AS_OF), "top_ads_by_roas": (10,)}
+
+
+def test_every_report_as_text(model):
+    from spendlens.operators.reports import REPORTS
+    from spendlens.operators.text import report_text
+    for name in REPORTS:
+        lines = [r.line for r in report_text(model, name, *PARAMS.get(name, ())).collect()]
+        assert lines, name
+        if name == "region_performance":
+            assert lines[0].startswith("RegionName=") and " | TotalOrders=" in lines[0]
+        if name == "budget_alerts":
+            assert lines[0].startswith("CampaignID=") and lines[0].endswith("%")
