@@ -69,3 +69,10 @@ def test_bucketed_model_needs_no_shuffle_for_co_located_work(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert V.product_performance_view(t).count() == model_from_driver(spark, SF_SMALL).product.count()
+
+
+def test_cluster_conf_sizes_partitions():
+    from spendlens.session import cluster_conf
+    c = cluster_conf(100 * 1024 ** 4, executors=1000, cores_per_executor=8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600      # 100 TB / 256 MB
+    assert int(cluster_conf(10 ** 6, 10, 4)["spark.sql.shuffle.partitions"]) == 80   # two waves minimum
