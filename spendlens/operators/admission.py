@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from ..functions.fold import fold_costs
 from ..functions.money import to_cents
 from ..session import shared_dir
 
@@ -77,23 +78,24 @@ def _decided(df: DataFrame, admitted: bool, reason: str | None) -> DataFrame:
 
 
 def _fold_tail(columns: list[str]):
-    """mapInPandas body: rows arrive sorted by (campaign, seq)."""
+    """mapInPandas body: rows arrive sorted by (campaign, seq); each campaign's
+    run within a batch is folded by the numpy kernel, carrying the room
+    across batches."""
     key_i, cost_i, room_i = columns.index(_KEY), columns.index(_COST), columns.index(_ROOM)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current_key, room = None, 0
         for pdf in batches:
-            keys = pdf.iloc[:, key_i].tolist()
-            costs = pdf.iloc[:, cost_i].tolist()
-            rooms = pdf.iloc[:, room_i].tolist()
-            ok = [False] * len(keys)
-            for i, (k, c) in enumerate(zip(keys, costs)):
-                if k != current_key:
-                    current_key, room = k, rooms[i]
-                if c <= room:
-                    ok[i] = True
-                    room -= c
-            pdf["admitted"] = np.array(ok, dtype=bool)
+            keys = pdf.iloc[:, key_i].to_numpy()
+            costs = pdf.iloc[:, cost_i].to_numpy(dtype=np.int64)
+            rooms = pdf.iloc[:, room_i].to_numpy(dtype=np.int64)
+            ok = np.zeros(len(pdf), dtype=bool)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(pdf) else []
+            for a, z in zip(starts, [*starts[1:], len(pdf)]):
+                if keys[a] != current_key:
+                    current_key, room = keys[a], int(rooms[a])
+                ok[a:z], room = fold_costs(costs[a:z], room)
+            pdf["admitted"] = ok
             yield pdf
     return fold
 

@@ -26,6 +26,7 @@ from pyspark.sql.types import (
     BooleanType, DecimalType, LongType, StringType, StructField, StructType,
 )
 
+from ..functions.fold import fold_costs
 from ..functions.money import to_cents
 from ..session import shared_dir
 from ..operators.admission import INVALID_COST, OVER_BUDGET, UNKNOWN_CAMPAIGN
@@ -52,10 +53,8 @@ def _fold(pdf: pd.DataFrame, room: int | None) -> tuple[pd.DataFrame, int | None
     costs = pdf["cost_cents"]
     bad = (costs.isna() | (costs < 0)).to_numpy()
     if room is not None:
-        for i, c in enumerate(costs.tolist()):
-            if not bad[i] and c <= room:
-                ok[i] = True
-                room -= int(c)
+        good = np.flatnonzero(~bad)
+        ok[good], room = fold_costs(costs.to_numpy()[good].astype(np.int64), room)
     reason = np.where(ok, None, OVER_BUDGET if room is not None else UNKNOWN_CAMPAIGN).astype(object)
     reason[bad] = INVALID_COST
     out = pd.DataFrame({
