@@ -321,7 +321,57 @@ FEED = [("feed", """SELECT user_id AS AdID,
 STREAM_METRICS = _with(_recalc("m_ad_feed", "a.touched"), FEED)
 
 
-ORACLE: dict[str, str] = {
+# Output columns each registered query presents as DOUBLE (money, computed
+# exactly in decimal and converted last) and as ISO text (dates): the
+# representations both engines hand to pandas, Arrow and Python alike.
+PRESENTED: dict[str, tuple[list[str], list[str]]] = {
+    'load_campaigns': (['Budget', 'CurrentBudget'], ['StartDate', 'EndDate']),
+    'view_catalog': (['Budget', 'TotalSpend', 'ActualOrderRevenue'], []),
+    'ad_performance_bound': (['AttributedRevenue', 'CostPerAd'], []),
+    'vw_ad_performance': (['AttributedRevenue', 'CostPerAd'], []),
+    'vw_campaign_performance': (['Budget', 'TotalSpend', 'ActualOrderRevenue'], []),
+    'vw_region_performance': (['TotalRevenue', 'TotalSpend'], []),
+    'vw_segment_performance': (['TotalRevenue', 'TotalSpend'], []),
+    'vw_platform_performance': (['TotalRevenue', 'TotalSpend'], []),
+    'vw_product_performance': (['RevenueGenerated'], []),
+    'vw_campaign_by_segment': (['Revenue'], []),
+    'list_campaigns': (['Budget', 'CurrentBudget'], ['StartDate', 'EndDate']),
+    'campaign_performance': (['Budget', 'TotalSpend', 'ActualOrderRevenue'], []),
+    'ad_performance': (['AttributedRevenue', 'CostPerAd'], []),
+    'campaign_products': (['MRP', 'Discount', 'SellingPrice'], []),
+    'region_performance': (['TotalRevenue', 'TotalSpend'], []),
+    'segment_performance': (['TotalRevenue', 'TotalSpend'], []),
+    'platform_performance': (['TotalRevenue', 'TotalSpend'], []),
+    'product_performance': (['RevenueGenerated'], []),
+    'campaign_by_segment': (['Revenue'], []),
+    'budget_alerts': (['Budget', 'TotalSpend'], []),
+    'campaigns_ending_soon': ([], ['EndDate']),
+    'top_ads_by_roas': (['CostPerAd', 'AttributedRevenue'], []),
+    'segment_platform_affinity': (['Revenue'], []),
+    'create_campaigns': (['Budget', 'CurrentBudget'], ['StartDate', 'EndDate']),
+    'update_budgets': (['Budget', 'CurrentBudget'], ['StartDate', 'EndDate']),
+    'admit_ads': (['CostPerAd'], []),
+    'rejected_ads': (['CostPerAd'], []),
+    'update_ad_metrics': (['CostPerAd', 'AttributedRevenue'], []),
+    'recalc_ad_metrics': (['CostPerAd', 'AttributedRevenue'], []),
+    'price_campaign_products': (['Discount', 'SellingPrice'], []),
+    'update_discounts': (['Discount', 'SellingPrice'], []),
+    'stale_prices': (['Discount', 'SellingPrice', 'ExpectedPrice'], []),
+    'campaign_spend_ledger': (['Budget', 'CurrentBudget'], []),
+    'stream_admit_ads': (['CostPerAd'], []),
+    'stream_ad_metrics': (['CostPerAd', 'AttributedRevenue'], []),
+}
+
+
+def _present(key: str, sql: str) -> str:
+    dec, dat = PRESENTED.get(key, ([], []))
+    if not dec and not dat:
+        return sql
+    casts = [f"CAST({c} AS DOUBLE) AS {c}" for c in dec] + [f"CAST({c} AS VARCHAR) AS {c}" for c in dat]
+    return f"SELECT * REPLACE ({', '.join(casts)}) FROM (\n{sql}\n) presented"
+
+
+_ORACLE: dict[str, str] = {
     "load_campaigns": _with(LIST_CAMPAIGNS),
     "view_catalog": _with(V2_BODY, CFACTS),
     "ad_performance_bound": _with(f"SELECT * FROM ({V1}) v WHERE CampaignID = 4"),
@@ -372,3 +422,6 @@ ORACLE: dict[str, str] = {
     "stream_admit_ads": ADMIT,
     "stream_ad_metrics": STREAM_METRICS,
 }
+
+
+ORACLE: dict[str, str] = {key: _present(key, sql) for key, sql in _ORACLE.items()}

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, DecimalType
 
 from ..operators import reports as R
 from ..operators import views as V
@@ -242,8 +243,32 @@ def _over_driver(op: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: op(spark, _t(spark, sf))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def present(df: DataFrame) -> DataFrame:
+    """Registered-query output: money as double (computed exactly in decimal,
+    converted last) and dates as ISO text — representations every client
+    (pandas, Arrow, plain Python) receives identically from Spark and from
+    the DuckDB oracle. The library operators themselves keep decimal and
+    date types."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, DecimalType):
+            c = c.cast("double")
+        elif isinstance(f.dataType, DateType):
+            c = c.cast("string")
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
+def _presented(q: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: present(q(spark, sf))
+
+
+RAW_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{key: _over_driver(op) for key, op in OPERATORS.items()},
     "digest_match": q_digest_match,
     "stream_ad_metrics": q_stream_ad_metrics,
 }
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    key: _presented(q) for key, q in RAW_QUERIES.items()}
