@@ -69,6 +69,9 @@ def _profile(name: F.Column, idx: int) -> F.Column:
     return expr
 
 
+_MODELS: dict[tuple, Tables] = {}
+
+
 def model_from_driver(spark: SparkSession, sf_dir: str, ledger: str = "spent",
                       recalc: bool = True) -> Tables:
     """Build the model (lazily: each table's plan is built on first use).
@@ -77,7 +80,20 @@ def model_from_driver(spark: SparkSession, sf_dir: str, ledger: str = "spent",
     the reports read); ``"empty"`` sets it to 0 (start of an admission run).
     recalc: fill ConversionRate / AttributedRevenue with the recalculation
     (W5) over all ads, the state after a full metrics sync.
+
+    The bundle of *plans* is kept per session and folder, as a user keeps
+    their model DataFrames: nothing is cached as data, so every query still
+    scans the parquet files.
     """
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, ledger, recalc)
+    if key not in _MODELS:
+        if len(_MODELS) >= 16:
+            _MODELS.pop(next(iter(_MODELS)))
+        _MODELS[key] = _build_model(spark, sf_dir, ledger, recalc)
+    return _MODELS[key]
+
+
+def _build_model(spark: SparkSession, sf_dir: str, ledger: str, recalc: bool) -> Tables:
     m = _DriverModel(spark, sf_dir, ledger, recalc)
     return Tables(**{name: getattr(m, name) for name in (
         "campaign", "ad", "campaign_product", "product", "orders", "customer",
