@@ -91,52 +91,52 @@ def _requests(t) -> DataFrame:
     return ad_requests(t).select("seq", "AdID", "CampaignID", "CostPerAd")
 
 
-def op_view_catalog(spark, t):
+def view_catalog_read(spark, t):
     V.register_views(spark, t)
     return V.read_view(spark, "vw_CampaignPerformance").orderBy("CampaignID")
 
 
-def op_admit(spark, t):
+def admitted_ads(spark, t):
     t = fresh_ledger(t)
     return admit_ads(_requests(t), t.campaign, materialize=False)[0]
 
 
-def op_reject(spark, t):
+def rejected_ads(spark, t):
     t = fresh_ledger(t)
     return admit_ads(_requests(t), t.campaign, materialize=False)[1]
 
 
-def op_ledger(spark, t):
+def spend_ledger(spark, t):
     t = fresh_ledger(t)
     return W.campaign_spend_ledger(t, admit_ads(_requests(t), t.campaign, materialize=False)[0])
 
 
-def op_assign_ids(spark, t):
+def new_campaign_ids(spark, t):
     return assign_ids(t.campaign.select("CampaignID"), campaign_requests(t), "CampaignID") \
         .select("seq", "CampaignID")
 
 
-def op_recalc_ad_metrics(spark, t):
+def recalculated_ads(spark, t):
     return W.recalc_ad_metrics(t, ad=W.update_ad_metrics(t, ad_metric_requests(t)))
 
 
-def op_price_campaign_products(spark, t):
+def priced_links(spark, t):
     empty = spark.createDataFrame([], CAMPAIGN_PRODUCT)
     requests = t.campaign_product.select("CampaignID", "ProductID", "Discount")
     snapshot, _ = W.price_campaign_products(t.with_(campaign_product=empty), requests)
     return snapshot
 
 
-def op_stale_prices(spark, t):
+def stale_after_discounts(spark, t):
     t2 = t.with_(campaign_product=W.update_discounts(t, discount_requests(t)))
     return W.stale_prices(t2)
 
 
-def op_report_lines(spark, t):
+def affinity_lines(spark, t):
     return report_lines(R.segment_platform_affinity(t))
 
 
-def op_stream_admit_ads(spark, t, chunks: int = 3):
+def streamed_admissions(spark, t, chunks: int = 3):
     t = fresh_ledger(t)
     req = _requests(t)
     root = scratch_path(spark, "stream-admit")
@@ -151,10 +151,10 @@ def op_stream_admit_ads(spark, t, chunks: int = 3):
 OPERATORS: dict[str, Callable] = {
     # S1–S6
     "load_campaigns": lambda s, t: R.list_campaigns(t),
-    "view_catalog": op_view_catalog,
+    "view_catalog": view_catalog_read,
     "ad_performance_bound": lambda s, t: R.ad_performance_bound(s, t, CAMPAIGN),
-    "report_lines": op_report_lines,
-    "report_lines_parse": lambda s, t: parse_report_lines(op_report_lines(s, t)),
+    "report_lines": affinity_lines,
+    "report_lines_parse": lambda s, t: parse_report_lines(affinity_lines(s, t)),
     "report_lines_fmt": lambda s, t: formatted_lines(R.segment_platform_affinity(t), "segment_platform_affinity"),
     # V1–V7
     "vw_ad_performance": lambda s, t: V.ad_performance_view(t),
@@ -182,18 +182,18 @@ OPERATORS: dict[str, Callable] = {
     "segment_platform_affinity": lambda s, t: R.segment_platform_affinity(t),
     # W1–W9
     "create_campaigns": lambda s, t: W.create_campaigns(t, campaign_requests(t)),
-    "assign_ids": op_assign_ids,
+    "assign_ids": new_campaign_ids,
     "update_budgets": lambda s, t: W.update_budgets(t, budget_requests(t)),
-    "admit_ads": op_admit,
-    "rejected_ads": op_reject,
+    "admit_ads": admitted_ads,
+    "rejected_ads": rejected_ads,
     "update_ad_metrics": lambda s, t: W.update_ad_metrics(t, ad_metric_requests(t)),
-    "recalc_ad_metrics": op_recalc_ad_metrics,
-    "price_campaign_products": op_price_campaign_products,
+    "recalc_ad_metrics": recalculated_ads,
+    "price_campaign_products": priced_links,
     "update_discounts": lambda s, t: W.update_discounts(t, discount_requests(t)),
-    "stale_prices": op_stale_prices,
-    "campaign_spend_ledger": op_ledger,
+    "stale_prices": stale_after_discounts,
+    "campaign_spend_ledger": spend_ledger,
     # T1
-    "stream_admit_ads": op_stream_admit_ads,
+    "stream_admit_ads": streamed_admissions,
 }
 
 
@@ -218,11 +218,11 @@ def q_stream_ad_metrics(spark, sf, chunks: int = 4):
 
 
 def q_admit(spark, sf):
-    return op_admit(spark, _t(spark, sf))
+    return admitted_ads(spark, _t(spark, sf))
 
 
 def q_stream_admit_ads(spark, sf):
-    return op_stream_admit_ads(spark, _t(spark, sf))
+    return streamed_admissions(spark, _t(spark, sf))
 
 
 def _arrive_in_order(df: DataFrame, path: str, chunks: int):

@@ -49,5 +49,5 @@ def test_reports(spark, t):
 def test_pricing_and_admission(spark, t):
     cp = t.campaign_product.agg(F.count(F.lit(1)), F.sum("SellingPrice")).first()
     assert tuple(cp) == (1905, Decimal("1607563.42"))
-    w3 = REG.op_admit(spark, t).agg(F.count(F.lit(1)), F.sum("AdID")).first()
+    w3 = REG.admitted_ads(spark, t).agg(F.count(F.lit(1)), F.sum("AdID")).first()
     assert tuple(w3) == (129, 9625)

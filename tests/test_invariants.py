@@ -120,7 +120,7 @@ def test_apply_in_pandas_with_state_admission_equals_batch(spark, model):
                          api="applyInPandasWithState")
     got = spark.read.schema(T1.DECISION).parquet(f"{root}/out").where("admitted") \
         .select("seq", "AdID", "CampaignID", "CostPerAd")
-    want = REG.op_admit(spark, model)
+    want = REG.admitted_ads(spark, model)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
