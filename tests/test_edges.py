@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 
 from conftest import D, ad_row, campaign_row, make_tables
 from spendlens.operators import reports as R
@@ -214,3 +216,22 @@ def test_case_insensitive_collation_options(spark):
     cand = spark.createDataFrame([(1, "u", "pw")], "id long, Username string, Password string")
     assert digest_match(users, cand, keep=["id"]).first().matched is False
     assert digest_match(users, cand, keep=["id"], collation="UTF8_LCASE").first().matched is True
+
+
+def test_price_rejects_in_batch_duplicates_first_request_wins(spark):
+    t = make_tables(spark, product=[(1, "p", D("10.00"))])
+    req = spark.createDataFrame([(2, 1, 1, D(10)), (1, 1, 1, D(20)), (3, 1, 1, D(30))],
+                                "seq long, CampaignID long, ProductID long, Discount decimal(5,2)")
+    snap, rejects = W.price_campaign_products(t, req)
+    rows = snap.collect()
+    assert len(rows) == 1 and rows[0].Discount == D("20.00") and rows[0].SellingPrice == D("8.00")
+    assert sorted((r.seq, r.Reason) for r in rejects.collect()) == [
+        (2, "duplicate request in batch"), (3, "duplicate request in batch")]
+
+
+def test_parse_empty_lines_and_top_n_validation(spark):
+    empty = spark.createDataFrame([], "line string")
+    assert parse_report_lines(empty).count() == 0
+    t = make_tables(spark)
+    with pytest.raises(ValueError):
+        R.top_ads_by_roas(t, -1)
