@@ -6,7 +6,6 @@ import datetime as dt
 
 import pytest
 
-
 from conftest import D, ad_row, campaign_row, make_tables
 from spendlens.operators import reports as R
 from spendlens.operators import views as V
