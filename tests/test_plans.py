@@ -76,3 +76,15 @@ def test_cluster_conf_sizes_partitions():
     c = cluster_conf(100 * 1024 ** 4, executors=1000, cores_per_executor=8)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600      # 100 TB / 256 MB
     assert int(cluster_conf(10 ** 6, 10, 4)["spark.sql.shuffle.partitions"]) == 80   # two waves minimum
+
+
+def test_no_cross_joins_or_row_udfs_in_any_operator(spark, stored):
+    """Every registered batch operator: no cartesian product, no nested-loop
+    join, no row-at-a-time Python UDF."""
+    from spendlens.plans.registry import OPERATORS
+    for key, op in OPERATORS.items():
+        if key.startswith("stream_"):
+            continue
+        plan = _plan(op(spark, stored))
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            assert bad not in plan, (key, bad)
