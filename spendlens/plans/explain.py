@@ -98,6 +98,13 @@ def main(sf_dir: str, out_path: str) -> None:
                 "CustomerID, so their sort-merge join reads co-located buckets with no exchange on\n"
                 "either side; the remaining exchanges are the distinct-count re-key, the final\n"
                 "aggregate and the ORDER BY.\n\n```\n" + tree.strip() + "\n```\n")
+        from spendlens.plans.registry import admitted_ads
+        tree = formatted_plan(admitted_ads(spark, t)).split("\n\n\n")[0]
+        f.write("\n## Example: admit_ads (no campaign above the round threshold)\n\n"
+                "The undecided requests were checkpointed (the scan of an existing RDD); the exact\n"
+                "tail hash-partitions them by campaign, sorts by (campaign, seq) and folds them in\n"
+                "`MapInPandas`. Always-rejected branches (invalid cost, unknown campaign) are pruned\n"
+                "by Catalyst for the admitted output.\n\n```\n" + tree.strip() + "\n```\n")
     spark.stop()
 
 
