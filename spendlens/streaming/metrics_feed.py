@@ -3,7 +3,8 @@
 Each micro-batch is reduced to the latest counters per AdID and appended
 to a delta folder keyed by epoch (overwriting that epoch's folder, so a
 replayed batch is idempotent). The current ad table is merge-on-read: base
-⟕ latest delta per AdID, then the touched ads are recalculated (W5). A
+⟕ latest counters per AdID (by the feed's day, then arrival), then the
+touched ads are recalculated (W5). A
 batch costs work in proportion to the batch, never to the ad table.
 """
 
@@ -52,18 +53,30 @@ def _sink_batch(delta_root: str):
     return write
 
 
-def run_feed(spark: SparkSession, source: str, delta_root: str, checkpoint: str) -> None:
-    """Apply whatever arrived in ``source`` since the last run (availableNow)."""
-    stream = spark.readStream.schema(FEED).parquet(source)
+def run_feed(spark: SparkSession, source: str, delta_root: str, checkpoint: str,
+             max_files_per_trigger: int | None = None) -> None:
+    """Apply whatever arrived in ``source`` since the last run (availableNow).
+
+    ``max_files_per_trigger`` bounds each micro-batch on a large backlog.
+    """
+    reader = spark.readStream.schema(FEED)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source)
     q = (stream.writeStream.foreachBatch(_sink_batch(delta_root))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def merged_ads(spark: SparkSession, t: Tables, delta_root: str) -> DataFrame:
-    """Merge-on-read: apply the latest delta per AdID (by epoch, then seq)."""
+    """Merge-on-read: apply the latest counters per AdID.
+
+    "Latest" is the feed's own order (``seq``, the day), not arrival: an
+    older day's absolute counters arriving late must not overwrite a newer
+    day's. Arrival (``epoch``) only breaks ties, so a re-sent day wins.
+    """
     deltas = spark.read.parquet(delta_root)
-    req = deltas.withColumn("_order", F.struct("epoch", "seq"))
+    req = deltas.withColumn("_order", F.struct("seq", "epoch"))
     req = req.select(F.col("_order").alias("seq"), "AdID", "Impressions", "Clicks")
     return update_ad_metrics(t, req)
 

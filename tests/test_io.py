@@ -53,3 +53,14 @@ def test_metrics_feed_compaction_is_a_snapshot_swap(spark):
     want = W.update_ad_metrics(t, feed)
     assert snap.exceptAll(want).count() == 0 and want.exceptAll(snap).count() == 0
     assert snap.where(F.col("AdID").isNull()).count() == 0
+
+
+def test_metrics_feed_in_bounded_batches_equals_one_batch(spark):
+    t = model_from_driver(spark, SF_SMALL)
+    feed = T2.daily_counters(read_driver_table(spark, SF_SMALL, "events"))
+    root = scratch_path(spark, "bounded")
+    feed.repartition(6).write.parquet(f"{root}/in")
+    T2.run_feed(spark, f"{root}/in", f"{root}/delta", f"{root}/chk", max_files_per_trigger=2)
+    got = T2.merged_ads(spark, t, f"{root}/delta")
+    want = W.update_ad_metrics(t, feed)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
