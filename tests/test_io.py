@@ -64,3 +64,19 @@ def test_metrics_feed_in_bounded_batches_equals_one_batch(spark):
     got = T2.merged_ads(spark, t, f"{root}/delta")
     want = W.update_ad_metrics(t, feed)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stream_admission_follows_arrival_order(spark):
+    """Across micro-batches arrival decides (a stream cannot wait for earlier
+    seqs); within one batch, seq does."""
+    from conftest import D, campaign_row, make_tables
+    from spendlens.streaming import admission as T1
+    t = make_tables(spark, campaign=[campaign_row(1, 100)])
+    schema = "seq long, AdID long, CampaignID long, CostPerAd decimal(12,2)"
+    root = scratch_path(spark, "arrival")
+    for rows in ([(10, 10, 1, D(60))], [(5, 5, 1, D(50)), (6, 6, 1, D(40))]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{root}/in")
+        T1.run_admission(spark, f"{root}/in", spark.createDataFrame([], schema).schema, t.campaign,
+                         f"{root}/out", f"{root}/chk")
+    got = {r.seq: r.admitted for r in spark.read.schema(T1.DECISION).parquet(f"{root}/out").collect()}
+    assert got == {10: True, 5: False, 6: True}
