@@ -234,3 +234,17 @@ def test_parse_empty_lines_and_top_n_validation(spark):
     t = make_tables(spark)
     with pytest.raises(ValueError):
         R.top_ads_by_roas(t, -1)
+
+
+def test_region_spend_allocation_by_hand(spark):
+    """Spend 100.00 split over regions by revenue 1.00 : 2.00 (floor cents:
+    33.33 + 66.66, one cent unallocated); an organic order adds revenue and
+    orders to its region but no spend."""
+    t = make_tables(
+        spark, campaign=[campaign_row(1, 1000)], ad=[ad_row(1, 1, cost=100)],
+        region=[(1, "A"), (2, "B")], customer=[(1, 1, 1), (2, 1, 2)],
+        orders=[(1, 1, 1, D("1.00")), (2, 2, 1, D("2.00")), (3, 1, None, D("5.00"))])
+    rows = {r.RegionName: r for r in V.region_performance_view(t).collect()}
+    assert (rows["A"].TotalOrders, rows["A"].TotalRevenue, rows["A"].TotalSpend) == (2, D("6.00"), D("33.33"))
+    assert (rows["B"].TotalOrders, rows["B"].TotalRevenue, rows["B"].TotalSpend) == (1, D("2.00"), D("66.66"))
+    assert rows["B"].ROIPercent == (2.00 - 66.66) * 100.0 / 66.66
