@@ -37,6 +37,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from ..functions.fold import fold_costs
 from ..functions.money import to_cents
 from ..session import shared_dir
+from .checks import require_columns
 
 OVER_BUDGET = "Campaign budget exceeded"
 UNKNOWN_CAMPAIGN = "Unknown campaign"
@@ -110,6 +111,8 @@ def admission_decisions(requests: DataFrame, campaign: DataFrame, max_rounds: in
     ``max_rounds``) while some campaign has more undecided requests than
     ``tail_group_limit``; the exact tail decides the rest.
     """
+    require_columns(requests, [_SEQ, _KEY, "CostPerAd"], "admission requests")
+    require_columns(campaign, [_KEY, "Budget", "CurrentBudget"], "admission ledger")
     req_cols = requests.columns
     ledger = campaign.select(
         _KEY, (to_cents("Budget") - to_cents(F.coalesce("CurrentBudget", F.lit(0)))).alias(_ROOM))

@@ -16,6 +16,7 @@ from ..functions.metrics import ratio
 from ..functions.money import from_cents, share_of
 from ..schema import AD, CAMPAIGN, CAMPAIGN_PRODUCT, conform
 from ..tables import Tables
+from .checks import require_columns
 from .ids import assign_ids
 
 
@@ -46,6 +47,8 @@ def create_campaigns(t: Tables, requests: DataFrame) -> DataFrame:
     No check that start <= end or that the platform exists (as in the
     reference). Returns the new campaign snapshot.
     """
+    require_columns(requests, ["seq", "PlatformID", "StartDate", "EndDate", "Budget", "Objective"],
+                    "create_campaigns requests")
     new = assign_ids(t.campaign.select("CampaignID"), requests, "CampaignID")
     new = new.withColumn("CurrentBudget", F.lit(0))
     return t.campaign.unionByName(conform(new, CAMPAIGN))
@@ -55,6 +58,7 @@ def create_campaigns(t: Tables, requests: DataFrame) -> DataFrame:
 
 def update_budgets(t: Tables, requests: DataFrame) -> DataFrame:
     """Overwrite budgets (may go below spend); unknown ids are a silent no-op."""
+    require_columns(requests, ["seq", "CampaignID", "Budget"], "update_budgets requests")
     upd = latest_per_key(requests, ["CampaignID"], ["Budget"])
     return conform(_apply_updates(t.campaign, upd, ["CampaignID"], ["Budget"]), CAMPAIGN)
 
@@ -102,6 +106,7 @@ def update_ad_metrics(t: Tables, requests: DataFrame) -> DataFrame:
     Batch semantics: all counter updates land first, then each touched ad
     is recalculated against the post-batch counters.
     """
+    require_columns(requests, ["seq", "AdID", "Impressions", "Clicks"], "update_ad_metrics requests")
     upd = latest_per_key(requests, ["AdID"], ["Impressions", "Clicks"])
     applied = _apply_updates(t.ad, upd, ["AdID"], ["Impressions", "Clicks"])
     return recalc_ad_metrics(t, ad=applied, flag="_touched")
@@ -130,6 +135,7 @@ def price_campaign_products(t: Tables, requests: DataFrame,
     repeated within the batch: the lowest ``seq`` wins), or an unknown product.
     """
     keys = ["CampaignID", "ProductID"]
+    require_columns(requests, [*keys, "Discount"], "price_campaign_products requests")
     req = requests
     if "seq" in req.columns:
         first = F.min_by(F.struct("Discount", "seq"), "seq").alias("_v")
@@ -161,6 +167,7 @@ def update_discounts(t: Tables, requests: DataFrame, reprice: bool = False) -> D
     """Change discounts on the composite key. SellingPrice stays as it was
     (the insert-time rule does not fire on update) unless ``reprice``."""
     keys = ["CampaignID", "ProductID"]
+    require_columns(requests, ["seq", *keys, "Discount"], "update_discounts requests")
     upd = latest_per_key(requests, keys, ["Discount"])
     out = _apply_updates(t.campaign_product, upd, keys, ["Discount"])
     if reprice:

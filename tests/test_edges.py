@@ -248,3 +248,11 @@ def test_region_spend_allocation_by_hand(spark):
     assert (rows["A"].TotalOrders, rows["A"].TotalRevenue, rows["A"].TotalSpend) == (2, D("6.00"), D("33.33"))
     assert (rows["B"].TotalOrders, rows["B"].TotalRevenue, rows["B"].TotalSpend) == (1, D("2.00"), D("66.66"))
     assert rows["B"].ROIPercent == (2.00 - 66.66) * 100.0 / 66.66
+
+
+def test_missing_request_columns_fail_early(spark):
+    t = make_tables(spark, campaign=[campaign_row(1, 100)])
+    bad = spark.createDataFrame([(1, 1)], "seq long, CampaignID long")
+    for call in (lambda: admission_decisions(bad, t.campaign), lambda: W.update_budgets(t, bad)):
+        with pytest.raises(ValueError, match="needs column"):
+            call()
