@@ -88,3 +88,10 @@ def test_no_cross_joins_or_row_udfs_in_any_operator(spark, stored):
         plan = _plan(op(spark, stored))
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
             assert bad not in plan, (key, bad)
+
+
+def test_no_window_over_campaigns_in_fact_reports(stored):
+    """R9 and L2 aggregate then join; a window partitioned by campaign would
+    put a hot campaign's ads into one task."""
+    for df in (R.underperforming_ads(stored), R.campaign_performance(stored), R.segment_platform_affinity(stored)):
+        assert "Window" not in _plan(df)
