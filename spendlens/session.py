@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -86,3 +87,23 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     }
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's executors (once), so that queries
+    run wherever the session was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_spendlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spendlens-ship-")
+    archive = os.path.join(folder, "spendlens_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, dirs, names in os.walk(root):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("spendlens", os.path.relpath(full, root)))
+    sc.addPyFile(archive)
+    sc._spendlens_shipped = True
