@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, langid, packing, repair_store, simhash, topk_search
+from . import bpe, exact_dedup, langid, packing, repair_store, repeats, simhash, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "component_id")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op2_packing, op3_token_store, op4_exact_dedup, op5_topk, op7_language_id, op8_byte_bpe,
-                            op9_simhash)}
+                            op9_simhash, op10_repeats)}
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
