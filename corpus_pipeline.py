@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import exact_dedup, langid, packing, simhash
+from spendlens.llm import exact_dedup, langid, packing, secret_scan, simhash
 from spendlens.llm.common import stored
 
 
@@ -31,13 +31,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked."""
+    return secret_scan.redacted(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 ids."""
     return packing.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language ID", language_id), ("exact dedup", exact), ("SimHash near-dedup", near), ("packing", pack)]
+    ("language ID", language_id), ("exact dedup", exact), ("SimHash near-dedup", near),
+    ("secret scans", secrets), ("packing", pack)]
 
 #: No SQL for tokenizers and fingerprints: tested against a brute-force version.
 ORACLE_SQL = None

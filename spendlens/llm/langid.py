@@ -63,6 +63,8 @@ def ngram_codes(text: str) -> np.ndarray:
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = ngram_codes(text)
+    if not len(codes):
+        return codes, codes
     edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     return codes[edge], np.diff(np.append(edge, len(codes)))
 

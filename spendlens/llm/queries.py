@@ -10,13 +10,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, langid, packing, repair_store, repeats, simhash, topk_search
+from . import bpe, exact_dedup, html_extract, langid, packing, repair_store, repeats, secret_scan, simhash, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,6 +40,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where("id % 50 = 0"), 5)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +65,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_token_store, op4_exact_dedup, op5_topk, op7_language_id, op8_byte_bpe,
+    f.__name__: f for f in (op1_main_text, op2_packing, op3_token_store, op4_exact_dedup, op5_topk, op6_secret_scan, op7_language_id, op8_byte_bpe,
                             op9_simhash, op10_repeats)}
 
 ORACLE: dict[str, str] = {
