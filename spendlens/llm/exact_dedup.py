@@ -26,6 +26,8 @@ from .common import session, shuffle_partitions, without_spaces
 
 #: Rows of the splitter sample, and how often a text occurs in it to be salted.
 SAMPLE_ROWS, HOT_IN_SAMPLE = 20_000, 6
+#: Code points of a text in a splitter, which go to the driver; texts alike so far are dealt by digest.
+LEAD = 64
 
 
 def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False,
@@ -43,8 +45,10 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.length(text).alias("_len"), without_spaces(text).alias("_norm"), *(["row"] if carry else []))
     dealt = rows.withColumn("_hot", is_hot).withColumn("_salt", F.when(
         F.col("_hot"), F.pmod(F.xxhash64("_id", "_len"), F.lit(salts))).otherwise(F.lit(0).cast("long"))) \
-        .repartitionByRange("_norm", "_salt")
-    group = Window.partitionBy("_norm", "_salt")
+        .withColumn("_lead", F.left("_norm", F.lit(LEAD))).withColumn("_digest", F.xxhash64("_norm")) \
+        .repartitionByRange("_lead", "_digest", "_salt")
+    # sorted by the whole text; the range keys follow from it, so that no further exchange is needed
+    group = Window.partitionBy("_norm", "_lead", "_digest", "_salt")
     first = group.orderBy(F.col("_len").desc(), F.col("_id").asc())
     marked = dealt.select(
         "_id", "_len", "_salt", "_hot", F.sha2("_norm", 256).alias("text_sha256"),
