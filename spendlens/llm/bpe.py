@@ -34,6 +34,8 @@ from .common import in_pieces, session, shuffle_partitions
 
 #: Bytes of text in a block.
 BLOCK = 8_000_000
+#: Words a task of the encoding stage remembers.
+REMEMBERED = 500_000
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 _KEPT: dict[tuple, object] = {}
@@ -100,8 +102,15 @@ class Block:
         self.doc_ids.append(doc_id)
         self.texts.append(done)
 
-    def words(self) -> list[bytes]:
-        return [w.encode("utf-8") for w in self.numbers]
+    def ranked(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words, most frequent first, and the texts as their ranks."""
+        at = np.frombuffer(b"".join(self.texts), "<u4")
+        seen = np.bincount(at, minlength=len(self.numbers))
+        by_use = np.argsort(-seen, kind="stable")
+        rank = np.empty(len(by_use), "<u4")
+        rank[by_use] = np.arange(len(by_use), dtype="<u4")
+        words = [w.encode("utf-8") for w in self.numbers]
+        return [words[i] for i in by_use.tolist()], rank[at] if len(at) else at
 
     def checksum(self) -> int:
         return zlib.crc32("\x00".join(self.numbers).encode("utf-8"))
@@ -117,10 +126,21 @@ def _blocks(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
 
 
 def _packed(words: list[bytes]) -> bytes:
-    return np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words)
+    return _squeeze(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words))
+
+
+def _squeeze(blob: bytes) -> bytes:
+    import zstandard
+    return zstandard.compress(blob, 3)
+
+
+def _spread(blob: bytes) -> bytes:
+    import zstandard
+    return zstandard.decompress(blob)
 
 
 def _unpacked(blob: bytes) -> list[bytes]:
+    blob = _spread(blob)
     n = int(np.frombuffer(blob, "<u4", 1)[0])
     ends = (np.cumsum(np.frombuffer(blob, "<u4", n, 4)) + 4 * (n + 1)).tolist()
     return [blob[i:k] for i, k in zip([4 * (n + 1), *ends], ends)]
@@ -131,27 +151,32 @@ IDS = "block long, bucket int, checksum long, doc_ids binary, lengths binary, bo
 
 
 def _buckets_of(words: list[bytes], buckets: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets)
+    return (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets)).astype("<u2")
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            buckets: int | None = None) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32 bits, in order) of each row of
     ``docs``, which must be a scan (or a stored frame): it is read twice."""
+    return _together(docs, ranks, pattern, id_col, text_col, buckets, lambda x: x, "doc_id long, ids binary")
+
+
+def _together(docs, ranks, pattern, id_col, text_col, buckets, then, schema) -> DataFrame:
+    """``then`` over the batches of doc_id and ids that each task reassembles."""
     spark = session(docs)
-    buckets = buckets or shuffle_partitions(spark)
+    buckets = min(buckets or shuffle_partitions(spark), 65536)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.spark_partition_id().cast("long").alias("part"))
     width = "<u2" if len(token_bytes(ranks)) <= 65536 else "<u4"
-    wide = int(width[-1])
 
     def send_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches, pattern):
-            words = block.words()
+            words, _ = block.ranked()
             to = _buckets_of(words, buckets)
-            order = np.argsort(to, kind="stable").tolist()
+            order = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[order], np.arange(buckets + 1)).tolist()
-            own = [(k, _packed([words[i] for i in order[a:e]])) for k, (a, e) in enumerate(zip(ends, ends[1:])) if e > a]
+            own = [(k, _packed([words[i] for i in order[a:e].tolist()]))
+                   for k, (a, e) in enumerate(zip(ends, ends[1:])) if e > a]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in own], pa.int32()), pa.array([number] * len(own), pa.int64()),
                  pa.array([block.checksum()] * len(own), pa.int64()), pa.array([w for _, w in own], pa.binary())],
@@ -161,100 +186,47 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         single = encoding(ranks, pattern)._core_bpe.encode_single_piece
         known: dict[bytes, bytes] = {}
         for b in batches:
-            blocks, numbers, sums, lengths, bodies = [], [], [], [], []
             for bucket, block, checksum, blob in zip(*(c.to_pylist() for c in b.columns)):
-                own = _unpacked(blob)
-                if len(known) > 2_000_000:  # bounds memory; a word met later is encoded anew
+                if len(known) > REMEMBERED:  # bounds memory; a word met later is encoded anew
                     known.clear()
                 ids = []
-                for w in own:
+                for w in _unpacked(blob):
                     got = known.get(w)
                     if got is None:
                         got = known[w] = np.array(single(w), width).tobytes()
                     ids.append(got)
-                blocks.append(block)
-                numbers.append(bucket)
-                sums.append(checksum)
-                lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)).astype("<u4").tobytes())
-                bodies.append(b"".join(ids))
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sums, pa.int64()),
-                 pa.nulls(n, pa.binary()), pa.array(lengths, pa.binary()), pa.array(bodies, pa.binary())],
-                names=["block", "bucket", "checksum", "doc_ids", "lengths", "body"])
+                size = (np.fromiter(map(len, ids), np.int64, len(ids)) // int(width[-1])).astype("<u4")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([checksum], pa.int64()),
+                     pa.nulls(1, pa.binary()), pa.array([_squeeze(size.tobytes())], pa.binary()),
+                     pa.array([_squeeze(b"".join(ids))], pa.binary())],
+                    names=["block", "bucket", "checksum", "doc_ids", "lengths", "body"])
 
     def send_positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches, pattern):
-            words = block.words()
-            to = _buckets_of(words, buckets)
-            # a word's place: by bucket, then by the order in which the block met it
-            place = np.empty(len(words), "<u4")
-            place[np.argsort(to, kind="stable")] = np.arange(len(words), dtype="<u4")
-            at = place[np.frombuffer(b"".join(block.texts), "<u4")] if words else np.empty(0, "<u4")
-            # frequent words get short numbers: a table of places by frequency, then two bytes where they do
-            seen = np.bincount(at, minlength=len(words))
-            by_use = np.argsort(-seen, kind="stable").astype("<u4")
-            short = np.empty(len(words), "<u4")
-            short[by_use] = np.arange(len(words), dtype="<u4")
-            at = short[at]
-            low = np.minimum(at, 0xFFFF).astype("<u2")
-            high = at[at >= 0xFFFF]
+            words, at = block.ranked()
+            # of the words their buckets, by rank: that places each among what comes back; of the
+            # texts the ranks, byte plane by byte plane
+            head = np.array([len(words), len(at)], "<u4").tobytes()
+            planes = np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+            body = head + _buckets_of(words, buckets).tobytes() + planes
             n = np.array([len(t) // 4 for t in block.texts], "<u4")
             doc = np.array([0 if d is None else d for d in block.doc_ids], "<i8")
             null = np.array([d is None for d in block.doc_ids], "u1")
-            body = np.array([len(by_use), len(low), len(high)], "<u4").tobytes() + by_use.tobytes() \
-                + high.astype("<u4").tobytes() + low.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([block.checksum()], pa.int64()),
                  pa.array([null.tobytes() + doc.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()),
-                 pa.array([body], pa.binary())],
+                 pa.array([_squeeze(body)], pa.binary())],
                 names=["block", "bucket", "checksum", "doc_ids", "lengths", "body"])
 
     def reassemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sorted by block, then bucket: a block's positions (bucket -1) lead its ids
-        held, sums, lengths, bodies = None, set(), [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held is None:
-                return
-            doc_blob, n_blob, body = held
-            if len(sums) != 1:
-                raise RuntimeError("a block was read in two ways; encode() needs a scan or a stored frame")
-            n = np.frombuffer(n_blob, "<u4").astype(np.int64)
-            rows = len(n)
-            words, low_n, high_n = (int(x) for x in np.frombuffer(body, "<u4", 3))
-            by_use = np.frombuffer(body, "<u4", words, 12)
-            high = np.frombuffer(body, "<u4", high_n, 12 + 4 * words)
-            at = np.frombuffer(body, "<u2", low_n, 12 + 4 * (words + high_n)).astype(np.int64)
-            at[at == 0xFFFF] = high
-            size = np.frombuffer(b"".join(lengths), "<u4").astype(np.int64) // wide
-            if len(size) != words:
-                raise RuntimeError("a block's words and their ids don't match")
-            ids = np.frombuffer(b"".join(bodies), width)
-            begin = np.cumsum(size) - size
-            at = by_use[at].astype(np.int64)
-            null = np.frombuffer(doc_blob, "u1", rows).astype(bool)
-            doc = np.frombuffer(doc_blob, "<i8", rows, rows)
-            ends = np.cumsum(n)
-            for lo in range(0, rows, 512):
-                hi = min(rows, lo + 512)
-                first = int(ends[lo] - n[lo])
-                own = at[first:int(ends[hi - 1])]
-                many = size[own]
-                stop = np.cumsum(many)
-                flat = ids[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin[own] - (stop - many), many)]
-                cuts = np.concatenate([[0], stop])[np.concatenate([[0], ends[lo:hi] - first])]
-                flat = flat.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[lo:hi], pa.int64(), mask=null[lo:hi]),
-                     pa.array([flat[a:e].tobytes() for a, e in zip(cuts.tolist(), cuts[1:].tolist())], pa.binary())],
-                    names=["doc_id", "ids"])
-
-        current = None
+        current, held, sums, lengths, bodies = None, None, set(), [], []
         for b in batches:
             for block, bucket, checksum, doc_ids, n, body in zip(*(c.to_pylist() for c in b.columns)):
                 if block != current:
-                    yield from close()
+                    if held:
+                        yield from _read_off(held, sums, lengths, bodies, width)
                     current, held, sums, lengths, bodies = block, None, set(), [], []
                 sums.add(checksum)
                 if bucket < 0:
@@ -262,33 +234,72 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 else:
                     lengths.append(n)
                     bodies.append(body)
-        yield from close()
+        if held:
+            yield from _read_off(held, sums, lengths, bodies, width)
 
     parts = shuffle_partitions(spark)
     words = rows.mapInArrow(send_words, WORDS).repartition(parts, "bucket").mapInArrow(encode_words, IDS)
     positions = rows.mapInArrow(send_positions, IDS)
     together = words.unionByName(positions).repartition(parts, "block").sortWithinPartitions("block", "bucket")
-    return together.mapInArrow(reassemble, "doc_id long, ids binary")
+    return together.mapInArrow(lambda batches: then(reassemble(batches)), schema)
+
+
+def _read_off(held, sums, lengths, bodies, width: str) -> Iterator[pa.RecordBatch]:
+    """A block's documents: each word's ids in the order of the positions."""
+    if len(sums) != 1:
+        raise RuntimeError("a block was read in two ways; encode() needs a scan or a stored frame")
+    doc_blob, n_blob, body = held[0], held[1], _spread(held[2])
+    n = np.frombuffer(n_blob, "<u4").astype(np.int64)
+    rows = len(n)
+    words, total = (int(x) for x in np.frombuffer(body, "<u4", 2))
+    to = np.frombuffer(body, "<u2", words, 8)
+    at = np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * total, 8 + 2 * words).reshape(4, total).T)
+    at = at.view("<u4").ravel()
+    size = np.frombuffer(b"".join(map(_spread, lengths)), "<u4").astype(np.int64)
+    if len(size) != words:
+        raise RuntimeError("a block's words and their ids don't match")
+    ids = np.frombuffer(b"".join(map(_spread, bodies)), width)
+    order = np.argsort(to, kind="stable")
+    begin, many_of = np.empty(words, np.int64), np.empty(words, np.int64)
+    begin[order], many_of[order] = np.cumsum(size) - size, size
+    null = np.frombuffer(doc_blob, "u1", rows).astype(bool)
+    doc = np.frombuffer(doc_blob, "<i8", rows, rows)
+    ends = np.cumsum(n)
+    for lo in range(0, rows, 256):
+        hi = min(rows, lo + 256)
+        first = int(ends[lo] - n[lo])
+        own = at[first:int(ends[hi - 1])]
+        many = many_of[own]
+        stop = np.cumsum(many)
+        flat = ids[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin[own] - (stop - many), many)]
+        cuts = np.concatenate([[0], stop])[np.concatenate([[0], ends[lo:hi] - first])]
+        flat = flat.astype("<u4")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[lo:hi], pa.int64(), mask=null[lo:hi]),
+             pa.array([flat[a:e].tobytes() for a, e in zip(cuts.tolist(), cuts[1:].tolist())], pa.binary())],
+            names=["doc_id", "ids"])
+
+
+def decoded(batches: Iterable[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and ids with ``bytes``: ids joined with the token-byte table."""
+    table = token_bytes(ranks)
+    for b in batches:
+        own = [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.binary())], names=["doc_id", "ids", "bytes"])
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with ``bytes``: the ids' bytes by the token-byte table."""
+    """``encoded`` (doc_id, ids) with ``bytes``."""
     session(encoded)
-
-    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(ranks)
-        for b in batches:
-            own = [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.binary())], names=["doc_id", "ids", "bytes"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids binary, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(
+        lambda batches: decoded(batches, ranks), "doc_id long, ids binary, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded, then decoded from the ids."""
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [str(i) for i in range(len(token_bytes(ranks)))]
-        for b in batches:
+        for b in decoded(batches, ranks):
             n, sha, back = [], [], []
             for x, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 ids = np.frombuffer(x, "<u4").tolist()
@@ -298,5 +309,6 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decode(encode(docs, ranks, pattern), ranks).mapInArrow(
-        digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # one Python stage: executors hold one worker a task
+    return _together(docs, ranks, pattern, "doc_id", "text", None, digest,
+                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
