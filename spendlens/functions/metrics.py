@@ -3,8 +3,8 @@
 All built-in expressions (JVM side, whole-stage codegen); no Python UDFs.
 Ratios are double, computed as one IEEE multiply-then-divide so every engine
 gets the same bits; a zero or NULL denominator gives NULL (Spark 4 ANSI mode
-would otherwise raise). Averages of doubles depend on summation order, so
-they are rounded to ``AVG_DIGITS`` decimals.
+would otherwise raise). Means are summed in decimal, since sums of doubles
+depend on their order, and shown with ``AVG_DIGITS`` decimals.
 """
 
 from __future__ import annotations
@@ -50,8 +50,11 @@ def roi_pct(revenue: Column | str, spend: Column | str) -> Column:
     return ratio(_c(revenue) - _c(spend), spend, 100.0)
 
 
-def rounded_avg(c: Column | str) -> Column:
-    return F.round(F.avg(_c(c)), AVG_DIGITS)
+def exact_mean(c: Column | str) -> Column:
+    """The mean of doubles, the same whatever the order: summed as
+    decimal(38,18), divided once."""
+    c = _c(c)
+    return F.sum(c.cast("decimal(38,18)")).cast("double") / F.count(c)
 
 
 def money_sum(c: Column | str) -> Column:

@@ -39,3 +39,8 @@ def share_of(total_cents: Column | str, part: Column | str, whole: Column | str)
     t = _c(total_cents).cast("decimal(38,0)")
     p = _c(part).cast("decimal(38,0)")
     return intdiv(t * p, whole)
+
+
+def spend_so_far(c: Column | str = "CurrentBudget") -> Column:
+    """A campaign's spend; NULL is nothing spent yet. One rule for W3, W9 and T1."""
+    return F.coalesce(_c(c), F.lit(0))

@@ -9,9 +9,11 @@ doubles, which differs between engines.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType
 
 SEP = " | "
 NULL_TEXT = "null"
+RATIO_DIGITS = 4
 
 # Characters Java's String.trim() removes: every code point <= U+0020.
 _JAVA_TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$"
@@ -30,6 +32,17 @@ def fixed(c: Column | str, digits: int) -> Column:
     return F.coalesce(_c(c).cast(f"decimal(38,{digits})").cast("string"), F.lit(NULL_TEXT))
 
 
+def plain(c: Column | str, kind: DataType) -> Column:
+    """``%s``: a double (a ratio) as plain decimal text with RATIO_DIGITS
+    decimals, as a decimal column of a database prints, never in E notation."""
+    return fixed(c, RATIO_DIGITS) if isinstance(kind, (DoubleType, FloatType)) else as_text(c)
+
+
+def whole(c: Column | str) -> Column:
+    """``%d``: an integer; NULL reads as 0, as ``getInt`` does."""
+    return F.coalesce(_c(c).cast("string"), F.lit("0"))
+
+
 def key_value_line(df: DataFrame, columns: list[str] | None = None) -> Column:
     cols = columns or df.columns
     return F.concat_ws(SEP, *[F.concat(F.lit(f"{c}="), as_text(F.col(f"`{c}`"))) for c in cols])

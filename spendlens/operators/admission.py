@@ -1,49 +1,55 @@
 """Budget admission (W3, W3r): ads admitted only while their campaign's budget lasts.
 
-Rule: requests are taken per campaign in ``seq`` order; one is admitted iff
-``spent + cost <= budget``, and a rejected request spends nothing, so a
-later, cheaper one may still get in. A running sum over all requests is
-therefore wrong (it counts rejected cost); the exact answer is a greedy
-fold. Money is integer cents.
-
-A fold is sequential per campaign, and one campaign may hold a third of all
-requests, so the work is split before anything goes sequential:
-
-1. *Rounds* (parallel), run while the largest undecided campaign holds more
-   than ``tail_group_limit`` requests. With ``room`` = budget left, a
-   request costing more than ``room`` can never be admitted later (room only
-   shrinks): reject it outright. Among the rest, take the running sum in
-   ``seq`` order; every request whose running sum fits is admitted, the
-   first that does not is rejected, and ``room`` drops by what was admitted.
-   The running sum is a two-level prefix sum over range partitions of
-   (campaign, seq), so a hot campaign is spread over many tasks. Each round
-   is checkpointed to the shared folder (lineage cut, survives executor
-   loss). Checking the largest group is one partial aggregate.
+Rule: requests are taken per campaign in order of ``seq``, then AdID, then
+cost; one is admitted iff ``spent + cost <= budget``, and a rejected request
+spends nothing, so a later, cheaper one may still get in. A running sum over
+all requests is therefore wrong (it counts rejected cost); the exact answer is
+a greedy fold. Money is integer cents. A campaign without a budget (NULL) may
+spend nothing: its requests are rejected as such. NULL spend is 0.
+
+Two ways give the same decisions for the same requests, and only sizes choose
+between them:
+
+1. *Rounds* (parallel), while the largest undecided campaign holds more than
+   ``tail_group_limit`` requests. With ``room`` = budget left, a request
+   costing more than ``room`` can never be admitted later (room only shrinks):
+   reject it outright. Among the rest, take the running sum in request order;
+   every request whose running sum fits is admitted, the first that does not
+   is rejected, and ``room`` drops by what was admitted. The running sum is a
+   two-level prefix sum over range partitions of (campaign, order), so a hot
+   campaign is spread over many tasks. Rounds end when no campaign is over the
+   limit, or when one decides less than a hundredth of what was left.
 2. *Tail* (exact). Whatever is still undecided is hash partitioned by
-   campaign, sorted by seq and streamed through a small fold in
-   ``mapInPandas`` with O(1) state — memory is one Arrow batch, not one
-   group. Small campaigns (the common case) go straight here.
+   campaign, sorted and streamed through a small fold in ``mapInArrow`` with
+   O(1) state: memory is one Arrow batch, not one group. Small campaigns (the
+   common case) go straight here. Columns pass through as they are.
+
+Requests that are invalid, unknown or dearer than the whole room are decided
+before any of this and cross no exchange of it.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.fold import fold_costs
-from ..functions.money import to_cents
-from ..session import shared_dir
+from ..functions.money import spend_so_far, to_cents
+from ..session import shared_dir, ship_package
 from .checks import require_columns
 
 OVER_BUDGET = "Campaign budget exceeded"
 UNKNOWN_CAMPAIGN = "Unknown campaign"
+NO_BUDGET = "Campaign has no budget"
 INVALID_COST = "Missing or negative cost"
 
-_KEY, _SEQ, _COST, _ROOM = "CampaignID", "seq", "_cents", "_room"
+_KEY, _SEQ, _COST, _ROOM, _ORDER = "CampaignID", "seq", "_cents", "_room", "_order"
+log = logging.getLogger(__name__)
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -57,7 +63,8 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, out: str,
 
     Range-partitioning on (key, order) cuts a hot key into contiguous
     slices; each slice sums locally, and slice offsets come from a table
-    with one row per (key, slice) — at most #keys + #partitions rows.
+    with one row per (key, slice) — at most #keys + #partitions rows. Rows
+    that are equal in ``order`` are summed one after the other.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Materialize the slice labels once: two evaluations of a range exchange
@@ -73,90 +80,100 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, out: str,
         .withColumn(out, F.col("_off") + F.col("_local")).drop("_slice", "_local", "_off")
 
 
-def _decided(df: DataFrame, admitted: bool, reason: str | None) -> DataFrame:
-    return df.withColumn("admitted", F.lit(admitted)).withColumn(
-        "Reason", F.lit(reason).cast("string"))
+def _decided(df: DataFrame, admitted: bool, reason: str | Column | None) -> DataFrame:
+    reason = reason if isinstance(reason, Column) else F.lit(reason).cast("string")
+    return df.withColumn("admitted", F.lit(admitted)).withColumn("Reason", reason)
 
 
 def _fold_tail(columns: list[str]):
-    """mapInPandas body: rows arrive sorted by (campaign, seq); each campaign's
+    """mapInArrow body: rows arrive sorted by (campaign, order); each campaign's
     run within a batch is folded by the numpy kernel, carrying the room
-    across batches."""
+    across batches. The batch's own columns pass through untouched."""
     key_i, cost_i, room_i = columns.index(_KEY), columns.index(_COST), columns.index(_ROOM)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current_key, room = None, 0
-        for pdf in batches:
-            keys = pdf.iloc[:, key_i].to_numpy()
-            costs = pdf.iloc[:, cost_i].to_numpy(dtype=np.int64)
-            rooms = pdf.iloc[:, room_i].to_numpy(dtype=np.int64)
-            ok = np.zeros(len(pdf), dtype=bool)
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(pdf) else []
-            for a, z in zip(starts, [*starts[1:], len(pdf)]):
+        for batch in batches:
+            keys, costs, rooms = (batch.column(i).to_numpy(zero_copy_only=False) for i in (key_i, cost_i, room_i))
+            ok = np.zeros(batch.num_rows, dtype=bool)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if batch.num_rows else []
+            for a, z in zip(starts, [*starts[1:], batch.num_rows]):
                 if keys[a] != current_key:
                     current_key, room = keys[a], int(rooms[a])
                 ok[a:z], room = fold_costs(costs[a:z], room)
-            pdf["admitted"] = ok
-            yield pdf
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok)], names=[*batch.schema.names, "admitted"])
     return fold
 
 
-def admission_decisions(requests: DataFrame, campaign: DataFrame, max_rounds: int = 4,
-                        tail_group_limit: int = 1_000_000) -> DataFrame:
+def request_order(columns: list[str]) -> Column:
+    """The order of requests: ``seq``, then AdID (where they have one), then cost."""
+    return F.struct(F.col(_SEQ), *[F.col(c) for c in ("AdID",) if c in columns], F.col(_COST))
+
+
+def admission_decisions(requests: DataFrame, campaign: DataFrame, tail_group_limit: int = 1_000_000) -> DataFrame:
     """Decide every request. Output: request columns + ``admitted`` + ``Reason``.
 
-    requests: ``seq`` (unique, arrival order), ``CampaignID``, ``CostPerAd``, …
+    requests: ``seq`` (arrival order), ``CampaignID``, ``CostPerAd``, …
     campaign: ``CampaignID``, ``Budget``, ``CurrentBudget`` (spend so far).
-    max_rounds / tail_group_limit: parallel rounds run (at most
-    ``max_rounds``) while some campaign has more undecided requests than
-    ``tail_group_limit``; the exact tail decides the rest.
+    tail_group_limit: parallel rounds run while some campaign has more
+    undecided requests than this; no decision depends on it.
     """
     require_columns(requests, [_SEQ, _KEY, "CostPerAd"], "admission requests")
     require_columns(campaign, [_KEY, "Budget", "CurrentBudget"], "admission ledger")
+    ship_package(requests.sparkSession)
     req_cols = requests.columns
     ledger = campaign.select(
-        _KEY, (to_cents("Budget") - to_cents(F.coalesce("CurrentBudget", F.lit(0)))).alias(_ROOM))
+        _KEY, (to_cents("Budget") - to_cents(spend_so_far())).alias(_ROOM), F.lit(True).alias("_known"))
     j = requests.withColumn(_COST, to_cents("CostPerAd")).join(ledger, _KEY, "left")
     # Costs must be present and non-negative: the rounds rely on running sums
     # that only grow. Such requests spend nothing, like any rejection.
-    bad_cost = F.col(_COST).isNull() | (F.col(_COST) < 0)
-    parts = [_decided(j.where(bad_cost), False, INVALID_COST),
-             _decided(j.where(~bad_cost & F.col(_ROOM).isNull()), False, UNKNOWN_CAMPAIGN)]
-    cand = _checkpoint(j.where(~bad_cost & F.col(_ROOM).isNotNull()))
-
-    for _ in range(max_rounds):
-        biggest = cand.groupBy(_KEY).count().agg(F.max("count")).first()[0]
+    at_once = F.when(F.col(_COST).isNull() | (F.col(_COST) < 0), F.lit(INVALID_COST)) \
+        .when(F.col("_known").isNull(), F.lit(UNKNOWN_CAMPAIGN)) \
+        .when(F.col(_ROOM).isNull(), F.lit(NO_BUDGET)) \
+        .when(F.col(_COST) > F.col(_ROOM), F.lit(OVER_BUDGET))
+    j = j.withColumn("_at_once", at_once).drop("_known")
+    parts = [_decided(j.where("_at_once IS NOT NULL"), False, F.col("_at_once"))]
+    cand = j.where("_at_once IS NULL").withColumn(_ORDER, request_order(req_cols))
+
+    left = None
+    while True:
+        total, biggest = cand.groupBy(_KEY).count().agg(F.sum("count"), F.max("count")).first()
         if not biggest or biggest <= tail_group_limit:
             break
-        parts.append(_decided(cand.where(F.col(_COST) > F.col(_ROOM)), False, OVER_BUDGET))
+        if left is not None and left - total < left / 100:
+            log.info("a round decided %d of %d requests; the tail takes the rest", left - total, left)
+            break
+        left = total
         fits = cand.where(F.col(_COST) <= F.col(_ROOM))
-        summed = _checkpoint(running_sum(fits, _KEY, _SEQ, _COST, "_cum"))
-        parts.append(_decided(summed.where(F.col("_cum") <= F.col(_ROOM)), True, None).drop("_cum"))
+        parts.append(_decided(cand.where(F.col(_COST) > F.col(_ROOM)), False, OVER_BUDGET))
+        summed = _checkpoint(running_sum(fits, _KEY, _ORDER, _COST, "_cum"))
+        parts.append(_decided(summed.where(F.col("_cum") <= F.col(_ROOM)), True, None))
         over = summed.where(F.col("_cum") > F.col(_ROOM))
-        brk = over.groupBy(_KEY).agg(
-            F.min(_SEQ).alias("_brk_seq"),
-            F.min_by(F.col("_cum") - F.col(_COST), F.col(_SEQ)).alias("_spent_before"))
-        marked = over.join(brk, _KEY)
-        parts.append(_decided(marked.where(F.col(_SEQ) == F.col("_brk_seq")), False, OVER_BUDGET)
-                     .drop("_cum", "_brk_seq", "_spent_before"))
-        cand = _checkpoint(marked.where(F.col(_SEQ) > F.col("_brk_seq")).withColumn(
-            _ROOM, F.col(_ROOM) - F.col("_spent_before")).drop("_cum", "_brk_seq", "_spent_before"))
-
-    tail = cand.repartition(_KEY).sortWithinPartitions(_KEY, _SEQ)
+        # the first that does not fit: costs of 0 behind it have the same running sum, and always fit
+        first = over.groupBy(_KEY).agg(F.min("_cum").alias("_brk"),
+                                       F.min(F.col("_cum") - F.col(_COST)).alias("_spent_before"))
+        marked = over.join(first, _KEY)
+        breaks = (F.col("_cum") == F.col("_brk")) & (F.col(_COST) > 0)
+        parts.append(_decided(marked.where(breaks), False, OVER_BUDGET))
+        cand = _checkpoint(marked.where(~breaks).withColumn(
+            _ROOM, F.col(_ROOM) - F.col("_spent_before")).drop("_cum", "_brk", "_spent_before"))
+
+    tail = cand.select(*req_cols, _COST, _ROOM, _ORDER).repartition(_KEY).sortWithinPartitions(_KEY, _ORDER).drop(_ORDER)
     schema = StructType(tail.schema.fields + [StructField("admitted", BooleanType(), False)])
-    folded = tail.mapInPandas(_fold_tail(tail.columns), schema)
+    folded = tail.mapInArrow(_fold_tail(tail.columns), schema)
     parts.append(folded.withColumn("Reason", F.when(~F.col("admitted"), F.lit(OVER_BUDGET))))
 
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*req_cols, "admitted", "Reason")
+    out = None
+    for p in parts:
+        p = p.select(*req_cols, "admitted", "Reason")
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 def admit_ads(requests: DataFrame, campaign: DataFrame, materialize: bool = True,
               **kw) -> tuple[DataFrame, DataFrame]:
-    """(admitted, rejected). Admitted ads start with ConversionRate and
-    AttributedRevenue at 0 (set them with ``recalc_ad_metrics``).
+    """(admitted, rejected), with the requests' columns; ``writes.create_ads``
+    makes ads of the admitted.
 
     ``materialize`` checkpoints the decisions once so that reading both
     outputs does not decide twice; a caller that reads one can skip it.

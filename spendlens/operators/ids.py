@@ -24,15 +24,18 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str = "index",
     # Materialized once (to the shared checkpoint folder): two evaluations of
     # a range exchange may sample different bounds, and both uses must agree.
     shared_dir(spark)
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()) \
-        .checkpoint(eager=True)
-    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
+    # Numbers within a sorted partition need no second exchange: the upper bits
+    # of monotonically_increasing_id are the partition, the lower 33 the place.
+    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols) \
+        .withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True) \
+        .withColumn("_pid", F.shiftright("_at", 33))
+    local = ranged.withColumn("_rn", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return local.join(F.broadcast(offsets), "_pid") \
         .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint")) \
-        .drop("_pid", "_rn", "_off")
+        .drop("_at", "_pid", "_rn", "_off")
 
 
 def next_id(existing: DataFrame, id_col: str) -> int:

@@ -11,9 +11,10 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.metrics import money_sum, rounded_avg
+from ..functions.metrics import AVG_DIGITS, exact_mean, money_sum
 from ..tables import Tables
 from . import views as V
+from .writes import respread
 
 
 def _desc(c: str):
@@ -94,7 +95,8 @@ def campaigns_ending_soon(t: Tables, within_days: int, as_of: dt.date | None = N
     """EndDate on or after ``as_of`` and at most ``within_days`` away (today = 0)."""
     today = F.lit(as_of) if as_of is not None else F.current_date()
     days_left = F.datediff(F.col("EndDate"), today)
-    return t.campaign.where((F.col("EndDate") >= today) & (days_left <= F.lit(int(within_days)))).select(
+    last = F.date_add(today, int(within_days))  # both bounds are on the column, so both reach the scan
+    return t.campaign.where((F.col("EndDate") >= today) & (F.col("EndDate") <= last)).select(
         "CampaignID", "Objective", "EndDate", days_left.cast("int").alias("DaysLeft"),
     ).orderBy("DaysLeft", "CampaignID")
 
@@ -112,29 +114,31 @@ def underperforming_ads(t: Tables, factor: float = 0.5) -> DataFrame:
 
     Written as the aggregate-then-join the reference uses rather than a
     window: the per-campaign mean is a partial aggregation (a hot campaign
-    collapses map-side), and the join back is skew-split by AQE, whereas a
-    window would put a whole hot campaign into one task.
+    collapses map-side), and the join back is skew-split by AQE (the rollup is
+    dealt out anew for that), whereas a window would put a whole hot campaign
+    into one task. The mean is compared as it is and rounded only for display.
     """
     v = V.ad_performance_view(t).where(F.col("CampaignID").isNotNull())
-    avg = v.groupBy("CampaignID").agg(rounded_avg("CTR").alias("avg_ctr"))
-    return v.join(avg, "CampaignID").where(F.col("CTR") < F.col("avg_ctr") * F.lit(float(factor))).select(
-        "AdID", "AdName", "CampaignID", "CTR", "avg_ctr",
+    avg = v.groupBy("CampaignID").agg(exact_mean("CTR").alias("_mean"))
+    return v.join(respread(avg), "CampaignID").where(F.col("CTR") < F.col("_mean") * F.lit(float(factor))).select(
+        "AdID", "AdName", "CampaignID", "CTR", F.round("_mean", AVG_DIGITS).alias("avg_ctr"),
     ).orderBy("CTR", "AdID")
 
 
 def segment_platform_affinity(t: Tables, collation: str | None = None) -> DataFrame:
     """Orders ⋈ Customer ⋈ Segment ⋈ Campaign ⋈ Platform, grouped by names.
 
-    Orders meet the campaign side first (small, broadcastable when its size
-    allows), so the single big join — orders ⋈ customer — carries only four
-    narrow columns. ``collation`` (e.g. ``"UTF8_LCASE"``) groups names the
-    way a case-insensitive database collation would; default is binary.
+    Dimensions meet first (campaign ⋈ platform, customer ⋈ segment), so that
+    the orders cross two joins, on campaigns and on customers, and never an
+    exchange on the few platforms or segments. ``collation`` (e.g.
+    ``"UTF8_LCASE"``) groups names the way a case-insensitive database
+    collation would; default is binary.
     """
+    where = t.campaign.select("CampaignID", "PlatformID").join(t.platform, "PlatformID").drop("PlatformID")
+    who = t.customer.select("CustomerID", "SegmentID").join(
+        t.customer_segment.select("SegmentID", "SegmentName"), "SegmentID").drop("SegmentID")
     o = t.orders.select("OrderID", "CustomerID", "CampaignID", "TotalAmount")
-    o = o.join(t.campaign.select("CampaignID", "PlatformID"), "CampaignID")
-    o = o.join(t.platform, "PlatformID")
-    o = o.join(t.customer.select("CustomerID", "SegmentID"), "CustomerID")
-    o = o.join(t.customer_segment.select("SegmentID", "SegmentName"), "SegmentID")
+    o = o.join(where, "CampaignID").join(who, "CustomerID")
     if collation:
         o = o.withColumn("SegmentName", F.collate("SegmentName", collation)) \
             .withColumn("PlatformName", F.collate("PlatformName", collation))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.text import fixed, java_trim, key_value_line, template_line, as_text
+from ..functions.text import fixed, java_trim, key_value_line, plain, template_line, whole
 
 
 def report_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -53,11 +54,12 @@ REPORT_FORMATS = {
 _SPEC = re.compile(r"%(%|s|d|\.(\d+)f)")
 
 
-def format_line(fmt: str, columns: list[str]) -> F.Column:
+def format_line(fmt: str, columns: list[str], schema: StructType) -> F.Column:
     """A Java-style format string over columns, as one Column expression.
 
-    ``%s`` and ``%d`` print the value as text (NULL → ``null``), ``%.Nf``
-    prints N fixed decimals (half-up, via a decimal cast), ``%%`` is ``%``.
+    ``%s`` prints the value as plain text (NULL → ``null``, ratios with four
+    decimals), ``%d`` an integer (NULL → 0), ``%.Nf`` N fixed decimals
+    (half-up, via a decimal cast), ``%%`` is ``%``.
     """
     pieces: list = []
     pos, i = 0, 0
@@ -69,7 +71,10 @@ def format_line(fmt: str, columns: list[str]) -> F.Column:
             continue
         col = columns[i]
         i += 1
-        pieces.append(fixed(col, int(m.group(2))) if m.group(2) else as_text(col))
+        if m.group(2):
+            pieces.append(fixed(col, int(m.group(2))))
+        else:
+            pieces.append(whole(col) if m.group(1) == "d" else plain(col, schema[col].dataType))
     pieces.append(fmt[pos:])
     if i != len(columns):
         raise ValueError(f"format takes {i} values, got {len(columns)} columns")
@@ -79,7 +84,7 @@ def format_line(fmt: str, columns: list[str]) -> F.Column:
 def formatted_lines(df: DataFrame, report: str) -> DataFrame:
     """One report's rows in its fixed format."""
     fmt, cols = REPORT_FORMATS[report]
-    return df.select(format_line(fmt, cols).alias("line"))
+    return df.select(format_line(fmt, cols, df.schema).alias("line"))
 
 
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -91,20 +96,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def parse_report_lines(lines: DataFrame) -> DataFrame:
+def parse_report_lines(lines: DataFrame, header_line: str | None = None) -> DataFrame:
     """Lines back to a table of strings.
 
-    The header comes from the first line: split on ``|``, trim, cut at the
+    The header comes from the first line, which the caller gives
+    (``header_line``) where the lines have lost their order, as files read in
+    parallel have: split on ``|``, trim, cut at the
     first ``=``; a part without ``=`` is named ``Col{i}``. Each line's parts
     fill the header's columns (value after the first ``=``, or the whole
     part); missing parts are ``""``; extra parts are dropped. As with Java's
     ``split``, trailing empty parts do not count.
     """
-    first = lines.select("line").first()
-    if first is None:
-        return lines.sparkSession.createDataFrame([], "Result string")
+    if header_line is None:
+        first = lines.select("line").first()
+        if first is None:
+            return lines.sparkSession.createDataFrame([], "Result string")
+        header_line = first["line"]
     header = []
-    for i, part in enumerate(_java_split(first["line"])):
+    for i, part in enumerate(_java_split(header_line)):
         p = part.strip(_JAVA_WS)
         eq = p.find("=")
         header.append(p[:eq].strip(_JAVA_WS) if eq >= 0 else f"Col{i + 1}")

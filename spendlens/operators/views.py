@@ -96,8 +96,8 @@ def campaign_performance_view(t: Tables) -> DataFrame:
 def _allocated_performance(t: Tables, key: str, names: DataFrame, name_col: str) -> DataFrame:
     """Orders and revenue by a customer attribute (all orders, organic ones
     included); campaign spend allocated to it pro rata to each campaign's
-    revenue there (floor cents per campaign × group; organic orders carry
-    no spend).
+    revenue there (floor cents per campaign × group, the rest to its largest
+    group; organic orders carry no spend).
 
     The one big join is orders ⋈ customer on CustomerID (sort-merge, both
     sides shuffled once); it is reduced straight away to campaign × group
@@ -117,7 +117,14 @@ def _allocated_performance(t: Tables, key: str, names: DataFrame, name_col: str)
     rev_c_cents = (F.col("_rev_c") * F.lit(100)).cast("decimal(38,0)")
     alloc = F.when(rev_c_cents > 0,
                    share_of(F.coalesce("_spend_cents", F.lit(0)), rev_cents, rev_c_cents)).otherwise(F.lit(0))
-    g = g.withColumn("_alloc_cents", alloc)
+    # What the floors leave over goes to the campaign's largest share, so that
+    # its spend is allocated to the cent (windows over rolled-up rows, as above).
+    camp = Window.partitionBy("CampaignID")
+    g = g.withColumn("_floor", alloc).withColumn("_place", F.row_number().over(
+        camp.orderBy(F.col("_rev").desc(), F.col(key).asc_nulls_last())))
+    left_over = F.coalesce("_spend_cents", F.lit(0)) - F.sum("_floor").over(camp)
+    g = g.withColumn("_alloc_cents", F.col("_floor") + F.when(
+        (F.col("_place") == 1) & (rev_c_cents > 0), left_over).otherwise(F.lit(0)))
     agg = g.groupBy(key).agg(
         F.sum("_n").cast("bigint").alias("TotalOrders"),
         money_sum("_rev").alias("TotalRevenue"),
@@ -166,9 +173,10 @@ def product_performance_view(t: Tables) -> DataFrame:
 # --- V7 -------------------------------------------------------------------
 
 def campaign_by_segment_view(t: Tables) -> DataFrame:
-    o = t.orders.where(F.col("CampaignID").isNotNull())
-    o = o.join(t.customer.select("CustomerID", "SegmentID"), "CustomerID")
-    o = o.join(t.customer_segment, "SegmentID")
+    # Dimensions first: the orders cross one exchange for their joins, on a key
+    # of customer grain, and never one on the few segment ids.
+    who = t.customer.select("CustomerID", "SegmentID").join(t.customer_segment, "SegmentID").drop("SegmentID")
+    o = t.orders.where(F.col("CampaignID").isNotNull()).join(who, "CustomerID")
     return o.groupBy("CampaignID", "SegmentName", "AgeGroup", "IncomeCategory").agg(
         F.count_distinct("OrderID").alias("Orders"),
         money_sum("TotalAmount").alias("Revenue"),

@@ -13,17 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.metrics import ratio
-from ..functions.money import from_cents, share_of
+from ..functions.money import from_cents, share_of, spend_so_far
 from ..schema import AD, CAMPAIGN, CAMPAIGN_PRODUCT, conform
 from ..tables import Tables
+from .admission import admit_ads
 from .checks import require_columns
 from .ids import assign_ids
 
 
 def latest_per_key(requests: DataFrame, keys: list[str], values: list[str], seq: str = "seq") -> DataFrame:
-    """One row per key holding the values of the highest ``seq``."""
-    packed = F.max_by(F.struct(*[F.col(v) for v in values]), F.col(seq)).alias("_v")
-    return requests.groupBy(*keys).agg(packed).select(
+    """One row per key holding the values of the highest ``seq``. A request
+    without ``seq`` has no place in the order and changes nothing; of requests
+    with one ``seq`` the greatest values win."""
+    packed = F.max_by(F.struct(*[F.col(v) for v in values]),
+                      F.struct(F.col(seq).alias("_seq"), *[F.col(v) for v in values])).alias("_v")
+    return requests.where(F.col(seq).isNotNull()).groupBy(*keys).agg(packed).select(
         *keys, *[F.col(f"_v.{v}").alias(v) for v in values], F.lit(True).alias("_matched"))
 
 
@@ -65,25 +69,54 @@ def update_budgets(t: Tables, requests: DataFrame) -> DataFrame:
 
 # --- W5 / W4: ad metrics -----------------------------------------------------
 
+def respread(rollup: DataFrame) -> DataFrame:
+    """A rollup dealt out anew before it joins its facts. AQE splits a hot key
+    of a sort-merge join only where both sides come straight from a shuffle;
+    an aggregate that sits on its own shuffle would keep the key in one task.
+    The rollup is small, so the extra exchange costs little."""
+    return rollup.repartition(int(rollup.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _campaign_shares(ad: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per campaign: clicks, orders, revenue cents, and what floor shares leave
+    over with the ad that gets it. Ads are rolled up to (campaign, clicks)
+    first, since ads of equal clicks have equal shares."""
+    by_clicks = ad.where(F.col("Clicks") > 0).groupBy("CampaignID", "Clicks").agg(
+        F.count(F.lit(1)).alias("_ads"), F.min("AdID").alias("_ad"))
+    clicks = by_clicks.groupBy("CampaignID").agg(
+        F.sum(F.col("Clicks") * F.col("_ads")).alias("_camp_clicks"),
+        F.max_by("_ad", "Clicks").alias("_top_ad"))
+    revenue = orders.where(F.col("CampaignID").isNotNull()).groupBy("CampaignID").agg(
+        F.count(F.lit(1)).alias("_camp_orders"),
+        (F.coalesce(F.sum("TotalAmount"), F.lit(0)) * F.lit(100)).cast("decimal(38,0)").alias("_rev_cents"))
+    camp = clicks.join(revenue, "CampaignID", "left")
+    floors = by_clicks.join(respread(camp.select("CampaignID", "_camp_clicks", "_rev_cents")), "CampaignID") \
+        .groupBy("CampaignID").agg(F.sum(F.col("_ads") * share_of(
+            F.coalesce("_rev_cents", F.lit(0)), "Clicks", "_camp_clicks")).alias("_floors"))
+    return camp.join(floors, "CampaignID").withColumn(
+        "_left_over", (F.coalesce("_rev_cents", F.lit(0)) - F.col("_floors")).cast("bigint")).drop("_floors")
+
+
 def recalc_ad_metrics(t: Tables, ad: DataFrame | None = None, only: DataFrame | None = None,
                       flag: str | None = None) -> DataFrame:
     """Recompute ConversionRate and AttributedRevenue from current counters.
 
     AttributedRevenue = campaign order revenue × the ad's share of campaign
-    clicks (floor cents); ConversionRate = campaign orders × click share /
+    clicks, in floor cents; the cents the floors leave over go to the ad with
+    the most clicks (then the smallest AdID), so a campaign's revenue is
+    attributed to the cent. ConversionRate = campaign orders × click share /
     ad clicks = campaign orders / campaign clicks. 0 when there are no clicks.
     Restrict the recalculation (others keep their values) with ``only``, a
     DataFrame of AdIDs, or ``flag``, a boolean column of ``ad``.
+
+    Everything of campaign grain is joined first; ads meet it once.
     """
     ad = ad if ad is not None else t.ad
-    clicks = ad.groupBy("CampaignID").agg(F.sum("Clicks").alias("_camp_clicks"))
-    orders = t.orders.where(F.col("CampaignID").isNotNull()).groupBy("CampaignID").agg(
-        F.count(F.lit(1)).alias("_camp_orders"),
-        (F.coalesce(F.sum("TotalAmount"), F.lit(0)) * F.lit(100)).cast("decimal(38,0)").alias("_rev_cents"))
-    j = ad.join(clicks, "CampaignID", "left").join(orders, "CampaignID", "left")
+    j = ad.join(respread(_campaign_shares(ad, t.orders)), "CampaignID", "left")
     has_clicks = F.coalesce(F.col("_camp_clicks"), F.lit(0)) > 0
-    revenue = F.when(has_clicks, from_cents(
-        share_of(F.coalesce("_rev_cents", F.lit(0)), "Clicks", "_camp_clicks"), 18)).otherwise(F.lit(0))
+    share = share_of(F.coalesce("_rev_cents", F.lit(0)), F.coalesce("Clicks", F.lit(0)), "_camp_clicks")
+    share = share + F.when(F.col("AdID") == F.col("_top_ad"), F.col("_left_over")).otherwise(F.lit(0))
+    revenue = F.when(has_clicks, from_cents(share, 18)).otherwise(F.lit(0))
     conv = F.when(has_clicks & (F.col("Clicks") > 0),
                   ratio(F.coalesce("_camp_orders", F.lit(0)), "_camp_clicks")).otherwise(F.lit(0.0))
     hit = None
@@ -127,39 +160,42 @@ def price(pairs: DataFrame, product: DataFrame) -> DataFrame:
     return conform(j.withColumn("SellingPrice", selling_price("MRP", "Discount")), CAMPAIGN_PRODUCT)
 
 
-def price_campaign_products(t: Tables, requests: DataFrame,
-                            drop_existing: bool = True) -> tuple[DataFrame, DataFrame]:
+def price_campaign_products(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Insert campaign–product links with SellingPrice computed at insert.
 
-    Returns (new snapshot, rejects). Rejected: a pair already present (or
-    repeated within the batch: the lowest ``seq`` wins), or an unknown product.
+    Returns (new snapshot: all links there were and the new ones, rejects:
+    every request that made no link, with a Reason). Requests need ``seq``. Of
+    requests for one pair the lowest ``seq`` is tried (then the smallest
+    discount); the others are duplicates, each of them, also where requests
+    are alike in every column.
     """
     keys = ["CampaignID", "ProductID"]
-    require_columns(requests, [*keys, "Discount"], "price_campaign_products requests")
-    req = requests
-    if "seq" in req.columns:
-        first = F.min_by(F.struct("Discount", "seq"), "seq").alias("_v")
-        dedup = req.groupBy(*keys).agg(first).select(*keys, "_v.Discount", "_v.seq")
-        dup_in_batch = req.join(dedup.select(*keys, F.col("seq").alias("_keep")), keys) \
-            .where(F.col("seq") != F.col("_keep")).drop("_keep") \
-            .withColumn("Reason", F.lit("duplicate request in batch"))
-        req = dedup
-    else:
-        dup_in_batch = None
-    if drop_existing:
-        existing = t.campaign_product.select(*keys)
-        dup = req.join(existing, keys, "left_semi").withColumn("Reason", F.lit("pair already exists"))
-        req = req.join(existing, keys, "left_anti")
-    else:
-        dup = None
-    unknown = req.join(t.product.select("ProductID"), "ProductID", "left_anti") \
-        .withColumn("Reason", F.lit("unknown product"))
-    priced = price(req, t.product)
-    snapshot = t.campaign_product.unionByName(priced) if drop_existing else priced
-    rejects = unknown
-    for r in (dup, dup_in_batch):
-        if r is not None:
-            rejects = rejects.unionByName(r, allowMissingColumns=True)
+    require_columns(requests, [*keys, "seq", "Discount"], "price_campaign_products requests")
+    columns = requests.columns
+    alike = requests.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    rest = [F.col(c) for c in columns if c not in (*keys, "seq", "Discount")]
+    first = alike.where(F.col("seq").isNotNull()).groupBy(*keys).agg(
+        F.min(F.struct("seq", "Discount", *rest)).alias("_first")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
+    same_pair = F.col("CampaignID").eqNullSafe(F.col("_CampaignID")) & F.col("ProductID").eqNullSafe(F.col("_ProductID"))
+    tried = alike.join(first, same_pair, "left").withColumn("_tried", F.coalesce(
+        F.col("seq").isNotNull() & F.struct("seq", "Discount", *rest).eqNullSafe(F.col("_first")), F.lit(False)))
+    links = t.campaign_product.select(*keys, F.lit(True).alias("_there"))
+    known = t.product.select("ProductID", F.lit(True).alias("_known"))
+    checked = tried.join(links, keys, "left").join(known, "ProductID", "left")
+    reason = F.when(F.col("seq").isNull(), F.lit("missing seq")) \
+        .when(~F.col("_tried"), F.lit("duplicate request in batch")) \
+        .when(F.col("_there"), F.lit("pair already exists")) \
+        .when(F.col("_known").isNull() | F.col("CampaignID").isNull(), F.lit("unknown product"))
+    made = checked.where(reason.isNull())
+    snapshot = t.campaign_product.unionByName(price(made.select(*keys, "Discount"), t.product))
+    # of requests alike in every column one makes the link, the others are duplicates
+    lost = checked.select(*columns, reason.alias("Reason"), F.col("_n").alias("_copies")).where("Reason IS NOT NULL")
+    spare = checked.where(F.col("_tried") & (F.col("_n") > 1)).select(
+        *columns, F.lit("duplicate request in batch").alias("Reason"), (F.col("_n") - 1).alias("_copies"))
+    lost = lost.withColumn("_copies", F.when(F.col("Reason").isin("pair already exists", "unknown product"), F.lit(1))
+                           .otherwise(F.col("_copies")))
+    rejects = lost.unionByName(spare).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))) \
+        .select(*columns, "Reason")
     return snapshot, rejects
 
 
@@ -188,12 +224,12 @@ def stale_prices(t: Tables) -> DataFrame:
 # --- W9 -----------------------------------------------------------------------
 
 def campaign_spend_ledger(t: Tables, admitted: DataFrame) -> DataFrame:
-    """CurrentBudget grows by the cost of every admitted ad."""
+    """CurrentBudget grows by the cost of every admitted ad (NULL spend is 0)."""
     spent = admitted.groupBy("CampaignID").agg(F.sum("CostPerAd").alias("_add"))
     j = t.campaign.join(spent, "CampaignID", "left")
     return j.select(
         "CampaignID", "Budget",
-        (F.col("CurrentBudget") + F.coalesce("_add", F.lit(0))).cast("decimal(14,2)").alias("CurrentBudget"))
+        (spend_so_far() + F.coalesce("_add", F.lit(0))).cast("decimal(14,2)").alias("CurrentBudget"))
 
 
 def with_spend(t: Tables, admitted: DataFrame) -> DataFrame:
@@ -201,3 +237,18 @@ def with_spend(t: Tables, admitted: DataFrame) -> DataFrame:
     led = campaign_spend_ledger(t, admitted).select("CampaignID", F.col("CurrentBudget").alias("_cb"))
     return conform(t.campaign.join(led, "CampaignID").withColumn("CurrentBudget", F.col("_cb")), CAMPAIGN)
 
+
+# --- W3 end to end --------------------------------------------------------------
+
+def create_ads(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Create ads from requests without AdID.
+
+    Returns (new ad snapshot, rejects with Reason, new campaign snapshot).
+    Admitted requests get the next AdIDs in request order, as ads whose
+    ConversionRate and AttributedRevenue are 0; rejected ones use up no id.
+    """
+    require_columns(requests, ["seq", "CampaignID", "AdName", "Impressions", "Clicks", "CostPerAd"], "create_ads requests")
+    admitted, rejected = admit_ads(requests, t.campaign)
+    new = assign_ids(t.ad.select("AdID"), admitted, "AdID", ["seq", "CampaignID", "AdName"])
+    new = new.withColumns({"ConversionRate": F.lit(0.0), "AttributedRevenue": F.lit(0)})
+    return t.ad.unionByName(conform(new, AD)), rejected, with_spend(t, admitted)

@@ -3,7 +3,7 @@
 The fixture mapping is written here a second time, in SQL, independent of
 the DataFrame code in ``sources/driver.py``. Money stays exact (decimal or
 integer cents); every ratio is the same single IEEE multiply-then-divide as
-on the Spark side; averages are rounded to 6 digits on both sides.
+on the Spark side; means are summed in decimal on both sides.
 """
 
 from __future__ import annotations
@@ -38,11 +38,22 @@ def _recalc(src: str, touched: str = "TRUE") -> str:
       a.CostPerAd,
       CASE WHEN {touched} THEN
         CASE WHEN COALESCE(cc.cc, 0) > 0
-             THEN {cents_to('COALESCE(co.rc, 0) * a.Clicks // cc.cc', 18)}
+             THEN {cents_to("a.floor_share + CASE WHEN a.place = 1 THEN COALESCE(co.rc, 0) - cc.floors ELSE 0 END", 18)}
              ELSE CAST(0 AS DECIMAL(18,2)) END
       ELSE a.AttributedRevenue END AS AttributedRevenue
-    FROM {src} a
-    LEFT JOIN (SELECT CampaignID, SUM(Clicks) AS cc FROM {src} GROUP BY CampaignID) cc
+    FROM (SELECT x.*, ROW_NUMBER() OVER (PARTITION BY x.CampaignID ORDER BY x.Clicks DESC, x.AdID) AS place,
+                 CASE WHEN t.cc > 0 THEN COALESCE(o.rc, 0) * x.Clicks // t.cc ELSE 0 END AS floor_share
+          FROM {src} x
+          LEFT JOIN (SELECT CampaignID, SUM(Clicks) AS cc FROM {src} GROUP BY CampaignID) t
+            ON t.CampaignID = x.CampaignID
+          LEFT JOIN m_camp_orders o ON o.CampaignID = x.CampaignID) a
+    LEFT JOIN (SELECT y.CampaignID, SUM(y.Clicks) AS cc,
+                      SUM(CASE WHEN z.cc > 0 THEN COALESCE(o2.rc, 0) * y.Clicks // z.cc ELSE 0 END) AS floors
+               FROM {src} y
+               JOIN (SELECT CampaignID, SUM(Clicks) AS cc FROM {src} GROUP BY CampaignID) z
+                 ON z.CampaignID = y.CampaignID
+               LEFT JOIN m_camp_orders o2 ON o2.CampaignID = y.CampaignID
+               GROUP BY y.CampaignID) cc
       ON cc.CampaignID = a.CampaignID
     LEFT JOIN m_camp_orders co ON co.CampaignID = a.CampaignID"""
 
@@ -159,12 +170,16 @@ def _allocated(key: str, names: str, name_col: str) -> str:
                      FROM m_orders o JOIN m_customer cu ON cu.CustomerID = o.CustomerID
                      GROUP BY o.CampaignID, cu.{key}"""),
         ("m_sc", "SELECT CampaignID, SUM(CAST(CostPerAd * 100 AS BIGINT)) AS spend_cents FROM m_ad GROUP BY CampaignID"),
-        ("m_alloc", """SELECT g.g, g.n, g.rev,
+        ("m_floor", """SELECT g.CampaignID, g.g, g.n, g.rev, CAST(g.rev_c * 100 AS HUGEINT) AS rev_cents,
+                        COALESCE(s.spend_cents, 0) AS spend_cents,
+                        ROW_NUMBER() OVER (PARTITION BY g.CampaignID ORDER BY g.rev DESC, g.g NULLS FIRST) AS place,
                         CASE WHEN CAST(g.rev_c * 100 AS HUGEINT) > 0
                              THEN CAST(COALESCE(s.spend_cents, 0) AS HUGEINT) * CAST(g.rev * 100 AS HUGEINT)
                                   // CAST(g.rev_c * 100 AS HUGEINT)
-                             ELSE 0 END AS alloc
+                             ELSE 0 END AS share
                        FROM m_og g LEFT JOIN m_sc s ON s.CampaignID = g.CampaignID"""),
+        ("m_alloc", """SELECT g, n, rev, share + CASE WHEN place = 1 AND rev_cents > 0
+                        THEN spend_cents - SUM(share) OVER (PARTITION BY CampaignID) ELSE 0 END AS alloc FROM m_floor"""),
         ("m_grp", f"""SELECT n.{name_col}, CAST(SUM(a.n) AS BIGINT) AS TotalOrders,
                         {money_sum('a.rev')} AS TotalRevenue, {cents_to('SUM(a.alloc)', 38)} AS TotalSpend
                       FROM m_alloc a JOIN {names} n ON n.{key} = a.g GROUP BY n.{key}, n.{name_col}"""),
@@ -200,6 +215,13 @@ R10_BODY = f"""SELECT cs.SegmentName, pl.PlatformName, COUNT(DISTINCT o.OrderID)
   JOIN m_segment cs ON cs.SegmentID = cu.SegmentID
   GROUP BY cs.SegmentName, pl.PlatformName"""
 
+# The mean of CTR, summed exactly (a double's shortest decimal), compared unrounded.
+R9_CTE = [("v", f"SELECT * FROM ({V1}) x WHERE CampaignID IS NOT NULL"),
+          ("v_mean", """SELECT CampaignID, CAST(CAST(SUM(CAST(CAST(CTR AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE)
+                                / COUNT(CTR) AS mean FROM v GROUP BY CampaignID""")]
+UNDERPERFORMING = """SELECT v.AdID, v.AdName, v.CampaignID, v.CTR, ROUND(a.mean, 6) AS avg_ctr
+  FROM v JOIN v_mean a ON a.CampaignID = v.CampaignID WHERE v.CTR < a.mean * 0.5"""
+
 LIST_CAMPAIGNS = "SELECT CampaignID, PlatformID, StartDate, EndDate, Budget, CurrentBudget, Objective FROM m_campaign"
 
 
@@ -236,6 +258,33 @@ LEDGER = _with("""SELECT c.CampaignID, c.Budget, CAST(c.CurrentBudget + COALESCE
   ON a.CampaignID = c.CampaignID""", _fold_ctes(), "empty", True)
 
 
+CREATE_ADS = _with("""SELECT AdID, CampaignID, AdName, Impressions, Clicks, ConversionRate, CostPerAd, AttributedRevenue
+  FROM m_ad
+  UNION ALL
+  SELECT CAST((SELECT MAX(AdID) FROM m_ad) + ROW_NUMBER() OVER (ORDER BY a.seq) AS BIGINT), m.CampaignID, m.AdName,
+         m.Impressions, m.Clicks, CAST(0 AS DOUBLE), m.CostPerAd, CAST(0 AS DECIMAL(18,2))
+  FROM admitted a JOIN m_ad m ON m.AdID = a.seq""", _fold_ctes(), "empty", True)
+
+# Two runs: up to the middle of seq budgets are half and campaigns ending in 7 unknown.
+STREAM_BUDGETS = _with("""SELECT r.seq, r.AdID, r.CampaignID, r.CostPerAd, COALESCE(f.admitted, FALSE) AS admitted,
+    CASE WHEN f.seq IS NULL THEN 'Unknown campaign' WHEN NOT f.admitted THEN 'Campaign budget exceeded' END AS Reason
+  FROM bounded r LEFT JOIN bfold f ON f.seq = r.seq""", [
+    ("bounded", """SELECT AdID AS seq, AdID, CampaignID, CostPerAd, CAST(CostPerAd * 100 AS BIGINT) AS cents,
+                          AdID * 2 <= (SELECT MAX(AdID) FROM m_ad) AS early FROM m_ad"""),
+    ("known", """SELECT b.*, ROW_NUMBER() OVER (PARTITION BY b.CampaignID ORDER BY b.seq) AS rn,
+                        CASE WHEN b.early THEN CAST(c.Budget * 100 AS BIGINT) // 2
+                             ELSE CAST(c.Budget * 100 AS BIGINT) END AS budget
+                 FROM bounded b JOIN m_campaign c ON c.CampaignID = b.CampaignID
+                 WHERE NOT (b.early AND b.CampaignID % 10 = 7)"""),
+    ("bfold", """
+        SELECT CampaignID, rn, seq, CASE WHEN cents <= budget THEN cents ELSE 0 END AS spent, cents <= budget AS admitted
+        FROM known WHERE rn = 1
+        UNION ALL
+        SELECT k.CampaignID, k.rn, k.seq, CASE WHEN f.spent + k.cents <= k.budget THEN f.spent + k.cents ELSE f.spent END,
+               f.spent + k.cents <= k.budget
+        FROM bfold f JOIN known k ON k.CampaignID = f.CampaignID AND k.rn = f.rn + 1""")], "empty", True)
+
+
 # --- writes ------------------------------------------------------------------------
 
 NEW_CAMPAIGNS = [("newc", """SELECT CampaignID AS seq,
@@ -268,6 +317,19 @@ RECALC_AD_METRICS = _with(_recalc("m_ad_upd"), AD_UPD)
 
 PRICE = _with("SELECT CampaignID, ProductID, Discount, SellingPrice FROM m_cp")
 
+PRICE_REJECTS = _with("""SELECT seq, CampaignID, ProductID, Discount, Reason FROM (
+    SELECT *, CASE WHEN seq IS NULL THEN 'missing seq' WHEN place > 1 THEN 'duplicate request in batch'
+                   WHEN (CampaignID, ProductID) IN (SELECT (CampaignID, ProductID) FROM m_cp WHERE ProductID % 2 = 0)
+                   THEN 'pair already exists'
+                   WHEN ProductID NOT IN (SELECT ProductID FROM m_product) THEN 'unknown product' END AS Reason
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY CampaignID, ProductID ORDER BY seq NULLS LAST, Discount) AS place
+          FROM preq) p) q WHERE Reason IS NOT NULL""", [
+    ("preq0", """SELECT CASE WHEN ProductID % 11 = 0 THEN NULL ELSE ProductID END AS seq, CampaignID,
+                        CASE WHEN ProductID % 7 = 0 THEN ProductID + 1000000000000 ELSE ProductID END AS ProductID,
+                        Discount FROM m_cp"""),
+    ("preq", """SELECT * FROM preq0
+                UNION ALL SELECT seq + 1, CampaignID, ProductID, Discount FROM preq0 WHERE ProductID % 2 = 1""")])
+
 CP_UPD = [("m_cp_upd", """SELECT CampaignID, ProductID,
     CASE WHEN Discount = 0 THEN CAST(5 AS DECIMAL(5,2)) ELSE Discount END AS Discount,
     SellingPrice FROM m_cp""")]
@@ -356,6 +418,9 @@ PRESENTED: dict[str, tuple[list[str], list[str]]] = {
     'recalc_ad_metrics': (['CostPerAd', 'AttributedRevenue'], []),
     'price_campaign_products': (['Discount', 'SellingPrice'], []),
     'update_discounts': (['Discount', 'SellingPrice'], []),
+    'create_ads': (['CostPerAd', 'AttributedRevenue'], []),
+    'price_rejects': (['Discount'], []),
+    'stream_budget_changes': (['CostPerAd'], []),
     'stale_prices': (['Discount', 'SellingPrice', 'ExpectedPrice'], []),
     'campaign_spend_ledger': (['Budget', 'CurrentBudget'], []),
     'stream_admit_ads': (['CostPerAd'], []),
@@ -402,10 +467,7 @@ _ORACLE: dict[str, str] = {
       WHERE EndDate >= DATE '2001-07-20' AND date_diff('day', DATE '2001-07-20', EndDate) <= 14"""),
     "top_ads_by_roas": _with(f"""SELECT AdID, AdName, CampaignID, ROAS, CostPerAd, AttributedRevenue
       FROM ({V1}) v WHERE ROAS IS NOT NULL ORDER BY ROAS DESC, AdID LIMIT 10"""),
-    "underperforming_ads": _with(f"""SELECT v.AdID, v.AdName, v.CampaignID, v.CTR, a.avg_ctr
-      FROM v JOIN (SELECT CampaignID, ROUND(AVG(CTR), 6) AS avg_ctr FROM v GROUP BY CampaignID) a
-      ON a.CampaignID = v.CampaignID WHERE v.CTR < a.avg_ctr * 0.5""",
-                                 [("v", f"SELECT * FROM ({V1}) x WHERE CampaignID IS NOT NULL")]),
+    "underperforming_ads": _with(UNDERPERFORMING, R9_CTE),
     "segment_platform_affinity": _with(R10_BODY),
     "create_campaigns": CREATE,
     "assign_ids": ASSIGN,
@@ -419,9 +481,48 @@ _ORACLE: dict[str, str] = {
     "stale_prices": STALE,
     "campaign_spend_ledger": LEDGER,
     "digest_match": DIGEST,
+    "create_ads": CREATE_ADS,
+    "price_rejects": PRICE_REJECTS,
+    "stream_budget_changes": STREAM_BUDGETS,
     "stream_admit_ads": ADMIT,
     "stream_ad_metrics": STREAM_METRICS,
 }
 
 
+def _line(fmt: str, columns: list[str], ratios: tuple[str, ...]) -> str:
+    """A report's format as a SQL expression (written apart from the Spark side's)."""
+    out, rest, names = [], fmt, iter(columns)
+    while "%" in rest:
+        text, _, rest = rest.partition("%")
+        if text:
+            out.append("'" + text.replace("'", "''") + "'")
+        if rest.startswith("%"):
+            out.append("'%'")
+            rest = rest[1:]
+        elif rest.startswith("s"):
+            c = next(names)
+            out.append(_txt(f"CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,4))" if c in ratios else c))
+            rest = rest[1:]
+        elif rest.startswith("d"):
+            out.append(f"COALESCE(CAST({next(names)} AS VARCHAR), '0')")
+            rest = rest[1:]
+        else:
+            digits = rest[1:rest.index("f")]
+            out.append(_txt(f"CAST(CAST({next(names)} AS VARCHAR) AS DECIMAL(38,{digits}))"))
+            rest = rest[rest.index("f") + 1:]
+    if rest:
+        out.append("'" + rest + "'")
+    return " || ".join(out)
+
+
+def _all_lines() -> str:
+    from ..operators.text import REPORT_FORMATS
+    ratios = ("CTR", "ConversionRate", "CostPerClick", "ROAS", "ROIPercent", "BudgetUtilizationPct", "avg_ctr")
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS report, {_line(fmt, cols, ratios)} AS line FROM (\n{_ORACLE[name]}\n) r"
+        for name, (fmt, cols) in REPORT_FORMATS.items())
+
+
+_ORACLE["report_lines_all"] = _all_lines()
+
 ORACLE: dict[str, str] = {key: _present(key, sql) for key, sql in _ORACLE.items()}

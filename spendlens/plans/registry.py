@@ -13,15 +13,17 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, DecimalType
 
+from ..functions.money import from_cents, intdiv, to_cents
 from ..operators import reports as R
 from ..operators import views as V
 from ..operators import writes as W
 from ..operators.admission import admit_ads
 from ..operators.digest import digest_match
 from ..operators.ids import assign_ids
-from ..operators.text import formatted_lines, parse_report_lines, report_lines
+from ..operators.text import REPORT_FORMATS, formatted_lines, parse_report_lines, read_lines, report_lines, write_lines
 from ..schema import CAMPAIGN_PRODUCT
 from ..session import scratch_path
+from ..sources.model import read_table
 from ..sources.driver import AS_OF, ad_requests, model_from_driver, read_driver_table
 from ..streaming import admission as T1
 from ..streaming import metrics_feed as T2
@@ -122,18 +124,77 @@ def recalculated_ads(spark, t):
 
 def priced_links(spark, t):
     empty = spark.createDataFrame([], CAMPAIGN_PRODUCT)
-    requests = t.campaign_product.select("CampaignID", "ProductID", "Discount")
+    requests = t.campaign_product.select(F.col("ProductID").alias("seq"), "CampaignID", "ProductID", "Discount")
     snapshot, _ = W.price_campaign_products(t.with_(campaign_product=empty), requests)
     return snapshot
 
 
+def price_requests(t) -> DataFrame:
+    """Every link requested again where its product is even, its lowest
+    discount counting; where it is odd the link is new, and asked for twice.
+    Every seventh product is unknown, every eleventh request has no seq."""
+    p = F.col("ProductID")
+    asked = t.campaign_product.select(
+        F.when(p % 11 == 0, F.lit(None)).otherwise(p).cast("bigint").alias("seq"), "CampaignID",
+        F.when(p % 7 == 0, p + F.lit(UNKNOWN_OFFSET)).otherwise(p).alias("ProductID"), "Discount")
+    return asked.unionByName(asked.where(p % 2 == 1).withColumn("seq", F.col("seq") + 1))
+
+
+def present_links(t):
+    """The bundle with the links of even products only."""
+    return t.with_(campaign_product=t.campaign_product.where(F.col("ProductID") % 2 == 0))
+
+
+def price_rejects(spark, t):
+    return W.price_campaign_products(present_links(t), price_requests(t))[1]
+
+
+def created_ads(spark, t):
+    """Every ad requested once more, against an empty ledger."""
+    t = fresh_ledger(t)
+    return W.create_ads(t, ad_requests(t).drop("AdID"))[0]
+
+
 def stale_after_discounts(spark, t):
     t2 = t.with_(campaign_product=W.update_discounts(t, discount_requests(t)))
     return W.stale_prices(t2)
 
 
+AFFINITY = ["SegmentName", "PlatformName", "Orders", "Revenue"]
+
+
 def affinity_lines(spark, t):
-    return report_lines(R.segment_platform_affinity(t))
+    """The report's lines through a text file and back."""
+    path = scratch_path(spark, "lines")
+    write_lines(report_lines(R.segment_platform_affinity(t)), path)
+    return read_lines(spark, path)
+
+
+def parsed_lines(spark, t):
+    header = " | ".join(f"{c}=" for c in AFFINITY)
+    return parse_report_lines(affinity_lines(spark, t), header)
+
+
+REPORT_PARAMS = {"campaign_products": (CAMPAIGN,), "campaign_by_segment": (CAMPAIGN,), "budget_alerts": (THRESHOLD_PCT,),
+                 "campaigns_ending_soon": (WITHIN_DAYS, AS_OF), "top_ads_by_roas": (TOP_N,),
+                 "underperforming_ads": (FACTOR,)}
+
+
+def all_report_lines(spark, t):
+    """Every report that has a format of its own, as its lines."""
+    out = None
+    for name in REPORT_FORMATS:
+        lines = formatted_lines(R.run_report(t, name, *REPORT_PARAMS.get(name, ())), name) \
+            .select(F.lit(name).alias("report"), "line")
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
+def stored_campaigns(spark, t):
+    """The campaign table written and read as a model table."""
+    root = scratch_path(spark, "model")
+    t.campaign.write.parquet(f"{root}/campaign")
+    return R.list_campaigns(t.with_(campaign=read_table(spark, root, "campaign")))
 
 
 def streamed_admissions(spark, t, chunks: int = 3):
@@ -148,14 +209,32 @@ def streamed_admissions(spark, t, chunks: int = 3):
     return decisions.where("admitted").select("seq", "AdID", "CampaignID", "CostPerAd")
 
 
+def streamed_budget_changes(spark, t, api: str = "transformWithState"):
+    """Requests in two runs. In the first, budgets are half of what they are
+    in the second, and every campaign whose id ends in 7 does not exist yet."""
+    req = _requests(fresh_ledger(t))
+    full = fresh_ledger(t).campaign
+    half = full.where(F.col("CampaignID") % 10 != 7).withColumn(
+        "Budget", from_cents(intdiv(to_cents("Budget"), 2), 14))
+    bound = req.agg(F.max("seq")).first()[0] or 0
+    root = scratch_path(spark, "stream-budgets")
+    early = F.col("seq") * 2 <= F.lit(bound)
+    with T1.rocksdb_state_store(spark):
+        for part, ledger in ((req.where(early), half), (req.where(~early), full)):
+            part.write.mode("append").parquet(f"{root}/in")
+            T1.run_admission(spark, f"{root}/in", req.schema, ledger, f"{root}/out", f"{root}/chk", api=api)
+    return spark.read.schema(T1.DECISION).parquet(f"{root}/out")
+
+
 OPERATORS: dict[str, Callable] = {
     # S1–S6
-    "load_campaigns": lambda s, t: R.list_campaigns(t),
+    "load_campaigns": stored_campaigns,
     "view_catalog": view_catalog_read,
     "ad_performance_bound": lambda s, t: R.ad_performance_bound(s, t, CAMPAIGN),
     "report_lines": affinity_lines,
-    "report_lines_parse": lambda s, t: parse_report_lines(affinity_lines(s, t)),
+    "report_lines_parse": parsed_lines,
     "report_lines_fmt": lambda s, t: formatted_lines(R.segment_platform_affinity(t), "segment_platform_affinity"),
+    "report_lines_all": all_report_lines,
     # V1–V7
     "vw_ad_performance": lambda s, t: V.ad_performance_view(t),
     "vw_campaign_performance": lambda s, t: V.campaign_performance_view(t),
@@ -186,14 +265,17 @@ OPERATORS: dict[str, Callable] = {
     "update_budgets": lambda s, t: W.update_budgets(t, budget_requests(t)),
     "admit_ads": admitted_ads,
     "rejected_ads": rejected_ads,
+    "create_ads": created_ads,
     "update_ad_metrics": lambda s, t: W.update_ad_metrics(t, ad_metric_requests(t)),
     "recalc_ad_metrics": recalculated_ads,
     "price_campaign_products": priced_links,
+    "price_rejects": price_rejects,
     "update_discounts": lambda s, t: W.update_discounts(t, discount_requests(t)),
     "stale_prices": stale_after_discounts,
     "campaign_spend_ledger": spend_ledger,
     # T1
     "stream_admit_ads": streamed_admissions,
+    "stream_budget_changes": streamed_budget_changes,
 }
 
 

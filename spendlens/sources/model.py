@@ -29,9 +29,14 @@ def write_model(t: Tables, root: str, mode: str = "errorifexists") -> None:
             df.write.mode(mode).parquet(f"{root}/{name}")
 
 
+FACTS = ("ad", "orders", "order_line", "campaign_product", "customer")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, dbtable: str | None = None,
               properties: dict | None = None, partition_column: str | None = None,
               lower: int | None = None, upper: int | None = None, partitions: int | None = None) -> DataFrame:
+    if table in FACTS and not (partition_column and lower is not None and upper is not None):
+        raise ValueError(f"{table} is a fact table: give partition_column, lower and upper, or one task reads it all")
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", dbtable or table)
     for k, v in (properties or {}).items():
         reader = reader.option(k, v)

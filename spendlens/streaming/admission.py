@@ -1,15 +1,17 @@
 """Budget admission on a stream of ad requests.
 
-State per campaign is the budget room left, in cents; it never expires.
-Arrival order decides (within a micro-batch, ``seq`` order), so late data
-needs no watermark. A micro-batch group is bounded by the trigger's file
-count, not by the campaign's total size.
-
-Two forms:
-* ``transformWithStateInPandas`` (default, RocksDB state store): the ledger
-  seeds each campaign's state once, through ``initialState``;
-* ``applyInPandasWithState`` (any state store): the ledger is a static
-  table joined to every micro-batch, seeding a campaign on first sight.
+State per campaign is what it has *spent*, in cents, first taken from the
+ledger's CurrentBudget; it never expires. The budget itself is read from the
+ledger with every run, so a changed budget counts for the requests that come
+after it, and a campaign created meanwhile is known (W1 and W2 compose with
+T1). Arrival order decides (within a micro-batch, ``seq`` then AdID, as in W3),
+so late data needs no watermark. A campaign without a budget spends nothing.
+
+A micro-batch holds ``max_files_per_trigger`` files at most, which bounds what
+the state function is handed of one campaign at once.
+
+Two forms of the same join and fold: ``transformWithStateInPandas`` (RocksDB
+state store) and ``applyInPandasWithState`` (any state store).
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql.types import (
 )
 
 from ..functions.fold import fold_costs
-from ..functions.money import to_cents
-from ..session import shared_dir
-from ..operators.admission import INVALID_COST, OVER_BUDGET, UNKNOWN_CAMPAIGN
+from ..functions.money import spend_so_far, to_cents
+from ..operators.admission import INVALID_COST, NO_BUDGET, OVER_BUDGET, UNKNOWN_CAMPAIGN
+from ..session import ship_package
 
 DECISION = StructType([
     StructField("seq", LongType()),
@@ -39,70 +41,73 @@ DECISION = StructType([
     StructField("admitted", BooleanType()),
     StructField("Reason", StringType()),
 ])
-STATE = StructType([StructField("room", LongType())])
+STATE = StructType([StructField("spent", LongType())])
+MAX_FILES = 64
 
 
-def _fold(pdf: pd.DataFrame, room: int | None) -> tuple[pd.DataFrame, int | None]:
-    """Decide one campaign's requests of a micro-batch in seq order.
+def _fold(pdf: pd.DataFrame, spent: int | None) -> tuple[pd.DataFrame, int | None]:
+    """Decide one campaign's requests of a micro-batch in order; ``spent`` is
+    None before its campaign is known.
 
     (Helper columns carry plain names: the transformWithState input path
     does not keep names that start with an underscore.)
     """
-    pdf = pdf.sort_values("seq", kind="stable")
+    pdf = pdf.sort_values(["seq", "AdID", "cost_cents"], kind="stable")
     ok = np.zeros(len(pdf), dtype=bool)
     costs = pdf["cost_cents"]
     bad = (costs.isna() | (costs < 0)).to_numpy()
-    if room is not None:
+    known, budget = pdf["known"].iloc[0], pdf["budget_cents"].iloc[0]
+    known = not pd.isna(known) and bool(known)
+    if known and spent is None:
+        spent = int(pdf["spent_cents"].iloc[0])
+    if known and not pd.isna(budget):
         good = np.flatnonzero(~bad)
-        ok[good], room = fold_costs(costs.to_numpy()[good].astype(np.int64), room)
-    reason = np.where(ok, None, OVER_BUDGET if room is not None else UNKNOWN_CAMPAIGN).astype(object)
+        own = costs.to_numpy()[good].astype(np.int64)
+        # a budget cut below what is spent leaves no room, not even for a cost of 0
+        ok[good], left = fold_costs(own, int(budget) - spent)
+        spent = int(budget) - left
+    why = UNKNOWN_CAMPAIGN if not known else NO_BUDGET if pd.isna(budget) else OVER_BUDGET
+    reason = np.where(ok, None, why).astype(object)
     reason[bad] = INVALID_COST
     out = pd.DataFrame({
         "seq": pdf["seq"], "AdID": pdf["AdID"], "CampaignID": pdf["CampaignID"],
         "CostPerAd": pdf["CostPerAd"], "admitted": ok, "Reason": reason,
     })
-    return out, room
+    return out, spent
+
+
+def _with_ledger(stream: DataFrame, campaign: DataFrame) -> DataFrame:
+    ledger = campaign.select(
+        "CampaignID", to_cents("Budget").alias("budget_cents"),
+        to_cents(spend_so_far()).alias("spent_cents"), F.lit(True).alias("known"))
+    return stream.withColumn("cost_cents", to_cents("CostPerAd")).join(ledger, "CampaignID", "left")
 
 
 def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(batches), ignore_index=True)
-    if state.exists:
-        room = int(state.get[0])
-    else:
-        first = pdf["room_cents"].iloc[0]
-        room = None if pd.isna(first) else int(first)
-    out, room = _fold(pdf, room)
-    if room is not None:
-        state.update((room,))
+    out, spent = _fold(pdf, int(state.get[0]) if state.exists else None)
+    if spent is not None:
+        state.update((spent,))
     yield out
 
 
 def admission_stream(stream: DataFrame, campaign: DataFrame) -> DataFrame:
     """Streaming decisions for a stream of (seq, AdID, CampaignID, CostPerAd)."""
-    ledger = campaign.select(
-        "CampaignID",
-        (to_cents("Budget") - to_cents(F.coalesce("CurrentBudget", F.lit(0)))).alias("room_cents"))
-    j = stream.withColumn("cost_cents", to_cents("CostPerAd")).join(ledger, "CampaignID", "left")
-    return j.groupBy("CampaignID").applyInPandasWithState(
+    return _with_ledger(stream, campaign).groupBy("CampaignID").applyInPandasWithState(
         _decide, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-class BudgetRoom(StatefulProcessor):
-    """transformWithStateInPandas form: the room per campaign is a value
-    state seeded from the ledger (``initialState``) on the first batch."""
+class BudgetSpent(StatefulProcessor):
+    """transformWithStateInPandas form: the spend per campaign is a value state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.room = handle.getValueState("room", "room long")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.room.update((int(initialState["room_cents"].iloc[0]),))
+        self.spent = handle.getValueState("spent", "spent long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
-        room = int(self.room.get()[0]) if self.room.exists() else None
-        out, room = _fold(pdf, room)
-        if room is not None:
-            self.room.update((room,))
+        out, spent = _fold(pdf, int(self.spent.get()[0]) if self.spent.exists() else None)
+        if spent is not None:
+            self.spent.update((spent,))
         yield out
 
     def close(self) -> None:
@@ -131,24 +136,17 @@ def rocksdb_state_store(spark: SparkSession):
 def admission_stream_tws(stream: DataFrame, campaign: DataFrame) -> DataFrame:
     """Streaming decisions with ``transformWithStateInPandas`` (needs the
     RocksDB state store provider on the session)."""
-    ledger = campaign.select(
-        "CampaignID",
-        (to_cents("Budget") - to_cents(F.coalesce("CurrentBudget", F.lit(0)))).alias("room_cents"))
-    # The initial state is materialized (checkpointed to the shared folder):
-    # a plan over a file scan cannot be shipped inside the stateful operator.
-    shared_dir(stream.sparkSession)
-    ledger = ledger.checkpoint(eager=True)
-    j = stream.withColumn("cost_cents", to_cents("CostPerAd"))
-    return j.groupBy("CampaignID").transformWithStateInPandas(
-        BudgetRoom(), DECISION, "Append", "None", initialState=ledger.groupBy("CampaignID"))
+    return _with_ledger(stream, campaign).groupBy("CampaignID").transformWithStateInPandas(
+        BudgetSpent(), DECISION, "Append", "None")
 
 
 def run_admission(spark: SparkSession, source: str, schema: StructType, campaign: DataFrame,
-                  sink: str, checkpoint: str, max_files_per_trigger: int | None = None,
+                  sink: str, checkpoint: str, max_files_per_trigger: int = MAX_FILES,
                   api: str = "applyInPandasWithState") -> DataFrame:
     """Process whatever arrived in ``source`` since the last run (availableNow)
     into a parquet sink — exactly-once through the checkpoint, which also
     carries the per-campaign state between runs — and read the sink back.
+    ``campaign`` is the ledger as it stands at this run.
 
     ``max_files_per_trigger`` bounds a micro-batch (and so the rows of one
     campaign handed to the state function at once) on a large backlog.
@@ -156,10 +154,8 @@ def run_admission(spark: SparkSession, source: str, schema: StructType, campaign
     ``"transformWithState"`` (RocksDB state store; the session must set
     ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB``).
     """
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source)
+    ship_package(spark)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
     decisions = (admission_stream_tws if api == "transformWithState" else admission_stream)(stream, campaign)
     q = (decisions.writeStream.format("parquet")
          .option("path", sink).option("checkpointLocation", checkpoint)

@@ -10,8 +10,10 @@ batch costs work in proportion to the batch, never to the ad table.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.writes import latest_per_key, update_ad_metrics
 from ..tables import Tables
@@ -23,6 +25,9 @@ FEED = StructType([
     StructField("Clicks", LongType()),
 ])
 
+#: A delta as read back: the feed and the folders it lies in.
+DELTA = StructType([*FEED.fields, StructField("run", StringType()), StructField("epoch", LongType())])
+
 
 def daily_counters(events: DataFrame) -> DataFrame:
     """Event log → daily absolute counters per ad (a daily sync feed).
@@ -46,10 +51,10 @@ def daily_counters(events: DataFrame) -> DataFrame:
         F.sum("_c").over(w).cast("bigint").alias("Clicks"))
 
 
-def _sink_batch(delta_root: str):
+def _sink_batch(delta_root: str, run: str):
     def write(batch: DataFrame, epoch_id: int) -> None:
         latest = latest_per_key(batch, ["AdID"], ["seq", "Impressions", "Clicks"], seq="seq").drop("_matched")
-        latest.write.mode("overwrite").parquet(f"{delta_root}/epoch={epoch_id}")
+        latest.write.mode("overwrite").parquet(f"{delta_root}/run={run}/epoch={epoch_id}")
     return write
 
 
@@ -57,13 +62,16 @@ def run_feed(spark: SparkSession, source: str, delta_root: str, checkpoint: str,
              max_files_per_trigger: int | None = None) -> None:
     """Apply whatever arrived in ``source`` since the last run (availableNow).
 
-    ``max_files_per_trigger`` bounds each micro-batch on a large backlog.
+    ``max_files_per_trigger`` bounds each micro-batch on a large backlog. The
+    deltas of a checkpoint have a folder of their own, so that a stream started
+    anew (whose epochs count from 0 again) overwrites nothing.
     """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     reader = spark.readStream.schema(FEED)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source)
-    q = (stream.writeStream.foreachBatch(_sink_batch(delta_root))
+    q = (stream.writeStream.foreachBatch(_sink_batch(delta_root, run))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -75,17 +83,32 @@ def merged_ads(spark: SparkSession, t: Tables, delta_root: str) -> DataFrame:
     older day's absolute counters arriving late must not overwrite a newer
     day's. Arrival (``epoch``) only breaks ties, so a re-sent day wins.
     """
-    deltas = spark.read.parquet(delta_root)
-    req = deltas.withColumn("_order", F.struct("seq", "epoch"))
-    req = req.select(F.col("_order").alias("seq"), "AdID", "Impressions", "Clicks")
-    return update_ad_metrics(t, req)
+    return update_ad_metrics(t, _in_order(spark.read.schema(DELTA).parquet(delta_root)))
+
+
+def _in_order(deltas: DataFrame) -> DataFrame:
+    req = deltas.withColumn("_order", F.struct("seq", "epoch", "run"))
+    return req.select(F.col("_order").alias("seq"), "AdID", "Impressions", "Clicks")
 
 
 def compact(spark: SparkSession, t: Tables, delta_root: str, snapshot_path: str) -> DataFrame:
     """Snapshot swap: write base + deltas as a new ad snapshot version.
 
     Write to a fresh path (never over the input being read); readers switch
-    to it, and the deltas folded in can be retired with the old version.
+    to it. The delta folders that were there at the start, and no others, are
+    folded in and then removed, so that later reads don't go through the whole
+    history; a batch that lands meanwhile stays.
     """
-    merged_ads(spark, t, delta_root).write.mode("errorifexists").parquet(snapshot_path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(delta_root)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f.getPath() for run in fs.listStatus(root) if run.isDirectory() and "run=" in run.getPath().getName()
+               for f in fs.listStatus(run.getPath()) if f.getPath().getName().startswith("epoch=")]
+    if folders:
+        deltas = spark.read.schema(DELTA).option("basePath", delta_root).parquet(*[f.toString() for f in folders])
+        merged = update_ad_metrics(t, _in_order(deltas))
+    else:
+        merged = t.ad
+    merged.write.mode("errorifexists").parquet(snapshot_path)
+    for f in folders:
+        fs.delete(f, True)
     return spark.read.schema(t.ad.schema).parquet(snapshot_path)

@@ -44,9 +44,9 @@ def test_admission_exact_fit_and_zero_budget(spark):
 def test_admission_rejects_missing_or_negative_cost(spark):
     t = make_tables(spark, campaign=[campaign_row(1, 100)])
     req = _requests(spark, [(1, 1, 1, None), (2, 2, 1, D(-5)), (3, 3, 1, D(100)), (4, 4, 1, D(1))])
-    for rounds, limit in ((0, 10**6), (2, 0)):
+    for limit in (10**6, 0):
         d = {r.seq: (r.admitted, r.Reason) for r in
-             admission_decisions(req, t.campaign, max_rounds=rounds, tail_group_limit=limit).collect()}
+             admission_decisions(req, t.campaign, tail_group_limit=limit).collect()}
         assert d == {1: (False, "Missing or negative cost"), 2: (False, "Missing or negative cost"),
                      3: (True, None), 4: (False, "Campaign budget exceeded")}
 
@@ -93,7 +93,8 @@ def test_ad_metrics_set_not_add_latest_wins(spark):
 
 def test_selling_price_and_stale_audit(spark):
     t = make_tables(spark, product=[(1, "p", D("99.99"))])
-    req = spark.createDataFrame([(1, 1, D("12.5"))], "CampaignID long, ProductID long, Discount decimal(5,2)")
+    req = spark.createDataFrame([(1, 1, 1, D("12.5"))],
+                                "seq long, CampaignID long, ProductID long, Discount decimal(5,2)")
     snap, rejects = W.price_campaign_products(t, req)
     assert snap.first().SellingPrice == D("87.49")
     assert rejects.count() == 0
@@ -109,12 +110,72 @@ def test_selling_price_and_stale_audit(spark):
 
 def test_price_rejects_duplicates_and_unknown_products(spark):
     t = make_tables(spark, product=[(1, "p", D(10))], campaign_product=[(1, 1, D(0), D(10))])
-    req = spark.createDataFrame([(1, 1, D(5)), (1, 2, D(5))], "CampaignID long, ProductID long, Discount decimal(5,2)")
+    req = spark.createDataFrame([(1, 1, 1, D(5)), (2, 1, 2, D(5))],
+                                "seq long, CampaignID long, ProductID long, Discount decimal(5,2)")
     snap, rejects = W.price_campaign_products(t, req)
     assert snap.count() == 1
     assert sorted(r.Reason for r in rejects.collect()) == ["pair already exists", "unknown product"]
 
 
+def test_price_keeps_the_base_and_accounts_for_every_request(spark):
+    t = make_tables(spark, product=[(p, f"p{p}", D(10)) for p in (1, 2, 3)], campaign_product=[(1, 1, D(0), D(10))])
+    req = spark.createDataFrame([
+        (5, 1, 2, D(5)), (4, 1, 2, D(7)), (4, 1, 2, D(6)),         # one pair: lowest seq, then smallest discount
+        (1, 2, 3, D(1)), (1, 2, 3, D(1)), (1, 2, 3, D(1)),         # alike in every column
+        (None, 3, 3, D(2)), (1, 1, 1, D(9)), (2, 1, 1, D(9)), (1, 1, 99, D(0))],
+        "seq long, CampaignID long, ProductID long, Discount decimal(5,2)")
+    snap, rejects = W.price_campaign_products(t, req)
+    links = sorted((r.CampaignID, r.ProductID, r.Discount) for r in snap.collect())
+    assert links == [(1, 1, D("0.00")), (1, 2, D("6.00")), (2, 3, D("1.00"))]
+    why = sorted(r.Reason for r in rejects.collect())
+    assert why == sorted(["duplicate request in batch"] * 5 + ["missing seq", "pair already exists", "unknown product"])
+    assert rejects.count() + snap.count() - 1 == req.count()
+
+
+def test_request_without_seq_changes_nothing(spark):
+    t = make_tables(spark, campaign=[campaign_row(1, 100)])
+    req = spark.createDataFrame([(None, 1, D(5))], "seq long, CampaignID long, Budget decimal(14,2)")
+    assert W.update_budgets(t, req).first().Budget == D("100.00")
+
+
+def test_underperforming_boundary_is_strict_and_unrounded(spark):
+    """CTR 33.3 and 100: the mean's half is the first one's CTR exactly, so it is not below it."""
+    t = make_tables(spark, ad=[ad_row(1, 1, impressions=3, clicks=1), ad_row(2, 1, impressions=1, clicks=1)])
+    assert R.underperforming_ads(t).collect() == []
+    t = make_tables(spark, ad=[ad_row(1, 1, impressions=301, clicks=100), ad_row(2, 1, impressions=1, clicks=1)])
+    assert [r.AdID for r in R.underperforming_ads(t).collect()] == [1]
+
+
+def test_campaign_without_budget_and_spend(spark):
+    """NULL budget: nothing may be spent. NULL spend: nothing is spent yet."""
+    t = make_tables(spark, campaign=[campaign_row(1, 100)])
+    none = t.campaign.selectExpr("CampaignID", "PlatformID", "StartDate", "EndDate",
+                                 "CAST(NULL AS DECIMAL(14,2)) AS Budget", "CurrentBudget", "Objective")
+    req = _requests(spark, [(1, 1, 1, D(60)), (2, 2, 1, D(0))])
+    d = [(r.admitted, r.Reason) for r in admission_decisions(req, none).collect()]
+    assert d == [(False, "Campaign has no budget")] * 2
+    unspent = t.campaign.selectExpr("CampaignID", "PlatformID", "StartDate", "EndDate", "Budget",
+                                    "CAST(NULL AS DECIMAL(14,2)) AS CurrentBudget", "Objective")
+    t2 = t.with_(campaign=unspent)
+    admitted = admission_decisions(req, unspent).where("admitted")
+    assert admitted.count() == 2
+    assert W.campaign_spend_ledger(t2, admitted).first().CurrentBudget == D("60.00")
+
+
+def test_create_ads_end_to_end(spark):
+    t = make_tables(spark, campaign=[campaign_row(1, 100, spent=10)], ad=[ad_row(7, 1, cost=10, revenue=5, conv=0.5)])
+    req = spark.createDataFrame([(1, 1, "a", 5, 1, D(60)), (2, 1, "b", 5, 1, D(50)), (3, 1, "c", 2**60 + 1, 1, D(30)),
+                                 (4, 2, "d", 0, 0, D(1))],
+                                "seq long, CampaignID long, AdName string, Impressions long, Clicks long, "
+                                "CostPerAd decimal(12,2)")
+    ads, rejects, campaign = W.create_ads(t, req)
+    got = sorted((r.AdID, r.AdName, r.Impressions, r.ConversionRate, r.AttributedRevenue) for r in ads.collect())
+    assert got == [(7, "ad7", 100, 0.5, D("5.00")), (8, "a", 5, 0.0, D("0.00")), (9, "c", 2**60 + 1, 0.0, D("0.00"))]
+    assert sorted((r.seq, r.Reason) for r in rejects.collect()) == [
+        (2, "Campaign budget exceeded"), (4, "Unknown campaign")]
+    assert campaign.first().CurrentBudget == D("100.00")
+
+
 def test_ratio_guards(spark):
     t = make_tables(spark, ad=[ad_row(1, 1, impressions=0, clicks=0, cost=0)])
     r = V.ad_performance_view(t).first()
@@ -238,7 +299,7 @@ def test_parse_empty_lines_and_top_n_validation(spark):
 
 def test_region_spend_allocation_by_hand(spark):
     """Spend 100.00 split over regions by revenue 1.00 : 2.00 (floor cents:
-    33.33 + 66.66, one cent unallocated); an organic order adds revenue and
+    33.33 + 66.66, the last cent to the larger share); an organic order adds revenue and
     orders to its region but no spend."""
     t = make_tables(
         spark, campaign=[campaign_row(1, 1000)], ad=[ad_row(1, 1, cost=100)],
@@ -246,8 +307,8 @@ def test_region_spend_allocation_by_hand(spark):
         orders=[(1, 1, 1, D("1.00")), (2, 2, 1, D("2.00")), (3, 1, None, D("5.00"))])
     rows = {r.RegionName: r for r in V.region_performance_view(t).collect()}
     assert (rows["A"].TotalOrders, rows["A"].TotalRevenue, rows["A"].TotalSpend) == (2, D("6.00"), D("33.33"))
-    assert (rows["B"].TotalOrders, rows["B"].TotalRevenue, rows["B"].TotalSpend) == (1, D("2.00"), D("66.66"))
-    assert rows["B"].ROIPercent == (2.00 - 66.66) * 100.0 / 66.66
+    assert (rows["B"].TotalOrders, rows["B"].TotalRevenue, rows["B"].TotalSpend) == (1, D("2.00"), D("66.67"))
+    assert rows["B"].ROIPercent == (2.00 - 66.67) * 100.0 / 66.67
 
 
 def test_missing_request_columns_fail_early(spark):

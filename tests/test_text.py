@@ -31,9 +31,22 @@ def model(spark):
 
 
 def _java_like(fmt: str, row) -> str:
-    """Python's % agrees with Java's Formatter for these exact values; %s gets str()."""
+    """Python's % agrees with Java's Formatter for these values; %s gets str(),
+    a ratio its plain decimals."""
+    from decimal import ROUND_HALF_UP, Decimal
     specs = [sp for sp in re.findall(r"%(%|s|d|\.\d+f)", fmt) if sp != "%"]
-    return fmt % tuple(str(v) if sp == "s" else v for sp, v in zip(specs, row))
+
+    def text(sp, v):
+        if sp == "d":
+            return v or 0
+        if v is None:
+            return "null"
+        if isinstance(v, float) or sp != "s":
+            places = "0.0001" if sp == "s" else "1." + "0" * int(sp[1:-1])
+            return str(Decimal(str(v)).quantize(Decimal(places), ROUND_HALF_UP))
+        return str(v)
+    plain = re.sub(r"%(s|\.\d+f)", "%s", fmt)
+    return plain % tuple(text(sp, v) for sp, v in zip(specs, row))
 
 
 @pytest.mark.parametrize("report", sorted(REPORT_FORMATS))
@@ -44,13 +57,19 @@ def test_every_format_renders(spark, model, report):
     rows = df.select(*cols).collect()
     assert len(lines) == len(rows) > 0
     for line, row in zip(lines, rows):
-        if any(v is None for v in row):
-            continue
-        if "%s" in fmt and any(isinstance(v, float) for v in row):
-            continue  # doubles print through Spark's text cast; checked by the oracle test
         assert line == _java_like(fmt, row)
 
 
+def test_small_ratios_and_nulls_print_plainly(spark):
+    df = spark.createDataFrame([(1, "a", 2, 0.0001, 0.0005, None, 12345678.5, None)],
+                               "AdID long, AdName string, CampaignID long, CTR double, ConversionRate double, "
+                               "CostPerClick double, ROAS double, AttributedRevenue decimal(18,2)")
+    assert formatted_lines(df, "ad_performance").first().line == (
+        "AdID=1 | a | CampaignID=2 | CTR=0.0001% | ConvRate=0.0005 | CPC=null | ROAS=12345678.5000 | Revenue=null")
+    df = spark.createDataFrame([(None, None, None, None)], "CampaignID long, Objective string, EndDate date, DaysLeft int")
+    assert formatted_lines(df, "campaigns_ending_soon").first().line == "CampaignID=0 | null | Ends=null | DaysLeft=0"
+
+
 def test_generic_lines_round_trip(model):
     df = R.segment_platform_affinity(model)
     back = parse_report_lines(report_lines(df))
