@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, ship_package
@@ -47,7 +48,7 @@ def in_pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4_000_0
         if b.num_rows == 0:
             continue
         i = b.schema.get_field_index(text)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for k, n in enumerate(lengths.tolist()):
             if held and held + n > limit:
