@@ -330,6 +330,19 @@ PRICE_REJECTS = _with("""SELECT seq, CampaignID, ProductID, Discount, Reason FRO
     ("preq", """SELECT * FROM preq0
                 UNION ALL SELECT seq + 1, CampaignID, ProductID, Discount FROM preq0 WHERE ProductID % 2 = 1""")])
 
+REQUEST_TEXT = [("rt", """SELECT CAST(CampaignID AS VARCHAR) AS seq, '  ' || CAST(PlatformID AS VARCHAR) AS PlatformID,
+    CASE WHEN CampaignID % 13 = 5 THEN 'soon' ELSE CAST(StartDate AS VARCHAR) END AS StartDate,
+    CASE WHEN CampaignID % 7 = 3 THEN ' ' ELSE CAST(EndDate AS VARCHAR) END AS EndDate,
+    CASE WHEN CampaignID % 17 = 4 THEN '12,50' WHEN CampaignID % 19 = 6 THEN ''
+         ELSE CAST(Budget AS VARCHAR) || ' ' END AS Budget, Objective FROM m_campaign""")]
+TYPED = _with("""SELECT CAST(seq AS BIGINT) AS seq, CAST(trim(PlatformID) AS BIGINT) AS PlatformID,
+    CAST(StartDate AS DATE) AS StartDate, CAST(NULLIF(trim(EndDate), '') AS DATE) AS EndDate,
+    CAST(trim(Budget) AS DECIMAL(14,2)) AS Budget, Objective
+  FROM rt WHERE StartDate <> 'soon' AND Budget NOT IN ('12,50', '')""", REQUEST_TEXT)
+UNTYPED = _with("""SELECT *, CASE WHEN StartDate = 'soon' THEN 'StartDate does not parse'
+    WHEN Budget = '12,50' THEN 'Budget does not parse' ELSE 'Budget is missing' END AS Reason
+  FROM rt WHERE StartDate = 'soon' OR Budget IN ('12,50', '')""", REQUEST_TEXT)
+
 CP_UPD = [("m_cp_upd", """SELECT CampaignID, ProductID,
     CASE WHEN Discount = 0 THEN CAST(5 AS DECIMAL(5,2)) ELSE Discount END AS Discount,
     SellingPrice FROM m_cp""")]
@@ -418,6 +431,7 @@ PRESENTED: dict[str, tuple[list[str], list[str]]] = {
     'recalc_ad_metrics': (['CostPerAd', 'AttributedRevenue'], []),
     'price_campaign_products': (['Discount', 'SellingPrice'], []),
     'update_discounts': (['Discount', 'SellingPrice'], []),
+    'typed_requests': (['Budget'], ['StartDate', 'EndDate']),
     'create_ads': (['CostPerAd', 'AttributedRevenue'], []),
     'price_rejects': (['Discount'], []),
     'stream_budget_changes': (['CostPerAd'], []),
@@ -482,6 +496,8 @@ _ORACLE: dict[str, str] = {
     "campaign_spend_ledger": LEDGER,
     "digest_match": DIGEST,
     "create_ads": CREATE_ADS,
+    "typed_requests": TYPED,
+    "rejected_requests": UNTYPED,
     "price_rejects": PRICE_REJECTS,
     "stream_budget_changes": STREAM_BUDGETS,
     "stream_admit_ads": ADMIT,

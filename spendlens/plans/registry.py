@@ -11,7 +11,7 @@ from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DateType, DecimalType
+from pyspark.sql.types import DateType, DecimalType, LongType, StringType, StructField, StructType
 
 from ..functions.money import from_cents, intdiv, to_cents
 from ..operators import reports as R
@@ -20,6 +20,7 @@ from ..operators import writes as W
 from ..operators.admission import admit_ads
 from ..operators.digest import digest_match
 from ..operators.ids import assign_ids
+from ..operators.requests import typed_requests
 from ..operators.text import REPORT_FORMATS, formatted_lines, parse_report_lines, read_lines, report_lines, write_lines
 from ..schema import CAMPAIGN_PRODUCT
 from ..session import scratch_path
@@ -197,6 +198,24 @@ def stored_campaigns(spark, t):
     return R.list_campaigns(t.with_(campaign=read_table(spark, root, "campaign")))
 
 
+CAMPAIGN_REQUEST = StructType([
+    StructField("seq", LongType(), False), StructField("PlatformID", LongType(), False),
+    StructField("StartDate", DateType()), StructField("EndDate", DateType()),
+    StructField("Budget", DecimalType(14, 2), False), StructField("Objective", StringType())])
+
+
+def request_text(t) -> DataFrame:
+    """Every campaign as the text of a form: padded, some dates and amounts unreadable, some blank."""
+    i = F.col("CampaignID")
+    return t.campaign.select(
+        i.cast("string").alias("seq"), F.concat(F.lit("  "), F.col("PlatformID").cast("string")).alias("PlatformID"),
+        F.when(i % 13 == 5, F.lit("soon")).otherwise(F.col("StartDate").cast("string")).alias("StartDate"),
+        F.when(i % 7 == 3, F.lit(" ")).otherwise(F.col("EndDate").cast("string")).alias("EndDate"),
+        F.when(i % 17 == 4, F.lit("12,50")).when(i % 19 == 6, F.lit(""))
+        .otherwise(F.concat(F.col("Budget").cast("string"), F.lit(" "))).alias("Budget"),
+        "Objective")
+
+
 def streamed_admissions(spark, t, chunks: int = 3):
     t = fresh_ledger(t)
     req = _requests(t)
@@ -262,6 +281,8 @@ OPERATORS: dict[str, Callable] = {
     # W1–W9
     "create_campaigns": lambda s, t: W.create_campaigns(t, campaign_requests(t)),
     "assign_ids": new_campaign_ids,
+    "typed_requests": lambda s, t: typed_requests(request_text(t), CAMPAIGN_REQUEST)[0],
+    "rejected_requests": lambda s, t: typed_requests(request_text(t), CAMPAIGN_REQUEST)[1],
     "update_budgets": lambda s, t: W.update_budgets(t, budget_requests(t)),
     "admit_ads": admitted_ads,
     "rejected_ads": rejected_ads,

@@ -317,3 +317,21 @@ def test_missing_request_columns_fail_early(spark):
     for call in (lambda: admission_decisions(bad, t.campaign), lambda: W.update_budgets(t, bad)):
         with pytest.raises(ValueError, match="needs column"):
             call()
+
+
+def test_request_text_is_typed_or_rejected(spark):
+    from pyspark.sql.types import DateType, DecimalType, LongType, StringType, StructField, StructType
+    from spendlens.operators.requests import typed_requests
+    schema = StructType([StructField("seq", LongType(), False), StructField("day", DateType()),
+                         StructField("Budget", DecimalType(6, 2)), StructField("Name", StringType())])
+    text = spark.createDataFrame([
+        (" 1 ", "2001-02-03", " 12.50", " a ", "x"), ("2", "", None, "", "x"), ("3", "2001-02-30", "1", "b", "x"),
+        ("4", "2001-02-03", "1e99", "b", "x"), (None, "2001-02-03", "1", "b", "x"), ("five", None, None, None, None)],
+        "seq string, day string, Budget string, Name string, typed string")
+    rows, rejects = typed_requests(text, schema)
+    assert rows.schema.simpleString() == "struct<seq:bigint,day:date,Budget:decimal(6,2),Name:string>"
+    assert sorted(map(tuple, rows.collect())) == [(1, dt.date(2001, 2, 3), D("12.50"), "a"), (2, None, None, None)]
+    assert rejects.columns == [*text.columns, "Reason"]
+    assert sorted(r.Reason for r in rejects.collect()) == [
+        "Budget does not parse", "day does not parse", "seq does not parse", "seq is missing"]
+    assert typed_requests(text.limit(0), schema)[0].collect() == []

@@ -53,6 +53,11 @@ def test_metrics_feed_compaction_is_a_snapshot_swap(spark):
     want = W.update_ad_metrics(t, feed)
     assert snap.exceptAll(want).count() == 0 and want.exceptAll(snap).count() == 0
     assert snap.where(F.col("AdID").isNull()).count() == 0
+    # the deltas folded in are gone; a later feed starts from the snapshot
+    left = spark.read.schema(T2.DELTA).option("recursiveFileLookup", "true").parquet(f"{root}/delta")
+    assert left.count() == 0
+    again = T2.compact(spark, t.with_(ad=snap), f"{root}/delta", f"{root}/ad_v2")
+    assert again.exceptAll(snap).count() == 0 and again.count() == snap.count()
 
 
 def test_metrics_feed_in_bounded_batches_equals_one_batch(spark):
