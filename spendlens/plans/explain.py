@@ -79,8 +79,8 @@ def main(sf_dir: str, out_path: str) -> None:
         for key, s in rows:
             f.write(f"| {key} | {s['shuffles']} | {s['sort_merge_joins']} | {s['windows']} | {s['aggregates']} "
                     f"| {s['python']} | {s['top_k']} | {s['scans']} | {s['single_partition']} |\n")
-        f.write("\nStreams: T1 is `TransformWithStateInPandas` keyed by campaign with the ledger as initial\n"
-                "state (fallback: a stream-static join into `FlatMapGroupsInPandasWithState`); T2 is a\n"
+        f.write("\nStreams: T1 is a stream-static join with the ledger into `TransformWithStateInPandas`\n"
+                "keyed by campaign (or `FlatMapGroupsInPandasWithState`); T2 is a\n"
                 "file stream into `foreachBatch` (per-batch `max_by` aggregate).\n")
         # One full example: the flagship report over the bucketed layout, with
         # the session's normal broadcast threshold.
@@ -101,9 +101,9 @@ def main(sf_dir: str, out_path: str) -> None:
         from spendlens.plans.registry import admitted_ads
         tree = formatted_plan(admitted_ads(spark, t)).split("\n\n\n")[0]
         f.write("\n## Example: admit_ads (no campaign above the round threshold)\n\n"
-                "The undecided requests were checkpointed (the scan of an existing RDD); the exact\n"
-                "tail hash-partitions them by campaign, sorts by (campaign, seq) and folds them in\n"
-                "`MapInPandas`. Always-rejected branches (invalid cost, unknown campaign) are pruned\n"
+                "Requests decided at once (invalid, unknown, dearer than the room) are filtered before\n"
+                "the tail's exchange; the exact tail hash-partitions the rest by campaign, sorts by\n"
+                "(campaign, order) and folds them in `MapInArrow`. Always-rejected branches are pruned\n"
                 "by Catalyst for the admitted output.\n\n```\n" + tree.strip() + "\n```\n")
     spark.stop()
 
