@@ -24,7 +24,7 @@ OPERATORS = {
     "broadcast_joins": r"^\(\d+\) BroadcastHashJoin",
     "windows": r"^\(\d+\) Window$",
     "aggregates": r"^\(\d+\) HashAggregate$",
-    "python": r"^\(\d+\) (MapInPandas|FlatMapGroupsInPandasWithState|ArrowEvalPython|BatchEvalPython)",
+    "python": r"^\(\d+\) (MapInPandas|MapInArrow|FlatMapGroupsInPandasWithState|ArrowEvalPython|BatchEvalPython)",
     "top_k": r"^\(\d+\) TakeOrderedAndProject$",
     "scans": r"^\(\d+\) Scan ",
 }
