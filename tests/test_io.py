@@ -85,3 +85,13 @@ def test_stream_admission_follows_arrival_order(spark):
                          f"{root}/out", f"{root}/chk")
     got = {r.seq: r.admitted for r in spark.read.schema(T1.DECISION).parquet(f"{root}/out").collect()}
     assert got == {10: True, 5: False, 6: True}
+
+
+def test_scratch_is_released(spark):
+    from spendlens.session import release_scratch
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert release_scratch(spark) >= 1
+    assert release_scratch(spark) == 0
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
