@@ -73,8 +73,8 @@ def respread(rollup: DataFrame) -> DataFrame:
     """A rollup dealt out anew before it joins its facts. AQE splits a hot key
     of a sort-merge join only where both sides come straight from a shuffle;
     an aggregate that sits on its own shuffle would keep the key in one task.
-    The rollup is small, so the extra exchange costs little."""
-    return rollup.repartition(int(rollup.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    The rollup is small, and a rebalance lets AQE choose how few tasks deal it."""
+    return rollup.hint("rebalance")
 
 
 def _campaign_shares(ad: DataFrame, orders: DataFrame) -> DataFrame:
