@@ -34,6 +34,8 @@ END_ID = 2
 #: Ids in a block (a longer document makes a block of its own); rounds, pairs looked at in a
 #: round, and occurrences below which a pair is left alone.
 BLOCK, ROUNDS, PAIRS, LEAST = 1 << 19, 8, 2048, 8
+#: Pairs are counted in 2 ** BITS buckets, exactly only in the fullest.
+BITS = 18
 
 STORED = ("shard int, block int, before long, n_tokens long, doc_ids array<long>, doc_lengths array<int>, "
           "terminals int, rules binary, expansions binary, width int, body binary")
@@ -48,43 +50,48 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
         if len(seq) < 2 or len(rules) >= limit:
             break
         code = (seq[:-1] << np.uint32(16)) | seq[1:]
-        same = seq[:-1] == seq[1:]
-        usable = None
-        if same.any():  # of a run of one symbol every other place begins a pair
-            at = np.arange(len(code))
-            usable = ~same | ((at - np.maximum.accumulate(np.where(same, -1, at))) % 2 == 1)
-        bucket = (code * np.uint32(2654435761)) >> np.uint32(14)
-        counts = np.bincount(bucket if usable is None else bucket[usable], minlength=1 << 18)
-        least = max(LEAST, int(np.partition(counts, len(counts) - PAIRS)[len(counts) - PAIRS]))
-        near = counts[bucket] >= least
-        if usable is not None:
-            near &= usable
+        bucket = ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
+        counts = np.bincount(bucket, minlength=1 << BITS)
+        # of a run of one symbol only every other place begins a pair
+        run = np.flatnonzero(seq[:-1] == seq[1:])
+        begin = np.concatenate([[True], run[1:] != run[:-1] + 1])[:len(run)]
+        idle = run[(run - np.maximum.accumulate(np.where(begin, run, 0))) % 2 == 1]
+        counts -= np.bincount(bucket[idle], minlength=1 << BITS)
+        # the least count of the PAIRS fullest buckets
+        many = np.bincount(counts)
+        fullest = np.searchsorted(np.cumsum(many[::-1]), PAIRS)
+        near = counts[bucket] >= max(LEAST, len(many) - 1 - fullest)
+        near[idle] = False
         at = np.flatnonzero(near)
-        found, many = np.unique(code[at], return_counts=True)
-        left, right, chosen = set(), set(), []
-        for k in np.argsort(-many, kind="stable").tolist():
-            if many[k] < LEAST or len(rules) + len(chosen) >= limit:
+        found, seen = np.unique(code[at], return_counts=True)
+        home = ((found * np.uint32(2654435761)) >> np.uint32(32 - BITS)).tolist()
+        left, right, taken, chosen = set(), set(), set(), []
+        for k in np.argsort(-seen, kind="stable").tolist():
+            if seen[k] < LEAST or len(rules) + len(chosen) >= limit:
                 break
             a, b = int(found[k]) >> 16, int(found[k]) & 0xFFFF
-            if a in right or b in left or (a == b and (a in left or b in right)):
+            # one pair a bucket in a round, so that a bucket tells the pair; others come in the next
+            if a in right or b in left or home[k] in taken or (a == b and (a in left or b in right)):
                 continue
             left.add(a)
             right.add(b)
-            chosen.append(int(found[k]))
+            taken.add(home[k])
+            chosen.append(k)
         if not chosen:
             break
-        new = np.array(chosen, np.uint32)
-        order = np.argsort(new)
-        place = np.searchsorted(new[order], code[at])
-        place[place == len(new)] = 0
-        hit = new[order][place] == code[at]
-        at, symbol = at[hit], order[place[hit]]
+        pair_of, symbol_of = np.zeros(1 << BITS, np.uint32), np.zeros(1 << BITS, np.uint32)
+        places = np.array(home)[chosen]
+        symbol_of[places] = terminals + len(rules) + np.arange(len(chosen), dtype=np.uint32)
+        pair_of[places] = found[chosen]
+        place = bucket[at]
+        hit = (pair_of[place] == code[at]) & (symbol_of[place] > 0)
+        at, place = at[hit], place[hit]
         seq = seq.copy()
-        seq[at] = (terminals + len(rules) + symbol).astype(np.uint32)
-        gone = np.ones(len(seq), bool)
-        gone[at + 1] = False
-        seq = seq[gone]
-        rules += [(c >> 16, c & 0xFFFF) for c in chosen]
+        seq[at] = symbol_of[place]
+        kept = np.ones(len(seq), bool)
+        kept[at + 1] = False
+        seq = seq[kept]
+        rules += [(int(found[k]) >> 16, int(found[k]) & 0xFFFF) for k in chosen]
     return np.array(rules, np.uint32).reshape(-1, 2), seq
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -20,19 +21,65 @@ REMEMBERED = 1_000_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+#: Marks that end a word and are pre-tokens of their own in both vocabularies.
+MARKS = frozenset(",.;:!?")
+
+
+def _plain(word: str) -> bool:
+    """Only letters below U+0250: one pre-token in either vocabulary, which no
+    normalisation but lower case changes."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself
+    where it prints, else the next code point from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
+    """``tokenizers`` ids of whole texts. Plain words go straight to the
+    vocabulary's BPE model, all else through the whole tokenizer."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
+        wide = self.tok.get_vocab_size() > 65536
+        self.dtype, self._code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
+        self.letters = _byte_letters()
+        # a vocabulary with word ends drops the space and lower-cases; the other keeps the space as a letter
+        self.lowers = bool(getattr(self.tok.model, "end_of_word_suffix", None))
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.marks = {m: self._pack(self.tok.encode(m, add_special_tokens=False).ids) for m in MARKS}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self._code, ids).tobytes()
+
+    def _word(self, word: str, lead: str) -> bytes:
+        text = word.lower() if self.lowers else lead + word
+        text = text.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.tok.model.tokenize(text)])
 
     def _learn(self, words: list[str], known: dict[str, bytes], lead: str) -> None:
-        for w, e in zip(words, self.tok.encode_batch_fast([lead + w for w in words], add_special_tokens=False)):
-            known[w] = np.array(e.ids, self.dtype).tobytes()
+        rest = []
+        for w in words:
+            if _plain(w):
+                known[w] = self._word(w, lead)
+            elif w[-1:] in self.marks and _plain(w[:-1]):
+                base = known.get(w[:-1])
+                if base is None:
+                    base = known[w[:-1]] = self._word(w[:-1], lead)
+                known[w] = base + self.marks[w[-1]]
+            else:
+                rest.append(w)
+        if rest:
+            for w, e in zip(rest, self.tok.encode_batch_fast([lead + w for w in rest], add_special_tokens=False)):
+                known[w] = self._pack(e.ids)
 
     def ids(self, text: str) -> np.ndarray:
         """The whole text's ids (uint16 or uint32, little-endian)."""
@@ -62,7 +109,7 @@ class WordEncoder:
 
     def _mixed(self, text: str) -> np.ndarray:
         parts = LONE_SPACE.split(text)
-        out = [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(
+        out = [self._pack(e.ids) for e in self.tok.encode_batch_fast(
             [parts[0], *(" " + p for p in parts[1:])], add_special_tokens=False)]
         return np.frombuffer(b"".join(out), self.dtype)
 
