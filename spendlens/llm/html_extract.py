@@ -259,9 +259,10 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     presentation = (F.log2("shape_n") - F.col("shape_nlog") / F.col("shape_n")) / log_m
     # features one minus their mean entropy: log(pages that show it) over log(pages)
     content = F.lit(1.0) - F.col("feature_log") / F.col("features") / log_m
-    own = nodes.select("host", "path", "pages", "shapes", "features",
-                       F.greatest(F.coalesce(presentation, F.lit(0.0)), F.lit(0.0)).alias("presentation"),
-                       F.greatest(content, F.lit(0.0)).alias("content"))
+    # a few numbers a node; stored, since both sides of the join below read them
+    own = stored(nodes.select("host", "path", "pages", "shapes", "features",
+                              F.greatest(F.coalesce(presentation, F.lit(0.0)), F.lit(0.0)).alias("presentation"),
+                              F.greatest(content, F.lit(0.0)).alias("content")), "style-nodes")
     # every node's content goes to itself and all branches above, weighed by its features
     above = F.transform(F.sequence(F.lit(2), F.size(F.split("path", "/"))),
                         lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))
