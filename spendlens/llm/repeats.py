@@ -349,7 +349,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of structs start, end in bytes) and kept (the bytes that remain)."""
     spark = session(docs)
     parts = shuffle_partitions(spark)
-    buckets = 4 * parts
+    # rows between two passes are packed by bucket: a few times buckets x buckets of them at most
+    buckets = parts
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     # identifiers are unique or rows are told apart by their text as well
