@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are what is assigned to a name like password or token, long runs of
-letters and digits, and the known formats of keys. A random forest decides which of them are secrets from
+Candidates are what is assigned to a name that is or ends in one like password
+or token, the passwords of URLs, long runs of letters and digits, and the known
+formats of keys. A random forest decides which of them are secrets from
 the candidate's length and character transitions, its coverage by a dictionary
 of ordinary words, the path it stands in, and its neighbouring words. The
 forest is fitted on labelled findings: given by the caller (value, before,
@@ -45,8 +46,14 @@ NUMBER_WORDS = "phone tel fax card order invoice isbn issn account id ref no nr
 NAME = "(?i:" + "|".join(NAMES) + ")"
 ASSIGNED = NAME + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
 RUN = r"[A-Za-z0-9_+/-]"
-CANDIDATE = (rf"(?<![A-Za-z0-9_+/-])(?:{ASSIGNED}[^\s\"',;]{{6,}}|(?=[A-Za-z_+/-]*+\d){RUN}{{12,}}+={{0,2}}|"
-             rf"{'|'.join(FORMATS)})")
+VALUE = r"[^\s\"',;]{6,}"
+#: What stands between a URL's scheme and the password of its user.
+USER = r"://[^\s/:@\"'<>\[\]]*+:"
+# a name may be the end of a longer one (DB_PASSWORD, userPassword): the whole run before it belongs to it
+CANDIDATE = (rf"{USER}[^\s/\"'<>]+(?=@)|(?<!{RUN})(?:{RUN}*?{ASSIGNED}{VALUE}|"
+             rf"(?=[A-Za-z_+/-]*+\d){RUN}{{12,}}+={{0,2}}|{'|'.join(FORMATS)})")
+#: What stands before the value in a candidate.
+LEAD = rf"^(?:{USER}|{RUN}*?{ASSIGNED}(?={VALUE}))"
 
 FEATURES = ["length", "digits", "upper", "lower", "other", "transitions", "alternation", "repeats", "distinct",
             "dictionary", "hex", "format", "assigned", "quoted", "path", "number_word", "word_before", "word_after"]
@@ -67,7 +74,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     so_far = Window.partitionBy("doc_id", "th").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     hit, left = F.col("col.hits"), F.col("col.left")
     end = F.sum(F.length(hit) + F.length(left)).over(so_far)
-    value = F.regexp_replace(hit, "^" + ASSIGNED, "")
+    value = F.regexp_replace(hit, LEAD, "")
     placed = each.select("doc_id", "th", "pos", end.cast("long").alias("end"), value.alias("value"),
                          F.concat(F.right(left, F.lit(NEAR)),
                                   F.left(hit, F.length(hit) - F.length(value))).alias("before"),
@@ -84,6 +91,7 @@ def with_features(found: DataFrame) -> DataFrame:
     """``found`` (value, before, after) with the columns of FEATURES, all doubles."""
     n = F.greatest(F.length("value"), F.lit(1))
     left_words = F.regexp_replace(F.lower("value"), "|".join(sorted(WORDS, key=len, reverse=True)), "")
+    in_url = F.col("before").rlike(USER + "$") & F.col("after").startswith("@")
     last_word = F.lower(F.regexp_extract("before", r"(\w+)\W*$", 1))
     columns = {
         "length": F.length("value"),
@@ -98,10 +106,10 @@ def with_features(found: DataFrame) -> DataFrame:
         "dictionary": (F.length("value") - F.length(left_words)) / n,
         "hex": F.col("value").rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"),
         "format": F.col("value").rlike("^(?:" + "|".join(FORMATS) + ")"),
-        "assigned": F.col("before").rlike(ASSIGNED + "$"),
+        "assigned": F.col("before").rlike(ASSIGNED + "$") | in_url,
         "quoted": F.col("before").rlike("[\"']$"),
-        "path": F.col("before").rlike(r"(?:://|/|\\|www\.|@)\S*$") | F.col("value").rlike(r"/.*/|\.[a-z]{2,4}$")
-        | F.col("after").rlike(r"^\.[a-z]{2,4}\b"),
+        "path": ~in_url & (F.col("before").rlike(r"(?:://|/|\\|www\.|@)\S*$")
+                           | F.col("value").rlike(r"/.*/|\.[a-z]{2,4}$") | F.col("after").rlike(r"^\.[a-z]{2,4}\b")),
         "number_word": last_word.isin(NUMBER_WORDS),
         "word_before": F.length(last_word),
         "word_after": F.length(F.regexp_extract("after", r"^\W*(\w+)", 1)),

@@ -167,6 +167,29 @@ def test_secrets_found_and_clean_left(spark):
     assert hit == {i for i, t in enumerate(texts) if any(t.startswith(s) for s in SECRETS)}
 
 
+PREFIXED = [("DB_PASSWORD={}", "Tr0ub4dor&3x!"), ("MYSQL_ROOT_PASSWORD={}", "s3cr3t!pw"),
+            ("db_password: '{}'", "correct-horse-battery"), ('userPassword = "{}"', "G7#kk2!qLz"),
+            ("my_token={}", "ABCdefGHIjklMNOpqrSTUvwx"), ("DB2_PRODUCTION_PASSWORD={}", "k3!uWq-91zz"),
+            ("postgres://app:{}@db.example:5432/x", "tR4-9q#x!2mP7"), ("redis://:{}@cache", "k9w3xq7z2m"),
+            ("git+https://deploy-user12:{}@git.example/r", "p@55w0rd-81kd")]
+
+
+def test_secrets_behind_prefixed_names_and_in_urls(spark):
+    """Names with something before them and passwords of URLs: exact values, masked by the forest's decision
+    (a phrase of plain words is a candidate too, but these labels teach no secret without a digit)."""
+    clean = ["see http://a.example:8080/x@y", "mail me@a.example or http://[::1]:80/@x", "PASSWORDS are: few"]
+    data = [(k, f"x {form.format(v)} y") for k, (form, v) in enumerate(PREFIXED)]
+    data += [(100 + k, t) for k, t in enumerate(clean)]
+    data += [(1000 + i, f"{t} filler {i}") for i in range(20) for t in SECRETS + CLEAN]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {(r.doc_id, r.value) for r in secret_scan.candidates(df).where("doc_id < 1000").collect()}
+    assert found == {(k, v) for k, (_, v) in enumerate(PREFIXED)}
+    masked = {r.doc_id: r.text for r in secret_scan.redacted(df).where("doc_id < 1000").collect()}
+    masked.pop(2)
+    assert masked == {k: f"x {form.format('[SECRET]')} y" for k, (form, _) in enumerate(PREFIXED) if k != 2} | {
+        100 + k: t for k, t in enumerate(clean)}
+
+
 def test_forest_follows_the_given_labels(spark):
     """Labels, not rules, decide: here numbers are the secrets."""
     label = [(f"{i:016d}", "card ", " ok", True) for i in range(50)] + [(f"AKIA{i:016X}", "key ", " x", False) for i in range(50)]
