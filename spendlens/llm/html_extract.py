@@ -10,8 +10,9 @@ leaves', and branches below ``LEAST`` are removed from each page of the host.
 
 Entropy cannot see what a single page or an ever-changing advert is, so the
 names of elements speak first: scripts, forms, navigation and the like go
-whatever their entropy, and where a page has an article or main element, what
-stands outside of it goes. The tree is then what removes repeated blocks inside
+whatever their entropy, unless a branch so named holds the page's main element
+or most of its text; where a page has a main element, or articles that hold
+most of its text, what stands outside goes. The tree is then what removes repeated blocks inside
 (share bars, boilerplate lines) and, where a host uses no such names, the
 menus themselves.
 
@@ -41,6 +42,9 @@ from .common import in_pieces, session, stored
 #: Importance below which a branch is removed, weight of a node's own presentation against its
 #: leaves, pages of a host that make entropy speak, and depth to which paths are told apart.
 LEAST, GAMMA, FEW_PAGES, DEPTH = 0.2, 0.9, 8, 24
+#: Beside articles, a branch with a name of noise (an advert longer than a short article) holds the page's text only
+#: if it is so many times theirs.
+OUTWEIGHS = 8
 
 # --- fixed values: element names and the words in class, id and role that tell what a branch is ---
 DROPPED = frozenset("script style noscript template head title svg math iframe object embed canvas video audio map "
@@ -56,6 +60,10 @@ NOISE_WORDS = frozenset(
     "recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager widget "
     "widgets tags toolbar skip hidden outbrain taboola complementary contentinfo search".split())
 HEADER_WORDS = frozenset("header topbar".split())
+#: Words that beside one of the above leave a name what it is (site-footer), as any other word does not (has-sidebar).
+NEUTRAL_WORDS = frozenset("site page global top bottom left right primary secondary box block list item container "
+                          "wrapper wrap section area bar button buttons link links slot unit row".split())
+MAIN_NAMES = frozenset(("main", "articlebody"))
 
 #: Elements that a start tag of the named kind closes when it meets them open.
 CLOSED_BY = {
@@ -74,23 +82,46 @@ HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 
 
+def _named(names: Iterable[str], words: frozenset[str]) -> bool:
+    """Whether one of the whole names is one of ``words``, alone or beside neutral ones."""
+    for name in names:
+        if name in words:
+            return True
+        parts = [w for w in WORD.findall(name) if not w.isdigit()]
+        if not words.isdisjoint(parts) and all(w in words or w in NEUTRAL_WORDS for w in parts):
+            return True
+    return False
+
+
 class Element:
-    __slots__ = ("tag", "path", "dropped", "main", "children")
+    """``suspect`` is why its branch may go (see SUSPECT), ``main`` how far it is the page's main element: 2 by the
+    tag main, 1 by article or a name. ``size``, ``story`` and ``holds`` are the text below it, that of it in
+    articles, and whether a main tag with text is among it."""
+    __slots__ = ("tag", "path", "parent", "suspect", "main", "children", "size", "story", "holds", "dropped", "off")
 
-    def __init__(self, tag: str, path: str, dropped: bool, main: bool):
-        self.tag, self.path, self.dropped, self.main = tag, path, dropped, main
+    def __init__(self, tag: str, path: str, parent: Element | None, suspect: int, main: int):
+        self.tag, self.path, self.parent, self.suspect, self.main = tag, path, parent, suspect, main
         self.children: list[str] = []
+        self.size = self.story = 0
+        self.holds = self.dropped = False
+        self.off = bool(suspect or parent and parent.off)
+
+
+#: Why a branch may go: its tag, its name or a form, a page's header. 0 is not at all.
+TAG, NAME, HEADER = 1, 2, 3
 
 
 class Page:
     """Blocks of text of a page, each with its path, and the child sequence of every element."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []  # path, text, dropped, in main
+        self.blocks: list[tuple[str, str, bool, int]] = []  # path, text, dropped, in main
         self.nodes: list[tuple[str, str]] = []  # path, child sequence
         self.links: list[tuple[str, str]] = []
         self._text: list[str] = []
-        self._stack = [Element("", "", False, False)]
+        self._stack = [Element("", "", None, 0, 0)]
+        self._all = list(self._stack)
+        self._found: list[tuple[Element, str]] = []
         at = 0
         for m in MARKUP.finditer(source):
             if m.start() > at:
@@ -103,6 +134,32 @@ class Page:
         while len(self._stack) > 1:
             self._close()
         self._flush()
+        self._judge()
+
+    def _judge(self) -> None:
+        """Which branches go and which are main, once all text is known: a name does not drop a branch that holds
+        the page's main element or most of its text."""
+        elements, root = self._all, self._all[0]
+        for e, text in self._found:
+            e.size += len(text)
+        for e in reversed(elements):
+            if e.size and e.tag in MAIN:
+                e.story = e.size
+                e.holds = e.holds or e.tag == "main"
+            if e.suspect == TAG and not e.holds:
+                e.size = e.story = 0
+            if e.parent:
+                e.parent.size += e.size
+                e.parent.story += e.story
+                e.parent.holds = e.parent.holds or e.holds
+        for e in elements[1:]:
+            top = e.parent
+            most = e.holds or 2 * e.story > root.story or \
+                2 * e.size > root.size and e.size > OUTWEIGHS * (root.story - e.story)
+            e.dropped = top.dropped or e.suspect == TAG and not e.holds or e.suspect == NAME and not most \
+                or e.suspect == HEADER and not top.main and not most
+            e.main = 0 if e.dropped else max(e.main, top.main)
+        self.blocks = [(e.path, text, e.dropped, e.main) for e, text in self._found]
 
     def _flush(self) -> None:
         if self._text:
@@ -110,11 +167,10 @@ class Page:
             self._text = []
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                top = self._block()
-                self.blocks.append((top.path, text, top.dropped, top.main))
+                self._found.append((self._block(), text))
 
     def _block(self) -> Element:
-        return next((e for e in reversed(self._stack) if e.tag not in INLINE or e.dropped), self._stack[0])
+        return next((e for e in reversed(self._stack) if e.tag not in INLINE or e.off), self._stack[0])
 
     def _close(self) -> None:
         gone = self._stack.pop()
@@ -133,7 +189,7 @@ class Page:
                     return  # an inline end tag does not close blocks
                 elif any(e.tag not in INLINE for e in self._stack[self._depth(tag):]):
                     return
-                if self._stack[-1].dropped:
+                if self._stack[-1].off:
                     self._flush()
                 while self._stack[-1].tag != tag:
                     self._close()
@@ -150,27 +206,37 @@ class Page:
                 if tag in by:
                     self._close_open(open_tag)
             top = self._stack[-1]
-        words = set()
+        whole: set[str] = set()
         names = ""
         if rest:
             for _, a, b, c in NAMES.findall(rest):
-                words.update(WORD.findall((a or b or c).lower()))
+                whole.update((a or b or c).lower().split())
+            words = {w for name in whole for w in WORD.findall(name)}
             names = ".".join(sorted(w for w in words if not w.isdigit()))
             if tag == "a":
                 for a, b, c in HREF.findall(rest):
                     self.links.append((self._block().path, a or b or c))
         step = f"{tag}.{names}" if names else tag
-        dropped = top.dropped or tag in DROPPED or bool(words & NOISE_WORDS and tag not in ("html", "body", "article", "main")) \
-            or (not top.main and (tag == "header" or bool(words & HEADER_WORDS and tag not in ("html", "body"))))
-        if dropped and not top.dropped:
+        suspect = main = 0
+        if tag in DROPPED and tag != "form":
+            suspect = TAG
+        elif tag == "form" or tag not in ("html", "body", "article", "main") and _named(whole, NOISE_WORDS):
+            suspect = NAME
+        elif tag == "header" or tag not in ("html", "body") and _named(whole, HEADER_WORDS):
+            suspect = HEADER
+        if tag == "main":
+            main = 2
+        elif tag == "article" or tag != "body" and not MAIN_NAMES.isdisjoint(whole):
+            main = 1
+        if suspect and not top.off:
             self._flush()
-        main = top.main or (tag in MAIN or "articlebody" in words or "main" in words and tag != "body") and not dropped
         path = top.path
         if tag not in INLINE:
             block = self._block()
             block.children.append(step)
             path = f"{block.path}/{step}" if block.path.count("/") < DEPTH else block.path
-        self._stack.append(Element(tag, path, dropped, main))
+        self._stack.append(Element(tag, path, top, suspect, main))
+        self._all.append(self._stack[-1])
 
     def _depth(self, tag: str) -> int:
         return max(i for i, e in enumerate(self._stack) if e.tag == tag)
@@ -190,8 +256,11 @@ class Page:
     def text(self, removed: frozenset[str] = frozenset()) -> str:
         """What is left without the ``removed`` branches."""
         blocks = [(p, t, m) for p, t, dropped, m in self.blocks if not dropped and not _below(p, removed)]
-        if any(m for _, _, m in blocks):
-            blocks = [b for b in blocks if b[2]]
+        # articles and names tell the main element if they hold most of what is left, the tag main always
+        marked = sum(len(t) for _, t, m in blocks if m)
+        least = 1 if marked and 2 * marked >= sum(len(t) for _, t, _ in blocks) else 2
+        if any(m >= least for _, _, m in blocks):
+            blocks = [b for b in blocks if b[2] >= least]
         return " ".join(t for _, t, _ in blocks)
 
 

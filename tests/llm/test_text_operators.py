@@ -37,6 +37,25 @@ def test_page_text(html, want):
     assert main_text(html) == want
 
 
+LONG = "a long story of many words that makes up most of the text of this page"
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<div class='content-sidebar-wrap'><main><p>{LONG}</p></main><div class=sidebar>s</div></div>", LONG),
+    (f"<div class='has-sidebar'><p>{LONG}</p></div><div class=site-footer>f</div>", LONG),
+    (f"<div class='no-header'><p>{LONG}</p></div>", LONG), (f"<div class='comments-open'><p>{LONG}</p></div>", LONG),
+    (f"<div id='search-results'><p>{LONG}</p></div>", LONG), (f"<div class=widget><p>{LONG}</p></div><p>x</p>", f"{LONG} x"),
+    (f"<h1 class='main-title'>T</h1><p>{LONG}</p>", f"T {LONG}"),
+    (f"<figure class='main-image'>F</figure><p>{LONG}</p>", f"F {LONG}"),
+    (f"<div><p>{LONG}</p></div><article>teaser</article>", f"{LONG} teaser"),
+    (f"<div id=main><p>{LONG}</p></div><p>outside</p>", LONG), (f"<p class=main>m</p><p>{LONG}</p>", f"m {LONG}"),
+    (f"<form id=aspnet><article>{LONG}</article></form>", LONG), (f"<nav>{LONG}</nav><p>x</p>", "x"),
+    (f"<article>{LONG}</article><div class=related><article>card</article></div>", LONG),
+])
+def test_names_do_not_drop_the_text(html, want):
+    assert main_text(f"<html><body>{html}</body></html>") == want
+
+
 def test_html_query(spark, sf):
     got = queries.op1_main_text(spark, sf)
     assert got.columns == ["page_id", "url", "text", "n_chars"]
