@@ -16,13 +16,16 @@ most of its text, what stands outside goes. The tree is then what removes repeat
 (share bars, boilerplate lines) and, where a host uses no such names, the
 menus themselves.
 
-The tree is built from per-block counts (host, path, feature), so a host that
+The tree is built from the distinct pages of a host: copies of a page (the same
+blocks of text, whatever the url) are one, since they say nothing of what a
+site repeats. It follows from per-block counts (host, path, feature), so a host that
 holds a third of all pages is counted in every task; what the second pass needs
 of it is one row a host, its removed paths, joined by size.
 
 Defined results: null and empty html give the empty string; so does a page
 without text; pages without a host share one; a host of fewer than
-``FEW_PAGES`` pages loses nothing by entropy; repeated rows are pages each; an
+``FEW_PAGES`` distinct pages loses nothing by entropy; repeated rows are one page
+of the tree, and each keeps its row; an
 empty table gives an empty table; extra columns are carried along unless their
 names clash with the result's (text, n_chars), which win.
 """
@@ -31,8 +34,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -277,7 +280,7 @@ def _below(path: str, removed: frozenset[str]) -> bool:
     return False
 
 
-COUNTED = "host string, path string, kind int, feature long, n long"
+SEEN = "host string, page long, whole long, items array<struct<path: string, kind: int, feature: long>>"
 #: Kinds of counts: pages that have a path; a child sequence there; a feature there.
 PAGES, SHAPES, FEATURES = range(3)
 
@@ -286,34 +289,45 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def _tree_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _page_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a distinct page of a host in each piece: digests of its text blocks and of all that is counted, and
+    what it counts for."""
     import xxhash
 
     def digest(s: str) -> int:
         return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
     for b in in_pieces(batches, "html", 16_000_000):
-        counts: Counter = Counter()
+        pages: dict[tuple[str, int], tuple[int, list[tuple[str, int, int]]]] = {}
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             page = Page(source or "")
+            own = digest("\n".join(f"{p}\t{t}" for p, t, dropped, _ in page.blocks if not dropped))
             # a page counts once for each path, shape and feature it has
             seen = {(p, SHAPES, digest(c)) for p, c in page.nodes} | {(p, PAGES, 0) for p, _ in page.nodes}
             seen |= {(p, FEATURES, digest(t)) for p, t, dropped, _ in page.blocks if not dropped}
             seen |= {(p, FEATURES, digest("href " + h)) for p, h in page.links}
-            counts.update((host, *x) for x in seen)
-        rows = list(counts.items())
+            items = sorted(seen)
+            one = (digest(repr(items)), items)
+            pages[host, own] = min(pages.get((host, own), one), one)  # of copies that differ in links, always the same
+        flat = [x for _, items in pages.values() for x in items]
+        ends = list(accumulate((len(items) for _, items in pages.values()), initial=0))
+        items = pa.StructArray.from_arrays(
+            [pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int32()),
+             pa.array([x[2] for x in flat], pa.int64())], names=["path", "kind", "feature"])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()),
-             pa.array([k[2] for k, _ in rows], pa.int32()), pa.array([k[3] for k, _ in rows], pa.int64()),
-             pa.array([n for _, n in rows], pa.int64())], names=["host", "path", "kind", "feature", "n"])
+            [pa.array([h for h, _ in pages], pa.string()), pa.array([d for _, d in pages], pa.int64()),
+             pa.array([w for w, _ in pages.values()], pa.int64()),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["host", "page", "whole", "items"])
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, path, pages and importance (0 to 1) of each node of each host's tree."""
     session(pages)
-    counted = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")) \
-        .mapInArrow(_tree_counts, COUNTED) \
-        .groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    distinct = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")) \
+        .mapInArrow(_page_items, SEEN) \
+        .groupBy("host", "page").agg(F.min_by("items", "whole").alias("items"))
+    counted = distinct.select("host", F.explode("items").alias("x")).select("host", "x.*") \
+        .groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     m = F.max(F.when(F.col("kind") == PAGES, F.col("n")))
     # sums from which both entropies follow once the number of pages m is known
     shape, feature = F.col("kind") == SHAPES, F.col("kind") == FEATURES

@@ -89,6 +89,21 @@ def test_style_tree_removes_what_all_pages_share(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    """The tree counts distinct pages: copies under other urls or in repeated rows remove nothing of an article."""
+    page = ("<body><div class=x><p>Home</p></div><div class=y><p>Story {0} told {0} times</p>"
+            "<p><a href='/{1}'>more</a> of {0}</p></div></body>")
+    data = [(i, f"http://one.example/print?utm={i}", page.format("one", i)) for i in range(30)]
+    data += [(100 + i, f"http://two.example/{i}", page.format("two", 0)) for i in range(30)]
+    data += [(200 + i, f"http://two.example/s{i}", page.format(i, i)) for i in range(12)]
+    df = spark.createDataFrame(data + data[:1] * 9, "page_id long, url string, html string").repartition(5)
+    got = [tuple(r) for r in html_extract.extract(df).select("page_id", "text").collect()]
+    assert sorted(got) == sorted(
+        [(i, "Home Story one told one times more of one") for i in [*range(30), *[0] * 9]]
+        + [(100 + i, "Story two told two times more of two") for i in range(30)]
+        + [(200 + i, f"Story {i} told {i} times more of {i}") for i in range(12)])
+
+
 def test_importance_of_shared_and_differing_branches(spark):
     page = "<body><div class=x><p>same</p></div><div class=y><p>text {0}</p></div></body>"
     df = spark.createDataFrame([(f"http://h/{i}", page.format(i)) for i in range(16)], "url string, html string")
