@@ -35,6 +35,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from itertools import accumulate
 
 import pyarrow as pa
@@ -43,7 +44,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import in_pieces, session, stored
 
 #: Importance below which a branch is removed, weight of a node's own presentation against its
-#: leaves, pages of a host that make entropy speak, and depth to which paths are told apart.
+#: leaves, pages of a host that make entropy speak, and depth to which paths are spelt out (below it a
+#: path ends in a digest, and repeated blocks go one by one instead of by the branch).
 LEAST, GAMMA, FEW_PAGES, DEPTH = 0.2, 0.9, 8, 24
 #: Beside articles, a branch with a name of noise (an advert longer than a short article) holds the page's text only
 #: if it is so many times theirs.
@@ -237,7 +239,7 @@ class Page:
         if tag not in INLINE:
             block = self._block()
             block.children.append(step)
-            path = f"{block.path}/{step}" if block.path.count("/") < DEPTH else block.path
+            path = _below_path(block.path, step)
         self._stack.append(Element(tag, path, top, suspect, main))
         self._all.append(self._stack[-1])
 
@@ -267,6 +269,15 @@ class Page:
         return " ".join(t for _, t, _ in blocks)
 
 
+def _below_path(path: str, step: str) -> str:
+    """The path of ``step`` under ``path``; from DEPTH levels on, what follows them is a digest of the whole path,
+    so that paths stay short and apart."""
+    if path.count("/") < DEPTH:
+        return f"{path}/{step}"
+    key = blake2b(f"{path}/{step}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+    return f"{path.partition('/#')[0]}/#{key}"
+
+
 def _below(path: str, removed: frozenset[str]) -> bool:
     if not removed:
         return False

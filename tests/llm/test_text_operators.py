@@ -104,6 +104,13 @@ def test_copies_of_a_page_keep_their_text(spark):
         + [(200 + i, f"Story {i} told {i} times more of {i}") for i in range(12)])
 
 
+def test_repeated_blocks_beside_a_deep_article_go(spark):
+    page = ("<body>" + "<div>" * 40 + "<div class=x><p>Home</p></div><div class=y><p>Story {0}</p><div><p>told {0}</p></div>"
+            "</div><p>Read on</p>" + "</div>" * 40 + "</body>")
+    df = spark.createDataFrame([(f"http://h/{i}", page.format(i)) for i in range(16)], "url string, html string")
+    assert {r.text for r in html_extract.extract(df).collect()} == {f"Story {i} told {i}" for i in range(16)}
+
+
 def test_importance_of_shared_and_differing_branches(spark):
     page = "<body><div class=x><p>same</p></div><div class=y><p>text {0}</p></div></body>"
     df = spark.createDataFrame([(f"http://h/{i}", page.format(i)) for i in range(16)], "url string, html string")
