@@ -26,9 +26,10 @@ MARKS = frozenset(",.;:!?")
 
 
 def _plain(word: str) -> bool:
-    """Only letters below U+0250: one pre-token in either vocabulary, which no
-    normalisation but lower case changes."""
-    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+    """Only letters below U+0250 that stay letters in lower case (U+0130 gets a
+    mark of its own): one pre-token in either vocabulary, which no normalisation
+    but lower case changes."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250" and word.lower().isalpha())
 
 
 def _byte_letters() -> dict[int, str]:

@@ -23,6 +23,14 @@ def test_word_encoder_gives_the_librarys_ids(text):
         assert enc.ids(text).tolist() == token_ids(text, name, 0)[:-1]
 
 
+def test_every_plain_letter_gives_the_librarys_ids():
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    for name in (BYTE, WORD):
+        enc = _encoder(name)
+        for text in ["İstanbul, İ aİb", *(f"{c} {c}stan a{c}b, x{c}{c}! {c}." for c in letters)]:
+            assert enc.ids(text).tolist() == token_ids(text, name, 0)[:-1], text
+
+
 _ENC = {}
 
 
