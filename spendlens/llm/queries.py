@@ -1,4 +1,4 @@
-"""The operators over the driver's tables: op1 to op10 and the pipeline.
+"""The operators over the driver's tables: op1 to op13 and the pipeline.
 
 Parameters here are the production ones; every query reads its whole table.
 """
@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, html_extract, langid, packing, repair_store, repeats, secret_scan, simhash, topk_search
+from . import bpe, collocations, exact_dedup, html_extract, langid, packing, repair_store, repeats, secret_scan, simhash, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,17 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(_table(spark, sf_dir, "documents"))
+    return collocations.ranked(found).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_main_text, op2_packing, op3_token_store, op4_exact_dedup, op5_topk, op6_secret_scan, op7_language_id, op8_byte_bpe,
-                            op9_simhash, op10_repeats)}
+                            op9_simhash, op10_repeats, op11_collocations)}
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_topk": topk_search.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
