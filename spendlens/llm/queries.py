@@ -10,7 +10,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, collocations, exact_dedup, html_extract, langid, packing, repair_store, repeats, secret_scan, simhash, topk_search
+from . import bpe, collocations, exact_dedup, html_extract, langid, packing, repair_store, repeats, secret_scan, simhash, \
+    source_audit, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +70,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.ranked(found).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_main_text, op2_packing, op3_token_store, op4_exact_dedup, op5_topk, op6_secret_scan, op7_language_id, op8_byte_bpe,
-                            op9_simhash, op10_repeats, op11_collocations)}
+                            op9_simhash, op10_repeats, op11_collocations, op12_source_audit)}
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_topk": topk_search.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op12_source_audit": source_audit.ORACLE,
 }
