@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, collocations, exact_dedup, html_extract, langid, packing, repair_store, repeats, secret_scan, simhash, \
+from . import bpe, collocations, exact_dedup, html_extract, langid, packing, pii, repair_store, repeats, secret_scan, simhash, \
     source_audit, topk_search
 
 
@@ -74,9 +74,14 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_main_text, op2_packing, op3_token_store, op4_exact_dedup, op5_topk, op6_secret_scan, op7_language_id, op8_byte_bpe,
-                            op9_simhash, op10_repeats, op11_collocations, op12_source_audit)}
+                            op9_simhash, op10_repeats, op11_collocations, op12_source_audit,
+                            op13_personal_data)}
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
