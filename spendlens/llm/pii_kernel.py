@@ -234,7 +234,7 @@ def decode(n: int, found: list[tuple[int, int, list[int]]], weights: np.ndarray)
 
 
 def fit(islands_: list[tuple[int, list[tuple[int, int, list[int]]], dict[tuple[int, int], int]]], steps: int = 100, rate: float = 0.2,
-        penalty: float = 0.02) -> np.ndarray:
+        penalty: float = 1.0) -> np.ndarray:
     """Weights (feature x kind) of greatest penalised conditional likelihood, by Adam over all islands at once.
 
     Each island: number of tokens (``FIT_TOKENS`` at most), candidate segments, gold segments {(first, tokens): kind}."""
@@ -270,7 +270,7 @@ def fit(islands_: list[tuple[int, list[tuple[int, int, list[int]]], dict[tuple[i
             ways = min(MAX_TOKENS, length - t)
             backward[t] = _logsumexp(np.concatenate([backward[t + 1:t + 2], backward[t + 1:t + 1 + ways] + table[t, :ways]]), axis=0)
         expected = np.exp((forward[first, island] + backward[first + d + 1, island] - forward[length, island])[:, None] + scores)
-        gradient = (observed - x.T @ expected) / count - penalty * weights / 10
+        gradient = (observed - x.T @ expected - penalty * weights) / count
         m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.999 * m2 + 0.001 * gradient ** 2
         weights += rate * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.999 ** step)) + 1e-8)
     return weights
