@@ -288,6 +288,6 @@ def test_held_out_rule_spans_are_found(spark, sf):
     for snippet, begin, stop, labels in rows[1::2]:
         gold = {tuple(map(int, x.split(":"))) for x in labels.split(",") if x}
         at, found = PK.segments(snippet, begin, stop)
-        got = {(k, at[i], at[i + d]) for i, d, k, p in PK.decode(len(at) - 1, found, weights) if p >= pii.MIN_POSTERIOR}
+        got = {(k, at[i], at[i + d]) for i, d, k, p in PK.decode(len(at) - 1, found, weights) if p >= 0.5}
         hit, want, wrong = hit + len(gold & got), want + len(gold), wrong + len(got - gold)
     assert want > 200 and hit >= 0.9 * want and wrong <= 0.05 * want, (hit, want, wrong)
