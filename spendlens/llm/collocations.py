@@ -6,7 +6,8 @@ pointers that share their first m words are the occurrences of that phrase.
 
 1. Blocks of text become word numbers; a word's counts are added up over all
    blocks, and words below the threshold end a suffix (no frequent phrase
-   holds them). Only a block's own distinct words are shuffled, once each.
+   holds them). Only a block's own distinct words are shuffled, once each, packed by
+   the hash bucket that counts them; ids of the frequent ones go back the same way.
 2. Suffixes are routed globally by their leading words: sampled splitters cut
    the order of all suffixes into buckets, so that a phrase of any frequency
    spreads over as many buckets as it needs. Equal suffixes of a block travel once, with their number.
@@ -23,9 +24,11 @@ rows count as often as they stand; an empty table gives no phrases; further colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -42,38 +45,83 @@ BUCKET, SAMPLED = 1_000_000, 16
 #: Splitters at most (40 bytes each); beyond 2**20 buckets they grow instead.
 MOST_BUCKETS = 1 << 20
 
-_BLOCKS = "block long, lang string, n long, size long, words array<struct<word: binary, n: long>>, seq binary"
+_BLOCKS = "block long, lang string, n long, size long, words array<struct<bucket: int, pos: binary, n: binary, words: array<binary>>>, seq binary"
+_NUMBERED = "block long, pos binary, ids binary, words array<struct<lang: string, word: binary, a: long, id: long>>"
 _READY = "block long, uniq binary, seq binary, sample array<array<long>>"
 _ROUTED = "bucket long, parts array<binary>, weight binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a language, about ``BLOCK_BYTES`` at a time, as word numbers."""
-    task, made = TaskContext.get().partitionId(), 0
-    held: dict[str, list[bytes]] = {}
-    size = 0
-
-    def flushed() -> Iterator[pa.RecordBatch]:
-        nonlocal made
-        for lang, texts in held.items():
-            words, counts, seq = numbered_words(texts)
-            entries = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + made], pa.int64()), pa.array([lang]), pa.array([int(counts.sum())], pa.int64()),
-                 pa.array([len(words)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), entries),
-                 pa.array([packed(seq)], pa.binary())], ["block", "lang", "n", "size", "words", "seq"])
-            made += 1
-
-    for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-            text = text.as_py()
-            if held and size + len(text) > BLOCK_BYTES:
-                yield from flushed()
-                held, size = {}, 0
-            held.setdefault(lang, []).append(text)
-            size += len(text)
-    if held:
-        yield from flushed()
+def _blocks(buckets: int):
+    """Texts of a language, about ``BLOCK_BYTES`` at a time, as word numbers, and the words by bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        held: dict[str, list[bytes]] = {}
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            for lang, texts in held.items():
+                words, counts, seq = numbered_words(texts)
+                bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() + [order.size]
+                parts = [{"bucket": int(bucket[order[i]]), "pos": packed(order[i:j].astype(np.int32)), "n": packed(counts[order[i:j]]),
+                          "words": [words[k] for k in order[i:j]]} for i, j in zip(edges, edges[1:])]
+                row = {"block": (task << 32) + made, "lang": lang, "n": int(counts.sum()), "size": len(words),
+                       "words": parts, "seq": packed(seq)}
+                yield pa.RecordBatch.from_pylist([row], schema=_BLOCK_SCHEMA)
+                made += 1
+
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
+                if held and size + len(text) > BLOCK_BYTES:
+                    yield from flushed()
+                    held, size = {}, 0
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+        if held:
+            yield from flushed()
+    return run
+
+
+_BLOCK_SCHEMA = pa.schema([
+    ("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("size", pa.int64()),
+    ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("pos", pa.binary()), ("n", pa.binary()), ("words", pa.list_(pa.binary()))]))),
+    ("seq", pa.binary())])
+_NUMBERED_SCHEMA = pa.schema([
+    ("block", pa.int64()), ("pos", pa.binary()), ("ids", pa.binary()),
+    ("words", pa.list_(pa.struct([("lang", pa.string()), ("word", pa.binary()), ("a", pa.int64()), ("id", pa.int64())])))])
+
+
+def _numbered(least: int):
+    """Counts of a bucket's words over all blocks: ids of the frequent ones for each block that
+    holds them, and one row without a block that lists them. An id holds for one language."""
+    def run(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.combine_chunks()
+        parts = [unpacked(n, np.int64) for n in bucket.column("n").to_pylist()]
+        lengths = np.array([p.size for p in parts])
+        lang = pc.dictionary_encode(bucket.column("lang")).combine_chunks()
+        word = pc.dictionary_encode(pc.list_flatten(bucket.column("words"))).combine_chunks()
+        width = len(word.dictionary)
+        key, entry = np.unique(np.repeat(lang.indices.to_numpy(), lengths).astype(np.int64) * width + word.indices.to_numpy(),
+                               return_inverse=True)
+        counts = np.zeros(key.size, np.int64)
+        np.add.at(counts, entry, np.concatenate(parts))
+        ids = np.where(counts >= least, (bucket.column("bucket")[0].as_py() << 32) + np.arange(1, key.size + 1), 0)[entry]
+        out, at = [], 0
+        for block, pos, size in zip(bucket.column("block").to_pylist(), bucket.column("pos").to_pylist(), lengths.tolist()):
+            own = ids[at:at + size]
+            if own.any():
+                out.append({"block": block, "pos": packed(unpacked(pos, np.int32)[own > 0]), "ids": packed(own[own > 0])})
+            at += size
+        frequent = np.flatnonzero(counts >= least)
+        if frequent.size:
+            first = (bucket.column("bucket")[0].as_py() << 32) + 1
+            out.append({"words": [{"lang": lang.dictionary[int(key[k] // width)].as_py(), "word": word.dictionary[int(key[k] % width)].as_py(),
+                                   "a": int(counts[k]), "id": int(first + k)} for k in frequent]})
+        return pa.Table.from_pylist(out, schema=_NUMBERED_SCHEMA)
+    return run
 
 
 def _ready(depth: int, step: int):
@@ -83,7 +131,8 @@ def _ready(depth: int, step: int):
             for row in b.to_pylist():
                 local = unpacked(row["seq"], np.int32)
                 ids = np.zeros(row["size"] + 1, np.int64)
-                ids[np.array([x["pos"] for x in row["ids"]], np.int64) + 1] = [x["id"] for x in row["ids"]]
+                for x in row["ids"]:
+                    ids[unpacked(x["pos"], np.int32) + 1] = unpacked(x["ids"], np.int64)
                 uniq, rank = np.unique(ids, return_inverse=True)   # 0 is always there and first
                 seq = rank.astype(np.int32)[local]
                 at = np.arange(row["block"] % step, seq.size, step)
@@ -149,19 +198,16 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
     spark = session(docs)
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    blocks = stored(texts.mapInArrow(_blocks, _BLOCKS), "collocation-blocks")
+    blocks = stored(texts.mapInArrow(_blocks(shuffle_partitions(spark)), _BLOCKS), "collocation-blocks")
     sizes = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = blocks.select("block", "lang", F.posexplode("words").alias("pos", "w")) \
-        .select("block", "lang", "pos", "w.word", "w.n")
-    vocabulary = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
-    # ids from 1 that differ between languages, fixed once they are stored
-    vocabulary = stored(vocabulary.withColumn("id", F.monotonically_increasing_id() + 1), "collocation-words")
+    numbered = stored(blocks.select("block", "lang", F.explode("words").alias("w")).select("block", "lang", "w.*")
+                      .groupBy("bucket").applyInArrow(_numbered(min_count), _NUMBERED), "collocation-words")
+    vocabulary = numbered.select(F.explode("words").alias("w")).select("w.*")
 
     total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = min(MOST_BUCKETS, max(shuffle_partitions(spark), -(-total // bucket)))
     step = max(1, total // (n_buckets * SAMPLED))
-    ids = words.drop("n").join(vocabulary.drop("a"), ["lang", "word"]).groupBy("block") \
-        .agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
+    ids = numbered.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("pos", "ids")).alias("ids"))
     ready = stored(blocks.select("block", "size", "seq").join(ids, "block")
                    .mapInArrow(_ready(max_words, step), _READY), "collocation-suffixes")
     cols = [f"w{d}" for d in range(max_words)]
