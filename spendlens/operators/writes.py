@@ -16,7 +16,7 @@ from ..functions.metrics import ratio
 from ..functions.money import from_cents, share_of, spend_so_far
 from ..schema import AD, CAMPAIGN, CAMPAIGN_PRODUCT, conform
 from ..tables import Tables
-from .admission import admit_ads
+from .admission import admit_ads, checkpointed
 from .checks import require_columns
 from .ids import assign_ids
 
@@ -78,27 +78,71 @@ def respread(rollup: DataFrame) -> DataFrame:
 
 
 def _campaign_shares(ad: DataFrame, orders: DataFrame) -> DataFrame:
-    """Per campaign: clicks, orders, revenue cents, and what floor shares leave
-    over with the ad that gets it. Ads are rolled up to (campaign, clicks)
-    first, since ads of equal clicks have equal shares."""
-    by_clicks = ad.where(F.col("Clicks") > 0).groupBy("CampaignID", "Clicks").agg(
-        F.count(F.lit(1)).alias("_ads"), F.min("AdID").alias("_ad"))
-    clicks = by_clicks.groupBy("CampaignID").agg(
-        F.sum(F.col("Clicks") * F.col("_ads")).alias("_camp_clicks"),
-        F.max_by("_ad", "Clicks").alias("_top_ad"))
-    revenue = orders.where(F.col("CampaignID").isNotNull()).groupBy("CampaignID").agg(
-        F.count(F.lit(1)).alias("_camp_orders"),
-        (F.coalesce(F.sum("TotalAmount"), F.lit(0)) * F.lit(100)).cast("decimal(38,0)").alias("_rev_cents"))
-    camp = clicks.join(revenue, "CampaignID", "left")
-    floors = by_clicks.join(respread(camp.select("CampaignID", "_camp_clicks", "_rev_cents")), "CampaignID") \
-        .groupBy("CampaignID").agg(F.sum(F.col("_ads") * share_of(
-            F.coalesce("_rev_cents", F.lit(0)), "Clicks", "_camp_clicks")).alias("_floors"))
-    return camp.join(floors, "CampaignID").withColumn(
-        "_left_over", (F.coalesce("_rev_cents", F.lit(0)) - F.col("_floors")).cast("bigint")).drop("_floors")
-
-
-def recalc_ad_metrics(t: Tables, ad: DataFrame | None = None, only: DataFrame | None = None,
-                      flag: str | None = None) -> DataFrame:
+    """Per campaign with clicks: clicks, orders, revenue cents, and what floor shares
+    leave over with the ad that gets it. Ads and orders are rolled up together to (campaign, clicks) first, since ads
+    of equal clicks have equal shares; totals and floors both come from that rollup."""
+    counters = ad.where(F.col("Clicks") > 0).select(
+        "CampaignID", "Clicks", F.lit(1).alias("_ads"), "AdID", F.lit(0).alias("_orders"), F.lit(None).cast("decimal(12,2)").alias("_amount"))
+    sales = orders.where(F.col("CampaignID").isNotNull()).select(
+        "CampaignID", F.lit(0).cast(ad.schema["Clicks"].dataType).alias("Clicks"), F.lit(0).alias("_ads"),
+        F.lit(None).cast(ad.schema["AdID"].dataType).alias("AdID"), F.lit(1).alias("_orders"), F.col("TotalAmount").alias("_amount"))
+    rolled = counters.unionByName(sales).groupBy("CampaignID", "Clicks").agg(
+        F.sum("_ads").alias("_ads"), F.min("AdID").alias("_ad"), F.sum("_orders").alias("_orders"),
+        (F.coalesce(F.sum("_amount"), F.lit(0)) * F.lit(100)).cast("decimal(38,0)").alias("_cents"))
+    totals = rolled.groupBy("CampaignID").agg(
+        F.sum(F.col("Clicks") * F.col("_ads")).alias("_camp_clicks"), F.max_by("_ad", "Clicks").alias("_top_ad"),
+        F.sum("_orders").alias("_camp_orders"), F.sum("_cents").cast("decimal(38,0)").alias("_rev_cents"))
+    floors = F.sum(F.col("_ads") * share_of("_rev_cents", "Clicks", "_camp_clicks"))
+    return rolled.where(F.col("Clicks") > 0).select("CampaignID", "Clicks", "_ads").join(totals, "CampaignID") \
+        .groupBy("CampaignID").agg(
+            *[F.first(c).alias(c) for c in ("_camp_clicks", "_top_ad", "_camp_orders", "_rev_cents")],
+            (F.first("_rev_cents") - floors).cast("bigint").alias("_left_over"))
+
+
+_RECALCULATED = ("AttributedRevenue", "ConversionRate")
+
+
+def _ad_values(ad: DataFrame, shares: DataFrame, keep: str | None = None) -> DataFrame:
+    """Ads with the recalculated AttributedRevenue and ConversionRate; the old ones go into the struct ``keep``."""
+    if keep:
+        ad = ad.withColumn(keep, F.struct(*_RECALCULATED))
+    j = ad.join(respread(shares), "CampaignID", "left")
+    has_clicks = F.coalesce(F.col("_camp_clicks"), F.lit(0)) > 0
+    share = share_of(F.coalesce("_rev_cents", F.lit(0)), F.coalesce("Clicks", F.lit(0)), "_camp_clicks")
+    share = share + F.when(F.col("AdID") == F.col("_top_ad"), F.col("_left_over")).otherwise(F.lit(0))
+    revenue = F.when(has_clicks, from_cents(share, 18)).otherwise(F.lit(0))
+    conv = F.when(has_clicks & (F.col("Clicks") > 0),
+                  ratio(F.coalesce("_camp_orders", F.lit(0)), "_camp_clicks")).otherwise(F.lit(0.0))
+    return j.withColumn("AttributedRevenue", revenue).withColumn("ConversionRate", conv)
+
+
+#: Ads of a batch up to which it goes to the ads as a broadcast (some 40 bytes each).
+BATCH_BROADCAST = 1_000_000
+
+
+def _recalculated(t: Tables, ad: DataFrame, batch: DataFrame) -> DataFrame:
+    """Ads with ``batch`` (AdID, ``_matched`` and new counters) applied and its ads recalculated.
+
+    A batch of up to ``BATCH_BROADCAST`` ads, as counted, meets the ads by broadcast joins: ads and orders of other
+    campaigns end at one semi join each, and the snapshot crosses no exchange. A larger batch
+    touches most campaigns: all are aggregated, and the values of other ads are kept."""
+    batch = checkpointed(batch)
+    values = [c for c in batch.columns if c not in ("AdID", "_matched")]
+    if batch.count() > BATCH_BROADCAST:
+        applied = _apply_updates(ad, batch, ["AdID"], values)
+        new = _ad_values(applied, _campaign_shares(applied, t.orders), keep="_old")
+        return conform(new.withColumns({c: F.when(F.col("_touched"), F.col(c)).otherwise(F.col(f"_old.{c}")) for c in _RECALCULATED}), AD)
+    applied = _apply_updates(ad, F.broadcast(batch), ["AdID"], values)
+    touched = checkpointed(applied.where("_touched").drop("_touched"))
+    campaigns = F.broadcast(touched.select("CampaignID"))
+    shares = _campaign_shares(applied.join(campaigns, "CampaignID", "left_semi"), t.orders.join(campaigns, "CampaignID", "left_semi"))
+    changed = _ad_values(touched, shares).select("AdID", F.struct(*values, *_RECALCULATED).alias("_new"))
+    j = ad.join(F.broadcast(changed), "AdID", "left")
+    return conform(j.withColumns({c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c))
+                                  for c in (*values, *_RECALCULATED)}), AD)
+
+
+def recalc_ad_metrics(t: Tables, ad: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """Recompute ConversionRate and AttributedRevenue from current counters.
 
     AttributedRevenue = campaign order revenue × the ad's share of campaign
@@ -106,43 +150,26 @@ def recalc_ad_metrics(t: Tables, ad: DataFrame | None = None, only: DataFrame |
     the most clicks (then the smallest AdID), so a campaign's revenue is
     attributed to the cent. ConversionRate = campaign orders × click share /
     ad clicks = campaign orders / campaign clicks. 0 when there are no clicks.
-    Restrict the recalculation (others keep their values) with ``only``, a
-    DataFrame of AdIDs, or ``flag``, a boolean column of ``ad``.
+    ``only``, a DataFrame of AdIDs, restricts the recalculation: other ads keep
+    their values, and only the campaigns of those ads are aggregated.
 
     Everything of campaign grain is joined first; ads meet it once.
     """
     ad = ad if ad is not None else t.ad
-    j = ad.join(respread(_campaign_shares(ad, t.orders)), "CampaignID", "left")
-    has_clicks = F.coalesce(F.col("_camp_clicks"), F.lit(0)) > 0
-    share = share_of(F.coalesce("_rev_cents", F.lit(0)), F.coalesce("Clicks", F.lit(0)), "_camp_clicks")
-    share = share + F.when(F.col("AdID") == F.col("_top_ad"), F.col("_left_over")).otherwise(F.lit(0))
-    revenue = F.when(has_clicks, from_cents(share, 18)).otherwise(F.lit(0))
-    conv = F.when(has_clicks & (F.col("Clicks") > 0),
-                  ratio(F.coalesce("_camp_orders", F.lit(0)), "_camp_clicks")).otherwise(F.lit(0.0))
-    hit = None
-    if only is not None:
-        touch = only.select("AdID").distinct().withColumn("_touch", F.lit(True))
-        j = j.join(touch, "AdID", "left")
-        hit = F.coalesce(F.col("_touch"), F.lit(False))
-    elif flag is not None:
-        hit = F.coalesce(F.col(flag), F.lit(False))
-    if hit is not None:
-        revenue = F.when(hit, revenue).otherwise(F.col("AttributedRevenue"))
-        conv = F.when(hit, conv).otherwise(F.col("ConversionRate"))
-    out = j.withColumn("AttributedRevenue", revenue).withColumn("ConversionRate", conv)
-    return conform(out, AD)
+    if only is None:
+        return conform(_ad_values(ad, _campaign_shares(ad, t.orders)), AD)
+    return _recalculated(t, ad, only.select("AdID").distinct().withColumn("_matched", F.lit(True)))
 
 
 def update_ad_metrics(t: Tables, requests: DataFrame) -> DataFrame:
     """Set (not add) Impressions and Clicks, then recalc the touched ads.
 
     Batch semantics: all counter updates land first, then each touched ad
-    is recalculated against the post-batch counters.
+    is recalculated against the post-batch counters. Only campaigns of touched ads
+    are aggregated.
     """
     require_columns(requests, ["seq", "AdID", "Impressions", "Clicks"], "update_ad_metrics requests")
-    upd = latest_per_key(requests, ["AdID"], ["Impressions", "Clicks"])
-    applied = _apply_updates(t.ad, upd, ["AdID"], ["Impressions", "Clicks"])
-    return recalc_ad_metrics(t, ad=applied, flag="_touched")
+    return _recalculated(t, t.ad, latest_per_key(requests, ["AdID"], ["Impressions", "Clicks"]))
 
 
 # --- W6 / W7 / W7a: pricing --------------------------------------------------

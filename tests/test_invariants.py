@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -111,6 +112,78 @@ def test_rounds_and_tail_agree_on_repeated_seqs_and_keep_columns(spark):
     assert {r[1]: r[4] for r in answers[0]} == {r[1]: r[4] for r in reqs}
 
 
+@pytest.mark.parametrize("order", ["halves", "fits late", "random"])
+def test_level_rounds_are_bounded_by_the_bits_of_the_room(spark, order, caplog):
+    """Orders that make a break of every request still take a round per bit of the largest room at most."""
+    rng = random.Random(3)
+    room = 100_000
+    costs, left = [], room
+    if order == "halves":                      # each takes a little over half of what is left
+        while left:
+            costs += [left // 2 + 1, left // 2 + 1, left]
+            left -= left // 2 + 1
+    elif order == "fits late":
+        costs = [c for k in range(700) for c in (room - 7 * k, 150)]
+    else:
+        costs = [0] * 9 + [rng.choice([0, 1, 2, 3, 1000, rng.randint(0, room), room + 1]) for _ in range(1500)] + [1, 0]
+    t = make_tables(spark, campaign=[campaign_row(1, D(room) / 100), campaign_row(2, 5)])
+    rows = [(k, k, 1 + (k % 5 == 0 and order == "random"), D(c) / 100) for k, c in enumerate(costs)]
+    df = spark.createDataFrame(rows, "seq long, AdID long, CampaignID long, CostPerAd decimal(12,2)")
+    with caplog.at_level("INFO", logger="spendlens.operators.admission"):
+        got = {r.seq: r.admitted for r in admission_decisions(df, t.campaign, tail_group_limit=0).collect()}
+    want = _brute_force([(s, c, int(x * 100)) for s, _, c, x in rows], {1: room, 2: 500})
+    assert got == want
+    rounds = int(re.search(r"(\d+) level rounds", caplog.text)[1])
+    assert rounds <= room.bit_length() + 1
+
+
+def test_streams_decide_as_the_batch_does_with_nulls_and_large_ids(spark):
+    """NULL seq, AdID, campaign or cost and ids past 2**53 come through both streaming forms unchanged."""
+    import tempfile
+
+    from spendlens.streaming import admission as T1
+    t = make_tables(spark, campaign=[campaign_row(1, 100), campaign_row(2, 40)])
+    big = 2**53 + 1
+    rows = [(big + k, big + 2 * k, 1 + k % 2, D(k % 7)) for k in range(60)]
+    rows += [(None, 5, 1, D(1)), (3, None, 1, D(2)), (3, 9, None, D(2)), (4, 8, 1, None), (5, 7, 2, D(-1)), (6, 6, 99, D(1)),
+             (None, None, None, None)]
+    df = spark.createDataFrame(rows, "seq long, AdID long, CampaignID long, CostPerAd decimal(12,2)")
+    want = sorted((tuple(r) for r in admission_decisions(df, t.campaign).collect()), key=str)
+    for api in ("applyInPandasWithState", "transformWithState"):
+        root = tempfile.mkdtemp(prefix="spendlens-t1-")
+        df.repartition(2).write.parquet(f"{root}/in")
+        with T1.rocksdb_state_store(spark):
+            out = T1.run_admission(spark, f"{root}/in", df.schema, t.campaign, f"{root}/out", f"{root}/chk", api=api)
+        assert sorted((tuple(r) for r in out.collect()), key=str) == want
+
+
+def test_stream_requests_of_many_chunks_keep_their_order(monkeypatch):
+    import pandas as pd
+
+    from spendlens.streaming import admission as T1
+    monkeypatch.setattr(T1, "CHUNK", 7)
+    rng = random.Random(5)
+    rows = [(rng.randrange(50), i, rng.randrange(30)) for i in range(200)]
+    r = T1.Requests()
+    for k in range(0, 200, 13):
+        r.add(pd.DataFrame([(s, a, c, 63, 1, 400, 0) for s, a, c in rows[k:k + 13]],
+                           columns=["seq", "ad", "cost", "known", "cid", "budget", "spent"]))
+    chunks, spent = r.decided(None)
+    got = pd.concat(list(chunks))
+    assert list(zip(got["seq"], got["ad"], got["cost"])) == sorted(rows)
+    want = _brute_force([(k, 1, c) for k, (_, _, c) in enumerate(sorted(rows))], {1: 400})
+    assert got["admitted"].tolist() == [want[k] for k in range(200)]
+    assert spent == got["cost"][got["admitted"]].sum()
+
+
+def test_requests_without_seq_are_rejected(spark):
+    t = make_tables(spark, campaign=[campaign_row(1, 100)])
+    df = spark.createDataFrame([(None, 1, 1, D(10)), (2, 2, 1, D(95))], "seq long, AdID long, CampaignID long, CostPerAd decimal(12,2)")
+    for limit in (10, 0):
+        got = {r.AdID: (r.admitted, r.Reason) for r in admission_decisions(df, t.campaign, tail_group_limit=limit).collect()}
+        assert got == {1: (False, "Missing seq"), 2: (True, None)}
+
+
 def test_platform_revenue_equals_campaign_revenue(model):
     plat = V.platform_performance_view(model).agg(F.sum("TotalRevenue")).first()[0]
     camp = V.campaign_performance_view(model).agg(F.sum("ActualOrderRevenue")).first()[0]

@@ -8,9 +8,12 @@ import tempfile
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
 from spendlens.operators import reports as R
 from spendlens.operators import views as V
+from spendlens.plans.explain import summary
 from spendlens.sources.driver import model_from_driver
 from spendlens.sources.model import read_model, write_model
 
@@ -126,3 +129,31 @@ def test_ending_soon_pushes_both_bounds(stored):
     import datetime as dt
     plan = _plan(R.campaigns_ending_soon(stored, 14, dt.date(2001, 7, 20)))
     assert "GreaterThanOrEqual(EndDate" in plan and "LessThanOrEqual(EndDate" in plan, plan
+
+
+def test_a_metrics_batch_reads_only_its_campaigns(stored, spark):
+    """Ads and orders end at a semi join with the batch's campaigns, and few exchanges are left (W5: of rollups and one of ads)."""
+    from spendlens.operators import writes as W
+    batch = stored.ad.where("AdID % 40 = 0").selectExpr("AdID AS seq", "AdID", "Impressions", "Clicks + 1 AS Clicks")
+    df = W.update_ad_metrics(stored, batch)
+    s = summary(df)
+    assert s["shuffles"] <= 8 and s["windows"] == 0, s
+    assert _plan(df).count("LeftSemi") >= 2
+    assert summary(W.recalc_ad_metrics(stored))["shuffles"] <= 8
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_a_metrics_batch_equals_the_full_recalculation(stored, spark, monkeypatch, bound):
+    from spendlens.operators import writes as W
+    monkeypatch.setattr(W, "BATCH_BROADCAST", bound)
+    batch = stored.ad.where("AdID % 7 = 0").selectExpr("AdID AS seq", "AdID", "Impressions", "Clicks * 3 + AdID % 2 AS Clicks") \
+        .unionByName(stored.ad.where("AdID % 14 = 0").selectExpr("AdID + 1000000 AS seq", "AdID", "Impressions", "0L AS Clicks")) \
+        .unionByName(spark.sql("SELECT 1L AS seq, -5L AS AdID, 1L AS Impressions, 1L AS Clicks"))
+    last = batch.groupBy("AdID").agg(F.max_by("Clicks", "seq").alias("c"))
+    after = stored.ad.join(last, "AdID", "left").withColumn("Clicks", F.coalesce("c", "Clicks")).select(stored.ad.columns)
+    full = W.recalc_ad_metrics(stored, ad=after)
+    want = full.join(last, "AdID", "left_semi").unionByName(stored.ad.join(last, "AdID", "left_anti"))
+    got = W.update_ad_metrics(stored, batch)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    only = W.recalc_ad_metrics(stored, ad=after, only=last.select("AdID"))
+    assert only.exceptAll(full.join(last, "AdID", "left_semi").unionByName(after.join(last, "AdID", "left_anti"))).count() == 0
