@@ -126,9 +126,11 @@ class Profiles:
 
 
 def identify(docs: DataFrame, model: dict[str, list[int]], text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1; 1 is no n-gram out of place)."""
+    """``docs`` with lang_pred and score (0 to 1; 1 is no n-gram out of place), in
+    place of columns of these names that were there."""
     from pyspark.sql import types as T
     spark = session(docs)
+    docs = docs.drop("lang_pred", "score") if text_col not in ("lang_pred", "score") else docs
     shared = spark.sparkContext.broadcast(model)  # PROFILE n-grams a language
     names = docs.columns
     at = names.index(text_col)
@@ -158,10 +160,15 @@ def predictions(docs: DataFrame) -> DataFrame:
     return marked.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def recognised(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+#: Score below which a language does not count as recognised: foreign scripts score 0, strings of random letters up to 0.2,
+#: the documents of the training languages 0.6 and more.
+MIN_SCORE = 0.3
+
+
+def recognised(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` with a recognised language, all columns as they
-    were. Rejected are texts without a letter and those whose score is below
-    ``min_score``."""
+    were. Rejected are null and empty texts, texts without a letter and those whose score is below
+    ``min_score``, such as texts in a language or script that was not learned."""
     model = train(docs.where(~held_out()))
     plain = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     marked = identify(plain, model)

@@ -64,7 +64,6 @@ def fill_windows(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     use up ``counts`` ({length: pieces})."""
     left = {n: c for n, c in counts.items() if c}
     out = []
-    powers = [1 << k for k in range(capacity.bit_length())]
     while left:
         seed = max(left)
         room = capacity - seed
@@ -82,9 +81,6 @@ def fill_windows(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             if bits >> room & 1:
                 break
         best = reach[-1].bit_length() - 1
-        if best < room:  # no full window is left; a total at a power of two needs no padding
-            free = [p - seed for p in powers if p >= seed and reach[-1] >> (p - seed) & 1]
-            best = max(free) if free else best
         combo, total = {seed: 1}, best
         for i in range(len(reach) - 1, 0, -1):
             n, used = lengths[i - 1], 0

@@ -57,16 +57,19 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """id and fp (the fingerprint as a signed 64-bit integer) of each row."""
+    """id and fp (the fingerprint as a signed 64-bit integer) of each row; an
+    identifier is a number, or a struct that orders the rows."""
     session(docs)
+    kind = docs.schema[id_col].dataType.simpleString()
+    kind = kind if kind.startswith("struct") else "bigint"
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "text"):
             own = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own)], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) \
-        .mapInArrow(mark, "id long, fp long")
+    return docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text")) \
+        .mapInArrow(mark, f"id {kind}, fp bigint")
 
 
 def _segment(fp: Column, s: int) -> Column:
@@ -140,7 +143,14 @@ def hex_digits(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose identifier names their component."""
-    groups = near_groups(docs, id_col, text_col)
-    gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """One row of ``docs`` for each component, all columns as they were: the one of smallest identifier, of
+    rows that share it the one of smallest digests of the text and of the whole row.
+
+    Rows are told apart by identifier and content, so a repeated identifier with another text loses nothing; of rows alike
+    in every column one stays. Null texts and texts without words are one component (fingerprint zero)."""
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(
+        F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("text"),
+        F.xxhash64(F.to_json(F.struct("*"))).alias("all")).alias("key"), F.col(text_col).alias("text"))
+    groups = near_groups(keyed.select("key", "text"), "key", "text")
+    stays = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("key")).distinct()
+    return keyed.join(stays, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

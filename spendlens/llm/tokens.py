@@ -3,7 +3,8 @@
 A word is a stretch between single spaces. Both vocabularies used here split
 texts before merging such that no merge crosses a lone space, so the ids of a
 text are its words' ids side by side; where a space has white space beside it
-the text is cut only at lone spaces, and the rest goes to the library whole.
+the text is cut only at lone spaces, and the rest goes to the library whole. A
+text that holds a special token's own spelling goes there whole as well.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         wide = self.tok.get_vocab_size() > 65536
         self.dtype, self._code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
         self.letters = _byte_letters()
@@ -84,6 +85,8 @@ class WordEncoder:
 
     def ids(self, text: str) -> np.ndarray:
         """The whole text's ids (uint16 or uint32, little-endian)."""
+        if any(s in text for s in self.specials):
+            return np.frombuffer(self._pack(self.tok.encode(text, add_special_tokens=False).ids), self.dtype)
         parts = text.split(" ")
         later = self.later
         try:

@@ -18,9 +18,7 @@ _TOK = {}
 def tokenizer(name):
     if name not in _TOK:
         from tokenizers import Tokenizer
-        t = Tokenizer.from_file(public_tokenizers.path(name))
-        t.encode_special_tokens = True
-        _TOK[name] = t
+        _TOK[name] = Tokenizer.from_file(public_tokenizers.path(name))
     return _TOK[name]
 
 

@@ -55,6 +55,24 @@ def test_simhash_edges(spark, edge_docs, no_docs):
     assert simhash.one_of_each(edge_docs).columns == edge_docs.columns
 
 
+def test_one_of_each_loses_no_text(spark):
+    """Repeated identifiers with other texts, repeated rows and clashing columns: one row of each component stays."""
+    t, u = "one two three four five six", "entirely other words stand in this one here"
+    rows = [(3, t, 1), (5, t + " ", 2), (5, u, 3), (5, u, 3), (5, u, 4), (7, None, 5), (6, "", 6), (None, "null identifier text of its own", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone long")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in got.collect())
+    assert kept == [(False, 0, "null identifier text of its own"), (True, 3, t), (True, 5, u), (True, 6, "")]
+
+
+def test_one_of_each_over_a_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    both = docs.unionByName(docs.limit(20)).repartition(3)
+    groups = simhash_components(texts(docs))
+    assert sorted(r.doc_id for r in simhash.one_of_each(both).collect()) == sorted({g[2] for g in groups})
+
+
 def test_links_up_to_three_bits_only(spark):
     base = 0x0123456789ABCDEF
     flips = [(), (0,), (63,), (0, 32), (31, 63), (5, 40, 41), (1, 2, 33), (61, 62, 63), (0, 1, 2), (0, 1, 2, 3),

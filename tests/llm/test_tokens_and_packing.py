@@ -5,11 +5,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import brute
 from brute import crc, tiktoken_encoding, token_ids
 from hypothesis import given, settings, strategies as st
 
 from spendlens.llm import bpe, packing, queries, repair_store
-from spendlens.llm.tokens import WordEncoder
+from spendlens.llm.tokens import WordEncoder, word_encoder
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 ODD = st.text(alphabet=st.sampled_from("ab'sS .,\n\t\r  ́\x1c1٣é日Σ🙂<|>"), max_size=40)
@@ -188,3 +189,32 @@ def test_spark_crc_is_zlibs(spark):
     from pyspark.sql import functions as F
     got = spark.range(1).select(F.crc32(F.lit(b"abc"))).first()[0]
     assert got == zlib.crc32(b"abc")
+
+
+def test_special_tokens_are_the_library_s():
+    for name in (BYTE, "word_bpe_49k.json"):
+        enc = word_encoder(public_tokenizers.path(name))
+        for t in ("a <|endoftext|> b", "<|startoftext|>x y", " a<|endoftext|>  b\n", "<|EndOfText|> a", "< |endoftext|>"):
+            assert enc.ids(t).tolist() == brute.tokenizer(name).encode(t, add_special_tokens=False).ids
+
+
+def test_a_short_rest_goes_into_one_window():
+    assert packing.fill_windows({700: 1, 500: 1, 324: 1, 3: 1}) == [([(700, 1), (500, 1), (324, 1), (3, 1)], 1)]
+    assert packing.fill_windows({1000: 1, 900: 1, 24: 1}) == [([(1000, 1), (900, 1), (24, 1)], 1)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=11))
+def test_windows_equal_plain_minimum_bin_slack(lengths):
+    """Each window's total is the largest that any subset with the longest piece left can give."""
+    import itertools
+    left = sorted(lengths, reverse=True)
+    for combo, times in packing.fill_windows({n: lengths.count(n) for n in set(lengths)}, 64):
+        for _ in range(times):
+            own = [n for n, m in combo for _ in range(m)]
+            rest = left[1:]
+            best = max(left[0] + sum(s) for k in range(len(rest) + 1) for s in itertools.combinations(rest, k) if left[0] + sum(s) <= 64)
+            assert sum(own) == best and own[0] == left[0]
+            for n in own:
+                left.remove(n)
+    assert not left
