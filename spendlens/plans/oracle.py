@@ -502,6 +502,12 @@ _ORACLE: dict[str, str] = {
     "stream_budget_changes": STREAM_BUDGETS,
     "stream_admit_ads": ADMIT,
     "stream_ad_metrics": STREAM_METRICS,
+    "stream_daily_counters": """
+WITH d AS (SELECT user_id AS AdID, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS seq,
+       count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c
+  FROM events WHERE event_type IN ('view', 'click') AND user_id IS NOT NULL GROUP BY ALL)
+SELECT seq, AdID, (sum(v) OVER w)::BIGINT AS Impressions, (sum(c) OVER w)::BIGINT AS Clicks
+FROM d WINDOW w AS (PARTITION BY AdID ORDER BY seq)""",
 }
 
 

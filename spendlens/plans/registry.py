@@ -27,6 +27,7 @@ from ..session import scratch_path
 from ..sources.model import read_table
 from ..sources.driver import AS_OF, ad_requests, model_from_driver, read_driver_table
 from ..streaming import admission as T1
+from ..streaming import counters as T2S
 from ..streaming import metrics_feed as T2
 
 CAMPAIGN = 4
@@ -320,6 +321,21 @@ def q_stream_ad_metrics(spark, sf, chunks: int = 4):
     return T2.merged_ads(spark, t, f"{root}/delta")
 
 
+def q_stream_counters(spark, sf, chunks: int = 3):
+    """The event log through the counting stream: every click comes a chunk late, every view comes twice, the second time a chunk later."""
+    events = read_driver_table(spark, sf, "events")
+    root = scratch_path(spark, "stream-counters")
+    lo, span = events.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts")) - F.min(F.unix_timestamp("ts"))).first()
+    chunk = F.floor((F.unix_timestamp("ts") - F.lit(lo)) * chunks / F.lit((span or 0) + 1))
+    lands = F.least(chunk + F.when(F.col("event_type") == "click", F.lit(1)).otherwise(F.lit(0)), F.lit(chunks - 1))
+    placed = events.withColumn("_lands", lands)
+    placed = placed.unionByName(placed.where("event_type = 'view'").withColumn("_lands", F.least(F.col("_lands") + 1, F.lit(chunks - 1))))
+    for k in range(chunks):
+        placed.where(F.col("_lands") == k).drop("_lands").write.mode("append").parquet(f"{root}/in")
+        T2S.run_counters(spark, f"{root}/in", events.schema, f"{root}/delta", f"{root}/chk", delay=f"{2 * (span or 0) // chunks + 1} seconds")
+    return T2S.counters(spark, f"{root}/delta")
+
+
 def q_admit(spark, sf):
     return admitted_ads(spark, _t(spark, sf))
 
@@ -372,6 +388,7 @@ RAW_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{key: _over_driver(op) for key, op in OPERATORS.items()},
     "digest_match": q_digest_match,
     "stream_ad_metrics": q_stream_ad_metrics,
+    "stream_daily_counters": q_stream_counters,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

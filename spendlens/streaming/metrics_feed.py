@@ -30,7 +30,8 @@ DELTA = StructType([*FEED.fields, StructField("run", StringType()), StructField(
 
 
 def daily_counters(events: DataFrame) -> DataFrame:
-    """Event log → daily absolute counters per ad (a daily sync feed).
+    """Event log → daily absolute counters per ad (a daily sync feed), as a batch;
+    ``counters`` does the same on a stream of events.
 
     ``view`` counts as an impression and ``click`` as a click; the feed row
     for (ad, day) carries the totals up to the end of that day. Events are
@@ -51,6 +52,11 @@ def daily_counters(events: DataFrame) -> DataFrame:
         F.sum("_c").over(w).cast("bigint").alias("Clicks"))
 
 
+def feed_run(checkpoint: str) -> str:
+    """The name of a checkpoint's own delta folder."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+
 def _sink_batch(delta_root: str, run: str):
     def write(batch: DataFrame, epoch_id: int) -> None:
         latest = latest_per_key(batch, ["AdID"], ["seq", "Impressions", "Clicks"], seq="seq").drop("_matched")
@@ -66,7 +72,7 @@ def run_feed(spark: SparkSession, source: str, delta_root: str, checkpoint: str,
     deltas of a checkpoint have a folder of their own, so that a stream started
     anew (whose epochs count from 0 again) overwrites nothing.
     """
-    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    run = feed_run(checkpoint)
     reader = spark.readStream.schema(FEED)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 
 from pyspark.sql import functions as F
@@ -95,3 +96,36 @@ def test_scratch_is_released(spark):
     assert release_scratch(spark) == 0
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
+
+
+def test_event_counters_with_late_repeated_and_too_late_events(spark):
+    """T2 as a stream: late events count for their day, repeats once, what the watermark has passed is dropped,
+    and days that closed still count in what follows."""
+    import tempfile
+
+    from spendlens.streaming import counters as T2S
+    from spendlens.streaming.metrics_feed import daily_counters
+    root = tempfile.mkdtemp(prefix="spendlens-counters-")
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+
+    def land(rows):
+        df = spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h), u, k) for i, d, h, u, k in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        T2S.run_counters(spark, f"{root}/in", df.schema, f"{root}/delta", f"{root}/chk", delay="2 days")
+        return df
+
+    def now():
+        return sorted((r.seq - 19723, r.AdID, r.Impressions, r.Clicks) for r in T2S.counters(spark, f"{root}/delta").collect())
+
+    first = land([(1, 0, 1, 7, "view"), (2, 0, 2, 7, "click"), (3, 1, 0, 7, "view"), (4, 1, 3, 8, "view"), (5, 1, 3, 8, "purchase"),
+                  (6, 1, 4, None, "view")])
+    assert now() == [(0, 7, 1, 1), (1, 7, 2, 1), (1, 8, 1, 0)]
+    late = land([(1, 0, 1, 7, "view"), (7, 0, 5, 7, "view"), (8, 2, 1, 7, "click"), (8, 2, 1, 7, "click")])   # a repeat, a late one, twice in a batch
+    assert now() == [(0, 7, 2, 1), (1, 7, 3, 1), (1, 8, 1, 0), (2, 7, 3, 2)]
+    far = land([(9, 9, 0, 7, "view"), (10, 9, 0, 8, "click")])
+    land([(11, 9, 1, 8, "click")])                                          # a batch for the watermark to pass the first days
+    land([(12, 0, 6, 7, "view"), (13, 9, 2, 7, "view")])                    # 12 is beyond the delay
+    assert now() == [(0, 7, 2, 1), (1, 7, 3, 1), (1, 8, 1, 0), (2, 7, 3, 2), (9, 7, 5, 2), (9, 8, 1, 2)]
+    more = spark.createDataFrame([(11, dt.datetime(2024, 1, 10, 1), 8, "click"), (13, dt.datetime(2024, 1, 10, 2), 7, "view")], schema)
+    events = first.unionByName(late).unionByName(far).unionByName(more).dropDuplicates(["event_id"]).where("user_id IS NOT NULL")
+    assert now() == sorted((r.seq - 19723, r.AdID, r.Impressions, r.Clicks) for r in daily_counters(events).collect())
