@@ -62,11 +62,12 @@ def orders_by_campaign(orders: DataFrame) -> DataFrame:
     )
 
 
-def campaign_facts(t: Tables) -> DataFrame:
-    """Campaign ⟕ Platform ⟕ ad rollup ⟕ order rollup, one row per campaign."""
+def campaign_facts(t: Tables, ads: DataFrame | None = None, orders: DataFrame | None = None) -> DataFrame:
+    """Campaign ⟕ Platform ⟕ ad rollup ⟕ order rollup, one row per campaign;
+    ``ads`` and ``orders`` are rollups made elsewhere (``rollups``)."""
     c = t.campaign.join(t.platform, "PlatformID", "left")
-    c = c.join(ads_by_campaign(t.ad), "CampaignID", "left")
-    c = c.join(orders_by_campaign(t.orders), "CampaignID", "left")
+    c = c.join(ads if ads is not None else ads_by_campaign(t.ad), "CampaignID", "left")
+    c = c.join(orders if orders is not None else orders_by_campaign(t.orders), "CampaignID", "left")
     zero = F.lit(0)
     return c.select(
         "CampaignID", "PlatformID", "PlatformName", "Objective", "Budget",
@@ -79,8 +80,8 @@ def campaign_facts(t: Tables) -> DataFrame:
     )
 
 
-def campaign_performance_view(t: Tables) -> DataFrame:
-    f = campaign_facts(t)
+def campaign_performance_view(t: Tables, facts: DataFrame | None = None) -> DataFrame:
+    f = facts if facts is not None else campaign_facts(t)
     return f.select(
         "CampaignID", "Objective", "PlatformName", "Budget", "TotalSpend",
         utilization_pct("TotalSpend", "Budget").alias("BudgetUtilizationPct"),
@@ -107,11 +108,17 @@ def _allocated_performance(t: Tables, key: str, names: DataFrame, name_col: str)
     o = o.join(t.customer.select("CustomerID", key), "CustomerID")
     by_group = o.groupBy("CampaignID", key).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("TotalAmount").alias("_rev"))
+    spend_c = t.ad.groupBy("CampaignID").agg(F.sum(to_cents("CostPerAd")).alias("_spend_cents"))
+    return allocated(by_group, spend_c, key, names, name_col)
+
+
+def allocated(by_group: DataFrame, spend_c: DataFrame, key: str, names: DataFrame, name_col: str) -> DataFrame:
+    """The performance of a customer attribute from orders rolled up to (CampaignID,
+    ``key``: ``_n``, ``_rev``) and spend to campaigns (``_spend_cents``)."""
     # A campaign's total revenue over its groups: the window runs over the
     # rolled-up rows (at most one per group value per campaign) and shares
     # the CampaignID exchange with the spend join below.
     by_group = by_group.withColumn("_rev_c", F.sum("_rev").over(Window.partitionBy("CampaignID")))
-    spend_c = t.ad.groupBy("CampaignID").agg(F.sum(to_cents("CostPerAd")).alias("_spend_cents"))
     g = by_group.join(spend_c, "CampaignID", "left")
     rev_cents = (F.col("_rev") * F.lit(100)).cast("decimal(38,0)")
     rev_c_cents = (F.col("_rev_c") * F.lit(100)).cast("decimal(38,0)")
@@ -148,9 +155,9 @@ def segment_performance_view(t: Tables) -> DataFrame:
 
 # --- V5 -------------------------------------------------------------------
 
-def platform_performance_view(t: Tables) -> DataFrame:
+def platform_performance_view(t: Tables, facts: DataFrame | None = None) -> DataFrame:
     """V2's campaign rollups summed by platform: spend is exact here."""
-    f = campaign_facts(t).where(F.col("PlatformName").isNotNull())
+    f = (facts if facts is not None else campaign_facts(t)).where(F.col("PlatformName").isNotNull())
     agg = f.groupBy("PlatformName").agg(
         F.sum("TotalOrders").cast("bigint").alias("TotalOrders"),
         money_sum("ActualOrderRevenue").alias("TotalRevenue"),
@@ -162,10 +169,14 @@ def platform_performance_view(t: Tables) -> DataFrame:
 
 # --- V6 -------------------------------------------------------------------
 
-def product_performance_view(t: Tables) -> DataFrame:
-    """Net line revenue per product; lines are rolled up before the product join."""
-    lines = t.order_line.groupBy("ProductID").agg(
+def lines_by_product(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("ProductID").agg(
         F.sum(F.col("Price") * (F.lit(1) - F.col("Discount"))).cast("decimal(38,4)").alias("RevenueGenerated"))
+
+
+def product_performance_view(t: Tables, lines: DataFrame | None = None) -> DataFrame:
+    """Net line revenue per product; lines are rolled up before the product join."""
+    lines = lines if lines is not None else lines_by_product(t.order_line)
     return lines.join(t.product.select("ProductID", "ProductName"), "ProductID").select(
         "ProductID", "ProductName", "RevenueGenerated")
 

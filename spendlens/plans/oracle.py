@@ -547,4 +547,13 @@ def _all_lines() -> str:
 
 _ORACLE["report_lines_all"] = _all_lines()
 
+# Views from stored rollups equal the views over the facts.
+for _rollup, _view in {
+        "rollup_campaign_performance": "vw_campaign_performance", "rollup_region_performance": "vw_region_performance",
+        "rollup_segment_performance": "vw_segment_performance", "rollup_platform_performance": "vw_platform_performance",
+        "rollup_product_performance": "vw_product_performance", "rollup_campaign_by_segment": "vw_campaign_by_segment",
+        "rollup_segment_platform_affinity": "segment_platform_affinity"}.items():
+    _ORACLE[_rollup] = _ORACLE[_view]
+    PRESENTED[_rollup] = PRESENTED[_view]
+
 ORACLE: dict[str, str] = {key: _present(key, sql) for key, sql in _ORACLE.items()}

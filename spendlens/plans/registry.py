@@ -26,6 +26,7 @@ from ..schema import CAMPAIGN_PRODUCT
 from ..session import scratch_path
 from ..sources.model import read_table
 from ..sources.driver import AS_OF, ad_requests, model_from_driver, read_driver_table
+from ..operators.rollups import Rollups
 from ..streaming import admission as T1
 from ..streaming import counters as T2S
 from ..streaming import metrics_feed as T2
@@ -217,6 +218,18 @@ def request_text(t) -> DataFrame:
         "Objective")
 
 
+def daily_rollups(spark, t, days: int = 3) -> Rollups:
+    """Every fact rolled up, in ``days`` parts by identifier (ids grow with time)."""
+    def part(df: DataFrame, key: str, k: int) -> DataFrame:
+        lo, hi = df.agg(F.min(key), F.max(key)).first()
+        return df.where(F.floor((F.col(key) - F.lit(lo or 0)) * days / F.lit((hi or 0) - (lo or 0) + 1)) == k)
+    rolled = Rollups(spark, scratch_path(spark, "rollups"))
+    for k in range(days):
+        rolled.add(f"day{k}", t.with_(ad=part(t.ad, "AdID", k), orders=part(t.orders, "OrderID", k),
+                                      order_line=part(t.order_line, "OrderID", k)))
+    return rolled
+
+
 def streamed_admissions(spark, t, chunks: int = 3):
     t = fresh_ledger(t)
     req = _requests(t)
@@ -263,6 +276,14 @@ OPERATORS: dict[str, Callable] = {
     "vw_platform_performance": lambda s, t: V.platform_performance_view(t),
     "vw_product_performance": lambda s, t: V.product_performance_view(t),
     "vw_campaign_by_segment": lambda s, t: V.campaign_by_segment_view(t),
+    # the views and R10 from stored daily rollups
+    "rollup_campaign_performance": lambda s, t: daily_rollups(s, t).campaign_performance(t),
+    "rollup_region_performance": lambda s, t: daily_rollups(s, t).region_performance(t),
+    "rollup_segment_performance": lambda s, t: daily_rollups(s, t).segment_performance(t),
+    "rollup_platform_performance": lambda s, t: daily_rollups(s, t).platform_performance(t),
+    "rollup_product_performance": lambda s, t: daily_rollups(s, t).product_performance(t),
+    "rollup_campaign_by_segment": lambda s, t: daily_rollups(s, t).campaign_by_segment(t),
+    "rollup_segment_platform_affinity": lambda s, t: daily_rollups(s, t).segment_platform_affinity(t),
     # L1–L4
     "list_campaigns": lambda s, t: R.list_campaigns(t),
     "campaign_performance": lambda s, t: R.campaign_performance(t),
