@@ -191,38 +191,46 @@ def price_campaign_products(t: Tables, requests: DataFrame) -> tuple[DataFrame,
     """Insert campaign–product links with SellingPrice computed at insert.
 
     Returns (new snapshot: all links there were and the new ones, rejects:
-    every request that made no link, with a Reason). Requests need ``seq``. Of
+    every request that made no link, with a Reason). A request needs ``seq``, a
+    campaign and a discount from 0 to 100 percent. Of
     requests for one pair the lowest ``seq`` is tried (then the smallest
     discount); the others are duplicates, each of them, also where requests
     are alike in every column.
+
+    Requests and links meet in one aggregate by pair, which yields the request
+    that is tried and whether the pair was there; only that goes on to the products.
     """
     keys = ["CampaignID", "ProductID"]
     require_columns(requests, [*keys, "seq", "Discount"], "price_campaign_products requests")
     columns = requests.columns
-    alike = requests.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    rest = [F.col(c) for c in columns if c not in (*keys, "seq", "Discount")]
-    first = alike.where(F.col("seq").isNotNull()).groupBy(*keys).agg(
-        F.min(F.struct("seq", "Discount", *rest)).alias("_first")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
+    row = F.struct("seq", "Discount", *[F.col(c) for c in columns if c not in (*keys, "seq", "Discount")])
+    invalid = F.when(F.col("seq").isNull(), F.lit("missing seq")) \
+        .when(F.col("CampaignID").isNull(), F.lit("missing campaign")) \
+        .when(F.col("Discount").isNull() | ~F.col("Discount").between(0, 100), F.lit("invalid discount"))
+    valid = requests.where(invalid.isNull()).select(*keys, row.alias("_row"))
+    links = t.campaign_product.select(*keys, F.lit(None).cast(valid.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_there"))
+    pairs = valid.withColumn("_there", F.lit(False)).unionByName(links).groupBy(*keys).agg(
+        F.min("_row").alias("_first"), F.max("_there").alias("_there")).where(F.col("_first").isNotNull())
+    tried = pairs.join(t.product.select("ProductID", "MRP", F.lit(True).alias("_known")), "ProductID", "left")
+    refused = F.when(F.col("_there"), F.lit("pair already exists")).when(F.col("_known").isNull(), F.lit("unknown product"))
+    made = tried.where(refused.isNull()).withColumn("Discount", F.col("_first.Discount"))
+    snapshot = t.campaign_product.unionByName(
+        conform(made.withColumn("SellingPrice", selling_price("MRP", "Discount")), CAMPAIGN_PRODUCT))
+
+    def rejected(df: DataFrame, source: str, reason) -> DataFrame:
+        return df.select(*[F.col(c) if c in keys else F.col(f"{source}.{c}").alias(c) for c in columns], reason.alias("Reason"))
+
+    duplicate = F.lit("duplicate request in batch")
+    first = pairs.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
     same_pair = F.col("CampaignID").eqNullSafe(F.col("_CampaignID")) & F.col("ProductID").eqNullSafe(F.col("_ProductID"))
-    tried = alike.join(first, same_pair, "left").withColumn("_tried", F.coalesce(
-        F.col("seq").isNotNull() & F.struct("seq", "Discount", *rest).eqNullSafe(F.col("_first")), F.lit(False)))
-    links = t.campaign_product.select(*keys, F.lit(True).alias("_there"))
-    known = t.product.select("ProductID", F.lit(True).alias("_known"))
-    checked = tried.join(links, keys, "left").join(known, "ProductID", "left")
-    reason = F.when(F.col("seq").isNull(), F.lit("missing seq")) \
-        .when(~F.col("_tried"), F.lit("duplicate request in batch")) \
-        .when(F.col("_there"), F.lit("pair already exists")) \
-        .when(F.col("_known").isNull() | F.col("CampaignID").isNull(), F.lit("unknown product"))
-    made = checked.where(reason.isNull())
-    snapshot = t.campaign_product.unionByName(price(made.select(*keys, "Discount"), t.product))
-    # of requests alike in every column one makes the link, the others are duplicates
-    lost = checked.select(*columns, reason.alias("Reason"), F.col("_n").alias("_copies")).where("Reason IS NOT NULL")
-    spare = checked.where(F.col("_tried") & (F.col("_n") > 1)).select(
-        *columns, F.lit("duplicate request in batch").alias("Reason"), (F.col("_n") - 1).alias("_copies"))
-    lost = lost.withColumn("_copies", F.when(F.col("Reason").isin("pair already exists", "unknown product"), F.lit(1))
-                           .otherwise(F.col("_copies")))
-    rejects = lost.unionByName(spare).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))) \
-        .select(*columns, "Reason")
+    own = valid.join(first, same_pair)
+    copies = own.where(F.col("_row").eqNullSafe(F.col("_first"))).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_first").alias("_first")).where(F.col("_n") > 1) \
+        .withColumn("_copy", F.explode(F.expr("sequence(2L, _n)")))
+    rejects = requests.where(invalid.isNotNull()).select(*columns, invalid.alias("Reason")) \
+        .unionByName(rejected(tried.where(refused.isNotNull()), "_first", refused)) \
+        .unionByName(rejected(own.where(~F.col("_row").eqNullSafe(F.col("_first"))), "_row", duplicate)) \
+        .unionByName(rejected(copies, "_first", duplicate))
     return snapshot, rejects
 
 

@@ -335,3 +335,15 @@ def test_request_text_is_typed_or_rejected(spark):
     assert sorted(r.Reason for r in rejects.collect()) == [
         "Budget does not parse", "day does not parse", "seq does not parse", "seq is missing"]
     assert typed_requests(text.limit(0), schema)[0].collect() == []
+
+
+def test_invalid_discounts_and_campaigns_are_rejected_and_leave_the_pair_to_the_next(spark):
+    t = make_tables(spark, product=[(1, "p", D(50)), (2, "q", D(10))])
+    req = spark.createDataFrame([(1, 1, 1, D(150)), (2, 1, 1, D(10)), (3, 1, 2, None), (4, None, 1, D(5)), (5, 1, 2, D(-1)), (6, 1, 2, D(100)),
+                                 (6, 1, 2, D(100)), (7, 1, None, D(1))],
+                                "seq long, CampaignID long, ProductID long, Discount decimal(5,2)")
+    made, rejects = W.price_campaign_products(t, req)
+    assert sorted((r.ProductID, r.SellingPrice) for r in made.collect()) == [(1, D("45.00")), (2, D("0.00"))]
+    assert sorted((r.seq, r.Reason) for r in rejects.collect()) == [
+        (1, "invalid discount"), (3, "invalid discount"), (4, "missing campaign"), (5, "invalid discount"),
+        (6, "duplicate request in batch"), (7, "unknown product")]

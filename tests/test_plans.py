@@ -157,3 +157,15 @@ def test_a_metrics_batch_equals_the_full_recalculation(stored, spark, monkeypatc
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     only = W.recalc_ad_metrics(stored, ad=after, only=last.select("AdID"))
     assert only.exceptAll(full.join(last, "AdID", "left_semi").unionByName(after.join(last, "AdID", "left_anti"))).count() == 0
+
+
+def test_pricing_needs_few_exchanges(stored, spark):
+    """One aggregate by pair, one join with the products."""
+    from spendlens.operators import writes as W
+    from spendlens.plans import registry as REG
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made, rejects = W.price_campaign_products(REG.present_links(stored), REG.price_requests(stored))
+        assert summary(made)["shuffles"] <= 5 and summary(rejects)["shuffles"] <= 10, (summary(made), summary(rejects))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
