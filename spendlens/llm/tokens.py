@@ -4,7 +4,10 @@ A word is a stretch between single spaces. Both vocabularies used here split
 texts before merging such that no merge crosses a lone space, so the ids of a
 text are its words' ids side by side; where a space has white space beside it
 the text is cut only at lone spaces, and the rest goes to the library whole. A
-text that holds a special token's own spelling goes there whole as well.
+text that holds a special token's own spelling goes there whole as well. A
+vocabulary that lower-cases takes all white space as an end of a word, so its
+texts are cut at every ASCII white space, and Latin-1 texts are lower-cased at
+once.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 
 #: Marks that end a word and are pre-tokens of their own in both vocabularies.
 MARKS = frozenset(",.;:!?")
+MARK_BYTES = frozenset(m.encode() for m in MARKS)
 
 
 def _plain(word: str) -> bool:
@@ -57,6 +61,10 @@ class WordEncoder:
         self.lowers = bool(getattr(self.tok.model, "end_of_word_suffix", None))
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        # of a vocabulary that lower-cases: the words met lately, and those before
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.spelt = [s.encode() for s in self.specials]
         self.marks = {m: self._pack(self.tok.encode(m, add_special_tokens=False).ids) for m in MARKS}
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -64,7 +72,8 @@ class WordEncoder:
 
     def _word(self, word: str, lead: str) -> bytes:
         text = word.lower() if self.lowers else lead + word
-        text = text.encode().decode("latin-1").translate(self.letters)
+        if not (self.lowers and text.isascii()):  # ASCII letters stand for themselves
+            text = text.encode().decode("latin-1").translate(self.letters)
         return self._pack([t.id for t in self.tok.model.tokenize(text)])
 
     def _learn(self, words: list[str], known: dict[str, bytes], lead: str) -> None:
@@ -83,10 +92,54 @@ class WordEncoder:
             for w, e in zip(rest, self.tok.encode_batch_fast([lead + w for w in rest], add_special_tokens=False)):
                 known[w] = self._pack(e.ids)
 
+    def _lowered(self, text: str) -> np.ndarray:
+        """Ids where words are lower-cased and all white space ends one. Only Latin-1 is lowered here: beside a
+        combining mark, lower case before normalisation could give another letter."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            raw = text.encode()
+        else:
+            raw = text.lower().encode()
+            if any(s in raw for s in self.spelt):  # <|ENDOFTEXT|> is no special token
+                return self._whole(text)
+        words = raw.split()
+        try:
+            out = list(map(self.known.__getitem__, words))
+        except KeyError:
+            if len(self.known) > REMEMBERED // 2:
+                self.known, self.older = {}, self.known
+            self._learn_lowered({w for w in words if w not in self.known})
+            out = list(map(self.known.__getitem__, words))
+        return np.frombuffer(b"".join(out), self.dtype)
+
+    def _learn_lowered(self, words: set[bytes]) -> None:
+        known, older, rest = self.known, self.older, []
+        for w in words:
+            ids = older.get(w)
+            if ids is None:
+                base, mark = (w[:-1], self.marks[w[-1:].decode()]) if w[-1:] in MARK_BYTES else (w, b"")
+                word = base.decode()
+                if not _plain(word):
+                    rest.append(w)
+                    continue
+                ids = mark and (known.get(base) or older.get(base)) or self._word(word, "")
+                if mark:
+                    known[base] = ids
+                    ids += mark
+            known[w] = ids
+        for w, e in zip(rest, self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            known[w] = self._pack(e.ids)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.frombuffer(self._pack(self.tok.encode(text, add_special_tokens=False).ids), self.dtype)
+
     def ids(self, text: str) -> np.ndarray:
         """The whole text's ids (uint16 or uint32, little-endian)."""
         if any(s in text for s in self.specials):
-            return np.frombuffer(self._pack(self.tok.encode(text, add_special_tokens=False).ids), self.dtype)
+            return self._whole(text)
+        if self.lowers:
+            return self._lowered(text)
         parts = text.split(" ")
         later = self.later
         try:
