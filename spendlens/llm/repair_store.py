@@ -31,68 +31,94 @@ from .common import in_pieces, session
 from .tokens import word_encoder
 
 END_ID = 2
-#: Ids in a block (a longer document makes a block of its own); rounds, pairs looked at in a
-#: round, and occurrences below which a pair is left alone.
-BLOCK, ROUNDS, PAIRS, LEAST = 1 << 19, 8, 2048, 8
-#: Pairs are counted in 2 ** BITS buckets, exactly only in the fullest.
-BITS = 18
+#: Ids in a block (a longer document makes a block of its own), pairs looked at in a round, and
+#: occurrences below which a pair is left alone.
+BLOCK, PAIRS, LEAST = 1 << 19, 2048, 8
+#: Pairs are counted in 2 ** BITS buckets; rules for which two bytes must leave room.
+BITS, ROOM = 18, 1 << 13
 
 STORED = ("shard int, block int, before long, n_tokens long, doc_ids array<long>, doc_lengths array<int>, "
           "terminals int, rules binary, expansions binary, width int, body binary")
 
 
+def _symbols(terminals: int) -> int:
+    """How many symbols a grammar may have: two bytes' worth where that leaves room for rules, else four bytes'."""
+    return 1 << 16 if terminals <= (1 << 16) - ROOM else 1 << 32
+
+
+def _idle(seq: np.ndarray) -> np.ndarray:
+    """Places that begin no pair: of a run of one symbol only every other place does."""
+    run = np.flatnonzero(seq[:-1] == seq[1:])
+    begin = np.concatenate([[True], run[1:] != run[:-1] + 1])[:len(run)]
+    return run[(run - np.maximum.accumulate(np.where(begin, run, 0))) % 2 == 1]
+
+
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, sequence): rules[k] is the pair that symbol ``terminals + k`` stands for."""
-    seq = ids.astype(np.uint32)
-    rules: list[tuple[int, int]] = []
-    limit = max(0, 65536 - terminals)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or len(rules) >= limit:
-            break
-        code = (seq[:-1] << np.uint32(16)) | seq[1:]
-        bucket = ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
-        counts = np.bincount(bucket, minlength=1 << BITS)
-        # of a run of one symbol only every other place begins a pair
-        run = np.flatnonzero(seq[:-1] == seq[1:])
-        begin = np.concatenate([[True], run[1:] != run[:-1] + 1])[:len(run)]
-        idle = run[(run - np.maximum.accumulate(np.where(begin, run, 0))) % 2 == 1]
-        counts -= np.bincount(bucket[idle], minlength=1 << BITS)
-        # the least count of the PAIRS fullest buckets
-        many = np.bincount(counts)
-        fullest = np.searchsorted(np.cumsum(many[::-1]), PAIRS)
-        near = counts[bucket] >= max(LEAST, len(many) - 1 - fullest)
-        near[idle] = False
-        at = np.flatnonzero(near)
-        found, seen = np.unique(code[at], return_counts=True)
-        home = ((found * np.uint32(2654435761)) >> np.uint32(32 - BITS)).tolist()
-        left, right, taken, chosen = set(), set(), set(), []
-        for k in np.argsort(-seen, kind="stable").tolist():
-            if seen[k] < LEAST or len(rules) + len(chosen) >= limit:
+    """(rules, sequence): rules[k] is the pair that symbol ``terminals + k`` stands for. Rounds end when no pair
+    occurs ``LEAST`` times any more, or all of ``_symbols(terminals)`` are given away.
+
+    A pair's count never grows, so places whose pair is rare are not looked at again until a neighbour is replaced."""
+    most = _symbols(terminals)
+    kind, half = (np.uint32, 16) if most <= 1 << 16 else (np.uint64, 32)
+    factor, low = kind(2654435761 if half == 16 else 11400714819323198485), kind((1 << half) - 1)
+    seq = ids.astype(kind)
+    live = np.ones(len(seq), bool)
+    rules, total = [np.empty((0, 2), np.uint32)], terminals
+    symbol_of, pair_of = np.zeros(1 << BITS, kind), np.zeros(1 << BITS, kind)
+    while total < most:
+        live[-1:] = False
+        idle = _idle(seq)
+        spare = live[idle]
+        live[idle] = False
+        at = np.flatnonzero(live)
+        live[idle] = spare
+        code = (seq[at] << kind(half)) | seq[at + 1]
+        bucket = ((code * factor) >> kind(2 * half - BITS)).astype(np.int64)
+        full = np.bincount(bucket, minlength=1 << BITS)[bucket] >= LEAST
+        live[at[~full]] = False
+        at, code, bucket = at[full], code[full], bucket[full]
+        # each bucket speaks for the pair at its last place; only if none of those is frequent are all counted
+        pair_of[bucket] = code
+        heard = pair_of[bucket] == code
+        seen = np.bincount(bucket[heard], minlength=1 << BITS)
+        live[at[heard & (seen[bucket] < LEAST)]] = False
+        home = np.flatnonzero(seen >= LEAST)
+        if not len(home):
+            pairs, one, many = np.unique(code, return_index=True, return_counts=True)
+            one, pairs = one[many >= LEAST], pairs[many >= LEAST]
+            if not len(one):
                 break
-            a, b = int(found[k]) >> 16, int(found[k]) & 0xFFFF
-            # one pair a bucket in a round, so that a bucket tells the pair; others come in the next
-            if a in right or b in left or home[k] in taken or (a == b and (a in left or b in right)):
+            home = bucket[one]
+            pair_of[home], seen[home] = pairs, LEAST
+            home = np.unique(home)
+        home = home[np.argsort(-seen[home], kind="stable")[:PAIRS]]
+        pairs = pair_of[home]
+        left, right, chosen = set(), set(), []
+        for k, (a, b) in enumerate(zip((pairs >> kind(half)).tolist(), (pairs & low).tolist())):
+            if a in right or b in left or (a == b and (a in left or b in right)):
                 continue
             left.add(a)
             right.add(b)
-            taken.add(home[k])
             chosen.append(k)
-        if not chosen:
-            break
-        pair_of, symbol_of = np.zeros(1 << BITS, np.uint32), np.zeros(1 << BITS, np.uint32)
-        places = np.array(home)[chosen]
-        symbol_of[places] = terminals + len(rules) + np.arange(len(chosen), dtype=np.uint32)
-        pair_of[places] = found[chosen]
-        place = bucket[at]
-        hit = (pair_of[place] == code[at]) & (symbol_of[place] > 0)
-        at, place = at[hit], place[hit]
-        seq = seq.copy()
-        seq[at] = symbol_of[place]
+        chosen = chosen[:most - total]
+        pairs, home = pairs[chosen], home[chosen]
+        symbol_of[home] = np.arange(total, total + len(home), dtype=kind)
+        symbol = symbol_of[bucket]
+        hit = (symbol > 0) & (pair_of[bucket] == code)
+        symbol_of[home] = 0
+        at = at[hit]
+        seq[at] = symbol[hit]
+        live[at] = True
+        live[at[at > 0] - 1] = True
         kept = np.ones(len(seq), bool)
         kept[at + 1] = False
-        seq = seq[kept]
-        rules += [(int(found[k]) >> 16, int(found[k]) & 0xFFFF) for k in chosen]
-    return np.array(rules, np.uint32).reshape(-1, 2), seq
+        # the place before a replaced one may itself have been swallowed; then its left neighbour stands there
+        swallowed = at[at > 1]
+        live[swallowed[~kept[swallowed - 1]] - 2] = True
+        seq, live = seq[kept], live[kept]
+        rules.append(np.stack([pairs >> kind(half), pairs & low], axis=1).astype(np.uint32))
+        total += len(home)
+    return np.concatenate(rules), seq.astype(np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -154,7 +180,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_I
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate(parts)
-            rules, seq = compress(ids, terminals) if terminals < 65536 else (np.empty((0, 2), np.uint32), ids)
+            rules, seq = compress(ids, terminals)
             width = 2 if terminals + len(rules) <= 65536 else 4
             row = [shard, block, before, len(ids), doc_ids, [len(p) for p in parts], terminals,
                    rules.astype("<u4").tobytes(), expansion_lengths(rules, terminals).astype("<u4").tobytes(), width,
