@@ -71,17 +71,17 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
         spare = live[idle]
         live[idle] = False
         at = np.flatnonzero(live)
-        live[idle] = spare
-        code = (seq[at] << kind(half)) | seq[at + 1]
+        code = (seq.take(at) << kind(half)) | seq.take(at + 1)
         bucket = ((code * factor) >> kind(2 * half - BITS)).astype(np.int64)
-        full = np.bincount(bucket, minlength=1 << BITS)[bucket] >= LEAST
-        live[at[~full]] = False
-        at, code, bucket = at[full], code[full], bucket[full]
+        full = np.flatnonzero(np.bincount(bucket, minlength=1 << BITS).take(bucket) >= LEAST)
+        at, code, bucket = at.take(full), code.take(full), bucket.take(full)
         # each bucket speaks for the pair at its last place; only if none of those is frequent are all counted
         pair_of[bucket] = code
-        heard = pair_of[bucket] == code
-        seen = np.bincount(bucket[heard], minlength=1 << BITS)
-        live[at[heard & (seen[bucket] < LEAST)]] = False
+        heard = pair_of.take(bucket) == code
+        seen = np.bincount(bucket.take(np.flatnonzero(heard)), minlength=1 << BITS)
+        live[:] = False
+        live[at.take(np.flatnonzero(~heard | (seen.take(bucket) >= LEAST)))] = True
+        live[idle] = spare
         home = np.flatnonzero(seen >= LEAST)
         if not len(home):
             pairs, one, many = np.unique(code, return_index=True, return_counts=True)
@@ -103,11 +103,12 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
         chosen = chosen[:most - total]
         pairs, home = pairs[chosen], home[chosen]
         symbol_of[home] = np.arange(total, total + len(home), dtype=kind)
-        symbol = symbol_of[bucket]
-        hit = (symbol > 0) & (pair_of[bucket] == code)
+        # only pairs now in pair_of were chosen, so a bucket's other pairs are told from them by the code
+        symbol = symbol_of.take(bucket)
+        hit = np.flatnonzero((symbol > 0) & (pair_of.take(bucket) == code))
         symbol_of[home] = 0
-        at = at[hit]
-        seq[at] = symbol[hit]
+        at = at.take(hit)
+        seq[at] = symbol.take(hit)
         live[at] = True
         live[at[at > 0] - 1] = True
         kept = np.ones(len(seq), bool)
@@ -115,7 +116,8 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
         # the place before a replaced one may itself have been swallowed; then its left neighbour stands there
         swallowed = at[at > 1]
         live[swallowed[~kept[swallowed - 1]] - 2] = True
-        seq, live = seq[kept], live[kept]
+        kept = np.flatnonzero(kept)
+        seq, live = seq.take(kept), live.take(kept)
         rules.append(np.stack([pairs >> kind(half), pairs & low], axis=1).astype(np.uint32))
         total += len(home)
     return np.concatenate(rules), seq.astype(np.uint32)
@@ -135,17 +137,18 @@ def _sizes(seq: np.ndarray, expansions: np.ndarray, terminals: int) -> np.ndarra
 
 
 def _expand(seq: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    words: list[np.ndarray] = []
+    own = np.arange(terminals, dtype="<u4").tobytes()
+    words: list[bytes] = []
     for a, b in rules.tolist():
-        words.append(np.concatenate([np.array([x], np.uint32) if x < terminals else words[x - terminals]
-                                     for x in (a, b)]))
-    flat = np.concatenate([np.arange(terminals, dtype=np.uint32), *words])
-    size = np.concatenate([np.ones(terminals, np.int64), np.fromiter(map(len, words), np.int64, len(words))])
+        words.append((own[4 * a:4 * a + 4] if a < terminals else words[a - terminals])
+                     + (own[4 * b:4 * b + 4] if b < terminals else words[b - terminals]))
+    flat = np.frombuffer(own + b"".join(words), "<u4")
+    size = np.concatenate([np.ones(terminals, np.int64), np.fromiter(map(len, words), np.int64, len(words)) // 4])
     begin = np.cumsum(size) - size
-    many = size[seq]
+    many = size.take(seq)
     stop = np.cumsum(many)
     total = int(stop[-1]) if len(stop) else 0
-    return flat[np.arange(total) + np.repeat(begin[seq] - (stop - many), many)]
+    return flat.take(np.arange(total) + np.repeat(begin.take(seq) - (stop - many), many))
 
 
 class StoredBlock:
@@ -191,8 +194,9 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_I
                                               names=[x.split()[0] for x in STORED.split(", ")])
 
         for b in in_pieces(batches, "text"):
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = np.append(enc.ids(t or "").astype(np.uint32), np.uint32(end_id))
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for d, ids in zip(b.column(0).to_pylist(), enc.many(texts)):
+                own = np.append(ids, ids.dtype.type(end_id))
                 if parts and held + len(own) > BLOCK:
                     yield close()
                     block, before, doc_ids, parts, held = block + 1, before + held, [], [], 0

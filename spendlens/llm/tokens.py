@@ -17,6 +17,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Words a worker remembers; beyond it the memory starts anew (results don't depend on it).
@@ -27,7 +29,8 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 
 #: Marks that end a word and are pre-tokens of their own in both vocabularies.
 MARKS = frozenset(",.;:!?")
-MARK_BYTES = frozenset(m.encode() for m in MARKS)
+#: Letters below U+0250 but U+0130, and one mark at most behind them (see _plain).
+PLAIN_WORD = (r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+[,.;:!?]?$")
 
 
 def _plain(word: str) -> bool:
@@ -64,7 +67,6 @@ class WordEncoder:
         # of a vocabulary that lower-cases: the words met lately, and those before
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.spelt = [s.encode() for s in self.specials]
         self.marks = {m: self._pack(self.tok.encode(m, add_special_tokens=False).ids) for m in MARKS}
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -92,54 +94,76 @@ class WordEncoder:
             for w, e in zip(rest, self.tok.encode_batch_fast([lead + w for w in rest], add_special_tokens=False)):
                 known[w] = self._pack(e.ids)
 
-    def _lowered(self, text: str) -> np.ndarray:
-        """Ids where words are lower-cased and all white space ends one. Only Latin-1 is lowered here: beside a
-        combining mark, lower case before normalisation could give another letter."""
+    def _lowered(self, text: str) -> str | None:
+        """``text`` with its words in lower case, None where the tokenizer must take it whole. Only Latin-1 is
+        lowered here: beside a combining mark, lower case before normalisation could give another letter."""
+        if any(s in text for s in self.specials):
+            return None
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            raw = text.encode()
-        else:
-            raw = text.lower().encode()
-            if any(s in raw for s in self.spelt):  # <|ENDOFTEXT|> is no special token
-                return self._whole(text)
-        words = raw.split()
-        try:
-            out = list(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > REMEMBERED // 2:
-                self.known, self.older = {}, self.known
-            self._learn_lowered({w for w in words if w not in self.known})
-            out = list(map(self.known.__getitem__, words))
-        return np.frombuffer(b"".join(out), self.dtype)
-
-    def _learn_lowered(self, words: set[bytes]) -> None:
-        known, older, rest = self.known, self.older, []
-        for w in words:
-            ids = older.get(w)
-            if ids is None:
-                base, mark = (w[:-1], self.marks[w[-1:].decode()]) if w[-1:] in MARK_BYTES else (w, b"")
-                word = base.decode()
-                if not _plain(word):
-                    rest.append(w)
-                    continue
-                ids = mark and (known.get(base) or older.get(base)) or self._word(word, "")
-                if mark:
-                    known[base] = ids
-                    ids += mark
-            known[w] = ids
+            return text
+        text = text.lower()
+        return None if any(s in text for s in self.specials) else text  # <|ENDOFTEXT|> is no special token
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each whole text. Where white space ends words, the distinct words of all texts are looked up
+        once and their ids laid out by position."""
+        if not self.lowers:
+            return [self.ids(t) for t in texts]
+        lowered = [self._lowered(t) for t in texts]
+        lists = pc.ascii_split_whitespace(pa.array([t or "" for t in lowered], pa.string()))
+        words = lists.flatten().dictionary_encode()
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        each = self._looked_up(words.dictionary)
+        flat = np.frombuffer(b"".join(each), self.dtype)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // self.dtype.itemsize
+        begin = np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        many = size.take(at)
+        stop = np.cumsum(many)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = flat.take(np.repeat(begin.take(at) - (stop - many), many) + np.arange(total))
+        ends = np.concatenate([[0], stop])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        return [ids[i:j] if low is not None else self._whole(t)
+                for t, low, i, j in zip(texts, lowered, ends, ends[1:])]
+
+    def _looked_up(self, words: pa.Array) -> list[bytes]:
+        """The ids of each of the distinct ``words``; a plain word is kept without the mark that ends it."""
+        plain = pc.match_substring_regex(words, PLAIN_WORD).to_numpy(zero_copy_only=False)
+        bases = pc.if_else(pa.array(plain), pc.utf8_rtrim(words, characters="".join(MARKS)), words)
+        marked = np.flatnonzero(pc.not_equal(bases, words).to_numpy(zero_copy_only=False))
+        keys = bases.cast(pa.binary()).to_pylist()
+        known, older = self.known, self.older
+        each = list(map(known.get, keys))
+        new = [k for k, ids in enumerate(each) if ids is None]
+        if older:
+            for k in new:
+                ids = older.get(keys[k])
+                if ids is not None:
+                    each[k] = known[keys[k]] = ids
+            new = [k for k in new if each[k] is None]
+        fresh = list(dict.fromkeys(keys[k] for k in new if plain[k]))
+        known.update((w, self._word(w.decode(), "")) for w in fresh)
+        rest = [keys[k] for k in new if not plain[k]]
         for w, e in zip(rest, self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             known[w] = self._pack(e.ids)
+        for k in new:
+            each[k] = known[keys[k]]
+        for k, w in zip(marked.tolist(), words.take(pa.array(marked)).to_pylist()):
+            each[k] += self.marks[w[-1]]
+        return each
 
     def _whole(self, text: str) -> np.ndarray:
         return np.frombuffer(self._pack(self.tok.encode(text, add_special_tokens=False).ids), self.dtype)
 
     def ids(self, text: str) -> np.ndarray:
         """The whole text's ids (uint16 or uint32, little-endian)."""
+        if self.lowers:
+            return self.many([text])[0]
         if any(s in text for s in self.specials):
             return self._whole(text)
-        if self.lowers:
-            return self._lowered(text)
         parts = text.split(" ")
         later = self.later
         try:

@@ -218,3 +218,25 @@ def test_windows_equal_plain_minimum_bin_slack(lengths):
             for n in own:
                 left.remove(n)
     assert not left
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(ODD, max_size=6), st.lists(st.sampled_from(
+    ["It's", "ÉTÉ,", "été", "a,.b", "NBSP\xa0x", "<|ENDOFTEXT|>", "J̌", "Straße!", ",", "x\ny", ""]), max_size=8))
+def test_texts_encoded_together_give_the_librarys_ids(texts, words):
+    texts = [*texts, " ".join(words)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        got = [ids.tolist() for ids in word_encoder(public_tokenizers.path(name)).many(texts)]
+        assert got == [brute.tokenizer(name).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=300), st.sampled_from([4, 49_408, 60_000, 70_000]))
+def test_grammar_ends_only_when_no_pair_is_frequent(ids, terminals):
+    rules, seq = repair_store.compress(np.array(ids, np.uint32), terminals)
+    assert repair_store._expand(seq, rules, terminals).tolist() == ids
+    left, last = {}, {}
+    for k, pair in enumerate(zip(seq.tolist(), seq.tolist()[1:])):
+        if last.get(pair) != k - 1 or pair[0] != pair[1]:
+            left[pair], last[pair] = left.get(pair, 0) + 1, k
+    assert max(left.values(), default=0) < repair_store.LEAST
