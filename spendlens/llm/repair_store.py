@@ -33,7 +33,7 @@ from .tokens import word_encoder
 END_ID = 2
 #: Ids in a block (a longer document makes a block of its own), pairs looked at in a round, and
 #: occurrences below which a pair is left alone.
-BLOCK, PAIRS, LEAST = 1 << 19, 2048, 8
+BLOCK, PAIRS, LEAST = 1 << 19, 4096, 8
 #: Pairs are counted in 2 ** BITS buckets; rules for which two bytes must leave room.
 BITS, ROOM = 18, 1 << 13
 
@@ -193,7 +193,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_I
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)],
                                               names=[x.split()[0] for x in STORED.split(", ")])
 
-        for b in in_pieces(batches, "text"):
+        for b in in_pieces(batches, "text", 8_000_000):
             texts = [t or "" for t in b.column(1).to_pylist()]
             for d, ids in zip(b.column(0).to_pylist(), enc.many(texts)):
                 own = np.append(ids, ids.dtype.type(end_id))
