@@ -8,7 +8,7 @@ partition count, so broadcasting it is safe at any data size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_dir
 
@@ -44,9 +44,43 @@ def next_id(existing: DataFrame, id_col: str) -> int:
     return int(m or 0) + 1
 
 
+#: Settings under which the Parquet source answers MIN, MAX and COUNT from file footers.
+FOOTER_CONF = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footer_max(spark: SparkSession, path: str, id_col: str) -> DataFrame:
+    """One row, ``m``: the largest ``id_col`` of the Parquet table at ``path``, planned from its file footers
+    (``PushedAggregation``), so that no column is read however long the table is. The plan belongs to a session of
+    its own, whose settings say so; the caller's are left alone."""
+    own = spark.newSession()
+    for k, v in FOOTER_CONF.items():
+        own.conf.set(k, v)
+    return own.read.parquet(path).agg(F.max(id_col).alias("m"))
+
+
+def stored_next_id(spark: SparkSession, path: str, id_col: str) -> int:
+    """``next_id`` of a stored table, from its footers; an empty table gives 1. A file whose footer holds no
+    maximum (all its ids are NULL, or its writer left statistics out) makes Spark refuse, and then the column is read."""
+    try:
+        return int(footer_max(spark, path, id_col).first()["m"] or 0) + 1
+    except Exception as e:  # the driver's error or the task's, by the setting both name
+        if "spark.sql.parquet.aggregatePushdown" not in str(e):
+            raise
+    return next_id(spark.read.parquet(path), id_col)
+
+
+def assign_stored_ids(path: str, requests: DataFrame, id_col: str,
+                      order_cols: list[str] | None = None) -> DataFrame:
+    """``assign_ids`` after the largest id of the stored table at ``path``, which is not scanned."""
+    return _numbered(requests, stored_next_id(requests.sparkSession, path, id_col), id_col, order_cols)
+
+
+def _numbered(requests: DataFrame, start: int, id_col: str, order_cols: list[str] | None) -> DataFrame:
+    idx = dense_index(requests, order_cols or ["seq"], out="_idx")
+    return idx.withColumn(id_col, (F.lit(start - 1) + F.col("_idx")).cast("bigint")).drop("_idx")
+
+
 def assign_ids(existing: DataFrame, requests: DataFrame, id_col: str,
                order_cols: list[str] | None = None) -> DataFrame:
     """Give each request ``id_col`` = max(existing) + its rank in request order."""
-    start = next_id(existing, id_col)
-    idx = dense_index(requests, order_cols or ["seq"], out="_idx")
-    return idx.withColumn(id_col, (F.lit(start - 1) + F.col("_idx")).cast("bigint")).drop("_idx")
+    return _numbered(requests, next_id(existing, id_col), id_col, order_cols)

@@ -485,6 +485,7 @@ _ORACLE: dict[str, str] = {
     "segment_platform_affinity": _with(R10_BODY),
     "create_campaigns": CREATE,
     "assign_ids": ASSIGN,
+    "assign_stored_ids": ASSIGN,
     "update_budgets": UPDATE_BUDGETS,
     "admit_ads": ADMIT,
     "rejected_ads": REJECT,
@@ -556,4 +557,28 @@ for _rollup, _view in {
     _ORACLE[_rollup] = _ORACLE[_view]
     PRESENTED[_rollup] = PRESENTED[_view]
 
-ORACLE: dict[str, str] = {key: _present(key, sql) for key, sql in _ORACLE.items()}
+#: The order of rows each listing and report has, beside its values.
+REPORT_ORDER = {
+    "list_campaigns": "CampaignID",
+    "campaign_performance": "ROIPercent DESC NULLS LAST, CampaignID",
+    "ad_performance": "ROAS DESC NULLS LAST, AdID",
+    "ad_performance_bound": "ROAS DESC NULLS LAST, AdID",
+    "campaign_products": "ProductName, ProductID",
+    "region_performance": "TotalRevenue DESC NULLS LAST, RegionName",
+    "segment_performance": "TotalRevenue DESC NULLS LAST, SegmentName",
+    "platform_performance": "TotalRevenue DESC NULLS LAST, PlatformName",
+    "product_performance": "RevenueGenerated DESC NULLS LAST, ProductID",
+    "campaign_by_segment": "Revenue DESC NULLS LAST, SegmentName",
+    "budget_alerts": "BudgetUtilizationPct DESC NULLS LAST, CampaignID",
+    "campaigns_ending_soon": "DaysLeft, CampaignID",
+    "top_ads_by_roas": "ROAS DESC NULLS LAST, AdID",
+    "underperforming_ads": "CTR, AdID",
+    "segment_platform_affinity": "Revenue DESC NULLS LAST, SegmentName, PlatformName",
+}
+
+
+def _ordered(key: str, sql: str) -> str:
+    return f"SELECT * FROM (\n{sql}\n) report ORDER BY {REPORT_ORDER[key]}" if key in REPORT_ORDER else sql
+
+
+ORACLE: dict[str, str] = {key: _ordered(key, _present(key, sql)) for key, sql in _ORACLE.items()}

@@ -19,7 +19,7 @@ from ..operators import views as V
 from ..operators import writes as W
 from ..operators.admission import admit_ads
 from ..operators.digest import digest_match
-from ..operators.ids import assign_ids
+from ..operators.ids import assign_ids, assign_stored_ids
 from ..operators.requests import typed_requests
 from ..operators.text import REPORT_FORMATS, formatted_lines, parse_report_lines, read_lines, report_lines, write_lines
 from ..schema import CAMPAIGN_PRODUCT
@@ -121,6 +121,13 @@ def new_campaign_ids(spark, t):
         .select("seq", "CampaignID")
 
 
+def new_ids_after_stored(spark, t):
+    """W8 after a stored campaign table, whose footers tell the largest id."""
+    path = scratch_path(spark, "campaign-ids")
+    t.campaign.select("CampaignID", "Objective").write.parquet(path)
+    return assign_stored_ids(path, campaign_requests(t), "CampaignID").select("seq", "CampaignID")
+
+
 def recalculated_ads(spark, t):
     return W.recalc_ad_metrics(t, ad=W.update_ad_metrics(t, ad_metric_requests(t)))
 
@@ -303,6 +310,7 @@ OPERATORS: dict[str, Callable] = {
     # W1–W9
     "create_campaigns": lambda s, t: W.create_campaigns(t, campaign_requests(t)),
     "assign_ids": new_campaign_ids,
+    "assign_stored_ids": new_ids_after_stored,
     "typed_requests": lambda s, t: typed_requests(request_text(t), CAMPAIGN_REQUEST)[0],
     "rejected_requests": lambda s, t: typed_requests(request_text(t), CAMPAIGN_REQUEST)[1],
     "update_budgets": lambda s, t: W.update_budgets(t, budget_requests(t)),

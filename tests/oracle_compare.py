@@ -3,7 +3,8 @@
 Usage: python tests/oracle_compare.py [sf_dir] [key ...]
 
 Comparison: same column names, same row count, same multiset of rows with
-exact values (decimals as decimals, doubles bit-for-bit).
+exact values (decimals as decimals, doubles bit-for-bit); for listings and
+reports also the same order of rows.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ def rows_key(rows):
 
 def compare(spark, sf_dir: str, keys: list[str] | None = None, verbose: bool = True) -> dict:
     import __spark_entry__ as E
+    from spendlens.plans.oracle import REPORT_ORDER
     qs, oracle = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     out = {}
@@ -107,6 +109,8 @@ def compare(spark, sf_dir: str, keys: list[str] | None = None, verbose: bool = T
             elif a != b:
                 diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
                 out[key] = f"VALUES differ ({sum(x != y for x, y in zip(a, b))} rows) e.g. {diff}"
+            elif key in REPORT_ORDER and [[_norm(v) for v in r] for r in srows] != [[_norm(v) for v in r] for r in drows]:
+                out[key] = "ORDER of rows differs"
             else:
                 out[key] = f"OK {len(a)}"
         if verbose:

@@ -169,3 +169,24 @@ def test_pricing_needs_few_exchanges(stored, spark):
         assert summary(made)["shuffles"] <= 5 and summary(rejects)["shuffles"] <= 10, (summary(made), summary(rejects))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_next_id_comes_from_file_footers(spark, tmp_path):
+    from spendlens.operators import ids
+    path = str(tmp_path / "t")
+    spark.range(5, 1000).selectExpr("id AS CampaignID", "cast(id AS string) AS text").repartition(7).write.parquet(path)
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    plan = _plan(ids.footer_max(spark, path, "CampaignID"))
+    assert "PushedAggregation: [MAX(CampaignID)]" in plan, plan
+    assert ids.stored_next_id(spark, path, "CampaignID") == 1000
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    empty = str(tmp_path / "empty")
+    spark.read.parquet(path).where("CampaignID < 0").write.parquet(empty)
+    assert ids.stored_next_id(spark, empty, "CampaignID") == 1
+
+
+def test_next_id_of_ids_that_are_null(spark, tmp_path):
+    from spendlens.operators import ids
+    path = str(tmp_path / "t")
+    spark.sql("SELECT * FROM VALUES (CAST(NULL AS BIGINT)), (7L), (-3L) v(CampaignID)").write.parquet(path)
+    assert ids.stored_next_id(spark, path, "CampaignID") == 8
