@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import fixed, java_trim, key_value_line, plain, template_line, whole
 
 
-def report_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Every row as ``Label=value | Label=value``; NULL prints ``null``."""
-    return df.select(key_value_line(df, columns).alias("line"))
+def report_lines(df: DataFrame, columns: list[str] | None = None, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Every row as ``Label=value | Label=value``; NULL prints ``null``. ``keep`` names columns to go along."""
+    return df.select(key_value_line(df, columns).alias("line"), *keep)
 
 
 # The reference's per-report row formats (Java format strings)
@@ -96,6 +96,43 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+def write_ordered_lines(lines: DataFrame, path: str, order: list[Column], mode: str = "errorifexists") -> None:
+    """Text sink that keeps an order: rows dealt by range of ``order``, sorted within each part, and parts
+    numbered in that order. ``lines`` holds ``line`` and what ``order`` needs."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode(mode).text(path)
+
+
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a folder of numbered parts in their order: by part number, place of the split in its file,
+    and place in the split."""
+    name = F.col("_metadata.file_name")
+    return spark.read.text(path).select(
+        F.col("value").alias("line"), F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("_part"),
+        name.alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row")).orderBy("_part", "_file", "_split", "_row").select("line")
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a folder of numbered parts, read from its first part with a line; None if there is none."""
+    def number(file: str) -> tuple[int, str]:
+        name = file.rsplit("/", 1)[-1]
+        found = re.match(r"part-(\d+)", name)
+        return int(found[1]) if found else -1, name
+    for file in sorted(spark.read.text(path).inputFiles(), key=number):
+        row = spark.read.text(file).where(F.col("_metadata.file_block_start") == 0).first()
+        if row is not None:
+            return row["value"]
+    return None
+
+
+def parse_stored_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S5 from a folder: the header is its first line, and rows come in the order of the lines."""
+    header = first_line(spark, path)
+    if header is None:
+        return spark.createDataFrame([], "Result string")
+    return parse_report_lines(read_ordered_lines(spark, path), header)
+
+
 def parse_report_lines(lines: DataFrame, header_line: str | None = None) -> DataFrame:
     """Lines back to a table of strings.
 

@@ -456,6 +456,7 @@ _ORACLE: dict[str, str] = {
     "ad_performance_bound": _with(f"SELECT * FROM ({V1}) v WHERE CampaignID = 4"),
     "report_lines": LINES,
     "report_lines_parse": LINES_PARSE,
+    "report_lines_reread": LINES_PARSE,
     "report_lines_fmt": LINES_FMT,
     "vw_ad_performance": _with(V1),
     "vw_campaign_performance": _with(V2_BODY, CFACTS),
@@ -574,6 +575,7 @@ REPORT_ORDER = {
     "top_ads_by_roas": "ROAS DESC NULLS LAST, AdID",
     "underperforming_ads": "CTR, AdID",
     "segment_platform_affinity": "Revenue DESC NULLS LAST, SegmentName, PlatformName",
+    "report_lines_reread": "CAST(Revenue AS DECIMAL(38,2)) DESC NULLS LAST, SegmentName, PlatformName",
 }
 
 

@@ -21,7 +21,8 @@ from ..operators.admission import admit_ads
 from ..operators.digest import digest_match
 from ..operators.ids import assign_ids, assign_stored_ids
 from ..operators.requests import typed_requests
-from ..operators.text import REPORT_FORMATS, formatted_lines, parse_report_lines, read_lines, report_lines, write_lines
+from ..operators.text import (REPORT_FORMATS, formatted_lines, parse_report_lines, parse_stored_lines, read_lines,
+                              report_lines, write_lines, write_ordered_lines)
 from ..schema import CAMPAIGN_PRODUCT
 from ..session import scratch_path
 from ..sources.model import read_table
@@ -185,6 +186,15 @@ def parsed_lines(spark, t):
     return parse_report_lines(affinity_lines(spark, t), header)
 
 
+def reread_lines(spark, t):
+    """The report's lines through numbered parts and back: header and order come from the files."""
+    path = scratch_path(spark, "ordered-lines")
+    report = R.segment_platform_affinity(t)
+    order = [F.col("Revenue").desc_nulls_last(), F.col("SegmentName").asc(), F.col("PlatformName").asc()]
+    write_ordered_lines(report_lines(report, keep=AFFINITY), path, order)
+    return parse_stored_lines(spark, path)
+
+
 REPORT_PARAMS = {"campaign_products": (CAMPAIGN,), "campaign_by_segment": (CAMPAIGN,), "budget_alerts": (THRESHOLD_PCT,),
                  "campaigns_ending_soon": (WITHIN_DAYS, AS_OF), "top_ads_by_roas": (TOP_N,),
                  "underperforming_ads": (FACTOR,)}
@@ -273,6 +283,7 @@ OPERATORS: dict[str, Callable] = {
     "ad_performance_bound": lambda s, t: R.ad_performance_bound(s, t, CAMPAIGN),
     "report_lines": affinity_lines,
     "report_lines_parse": parsed_lines,
+    "report_lines_reread": reread_lines,
     "report_lines_fmt": lambda s, t: formatted_lines(R.segment_platform_affinity(t), "segment_platform_affinity"),
     "report_lines_all": all_report_lines,
     # V1–V7

@@ -8,7 +8,8 @@ import pytest
 
 from conftest import SF_SMALL
 from spendlens.operators import reports as R
-from spendlens.operators.text import REPORT_FORMATS, formatted_lines, parse_report_lines, report_lines
+from spendlens.operators.text import (REPORT_FORMATS, first_line, formatted_lines, parse_report_lines,
+                                      parse_stored_lines, read_ordered_lines, report_lines, write_ordered_lines)
 from spendlens.sources.driver import AS_OF, model_from_driver
 
 REPORTS = {
@@ -92,3 +93,32 @@ def test_every_report_as_text(model):
             assert lines[0].startswith("RegionName=") and " | TotalOrders=" in lines[0]
         if name == "budget_alerts":
             assert lines[0].startswith("CampaignID=") and lines[0].endswith("%")
+
+
+def test_ordered_lines_come_back_in_order_from_several_parts_and_splits(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    rows = spark.range(3000).selectExpr("id AS n", "concat('N=', id, ' | Text=', repeat('x', 40)) AS line")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes",
+                                             "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        write_ordered_lines(rows, path, [rows.n.desc()])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert len(spark.read.text(path).inputFiles()) > 3
+        assert spark.read.text(path).rdd.getNumPartitions() > 8
+        assert [r.line.split(" ")[0] for r in read_ordered_lines(spark, path).collect()] == \
+            [f"N={n}" for n in range(2999, -1, -1)]
+        assert first_line(spark, path).startswith("N=2999 ")
+        assert [int(r.N) for r in parse_stored_lines(spark, path).collect()] == list(range(2999, -1, -1))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_stored_lines_of_an_empty_report(spark, tmp_path):
+    path = str(tmp_path / "none")
+    rows = spark.range(0).selectExpr("id AS n", "cast(id AS string) AS line")
+    write_ordered_lines(rows, path, [rows.n.asc()])
+    assert first_line(spark, path) is None
+    assert parse_stored_lines(spark, path).columns == ["Result"]
