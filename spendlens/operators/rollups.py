@@ -6,9 +6,10 @@ adds the partitions up, so a new day costs its own facts, and a day added again
 * ``ads``      spend, ads, clicks, impressions by campaign
 * ``orders``   orders and revenue by campaign, segment and region
 * ``lines``    net revenue by product
-* ``order_ids``  the identifiers of orders by campaign and segment, as bitmaps of
-  32,768 identifiers each. COUNT(DISTINCT OrderID) cannot be added up over days, bitmaps can: ``bitmap_or_agg``
-  merges them at any coarser grain, exactly. Sparse bitmaps are zeros for the most part and are stored compressed.
+* ``order_ids``  the identifiers of orders by campaign and segment, as words of 64 bits, one for each
+  64 identifiers in a row. COUNT(DISTINCT OrderID) cannot be added up over days, words can: ``bit_or`` merges them at any
+  coarser grain, exactly. There are at most as many words as orders, however thinly a campaign's are spread, and each is
+  a number that aggregates in place.
 
 A customer counts with the segment and region of the day it was added; names and
 platforms are looked up when a view is read.
@@ -29,7 +30,7 @@ _SCHEMAS = {
     "ads": "CampaignID long, TotalSpend decimal(38,2), spend_cents long, NumAds long, clicks long, impressions long, day string",
     "orders": "CampaignID long, SegmentID long, RegionID long, known boolean, n long, revenue decimal(38,2), day string",
     "lines": "ProductID long, RevenueGenerated decimal(38,4), day string",
-    "order_ids": "CampaignID long, SegmentID long, bucket long, bits binary, day string",
+    "order_ids": "CampaignID long, SegmentID long, word long, bits long, day string",
 }
 
 
@@ -52,8 +53,8 @@ class Rollups:
                 F.count(F.lit(1)).alias("n"), F.sum("TotalAmount").cast("decimal(38,2)").alias("revenue")),
             "lines": V.lines_by_product(t.order_line),
             "order_ids": sold.where("known AND CampaignID IS NOT NULL AND OrderID IS NOT NULL")
-            .groupBy("CampaignID", "SegmentID", F.bitmap_bucket_number("OrderID").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("OrderID")).alias("bits")),
+            .groupBy("CampaignID", "SegmentID", F.shiftright("OrderID", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(OrderID & 63 AS INT))")).alias("bits")),
         }
         for name, df in rolled.items():
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/day={day}")
@@ -98,8 +99,8 @@ class Rollups:
 
     def _distinct_orders(self, names: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
         """Distinct orders and revenue by ``keys``, which ``names`` looks up."""
-        merged = names(self.read("order_ids")).groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        ids = merged.select(*keys, F.bitmap_count("bits").alias("Orders"), F.lit(None).cast("decimal(38,2)").alias("Revenue"))
+        merged = names(self.read("order_ids")).groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
+        ids = merged.select(*keys, F.bit_count("bits").cast("long").alias("Orders"), F.lit(None).cast("decimal(38,2)").alias("Revenue"))
         sold = names(self.read("orders").where("known AND CampaignID IS NOT NULL"))
         return ids.unionByName(sold.select(*keys, F.lit(0).cast("long").alias("Orders"), F.col("revenue").alias("Revenue"))) \
             .groupBy(*keys).agg(F.sum("Orders").cast("bigint").alias("Orders"), money_sum("Revenue").alias("Revenue"))
