@@ -2,7 +2,7 @@
 
 Events are deduplicated by identifier and counted by the day of their own
 time. State per ad is a running total of closed days and one entry for each day
-that the watermark has not closed. A batch that changes a day sends that day's and all later
+that the watermark has not closed; ``ADS`` ads in a row share one value. A batch that changes a day sends that day's and all later
 open days' counters again: the feed is absolute and the last one wins
 (``metrics_feed``), so readers need no corrections.
 
@@ -10,12 +10,13 @@ open days' counters again: the feed is absolute and the last one wins
 * An event later than that is dropped by the watermark.
 * A repeated event (same ``event_id``, within ``delay``) counts once.
 * A day closes when the watermark is a day past its end: its entry is folded into the
-  total, so state per ad is bounded by the days within ``delay``.
+  total, at the next batch or by a timer, so state per ad is bounded by the days within ``delay``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -30,69 +31,97 @@ from .metrics_feed import DELTA, FEED, feed_run
 DAY_MS = 86_400_000
 #: Days from a day's start (UTC) to its closing: one more than the day itself, for session time zones behind UTC.
 CLOSES_AFTER = 2
+#: Ads whose state is one value (a power of 2): each state value costs calls between Spark and Python, whatever it holds.
+ADS = 32
+
+Counts = dict[Any, tuple[int, int]]
 
 
 class RunningCounters(StatefulProcessor):
-    """Running views and clicks of one ad."""
+    """Running views and clicks of ``ADS`` ads in a row, in one value, so that a batch reads and
+    writes their state once, however many of them and of their open days it has.
+
+    A batch with events of these ads closes the days that the watermark has passed; a timer,
+    one at a time, does so when no more come."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.closed = handle.getValueState("closed", "through long, views long, clicks long")
-        self.open = handle.getMapState("open", "day long", "views long, clicks long")
+        self.state = handle.getValueState("counters", "through long, timer long, ad array<long>, views array<long>, clicks array<long>, "
+                                          "open_ad array<long>, open_day array<long>, open_views array<long>, open_clicks array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        changed: dict[int, np.ndarray] = {}
+        changed: Counts = {}
         for pdf in rows:
-            views = pdf["view"].to_numpy(np.int64)
-            days, at = np.unique(pdf["seq"].to_numpy(np.int64), return_inverse=True)
-            seen = np.bincount(at, weights=views, minlength=days.size).astype(np.int64)
-            total = np.bincount(at, minlength=days.size)
-            for day, v, n in zip(days.tolist(), seen.tolist(), total.tolist()):
-                changed[day] = changed.get(day, 0) + np.array([v, n - v])
+            place, at = np.unique(pdf["seq"].to_numpy(np.int64) * ADS + pdf["AdID"].to_numpy(np.int64) % ADS, return_inverse=True)
+            views = np.bincount(at, weights=pdf["view"].to_numpy(np.int64), minlength=place.size).astype(np.int64)
+            clicks = np.bincount(at, minlength=place.size) - views
+            for p, v, c in zip(place.tolist(), views.tolist(), clicks.tolist()):
+                _count(changed, (p % ADS, p // ADS), v, c)
         if not changed:
             return
-        through, views, clicks = self._closed()
-        for day, more in changed.items():
+        through, timer, closed, opened = self._read()
+        first: dict[int, int] = {}
+        for (ad, day), (v, c) in changed.items():
+            first[ad] = min(day, first.get(ad, day))
             if day <= through:
-                views, clicks = views + int(more[0]), clicks + int(more[1])
-                self.closed.update((through, views, clicks))
-                continue
-            if self.open.containsKey((day,)):
-                more = more + np.array(self.open.getValue((day,)))
+                _count(closed, ad, v, c)
             else:
-                self.handle.registerTimer((day + CLOSES_AFTER) * DAY_MS)
-            self.open.updateValue((day,), (int(more[0]), int(more[1])))
-        first, out = min(changed), []
-        for day, (v, c) in sorted((k[0], tuple(x)) for k, x in self.open.iterator()):
-            views, clicks = views + v, clicks + c
-            if day >= first:
-                out.append((day, int(key[0]), views, clicks))
+                _count(opened, (ad, day), v, c)
+        running, out = dict(closed), []
+        for (ad, day), (v, c) in sorted(opened.items()):
+            _count(running, ad, v, c)
+            if ad in first and day >= first[ad]:
+                out.append((day, int(key[0]) * ADS + ad, *running[ad]))
+        self._write(through, timer, closed, opened, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame(out, columns=FEED.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        through, views, clicks = self._closed()
-        last = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - CLOSES_AFTER
-        for day, (v, c) in sorted((k[0], tuple(x)) for k, x in self.open.iterator()):
-            if day <= last:
-                views, clicks = views + v, clicks + c
-                self.open.removeKey((day,))
-        self.closed.update((max(through, last), views, clicks))
+        through, _, closed, opened = self._read()
+        self._write(through, 0, closed, opened, expiredTimerInfo.getExpiryTimeInMs())
         return iter(())
 
-    def _closed(self) -> tuple[int, int, int]:
-        return tuple(self.closed.get()) if self.closed.exists() else (-(1 << 62), 0, 0)
+    def _read(self) -> tuple[int, int, Counts, Counts]:
+        """The last closed day, the pending timer (0: none), totals of closed days by ad, counts of open days by ad and day."""
+        kept = self.state.get()
+        if kept is None:
+            return -(1 << 62), 0, {}, {}
+        through, timer, ad, views, clicks, open_ad, open_day, open_views, open_clicks = kept
+        return through, timer, dict(zip(ad, zip(views, clicks))), dict(zip(zip(open_ad, open_day), zip(open_views, open_clicks)))
+
+    def _write(self, through: int, timer: int, closed: Counts, opened: Counts, watermark: int) -> None:
+        """Keep the state with the days that ``watermark`` closes folded into the totals; days left
+        open have a timer at the closing of the last of them as it stands."""
+        last = watermark // DAY_MS - CLOSES_AFTER
+        for ad, day in [k for k in opened if k[1] <= last]:
+            through = max(through, day)
+            _count(closed, ad, *opened.pop((ad, day)))
+        if opened and not timer:
+            timer = (max(day for _, day in opened) + CLOSES_AFTER) * DAY_MS
+            self.handle.registerTimer(timer)
+        columns = [[k for k in closed], *_columns(closed.values()), *_columns(opened), *_columns(opened.values())]
+        self.state.update((through, timer, *columns))
 
     def close(self) -> None:
         pass
 
 
+def _count(counts: Counts, key, views: int, clicks: int) -> None:
+    before = counts.get(key, (0, 0))
+    counts[key] = (before[0] + views, before[1] + clicks)
+
+
+def _columns(pairs) -> tuple[list[int], list[int]]:
+    pairs = list(pairs)
+    return [a for a, _ in pairs], [b for _, b in pairs]
+
+
 def counters_stream(events: DataFrame, delay: str) -> DataFrame:
     """FEED rows of a stream of (event_id, ts, user_id, event_type); other types than view and click and events without an ad are no counters."""
     counted = events.where(F.col("event_type").isin("view", "click") & F.col("user_id").isNotNull()) \
         .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]) \
         .select(F.col("user_id").alias("AdID"), "ts", F.unix_date(F.to_date("ts")).cast("bigint").alias("seq"),
-                (F.col("event_type") == "view").alias("view"))
-    return counted.groupBy("AdID").transformWithStateInPandas(RunningCounters(), FEED, "Append", "EventTime")
+                (F.col("event_type") == "view").alias("view"), F.shiftright("user_id", ADS.bit_length() - 1).alias("_ads"))
+    return counted.groupBy("_ads").transformWithStateInPandas(RunningCounters(), FEED, "Append", "EventTime")
 
 
 def run_counters(spark: SparkSession, source: str, schema: StructType, delta_root: str, checkpoint: str, delay: str = "1 day",

@@ -156,3 +156,70 @@ def test_rollups_add_up_with_repeated_orders_and_days(spark, tmp_path):
                       (rolled.segment_platform_affinity(t), R.segment_platform_affinity(t))]:
         assert got.schema.names == want.schema.names
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_rollup_keeps_a_word_an_order_at_most(spark, tmp_path):
+    """Orders thinly spread over identifiers (below zero and at the ends of words too) take one number each, not a bitmap of a range."""
+    from conftest import D, campaign_row, make_tables
+    from spendlens.operators import views as V
+    from spendlens.operators.rollups import Rollups
+    ids = [k * 40_000 for k in range(-60, 60)] + [63, 64, 65, 127, -1, -64, -65]
+    t = make_tables(spark, campaign=[campaign_row(c, 10) for c in range(5)], platform=[(1, "P")], customer=[(1, 1, 1), (2, 2, 1)],
+                    customer_segment=[(1, "S1", "young", "low"), (2, "S2", None, "high")],
+                    orders=[(i, 1 + i % 2, i % 5, D(1)) for i in ids + ids[::3]])
+    rolled = Rollups(spark, str(tmp_path))
+    rolled.add("d0", t)
+    stored = rolled.read("order_ids")
+    assert dict(stored.dtypes)["bits"] == "bigint" and stored.count() <= len(ids)
+    assert sorted(map(str, rolled.campaign_by_segment(t).collect())) == sorted(map(str, V.campaign_by_segment_view(t).collect()))
+    assert sum(r.Orders for r in rolled.segment_platform_affinity(t).collect()) == len(ids)
+
+
+def test_counters_read_and_write_state_once_a_batch():
+    """A batch with 10 days of 20 ads asks for their state once, however many days are open; a timer closes them when no more come."""
+    import pandas as pd
+    from spendlens.streaming.counters import CLOSES_AFTER, DAY_MS, RunningCounters
+
+    class State:
+        kept, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.kept
+
+        def update(self, value):
+            self.calls, self.kept = self.calls + 1, value
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = State(), []
+
+        def getValueState(self, name, schema):
+            return self.state
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    counters, handle = RunningCounters(), Handle()
+    counters.init(handle)
+    first = pd.DataFrame([(64 + ad, day, day % 2 == 0) for ad in range(20) for day in range(100, 110)], columns=["AdID", "seq", "view"])
+    out = pd.concat(counters.handleInputRows((2,), iter([first[::2], first[1::2]]), At(0)))
+    assert handle.state.calls == 2 and handle.timers == [(109 + CLOSES_AFTER) * DAY_MS]
+    assert len(out) == 200 and out[out.AdID == 70].sort_values("seq").iloc[-1].tolist() == [109, 70, 5, 5]
+    late = pd.DataFrame([(70, 108, True)], columns=["AdID", "seq", "view"])
+    out = pd.concat(counters.handleInputRows((2,), iter([late]), At(107 * DAY_MS)))
+    assert out.values.tolist() == [[108, 70, 6, 4], [109, 70, 6, 5]]
+    assert handle.state.calls == 4 and len(handle.timers) == 1 and min(handle.state.kept[6]) == 106
+    list(counters.handleExpiredTimer((2,), At(0), At(handle.timers[0])))
+    assert handle.state.kept[5] == [] and len(handle.timers) == 1
+    out = pd.concat(counters.handleInputRows((2,), iter([pd.DataFrame([(70, 120, False)], columns=["AdID", "seq", "view"])]), At(119 * DAY_MS)))
+    assert out.values.tolist() == [[120, 70, 6, 6]] and len(handle.timers) == 2
