@@ -10,7 +10,7 @@ a *matched flag*, not ``coalesce``, so an explicit NULL is kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.metrics import ratio
 from ..functions.money import from_cents, share_of, spend_so_far
@@ -187,6 +187,34 @@ def price(pairs: DataFrame, product: DataFrame) -> DataFrame:
     return conform(j.withColumn("SellingPrice", selling_price("MRP", "Discount")), CAMPAIGN_PRODUCT)
 
 
+#: Tasks over which the different requests for one pair are dealt.
+PARTS_OF_PAIR = 64
+
+
+def first_and_others(valid: DataFrame, links: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of requests (keys, ``_row``): the least of each pair, with ``_there`` where ``links`` hold the pair, and all
+    others, each as often as it comes.
+
+    Rows alike are counted first; then the least are found within parts of a pair, and among the parts' least and the
+    links, in windows over sorted rows. So a pair with many requests is spread over tasks, no row meets its pair's
+    least in a join, and a task sorts once."""
+    # by number: partitions put together to one size as it is shuffled are six times that when sorted
+    n = int(valid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alike = valid.groupBy(*keys, "_row").agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(PARTS_OF_PAIR))).repartition(n, *keys, "_part")
+    placed = alike.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_row"))).drop("_part")
+    held = links.select(*keys, F.lit(None).cast(valid.schema["_row"].dataType).alias("_row"), F.lit(0).cast("bigint").alias("_n"))
+    # links have no row and sort before the requests of their pair
+    so_far = Window.partitionBy(*keys).orderBy(F.col("_row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = placed.where(F.col("_place") == 1).drop("_place").unionByName(held).repartition(n, *keys) \
+        .withColumns({"_place": F.count("_row").over(so_far), "_there": F.max(F.col("_row").isNull()).over(so_far)}) \
+        .where(F.col("_row").isNotNull())
+    first = least.where(F.col("_place") == 1).select(*keys, "_row", "_there")
+    others = placed.where(F.col("_place") > 1).unionByName(least.drop("_there")) \
+        .withColumn("_n", F.col("_n") - F.when(F.col("_place") == 1, F.lit(1)).otherwise(F.lit(0))).where(F.col("_n") > 0)
+    return first, others.withColumn("_copy", F.explode(F.expr("sequence(1L, _n)"))).select(*keys, "_row")
+
+
 def price_campaign_products(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Insert campaign–product links with SellingPrice computed at insert.
 
@@ -211,26 +239,20 @@ def price_campaign_products(t: Tables, requests: DataFrame) -> tuple[DataFrame,
     links = t.campaign_product.select(*keys, F.lit(None).cast(valid.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_there"))
     pairs = valid.withColumn("_there", F.lit(False)).unionByName(links).groupBy(*keys).agg(
         F.min("_row").alias("_first"), F.max("_there").alias("_there")).where(F.col("_first").isNotNull())
-    tried = pairs.join(t.product.select("ProductID", "MRP", F.lit(True).alias("_known")), "ProductID", "left")
-    refused = F.when(F.col("_there"), F.lit("pair already exists")).when(F.col("_known").isNull(), F.lit("unknown product"))
-    made = tried.where(refused.isNull()).withColumn("Discount", F.col("_first.Discount"))
+    product = t.product.select("ProductID", "MRP", F.lit(True).alias("_known"))
+    made = pairs.where(~F.col("_there")).join(product, "ProductID").withColumn("Discount", F.col("_first.Discount"))
     snapshot = t.campaign_product.unionByName(
         conform(made.withColumn("SellingPrice", selling_price("MRP", "Discount")), CAMPAIGN_PRODUCT))
 
-    def rejected(df: DataFrame, source: str, reason) -> DataFrame:
-        return df.select(*[F.col(c) if c in keys else F.col(f"{source}.{c}").alias(c) for c in columns], reason.alias("Reason"))
+    def rejected(df: DataFrame, reason) -> DataFrame:
+        return df.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in columns], reason.alias("Reason"))
 
-    duplicate = F.lit("duplicate request in batch")
-    first = pairs.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
-    same_pair = F.col("CampaignID").eqNullSafe(F.col("_CampaignID")) & F.col("ProductID").eqNullSafe(F.col("_ProductID"))
-    own = valid.join(first, same_pair)
-    copies = own.where(F.col("_row").eqNullSafe(F.col("_first"))).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_first").alias("_first")).where(F.col("_n") > 1) \
-        .withColumn("_copy", F.explode(F.expr("sequence(2L, _n)")))
+    first, others = first_and_others(valid, t.campaign_product, keys)
+    refused = F.when(F.col("_there"), F.lit("pair already exists")).when(F.col("_known").isNull(), F.lit("unknown product"))
+    tried = first.join(product.drop("MRP"), "ProductID", "left")
     rejects = requests.where(invalid.isNotNull()).select(*columns, invalid.alias("Reason")) \
-        .unionByName(rejected(tried.where(refused.isNotNull()), "_first", refused)) \
-        .unionByName(rejected(own.where(~F.col("_row").eqNullSafe(F.col("_first"))), "_row", duplicate)) \
-        .unionByName(rejected(copies, "_first", duplicate))
+        .unionByName(rejected(tried.where(refused.isNotNull()), refused)) \
+        .unionByName(rejected(others, F.lit("duplicate request in batch")))
     return snapshot, rejects
 
 

@@ -347,3 +347,28 @@ def test_invalid_discounts_and_campaigns_are_rejected_and_leave_the_pair_to_the_
     assert sorted((r.seq, r.Reason) for r in rejects.collect()) == [
         (1, "invalid discount"), (3, "invalid discount"), (4, "missing campaign"), (5, "invalid discount"),
         (6, "duplicate request in batch"), (7, "unknown product")]
+
+
+def test_price_rejects_of_crowded_pairs_need_no_join_with_themselves(spark):
+    """Each request is in the snapshot or the rejects, as a plain loop decides; requests meet no aggregate of themselves in a join."""
+    import random
+    from collections import Counter, defaultdict
+    rnd = random.Random(3)
+    rows = [(rnd.randint(1, 4), rnd.randint(1, 2), rnd.choice([1, 2, 3, 9, None]), D(rnd.choice([1, 2]))) for _ in range(150)]
+    rows += [(s, 1, 1, D(5)) for s in range(300)] + [(7, 2, 2, D(3))] * 40
+    there = [(2, 3, D(0), D(10)), (2, 3, D(0), D(10)), (8, 1, D(0), D(10))]
+    t = make_tables(spark, product=[(p, f"p{p}", D(10)) for p in (1, 2, 3)], campaign_product=there)
+    _, rejects = W.price_campaign_products(t, spark.createDataFrame(rows, "seq long, CampaignID long, ProductID long, Discount decimal(5,2)"))
+    pairs, want = defaultdict(list), Counter()
+    for s, c, p, d in rows:
+        pairs[c, p].append((s, c, p, d))
+    for (c, p), asked in pairs.items():
+        first, *others = sorted(asked, key=lambda r: (r[0], r[3]))
+        want.update((*r, "duplicate request in batch") for r in others)
+        if (c, p) in {(x[0], x[1]) for x in there}:
+            want[(*first, "pair already exists")] += 1
+        elif p not in (1, 2, 3):
+            want[(*first, "unknown product")] += 1
+    assert Counter(tuple(r) for r in rejects.select("seq", "CampaignID", "ProductID", "Discount", "Reason").collect()) == want
+    plan = rejects._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and sum(plan.count(j + " [") for j in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin")) == 1
