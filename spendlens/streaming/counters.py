@@ -8,6 +8,7 @@ open days' counters again: the feed is absolute and the last one wins
 
 * A late event within ``delay`` counts for its own day and all after it.
 * An event later than that is dropped by the watermark.
+* An event without a time counts in all open days' counters and all later ones'.
 * A repeated event (same ``event_id``, within ``delay``) counts once.
 * A day closes when the watermark is a day past its end: its entry is folded into the
   total, at the next batch or by a timer, so state per ad is bounded by the days within ``delay``.
@@ -33,6 +34,8 @@ DAY_MS = 86_400_000
 CLOSES_AFTER = 2
 #: Ads whose state is one value (a power of 2): each state value costs calls between Spark and Python, whatever it holds.
 ADS = 32
+#: Before all days: the day of events without a time, and the last closed day when none is.
+NO_DAY = -(1 << 40)
 
 Counts = dict[Any, tuple[int, int]]
 
@@ -52,7 +55,8 @@ class RunningCounters(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         changed: Counts = {}
         for pdf in rows:
-            place, at = np.unique(pdf["seq"].to_numpy(np.int64) * ADS + pdf["AdID"].to_numpy(np.int64) % ADS, return_inverse=True)
+            days = pdf["seq"].fillna(NO_DAY).to_numpy(np.int64)
+            place, at = np.unique(days * ADS + pdf["AdID"].to_numpy(np.int64) % ADS, return_inverse=True)
             views = np.bincount(at, weights=pdf["view"].to_numpy(np.int64), minlength=place.size).astype(np.int64)
             clicks = np.bincount(at, minlength=place.size) - views
             for p, v, c in zip(place.tolist(), views.tolist(), clicks.tolist()):
@@ -84,7 +88,7 @@ class RunningCounters(StatefulProcessor):
         """The last closed day, the pending timer (0: none), totals of closed days by ad, counts of open days by ad and day."""
         kept = self.state.get()
         if kept is None:
-            return -(1 << 62), 0, {}, {}
+            return NO_DAY, 0, {}, {}
         through, timer, ad, views, clicks, open_ad, open_day, open_views, open_clicks = kept
         return through, timer, dict(zip(ad, zip(views, clicks))), dict(zip(zip(open_ad, open_day), zip(open_views, open_clicks)))
 

@@ -219,6 +219,9 @@ def test_counters_read_and_write_state_once_a_batch():
     out = pd.concat(counters.handleInputRows((2,), iter([late]), At(107 * DAY_MS)))
     assert out.values.tolist() == [[108, 70, 6, 4], [109, 70, 6, 5]]
     assert handle.state.calls == 4 and len(handle.timers) == 1 and min(handle.state.kept[6]) == 106
+    untimed = pd.DataFrame([(71, None, True)], columns=["AdID", "seq", "view"])   # counts in all open days of its ad
+    out = pd.concat(counters.handleInputRows((2,), iter([untimed.astype({"seq": float})]), At(107 * DAY_MS)))
+    assert out.values.tolist() == [[106, 71, 5, 3], [107, 71, 5, 4], [108, 71, 6, 4], [109, 71, 6, 5]]
     list(counters.handleExpiredTimer((2,), At(0), At(handle.timers[0])))
     assert handle.state.kept[5] == [] and len(handle.timers) == 1
     out = pd.concat(counters.handleInputRows((2,), iter([pd.DataFrame([(70, 120, False)], columns=["AdID", "seq", "view"])]), At(119 * DAY_MS)))
