@@ -92,7 +92,8 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     once = (F.col("key") != F.col("own")) | (F.col("a") < F.col("b"))
     # a pair close in both segments is found in both: the low one counts if it is within reach
     low = F.bit_count(_segment(F.col("a"), 0).bitwiseXOR(_segment(F.col("b"), 0)))
-    found = table.join(probes, ["s", "key"]).where((apart <= max_bits) & once & ((F.col("s") == 0) | (low > 1)))
+    # Spark takes what an explode yields for no larger than its input, and would broadcast a side through the driver
+    found = table.join(probes.hint("merge"), ["s", "key"]).where((apart <= max_bits) & once & ((F.col("s") == 0) | (low > 1)))
     return found.select("a", "b")
 
 

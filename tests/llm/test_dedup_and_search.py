@@ -86,6 +86,15 @@ def test_links_up_to_three_bits_only(spark):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_links_broadcast_neither_probes_nor_table(spark, tmp_path):
+    """Spark estimates exploded rows at the size of what they came from; few or many classes, both sides are sorted and merged."""
+    spark.createDataFrame([(0b1,), (0b0,), (1 << 40,), ((1 << 50) - 1,)], "fp long").write.parquet(f"{tmp_path}/classes")
+    found = simhash.links(spark.read.schema("fp long").parquet(f"{tmp_path}/classes"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
+    assert {frozenset(r) for r in found.collect()} == {frozenset(x) for x in ((0, 1), (0, 1 << 40), (1, 1 << 40))}
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
