@@ -181,9 +181,15 @@ def selling_price(mrp: F.Column | str, discount_pct: F.Column | str) -> F.Column
     return F.round(m * (F.lit(100) - d) / F.lit(100), 2).cast("decimal(12,2)")
 
 
+def merged(product: DataFrame) -> DataFrame:
+    """Products as the side of a sort-merge join. Of a key column Spark reckons a share of the compressed files, and
+    would broadcast millions of products through the driver as a few megabytes."""
+    return product.hint("merge")
+
+
 def price(pairs: DataFrame, product: DataFrame) -> DataFrame:
     """Price (CampaignID, ProductID, Discount) rows against Product.MRP."""
-    j = pairs.join(product.select("ProductID", "MRP"), "ProductID")
+    j = pairs.join(merged(product.select("ProductID", "MRP")), "ProductID")
     return conform(j.withColumn("SellingPrice", selling_price("MRP", "Discount")), CAMPAIGN_PRODUCT)
 
 
@@ -239,7 +245,7 @@ def price_campaign_products(t: Tables, requests: DataFrame) -> tuple[DataFrame,
     links = t.campaign_product.select(*keys, F.lit(None).cast(valid.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_there"))
     pairs = valid.withColumn("_there", F.lit(False)).unionByName(links).groupBy(*keys).agg(
         F.min("_row").alias("_first"), F.max("_there").alias("_there")).where(F.col("_first").isNotNull())
-    product = t.product.select("ProductID", "MRP", F.lit(True).alias("_known"))
+    product = merged(t.product.select("ProductID", "MRP", F.lit(True).alias("_known")))
     made = pairs.where(~F.col("_there")).join(product, "ProductID").withColumn("Discount", F.col("_first.Discount"))
     snapshot = t.campaign_product.unionByName(
         conform(made.withColumn("SellingPrice", selling_price("MRP", "Discount")), CAMPAIGN_PRODUCT))

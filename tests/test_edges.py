@@ -372,3 +372,19 @@ def test_price_rejects_of_crowded_pairs_need_no_join_with_themselves(spark):
     assert Counter(tuple(r) for r in rejects.select("seq", "CampaignID", "ProductID", "Discount", "Reason").collect()) == want
     plan = rejects._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and sum(plan.count(j + " [") for j in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin")) == 1
+
+
+def test_products_are_not_broadcast_by_the_estimate_of_their_key(spark, tmp_path):
+    """A key column is estimated at a share of the compressed files: millions of products would go through the driver."""
+    t = make_tables(spark, product=[(p, f"p{p}", D(10)) for p in (1, 2, 3)], campaign_product=[(2, 3, D(0), D(10))])
+    t.product.write.parquet(f"{tmp_path}/product")
+    t = t.with_(product=spark.read.schema(t.product.schema).parquet(f"{tmp_path}/product"))
+    asked = spark.createDataFrame([(1, 1, 1, D(5)), (2, 1, 1, D(6)), (3, 1, 9, D(5)), (4, 2, 3, D(5))],
+                                  "seq long, CampaignID long, ProductID long, Discount decimal(5,2)")
+    made, rejects = W.price_campaign_products(t, asked)
+    for df in (made, rejects, W.price(asked, t.product), W.price(asked, t.product).select("ProductID")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
+    assert sorted((r.seq, r.Reason) for r in rejects.collect()) == [
+        (2, "duplicate request in batch"), (3, "unknown product"), (4, "pair already exists")]
+    assert sorted((r.CampaignID, r.ProductID, r.SellingPrice) for r in made.collect()) == [(1, 1, D("9.50")), (2, 3, D("10.00"))]
