@@ -95,6 +95,23 @@ def test_links_broadcast_neither_probes_nor_table(spark, tmp_path):
     assert {frozenset(r) for r in found.collect()} == {frozenset(x) for x in ((0, 1), (0, 1 << 40), (1, 1 << 40))}
 
 
+def test_pipeline_near_dedup_broadcasts_no_exploded_side(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    plans, keep = [], simhash.stored
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, name)
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    texts = ["one two three four five six seven", "one two three four five six seven ", "other words that stand alone in here", None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.schema("doc_id long, text string").parquet(f"{tmp_path}/documents")
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == [0, 2, 3]
+    first = next(plan for name, plan in plans if name == "links")
+    assert "Generate" in first and "SortMergeJoin" in first and "Broadcast" not in first, first
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
